@@ -84,3 +84,12 @@ def with_bytes(df: DataFrame, text: str = "text", name: str = "_text_bytes") ->
 def crc_mod(column: str, modulus: int) -> F.Column:
     """crc32 of the value as text, modulo ``modulus``; null where the value is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+
+
+def fenced(column: F.Column) -> F.Column:
+    """The column as it is, but never moved or repeated by the optimizer.
+
+    Filters are pushed through projections by putting their expressions in, which would evaluate an array again for each element
+    of a lambda that looks at it. Spark does not do so with what it takes for non-deterministic.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)

@@ -18,8 +18,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernway.llm.common import fenced
+
 BUCKETS = 1 << 14
-THRESHOLD = -0.05
+THRESHOLD = -0.3
 #: Labelled documents of which the trusted multinomial is made, at most.
 TRUSTED = 20_000
 
@@ -32,22 +34,22 @@ def base_rules(docs: DataFrame, *, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, _SPACE), "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.drop(*_RESULTS).withColumns({"_w": words, "_l": lines})
+    df = docs.drop(*_RESULTS).withColumns({"_w": fenced(words), "_l": fenced(lines)})
     df = df.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
             "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "_h": F.transform(F.expr("slice(_w, 1, greatest(size(_w) - 2, 0))"), lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))),
+            "_h": fenced(F.transform(F.expr("slice(_w, 1, greatest(size(_w) - 2, 0))"), lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)))),
         }
     ).drop("_l")
     # Hashes that stand twice or more, with their places: sort them, look at the neighbours.
     placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     none = F.expr("CAST(array() AS ARRAY<STRUCT<h: BIGINT, p: INT>>)")
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(none))
+    df = df.withColumn("_s", fenced(F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(none)))
     again = F.filter("_s", lambda x, i: F.coalesce(x["h"] == F.get("_s", i + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_s", i - 1)["h"], F.lit(False)))
-    df = df.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["p"])))
+    df = df.withColumn("_p", fenced(F.sort_array(F.transform(again, lambda x: x["p"]))))
     gaps = F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1), p + 3) - p))
     df = df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -61,10 +63,10 @@ def tokens(text: Column) -> Column:
 
 def with_buckets(docs: DataFrame, text: str, buckets: int, name: str = "_b") -> DataFrame:
     """Every row with the buckets of its tokens and of the pairs of neighbours."""
-    df = docs.withColumn("_t", tokens(F.col(text)))
+    df = docs.withColumn("_t", fenced(tokens(F.col(text))))
     one = F.transform("_t", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
     two = F.transform(F.expr("slice(_t, 1, greatest(size(_t) - 1, 0))"), lambda w, i: F.pmod(F.xxhash64(w, F.get("_t", i + 1)), F.lit(buckets)).cast("int"))
-    return df.withColumn(name, F.concat(one, two)).drop("_t")
+    return df.withColumn(name, fenced(F.concat(one, two))).drop("_t")
 
 
 def _counts(docs: DataFrame, text: str, buckets: int) -> list[int]:
@@ -107,4 +109,4 @@ def judge(
     df = with_buckets(base_rules(docs, text=text).drop("llr", "kept"), text, buckets)
     total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(table, b))
     df = df.withColumn("llr", F.when(F.size("_b") > 0, total / F.size("_b")).otherwise(F.lit(0.0))).drop("_b")
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    return df.withColumn("kept", fenced(~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))))
