@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernway.llm import decontam, packing, quality, secrets, simhash
+from fernway.llm import decontam, licenses, packing, quality, secrets, simhash, warc
 from fernway.llm.sql import ORACLE_SQL
 
 
@@ -35,6 +35,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back through the index."""
+    index = warc.write_archives(_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_records(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +48,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base places, labels and the best score of every document."""
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, matches = F.col("licenses.base"), F.col("licenses.matches")
+    words = F.transform(base, lambda p: p["word"])
+    own = F.transform(base, lambda p: p["label"])
+    every = F.concat(own, F.transform(matches, lambda m: m["label"]))
+    best = F.coalesce(F.array_max(F.transform(matches, lambda m: m["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        F.col("licenses.n_words").alias("n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("labels"),
+        F.when(F.size(base) > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    )
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and places of the secrets in every document."""
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,5 +102,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_packing, op5_quality_rules, op7_secret_scans, op9_simhash, pipeline)
+    f.__name__: f
+    for f in (
+        op2_decontamination,
+        op3_packing,
+        op4_warc,
+        op5_quality_rules,
+        op6_license_scans,
+        op7_secret_scans,
+        op9_simhash,
+        pipeline,
+    )
 }
