@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernway.llm import chat, decontam, licenses, packing, quality, secrets, simhash, warc
+from fernway.llm import chat, decontam, hmm, langid, licenses, packing, quality, secrets, simhash, warc
 from fernway.llm.sql import ORACLE_SQL
 
 
@@ -107,12 +107,26 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov log10 probabilities of every document, learned from four fifths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    return hmm.score(docs, hmm.held_out())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(langid.learned_from()))
+    found = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model)
+    return found.select("doc_id", "held_out", F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").cast("long").alias("n_spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline``."""
     import corpus_pipeline
@@ -130,7 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_quality_rules,
         op6_license_scans,
         op7_secret_scans,
+        op8_hmm_scoring,
         op9_simhash,
+        op10_language_id,
         pipeline,
     )
 }

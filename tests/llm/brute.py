@@ -86,3 +86,23 @@ def components(ids: list[int], prints: list[int], most: int = 4) -> dict[int, in
                 a, b = find(ids[x]), find(ids[y])
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
+
+
+def unigram_scores(docs: dict[int, str | None]) -> dict[int, tuple]:
+    """doc_id to (held_out, n_tokens, n_known, train_tokens, base_score)."""
+    import math
+    import zlib
+
+    tokens = {i: [*SPACE_WORDS.findall(lower(t or "")), None] for i, t in docs.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
+    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    return {i: (held[i], len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, ws in tokens.items()}
+
+
+def license_row(text: str | None) -> tuple:
+    """(n_words, n_base, first_word, last_word, base_labels)"""
+    words = ALNUM_WORDS.findall(lower(text or ""))
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    places = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
