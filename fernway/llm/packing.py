@@ -18,6 +18,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from fernway.llm.common import slices
 CAPACITY = 2048
 END_ID = 1
 MAX_OPEN = 2048
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 SEQUENCES_PER_TASK = 1 << 36
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,31 +47,69 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkTokenizer:
-    """Ids of a text as little-endian unsigned 32-bit bytes, chunk by chunk, with a cache of at most ``entries`` chunks."""
+    """Ids of a text as little-endian unsigned 32-bit bytes, chunk by chunk.
+
+    Chunks seen lately are kept in two generations of at most ``entries`` each: when the young one is full it becomes the old one,
+    and what is used again moves back. Where all characters are Latin-1, the text is lower-cased, as the tokenizer does, and a
+    comma or full stop between a letter and white space is set apart, which is a pre-token by itself; so more chunks are alike.
+    """
+
+    #: Words tokenized together: each is one pre-token, and the last of its tokens is marked as the end of a word.
+    together = 2000
+    _letters = re.compile("[a-zß-öø-ÿ]+")
+    _mark = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=\s)")
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def chunks(self, text: str) -> list[str]:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = self._mark.sub(r" \1", text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.cache) + len(chunks) > self.entries:
-            self.cache.clear()
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            self.cache[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        words, rest = [], []
+        for c in chunks:
+            (words if self._letters.fullmatch(c) else rest).append(c)
+        for k in range(0, len(words), self.together):
+            block = words[k : k + self.together]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * np.flatnonzero(self.ends[ids]) + 4
+            if len(ends) != len(block):  # a word of this vocabulary need not be one pre-token
+                rest += block
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(block, ends.tolist(), strict=True):
+                self.young[word] = data[at:end]
+                at = end
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.young[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, all in one go so that unknown chunks are tokenized together."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {c for chunks in split for c in chunks if c not in self.cache}
-        if missing:
-            self.learn(list(missing))
-            if len(self.cache) < len(missing) or any(c not in self.cache for chunks in split for c in chunks):
-                self.learn(list({c for chunks in split for c in chunks}))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        split = [self.chunks(t) for t in texts]
+        young, old = self.young, self.old
+        missing = {c for chunks in split for c in chunks if c not in young}
+        if old:
+            for c in missing & old.keys():
+                young[c] = old[c]
+        self.learn([c for c in missing if c not in young])
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in split]
+        if len(young) > self.entries:
+            self.old, self.young = young, {}
+        return out
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
