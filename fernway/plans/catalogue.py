@@ -1,10 +1,600 @@
-"""All queries of the routing library by name, with their DuckDB counterparts."""
+"""All queries of the routing library by name, with their DuckDB counterparts over the same derived inputs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fernway.functions import scalar as S
+from fernway.functions import statistics as stats
+from fernway.operators import evaluation, features, guard, predictors, roads, search
+from fernway.plans import inputs as I
+from fernway.plans import service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the statement that gives the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+ROADS = f"WITH {I.ROADS_SQL}"
+FREE = f"{ROADS}, free AS (SELECT *, length_m / (greatest(speed_limit_mph, 1.0::DOUBLE) * 0.44704::DOUBLE) AS free_flow_s FROM edges)"
+MAX_MPH = 65.0
+
+
+def _free(spark: SparkSession, d: str) -> DataFrame:
+    return roads.free_flow(I.edges(spark, d))
+
+
+# --- roads -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"{FREE} SELECT edge_id, length_m, speed_limit_mph, round(free_flow_s, 6) AS free_flow_s FROM free")
+def free_flow_cost(spark, d):
+    return _free(spark, d).select("edge_id", "length_m", "speed_limit_mph", F.round("free_flow_s", 6).alias("free_flow_s"))
+
+
+@query(f"{ROADS} SELECT edge_id, road_class, speed_limit_mph, lanes::BIGINT AS lanes FROM edges")
+def road_tags(spark, d):
+    return I.edges(spark, d).select("edge_id", "road_class", "speed_limit_mph", F.col("lanes").cast("long").alias("lanes"))
+
+
+@query("""SELECT tag, CASE WHEN regexp_extract(lower(trim(tag)), '(\\d+(?:\\.\\d+)?)', 1) = '' THEN NULL
+    ELSE regexp_extract(lower(trim(tag)), '(\\d+(?:\\.\\d+)?)', 1)::DOUBLE * (CASE WHEN regexp_matches(lower(tag), 'km/h|kmh|kph') THEN 0.621371::DOUBLE ELSE 1 END) END AS mph
+    FROM (VALUES ('35 mph'), ('50 km/h'), ('30;40'), (' 72.5 KPH '), ('none'), ('')) t(tag)""")
+def parse_speed_tag(spark, d):
+    rows = spark.createDataFrame([("35 mph",), ("50 km/h",), ("30;40",), (" 72.5 KPH ",), ("none",), ("",)], "tag string")
+    return rows.select("tag", S.speed_tag_mph(F.col("tag")).alias("mph"))
+
+
+@query(f"{ROADS} SELECT a.node AS node, b.node AS other, round({I.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 4) AS metres, round({I.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / (65.0 * 0.44704), 6) AS bound_s FROM nodes a JOIN nodes b ON b.node = a.node * 3 % (SELECT count(*) FROM nodes)")
+def heuristic_bound(spark, d):
+    n = I.nodes(spark, d)
+    count = n.agg(F.count("*").alias("count"))
+    a = n.join(F.broadcast(count)).select("node", "lat", "lon", (F.col("node") * 3 % F.col("count")).alias("other"))
+    b = n.select(F.col("node").alias("other"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    ends = [F.col(x) for x in ("lat", "lon", "lat_b", "lon_b")]
+    return a.join(b, "other").select("node", "other", F.round(S.haversine_m(*ends), 4).alias("metres"), F.round(search.lower_bound_s(*ends, F.lit(65.0)), 6).alias("bound_s"))
+
+
+@query(f"""{ROADS}, o AS (SELECT u AS node, count(*) AS out_degree, string_agg(DISTINCT v::VARCHAR, ',' ORDER BY v::VARCHAR) AS neighbours FROM edges GROUP BY u),
+    i AS (SELECT v AS node, count(*) AS in_degree FROM edges GROUP BY v)
+    SELECT node, coalesce(out_degree, 0)::BIGINT AS out_degree, coalesce(in_degree, 0)::BIGINT AS in_degree, coalesce(neighbours, '') AS neighbours FROM o FULL JOIN i USING (node)""")
+def adjacency_degree(spark, d):
+    found = roads.adjacency(I.edges(spark, d))
+    names = F.array_join(F.array_sort(F.transform("neighbours", lambda x: x.cast("string"))), ",")
+    return found.select("node", "out_degree", "in_degree", F.coalesce(names, F.lit("")).alias("neighbours"))
+
+
+@query(f"{ROADS} SELECT edge_id, v AS u, u AS v FROM edges")
+def reverse_edges(spark, d):
+    return roads.reverse(I.edges(spark, d)).select("edge_id", "u", "v")
+
+
+@query(f"{ROADS} SELECT max(speed_limit_mph) AS max_speed_mph FROM edges")
+def graph_max_speed(spark, d):
+    return roads.max_speed(I.edges(spark, d))
+
+
+_LEVELS = f"""WITH RECURSIVE {I.ROADS_SQL}, level(node, level) USING KEY (node) AS (
+    SELECT 0::BIGINT, 0 UNION SELECT e.v, min(l.level + 1) FROM level l JOIN edges e ON e.u = l.node
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.level r WHERE r.node = e.v) GROUP BY e.v)"""
+
+
+@query(f"{_LEVELS} SELECT node, level::BIGINT AS level FROM level")
+def bfs_levels(spark, d):
+    root = spark.createDataFrame([(0,)], "node long")
+    return roads.breadth_first(I.edges(spark, d), root).select("node", F.col("level").cast("long").alias("level"))
+
+
+@query(f"{_LEVELS}, first AS (SELECT node FROM level ORDER BY level, node LIMIT 50) SELECT edge_id, u, v FROM edges WHERE u IN (FROM first) AND v IN (FROM first)")
+def induced_subgraph(spark, d):
+    e = I.edges(spark, d)
+    return roads.induced(e, roads.first_nodes(e, spark.createDataFrame([(0,)], "node long"), 50)).select("edge_id", "u", "v")
+
+
+@query()
+def scc_fraction(spark, d):
+    return roads.largest_strong_share(I.edges(spark, d).select("u", "v"), I.nodes(spark, d))
+
+
+# --- features --------------------------------------------------------------------------------------------------------
+
+_K = "(6371000.0 * 3.141592653589793 / 180)"
+MATCH = f"""{ROADS}, {I.SENSORS_SQL}, placed AS (
+    SELECT sensor_id, edge_id, (b.lon - longitude) * cos(radians(latitude)) * {_K} AS ax, (b.lat - latitude) * {_K} AS ay,
+        (c.lon - longitude) * cos(radians(latitude)) * {_K} AS bx, (c.lat - latitude) * {_K} AS by_
+    FROM sensors, edges e JOIN nodes b ON b.node = e.u JOIN nodes c ON c.node = e.v
+), along AS (SELECT *, greatest(0.0, least(1.0, -(ax * (bx - ax) + ay * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0))) AS t FROM placed),
+apart AS (SELECT sensor_id, edge_id, round(sqrt(pow(ax + coalesce(t, 0) * (bx - ax), 2) + pow(ay + coalesce(t, 0) * (by_ - ay), 2)), 3) AS match_distance_m FROM along),
+matches AS (SELECT *, match_distance_m <= 1000 AS matched FROM apart QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY match_distance_m, edge_id) = 1)"""
+TOP = f"""{MATCH}, top AS (SELECT "from", "to", cost, row_number() OVER (PARTITION BY "from" ORDER BY cost, "to") AS rank FROM distances WHERE "from" <> "to" AND cost <= 30000 QUALIFY rank <= 5)"""
+PROXY = f"""{TOP}, limits AS (SELECT sensor_id, speed_limit_mph FROM matches JOIN edges USING (edge_id) WHERE matched), known AS (SELECT r.*, speed_limit_mph FROM readings r JOIN limits USING (sensor_id)),
+grid AS (SELECT timestamp, lag(timestamp) OVER (ORDER BY timestamp) AS before FROM (SELECT DISTINCT timestamp FROM known)),
+lagged AS (SELECT g.timestamp, sensor_id, 1 - speed_mph / speed_limit_mph AS c FROM grid g JOIN known k ON k.timestamp = g.before),
+means AS (SELECT l.timestamp, t."from" AS sensor_id, avg(c) AS proxy FROM top t JOIN lagged l ON l.sensor_id = t."to" GROUP BY ALL),
+proxied AS (SELECT k.timestamp, k.sensor_id, proxy AS neighbor_congestion_proxy FROM known k LEFT JOIN means m ON m.timestamp = k.timestamp AND m.sensor_id = k.sensor_id)"""
+COLLAPSED = f"""{PROXY}, collapsed AS (
+    SELECT edge_id, r.timestamp, string_agg(DISTINCT r.sensor_id, ';' ORDER BY r.sensor_id) AS sensor_ids, count(DISTINCT r.sensor_id) AS n_sensors, avg(speed_mph) AS speed_mph,
+        avg(neighbor_congestion_proxy) AS neighbor_congestion_proxy FROM known r JOIN matches m USING (sensor_id) JOIN proxied p ON p.timestamp = r.timestamp AND p.sensor_id = r.sensor_id GROUP BY ALL
+), history AS (
+    SELECT *, avg(speed_mph) OVER w AS hist_mean_speed, var_samp(speed_mph) OVER w AS hist_var_speed FROM collapsed
+    WINDOW w AS (PARTITION BY edge_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), dated AS (
+    SELECT *, hour(timestamp)::BIGINT AS hour_of_day, (isodow(timestamp) - 1)::BIGINT AS day_of_week, timestamp::DATE = DATE '2024-01-15' AS is_holiday,
+        CASE WHEN timestamp::DATE <= DATE '2024-01-20' THEN 'train' WHEN timestamp::DATE <= DATE '2024-01-24' THEN 'val' ELSE 'test' END AS split
+    FROM history
+), features AS (SELECT d.*, road_class, length_m, lanes, speed_limit_mph FROM dated d JOIN edges USING (edge_id))"""
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return features.match_sensors(I.sensors(spark, d), I.edges(spark, d), I.nodes(spark, d), most_m=1000.0)
+
+
+def _top(spark: SparkSession, d: str) -> DataFrame:
+    return features.top_neighbours(I.distances(spark, d), I.sensors(spark, d), radius_m=30000.0)
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return features.build_features(I.readings(spark, d), _matches(spark, d), I.edges(spark, d), _top(spark, d), holidays=I.HOLIDAYS, splits=I.SPLITS)
+
+
+@query("SELECT event_id, (date_trunc('day', ts) + to_minutes((hour(ts) * 60 + minute(ts)) // 5 * 5))::TIMESTAMP AS bucket FROM events")
+def bucket_floor(spark, d):
+    return I.table(spark, d, "events").select("event_id", S.bucket_floor(F.col("ts"), 5).alias("bucket"))
+
+
+@query(f"""WITH {I.SENSORS_SQL}, wide AS (PIVOT (SELECT timestamp, sensor_id, speed_mph FROM readings WHERE sensor_id IN ('s1', 's2', 's3')) ON sensor_id IN ('s1', 's2', 's3') USING first(speed_mph) GROUP BY timestamp)
+    SELECT timestamp, sensor_id, speed_mph FROM (UNPIVOT wide ON s1, s2, s3 INTO NAME sensor_id VALUE speed_mph)""")
+def unpivot_speeds(spark, d):
+    wide = I.readings(spark, d).where(F.col("sensor_id").isin("s1", "s2", "s3")).groupBy("timestamp").pivot("sensor_id", ["s1", "s2", "s3"]).agg(F.first("speed_mph"))
+    return features.unpivot_speeds(wide)
+
+
+@query(f"{MATCH} SELECT * FROM matches")
+def sensor_nearest_edge(spark, d):
+    return _matches(spark, d)
+
+
+@query(f"""{MATCH} SELECT count(*) AS n_sensors, count(*) FILTER (matched) AS n_matched, round(avg(match_distance_m), 4) AS mean_m, round(median(match_distance_m), 4) AS median_m,
+    round(quantile_cont(match_distance_m, 0.9), 4) AS p90_m, max(match_distance_m) AS max_m FROM matches""")
+def sensor_match_quality(spark, d):
+    return features.match_quality(_matches(spark, d))
+
+
+@query(f"{TOP} SELECT * FROM top")
+def neighbor_topk(spark, d):
+    return _top(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"{PROXY} SELECT timestamp, sensor_id, round(neighbor_congestion_proxy, 6) AS neighbor_congestion_proxy FROM proxied")
+def neighbor_congestion_proxy(spark, d):
+    known = _matches(spark, d).where("matched").join(I.edges(spark, d), "edge_id").select("sensor_id", "speed_limit_mph")
+    speeds = I.readings(spark, d).join(known.select("sensor_id"), "sensor_id", "left_semi")
+    found = features.neighbour_congestion(speeds, known, _top(spark, d))
+    return found.select("timestamp", "sensor_id", F.round("neighbor_congestion_proxy", 6).alias("neighbor_congestion_proxy"))
+
+
+@query(f"{COLLAPSED} SELECT edge_id, timestamp, sensor_ids, n_sensors, round(speed_mph, 6) AS speed_mph FROM collapsed")
+def collapse_edge_level(spark, d):
+    return _features(spark, d).select("edge_id", "timestamp", "sensor_ids", "n_sensors", F.round("speed_mph", 6).alias("speed_mph"))
+
+
+@query(f"{COLLAPSED} SELECT edge_id, timestamp, round(hist_mean_speed, 5) AS hist_mean_speed, round(hist_var_speed, 4) AS hist_var_speed FROM history")
+def expanding_mean_var(spark, d):
+    return _features(spark, d).select("edge_id", "timestamp", F.round("hist_mean_speed", 5).alias("hist_mean_speed"), F.round("hist_var_speed", 4).alias("hist_var_speed"))
+
+
+@query("""SELECT event_id, hour(ts)::BIGINT AS hour_of_day, (isodow(ts) - 1)::BIGINT AS day_of_week, ts::DATE = DATE '2024-01-15' AS is_holiday,
+    CASE WHEN ts::DATE <= DATE '2024-01-20' THEN 'train' WHEN ts::DATE <= DATE '2024-01-24' THEN 'val' WHEN ts::DATE <= DATE '2024-01-30' THEN 'test' ELSE 'unassigned' END AS split,
+    CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 10 THEN 'morning_peak' WHEN hour(ts) < 16 THEN 'midday' WHEN hour(ts) < 20 THEN 'evening_peak' ELSE 'evening' END AS time_stratum FROM events""")
+def calendar_and_split(spark, d):
+    e = I.table(spark, d, "events")
+    day = S.day_features(F.col("ts"), I.HOLIDAYS)
+    longs = {k: v.cast("long") if k != "is_holiday" else v for k, v in day.items()}
+    return e.withColumns({**longs, "split": S.split_of(F.col("ts"), I.SPLITS), "time_stratum": S.stratum_of(F.hour("ts"), I.STRATA)}).select("event_id", *day, "split", "time_stratum")
+
+
+@query(f"""{COLLAPSED} SELECT edge_id, sensor_ids, n_sensors, timestamp, round(speed_mph, 5) AS speed_mph, round(hist_mean_speed, 5) AS hist_mean_speed, round(hist_var_speed, 4) AS hist_var_speed,
+    hour_of_day, day_of_week, is_holiday, round(neighbor_congestion_proxy, 5) AS neighbor_congestion_proxy, road_class, length_m, lanes::BIGINT AS lanes, speed_limit_mph, split FROM features""")
+def features_full(spark, d):
+    rounded = {"speed_mph": F.round("speed_mph", 5), "hist_mean_speed": F.round("hist_mean_speed", 5), "hist_var_speed": F.round("hist_var_speed", 4), "neighbor_congestion_proxy": F.round("neighbor_congestion_proxy", 5)}
+    return _features(spark, d).withColumns({**rounded, **{c: F.col(c).cast("long") for c in ("hour_of_day", "day_of_week", "lanes")}})
+
+
+@query(f"""{COLLAPSED} SELECT split, count(*) AS n_rows, count(DISTINCT edge_id) AS n_edges, min(timestamp) AS first_time, max(timestamp) AS last_time, round(avg(speed_mph), 4) AS mean_speed,
+    count(*) FILTER (hist_mean_speed IS NULL) AS n_no_history, count(*) FILTER (neighbor_congestion_proxy IS NULL) AS n_no_proxy, count(*) FILTER (n_sensors > 1) AS n_multi_sensor FROM features GROUP BY split""")
+def features_quality(spark, d):
+    return features.features_quality(_features(spark, d))
+
+
+# --- predictors ------------------------------------------------------------------------------------------------------
+
+TIMES = f"{COLLAPSED}, times AS (SELECT *, length_m / (greatest(speed_mph, 1.0) * 0.44704) AS true_s FROM features)"
+
+
+def _oracle(spark: SparkSession, d: str) -> DataFrame:
+    return predictors.oracle(_features(spark, d))
+
+
+@query(f"{TIMES} SELECT edge_id, timestamp, round(true_s, 6) AS eta_s, 0.0::DOUBLE AS sigma_s FROM times")
+def oracle_eta(spark, d):
+    return _oracle(spark, d).withColumn("eta_s", F.round("eta_s", 6))
+
+
+@query(f"{TIMES} SELECT edge_id, timestamp, round(greatest(true_s * 0.6, 0.001), 6) AS eta_s, 0.0::DOUBLE AS sigma_s FROM times")
+def adversarial_eta(spark, d):
+    return predictors.adversarial(_oracle(spark, d), 0.4).withColumn("eta_s", F.round("eta_s", 6))
+
+
+_UNIT = "((('0x' || substr(sha256('7|' || edge_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|{0}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+
+
+@query(f"""{TIMES}, drawn AS (SELECT *, sqrt(-2 * ln({_UNIT.format('u')})) * cos(6.283185307179586 * {_UNIT.format('v')}) AS z FROM times)
+    SELECT edge_id, timestamp, round(greatest(true_s * (1 + 0.5 * z), 0.001), 4) AS eta_s, round(true_s * 0.5, 6) AS sigma_s FROM drawn""")
+def hash_noise_eta(spark, d):
+    return predictors.noisy(_oracle(spark, d), 0.5, seed=7).withColumns({"eta_s": F.round("eta_s", 4), "sigma_s": F.round("sigma_s", 6)})
+
+
+@query()
+def generated_noise_eta(spark, d):
+    return predictors.noisy_generated(_oracle(spark, d), 0.5, seed=7)
+
+
+@query(f"""{TIMES}, hours AS (SELECT DISTINCT timestamp FROM features WHERE split = 'test'), asked AS (SELECT e.edge_id, h.timestamp, length_m / (greatest(speed_limit_mph, 1.0) * 0.44704) AS free_flow_s FROM edges e, hours h WHERE hour(h.timestamp) = 8)
+    SELECT a.edge_id, a.timestamp, round(coalesce(true_s, free_flow_s), 6) AS cost_s, true_s IS NOT NULL AS covered FROM asked a LEFT JOIN times t ON t.edge_id = a.edge_id AND t.timestamp = a.timestamp""")
+def coverage_fallback_cost(spark, d):
+    f = _features(spark, d)
+    hours = f.where("split = 'test' AND hour_of_day = 8").select("timestamp").distinct().agg(F.collect_list("timestamp").alias("hours")).withColumn("_one", F.lit(1))
+    asked = _free(spark, d).withColumn("_one", F.lit(1)).join(F.broadcast(hours), "_one").select("edge_id", "free_flow_s", F.explode("hours").alias("timestamp"))
+    found = predictors.with_fallback(asked, predictors.oracle(f))
+    return found.select("edge_id", "timestamp", F.round("cost_s", 6).alias("cost_s"), F.col("eta_s").isNotNull().alias("covered"))
+
+
+_Q = "[0.1, 0.25, 0.5, 0.75, 0.9]"
+MODEL = f"""{TIMES}, train AS (SELECT * FROM features WHERE split = 'train'), q0 AS (SELECT edge_id, hour_of_day, quantile_cont(speed_mph, {_Q}) AS q FROM train GROUP BY ALL),
+q1 AS (SELECT road_class, hour_of_day, quantile_cont(speed_mph, {_Q}) AS q FROM train GROUP BY ALL), q2 AS (SELECT quantile_cont(speed_mph, {_Q}) AS q FROM train),
+predicted AS (SELECT t.*, list_transform(coalesce(q0.q, q1.q, q2.q), x -> greatest(x, 1.0)) AS q FROM times t LEFT JOIN q0 ON q0.edge_id = t.edge_id AND q0.hour_of_day = t.hour_of_day
+    LEFT JOIN q1 ON q1.road_class = t.road_class AND q1.hour_of_day = t.hour_of_day CROSS JOIN q2 WHERE split = 'test'),
+timed AS (SELECT *, length_m / (q[3] * 0.44704) AS eta_s, greatest(length_m / (q[1] * 0.44704) - length_m / (q[5] * 0.44704), 0) / 2.5631031310892007 AS sigma_s FROM predicted)"""
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    f = _features(spark, d)
+    return predictors.times_and_sigma(predictors.predict_quantiles(f.where("split = 'test'"), predictors.quantile_model(f)))
+
+
+@query(f"{MODEL} SELECT edge_id, timestamp, round(eta_s, 5) AS eta_s, round(sigma_s, 5) AS sigma_s FROM timed")
+def quantile_sigma(spark, d):
+    return _predicted(spark, d).select("edge_id", "timestamp", F.round("eta_s", 5).alias("eta_s"), F.round("sigma_s", 5).alias("sigma_s"))
+
+
+@query(f"""{MODEL} SELECT count(*) AS n, round(avg(abs(eta_s - true_s)), 4) AS mae, round(sqrt(avg((eta_s - true_s) * (eta_s - true_s))), 4) AS rmse,
+    round(avg(abs(eta_s - true_s) / greatest(true_s, 0.000001)) * 100, 4) AS mape FROM timed""")
+def predictor_eval(spark, d):
+    found = predictors.evaluate(_predicted(spark, d))
+    return found.select("n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mape")])
+
+
+@query(f"""{MODEL}, flat AS (SELECT speed_mph, unnest({_Q})::DOUBLE AS quantile, unnest(q) AS q FROM predicted)
+    SELECT quantile, round(avg((round(speed_mph, 9) <= round(q, 9))::INT), 6) AS coverage, count(*) AS n FROM flat GROUP BY quantile""")
+def calibration(spark, d):
+    rows = _predicted(spark, d).withColumns({"speed_mph": F.round("speed_mph", 9), "q": F.transform("q", lambda x: F.round(x, 9))})
+    return predictors.calibration(rows)
+
+
+@query(f"""{MODEL}, pairs AS (SELECT edge_id, road_class, length_m, h FROM edges, range(24) r(h))
+    SELECT p.edge_id, h::BIGINT AS hour_of_day, round(length_m / (list_transform(coalesce(q0.q, q1.q, q2.q), x -> greatest(x, 1.0))[3] * 0.44704), 5) AS eta_s
+    FROM pairs p LEFT JOIN q0 ON q0.edge_id = p.edge_id AND q0.hour_of_day = h LEFT JOIN q1 ON q1.road_class = p.road_class AND q1.hour_of_day = h CROSS JOIN q2""")
+def materialized_edge_cost(spark, d):
+    rows = I.edges(spark, d).withColumn("hour_of_day", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    found = predictors.times_and_sigma(predictors.predict_quantiles(rows, predictors.quantile_model(_features(spark, d))))
+    return found.select("edge_id", F.col("hour_of_day").cast("long").alias("hour_of_day"), F.round("eta_s", 5).alias("eta_s"))
+
+
+# --- search ----------------------------------------------------------------------------------------------------------
+
+DIST = f"""WITH RECURSIVE {I.ROADS_SQL}, {I.QUERIES_SQL}, free AS (SELECT *, length_m / (greatest(speed_limit_mph, 1.0::DOUBLE) * 0.44704::DOUBLE) AS free_flow_s FROM edges),
+dist(query_id, node, cost) USING KEY (query_id, node) AS (
+    SELECT query_id, origin, 0.0::DOUBLE FROM queries
+    UNION SELECT l.query_id, e.v, min(l.cost + e.free_flow_s) FROM dist l JOIN free e ON e.u = l.node LEFT JOIN recurring.dist r ON r.query_id = l.query_id AND r.node = e.v
+    WHERE r.cost IS NULL OR l.cost + e.free_flow_s < r.cost GROUP BY l.query_id, e.v)"""
+ROUTED = f"{DIST} SELECT q.query_id, origin, dest, round(cost, 6) AS cost FROM queries q LEFT JOIN dist d ON d.query_id = q.query_id AND d.node = dest"
+
+
+def _costs_of(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "origin", "dest", F.round("cost", 6).alias("cost"))
+
+
+@query(f"{DIST} SELECT query_id, node, round(cost, 6) AS cost FROM dist")
+def sssp_static(spark, d):
+    labels = search.search(I.queries(spark, d), _free(spark, d), search.static_costs(), prune=False)
+    return labels.select("query_id", "node", F.round("cost", 6).alias("cost"))
+
+
+@query(ROUTED)
+def dijkstra_cost(spark, d):
+    return _costs_of(search.dijkstra(I.queries(spark, d), _free(spark, d)))
+
+
+@query(ROUTED)
+def astar_cost(spark, d):
+    return _costs_of(search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0))
+
+
+@query(ROUTED)
+def bidirectional_cost(spark, d):
+    return _costs_of(search.bidirectional(I.queries(spark, d), _free(spark, d)))
+
+
+@query()
+def search_effort(spark, d):
+    plain = search.dijkstra(I.queries(spark, d), _free(spark, d)).select("query_id", F.col("work").alias("dijkstra_work"), F.col("hops").alias("hops"))
+    guided = search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0).select("query_id", F.col("work").alias("astar_work"))
+    return plain.join(guided, "query_id")
+
+
+@query()
+def pure_ml_cost(spark, d):
+    told = search.timed_costs(predictors.adversarial(_oracle(spark, d), 0.4), I.BUCKET_MINUTES, _oracle(spark, d))
+    placed, bound = search.with_bounds(I.queries(spark, d), I.nodes(spark, d), 65.0)
+    found = search.routes(placed, search.search(placed, _free(spark, d), told, bound=bound, carried=("to_lat", "to_lon")))
+    return found.select("query_id", "cost", "true_cost", "hops", F.array_join("path", ",").alias("path"))
+
+
+@query(f"""{FREE}, paths AS (SELECT 0 AS query_id, [0, 1, 2] AS path UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY a.u, a.v, b.v))::INT, [a.u, a.v, b.v] FROM edges a JOIN edges b ON b.u = a.v)),
+    steps AS (SELECT query_id, unnest(range(1, len(path))) AS i, path FROM paths)
+    SELECT p.query_id::BIGINT AS query_id, (i - 1)::BIGINT AS pos, path[i] AS u, path[i + 1] AS v, edge_id, round(free_flow_s, 6) AS cost FROM steps p LEFT JOIN free e ON e.u = path[i] AND e.v = path[i + 1]""")
+def path_edges(spark, d):
+    found = search.path_edges(_two_hops(spark, d), _free(spark, d))
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("pos").cast("long").alias("pos"), "u", "v", "edge_id", F.round("cost", 6).alias("cost"))
+
+
+def _two_hops(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = I.edges(spark, d)
+    two = e.select("u", F.col("v").alias("m")).join(e.select(F.col("u").alias("m"), F.col("v").alias("w")), "m")
+    paths = two.withColumn("query_id", F.row_number().over(Window.orderBy("u", "m", "w")).cast("long")).select("query_id", F.array("u", "m", "w").alias("path"))
+    return paths.unionByName(spark.createDataFrame([(0, [0, 1, 2])], "query_id long, path array<long>"))
+
+
+@query(f"""{FREE}, paths AS (SELECT 0 AS query_id, [0, 1, 2] AS path UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY a.u, a.v, b.v))::INT, [a.u, a.v, b.v] FROM edges a JOIN edges b ON b.u = a.v)),
+    steps AS (SELECT query_id, unnest(range(1, len(path))) AS i, path FROM paths), costs AS (SELECT query_id, free_flow_s FROM steps p LEFT JOIN free e ON e.u = path[i] AND e.v = path[i + 1])
+    SELECT query_id::BIGINT AS query_id, CASE WHEN count(*) = count(free_flow_s) THEN round(sum(free_flow_s), 5) END AS realized FROM costs GROUP BY query_id""")
+def path_realized_cost_static(spark, d):
+    found = search.realized_static(_two_hops(spark, d), _free(spark, d))
+    return found.select("query_id", F.round(F.nullif("realized", F.lit(float("inf"))), 5).alias("realized"))
+
+
+@query("""WITH g AS (SELECT o_orderkey AS id, (o_orderkey % 7)::DOUBLE / 10 AS alpha, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 0 ELSE round(o_totalprice, 2) END AS c,
+        CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 13 = 0 AND o_orderkey % 2 = 0 THEN 0 ELSE round(o_totalprice, 2) * (1 + (o_orderkey % 10)::DOUBLE / 10) END AS x FROM orders),
+    v AS (SELECT *, coalesce(x <= (1 + alpha) * c, FALSE) AS ok FROM g), r AS (SELECT *, CASE WHEN c IS NULL THEN NULL WHEN ok THEN x ELSE c END AS y FROM v)
+    SELECT id, CASE WHEN c IS NULL THEN 'none' WHEN ok THEN 'candidate' ELSE 'classical' END AS taken, round(y, 4) AS realized_cost,
+        round(CASE WHEN c = 0 AND y = 0 THEN 1 ELSE y / nullif(c, 0) END, 6) AS ratio, c IS NOT NULL AND NOT ok AS guard_invoked FROM r""")
+def guard_apply(spark, d):
+    k, price = F.col("o_orderkey"), F.round("o_totalprice", 2)
+    rows = I.table(spark, d, "orders").select(
+        k.alias("id"),
+        ((k % 7).cast("double") / 10).alias("alpha"),
+        F.when(k % 11 == 0, None).when(k % 13 == 0, F.lit(0.0)).otherwise(price).alias("classical_cost"),
+        F.when(k % 5 == 0, None).when((k % 13 == 0) & (k % 2 == 0), F.lit(0.0)).otherwise(price * (1 + (k % 10).cast("double") / 10)).alias("candidate_cost"),
+    )
+    found = guard.guard(rows, F.col("alpha"))
+    return found.select("id", "taken", F.round("realized_cost", 4).alias("realized_cost"), F.round("ratio", 6).alias("ratio"), "guard_invoked")
+
+
+def _robust(spark: SparkSession, d: str, told: DataFrame, weight: float, guarded: bool = True) -> DataFrame:
+    q, e, n, real = I.queries(spark, d), _free(spark, d), I.nodes(spark, d), _oracle(spark, d)
+    classical = search.astar(q, e, n, 65.0)
+    used = guard.effective_weight(classical, e, told, weight, I.BUCKET_MINUTES)
+    return guard.robust_routes(
+        q, e, n, 65.0, search.timed_costs(told, I.BUCKET_MINUTES, real), service.planned_by_free_flow(real, I.BUCKET_MINUTES), service.frozen_at_departure(q, told, I.BUCKET_MINUTES), weight=used, alpha=0.3, guarded=guarded
+    )
+
+
+@query()
+def lambda_effective(spark, d):
+    told = predictors.noisy(_oracle(spark, d), 0.5, seed=7)
+    return guard.effective_weight(search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0), _free(spark, d), told, 0.8, I.BUCKET_MINUTES)
+
+
+@query()
+def robust_route(spark, d):
+    found = _robust(spark, d, predictors.adversarial(_oracle(spark, d), 0.95), 1.0)
+    return found.select("query_id", "classical_cost", "candidate_cost", "taken", "realized_cost", "ratio", "guard_invoked", "work")
+
+
+@query()
+def corridor_trap(spark, d):
+    found = search.corridor_and_trap(I.queries(spark, d), _free(spark, d))
+    return found.select("query_id", F.array_join("corridor", ",").alias("corridor"), F.array_join("trap", ",").alias("trap"))
+
+
+@query("""WITH p(edge_id, eta) AS (VALUES ('AB', 5.0::DOUBLE), ('BD', 5.0), ('AC', 8.0), ('CD', 8.0), ('XY', 1.0)), b(budget) AS (VALUES (0.0::DOUBLE), (0.25), (1.0), (2.0))
+    SELECT budget, edge_id, eta AS eta_s, round(CASE WHEN edge_id IN ('AC', 'CD') THEN greatest(eta / (1 + budget), 0.001) ELSE eta * (1 + budget) END, 9) AS told_s FROM p, b WHERE edge_id <> 'XY'""")
+def routing_aware_eta(spark, d):
+    predicted = spark.createDataFrame([("AB", 5.0), ("BD", 5.0), ("AC", 8.0), ("CD", 8.0), ("XY", 1.0)], "edge_id string, eta_s double").withColumn("timestamp", F.lit("2012-06-04 08:00:00").cast("timestamp_ntz"))
+    lured = spark.createDataFrame([(0, ["AB", "BD"], ["AC", "CD"])], "query_id long, corridor array<string>, trap array<string>")
+    budgets = spark.createDataFrame([(0.0,), (0.25,), (1.0,), (2.0,)], "budget double")
+    return predictors.routing_aware(predicted, lured, budgets).select("budget", "edge_id", "eta_s", F.round("told_s", 9).alias("told_s"))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+RESULTS = """WITH results AS (
+    SELECT l_orderkey % 5 AS query_seed, l_partkey % 80 AS query_id, ['astar', 'pure_ml_astar', 'robust_astar'][(l_suppkey % 3 + 1)::INT] AS method,
+        CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE (l_linenumber % 4)::DOUBLE / 2 END AS sweep_value,
+        round(l_extendedprice, 2) AS realized_cost, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE 1 + (l_partkey % 100)::DOUBLE / 64 + l_discount END AS competitive_ratio,
+        (l_quantity * 10)::BIGINT AS node_expansions, CASE WHEN l_suppkey % 3 = 2 THEN l_tax > 0.05 END AS guard_invoked, l_quantity AS latency_ms, (l_linenumber % 3 + 1) * 1000 AS graph_size FROM lineitem)"""
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("l_suppkey") % 3
+    return I.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 5).alias("query_seed"),
+        (F.col("l_partkey") % 80).alias("query_id"),
+        F.get(F.array(F.lit("astar"), F.lit("pure_ml_astar"), F.lit("robust_astar")), m.cast("int")).alias("method"),
+        F.when(m != 0, (F.col("l_linenumber") % 4).cast("double") / 2).alias("sweep_value"),
+        F.round("l_extendedprice", 2).alias("realized_cost"),
+        F.when(F.col("l_orderkey") % 17 == 0, F.lit(float("nan"))).otherwise(1 + (F.col("l_partkey") % 100).cast("double") / 64 + F.col("l_discount")).alias("competitive_ratio"),
+        (F.col("l_quantity") * 10).cast("long").alias("node_expansions"),
+        F.when(m == 2, F.col("l_tax") > 0.05).alias("guard_invoked"),
+        F.col("l_quantity").alias("latency_ms"),
+        ((F.col("l_linenumber") % 3 + 1) * 1000).alias("graph_size"),
+    )
+
+
+@query(f"""{ROADS}, {I.QUERIES_SQL}, bounds AS (SELECT q.*, round({I.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / (65.0::DOUBLE * 0.44704::DOUBLE), 6) AS lower_bound_s FROM queries q JOIN nodes a ON a.node = origin JOIN nodes b ON b.node = dest),
+    cuts AS (SELECT quantile_cont(lower_bound_s, 1.0::DOUBLE / 3) AS c1, quantile_cont(lower_bound_s, 2.0::DOUBLE / 3) AS c2 FROM bounds)
+    SELECT query_id, lower_bound_s, CASE WHEN lower_bound_s <= c1 THEN 'short' WHEN lower_bound_s <= c2 THEN 'medium' ELSE 'long' END AS distance_stratum,
+        CASE WHEN hour(depart_time) < 6 THEN 'night' WHEN hour(depart_time) < 10 THEN 'morning_peak' WHEN hour(depart_time) < 16 THEN 'midday' WHEN hour(depart_time) < 20 THEN 'evening_peak' ELSE 'evening' END AS time_stratum
+    FROM bounds, cuts""")
+def query_strata(spark, d):
+    found = evaluation.stratified(I.queries(spark, d), I.nodes(spark, d), 65.0, I.STRATA)
+    return found.select("query_id", "lower_bound_s", "distance_stratum", "time_stratum")
+
+
+@query()
+def sampled_query_set(spark, d):
+    f = _features(spark, d)
+    return evaluation.sampled_queries(I.edges(spark, d), f.where("split = 'test'"), 80, seed=20120604)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}', {v}::DOUBLE)" for r, points in evaluation.SWEEPS.items() for p, v in points) + ") t(run_id, predictor, sweep_value)")
+def sweep_points(spark, d):
+    return evaluation.sweep_points(spark)
+
+
+@query(f"""WITH {I.QUERIES_SQL} SELECT run_id, method, count(*) AS n FROM queries, (VALUES """ + ", ".join(f"('{r}', '{m}', {1 if m in evaluation.CLASSICAL else len(points)})" for r, points in evaluation.SWEEPS.items() for m in evaluation.METHODS[r]) + ") t(run_id, method, points), range(points) GROUP BY ALL")
+def planned_runs(spark, d):
+    return evaluation.planned_runs(I.queries(spark, d)).groupBy("run_id", "method").agg(F.count("*").alias("n"))
+
+
+@query(f"""{RESULTS}, optimum AS (SELECT query_id, min(realized_cost) AS optimal_cost FROM results GROUP BY query_id)
+    SELECT method, count(*) AS n, round(avg(realized_cost / optimal_cost), 6) AS mean_ratio, round(max(realized_cost / optimal_cost), 6) AS worst FROM results JOIN optimum USING (query_id) GROUP BY method""")
+def competitive_ratio(spark, d):
+    r = _results(spark, d)
+    optimum = r.groupBy("query_id").agg(F.min("realized_cost").alias("optimal_cost"))
+    found = evaluation.competitive_ratio(r.drop("competitive_ratio"), optimum)
+    return found.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("competitive_ratio"), 6).alias("mean_ratio"), F.round(F.max("competitive_ratio"), 6).alias("worst"))
+
+
+@query(f"""{RESULTS}, base AS (SELECT query_seed, query_id, min(realized_cost) AS c FROM results WHERE method = 'astar' GROUP BY ALL)
+    SELECT query_seed, method, count(*) AS n, round(max(realized_cost / c), 6) AS worst FROM results LEFT JOIN base USING (query_seed, query_id) GROUP BY ALL""")
+def ratio_vs_classical(spark, d):
+    found = evaluation.ratio_vs_classical(_results(spark, d))
+    return found.groupBy("query_seed", "method").agg(F.count("*").alias("n"), F.round(F.max("ratio_vs_classical"), 6).alias("worst"))
+
+
+@query(f"{RESULTS} SELECT method, sweep_value, round(avg(guard_invoked::INT), 6) AS guard_rate, count(guard_invoked) AS n FROM results GROUP BY ALL")
+def guard_rate(spark, d):
+    return evaluation.guard_rate(_results(spark, d), ["method", "sweep_value"]).withColumn("guard_rate", F.round("guard_rate", 6))
+
+
+@query(f"""{RESULTS}, s AS (SELECT method, sweep_value, query_seed, avg(competitive_ratio) AS m FROM results GROUP BY ALL)
+    SELECT method, sweep_value, count(m) AS n_seeds, round(avg(m), 6) AS mean_of_seeds FROM s GROUP BY ALL""")
+def seed_summary(spark, d):
+    return stats.seed_summary(_results(spark, d), ["method", "sweep_value"], "competitive_ratio").withColumn("mean_of_seeds", F.round("mean_of_seeds", 6))
+
+
+@query(f"""{RESULTS}, s AS (SELECT method, sweep_value, query_seed, max(competitive_ratio) AS m FROM results GROUP BY ALL)
+    SELECT method, sweep_value, count(m) AS n_seeds, round(avg(m), 6) AS mean_worst FROM s GROUP BY ALL""")
+def worst_case_by_point(spark, d):
+    return stats.worst_of_seeds(_results(spark, d), ["method", "sweep_value"], "competitive_ratio").withColumn("mean_worst", F.round("mean_worst", 6))
+
+
+@query(f"""{RESULTS}, s AS (SELECT sweep_value, query_seed, avg(node_expansions) AS x, avg(competitive_ratio) AS m FROM results WHERE method = 'robust_astar' GROUP BY ALL)
+    SELECT sweep_value, round(avg(x), 6) AS mean_expansions, round(avg(m), 6) AS mean_ratio FROM s GROUP BY ALL""")
+def pareto_front(spark, d):
+    found = evaluation.pareto(_results(spark, d).where("method = 'robust_astar'"), "sweep_value")
+    return found.select("sweep_value", F.round("mean_expansions", 6).alias("mean_expansions"), F.round("mean_ratio", 6).alias("mean_ratio"))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    per_seed = _results(spark, d).groupBy("method", "query_seed").agg(F.avg(stats.clean("competitive_ratio")).alias("m"))
+    return stats.bootstrap(per_seed, ["method"], "m", draws=2000)
+
+
+@query()
+def bootstrap_ci_hashed(spark, d):
+    rows = _results(spark, d).withColumn("k", F.monotonically_increasing_id())
+    return stats.bootstrap_hashed(rows, ["method"], "competitive_ratio", key="k", draws=100)
+
+
+PAIRS = f"""{RESULTS}, own AS (SELECT query_seed, query_id, sweep_value, median(realized_cost) AS a FROM results WHERE method = 'robust_astar' GROUP BY ALL),
+other AS (SELECT query_seed, query_id, sweep_value, median(realized_cost) AS b FROM results WHERE method = 'pure_ml_astar' GROUP BY ALL),
+d AS (SELECT o.query_seed, sweep_value, round(a - b, 2) AS diff FROM own o JOIN other USING (query_seed, query_id, sweep_value)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY query_seed ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY query_seed, abs(diff)) - 1) / 2 AS mid_rank FROM d WHERE diff <> 0)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = _results(spark, d).groupBy("query_seed", "query_id", "sweep_value", "method").agg(F.median("realized_cost").alias("m"))
+    a = r.where("method = 'robust_astar'").select("query_seed", "query_id", "sweep_value", F.col("m").alias("a"))
+    b = r.where("method = 'pure_ml_astar'").select("query_seed", "query_id", "sweep_value", F.col("m").alias("b"))
+    return a.join(b, ["query_seed", "query_id", "sweep_value"]).select("query_seed", F.round(F.col("a") - F.col("b"), 2).alias("a"), F.lit(0.0).alias("b"))
+
+
+@query(f"""{PAIRS} SELECT query_seed, count(*) AS n_pairs, round(sum(CASE WHEN diff > 0 THEN mid_rank ELSE 0 END), 2) AS w_plus, round(sum(CASE WHEN diff < 0 THEN mid_rank ELSE 0 END), 2) AS w_minus,
+    round((sum(CASE WHEN diff > 0 THEN mid_rank ELSE -mid_rank END)) / sum(mid_rank), 6) AS effect FROM ranked GROUP BY query_seed""")
+def wilcoxon_ranks(spark, d):
+    found = stats.wilcoxon(_pairs(spark, d), ["query_seed"], "a", "b")
+    return found.select("query_seed", "n_pairs", F.round("w_plus", 2).alias("w_plus"), F.round("w_minus", 2).alias("w_minus"), F.round("effect", 6).alias("effect"))
+
+
+@query()
+def wilcoxon_p(spark, d):
+    return stats.wilcoxon(_pairs(spark, d), ["query_seed"], "a", "b")
+
+
+@query("""WITH p AS (SELECT o_custkey % 50 AS family, o_orderkey AS id, round(((o_orderkey * 37) % 1000 + 1)::DOUBLE / 20000, 9) AS p FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) - 1 AS i, count(*) OVER (PARTITION BY family) AS m FROM p)
+    SELECT family, id, round(max(least(1.0, p * (m - i))) OVER w, 6) AS p_adjusted, bool_and(p <= 0.05::DOUBLE / (m - i)) OVER w AS reject FROM r WINDOW w AS (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING)""")
+def holm_adjust(spark, d):
+    k = F.col("o_orderkey")
+    rows = I.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("family"), k.alias("id"), F.round(((k * 37) % 1000 + 1).cast("double") / 20000, 9).alias("p"))
+    return stats.holm(rows, ["family"], "p", order="id").select("family", "id", F.round("p_adjusted", 6).alias("p_adjusted"), "reject")
+
+
+@query()
+def headline_table(spark, d):
+    r = _results(spark, d).groupBy("query_seed", "query_id", "method", "sweep_value").agg(F.avg(stats.clean("competitive_ratio")).alias("competitive_ratio"))
+    return evaluation.headline(r.dropna(subset=["competitive_ratio"]))
+
+
+@query(f"""{RESULTS}, s AS (SELECT method, sweep_value, query_seed, avg(competitive_ratio) AS m FROM results GROUP BY ALL), a AS (SELECT method, sweep_value, round(avg(m), 6) AS mean_ratio, count(m) AS n_seeds FROM s GROUP BY ALL),
+    b AS (SELECT method, sweep_value, round(avg(guard_invoked::INT), 6) AS guard_rate FROM results GROUP BY ALL)
+    SELECT a.*, guard_rate FROM a JOIN b ON a.method = b.method AND a.sweep_value IS NOT DISTINCT FROM b.sweep_value""")
+def table2_ablation(spark, d):
+    rows = _results(spark, d).withColumn("lambda_mode", F.lit(None).cast("string"))
+    found = evaluation.ablations(rows, ["method", "lambda_mode", "sweep_value"])
+    return found.withColumns({"mean_ratio": F.round("mean_ratio", 6), "guard_rate": F.round("guard_rate", 6)})
+
+
+@query(f"""{RESULTS} SELECT graph_size, round(avg(latency_ms) FILTER (method = 'astar'), 6) AS astar, round(avg(latency_ms) FILTER (method = 'pure_ml_astar'), 6) AS pure_ml_astar,
+    round(avg(latency_ms) FILTER (method = 'robust_astar'), 6) AS robust_astar FROM results GROUP BY graph_size""")
+def latency_pivot(spark, d):
+    found = evaluation.latency_by_size(_results(spark, d))
+    return found.select("graph_size", *[F.round(c, 6).alias(c) for c in found.columns if c != "graph_size"])
+
+
+@query(f"""{RESULTS}, s AS (SELECT method, sweep_value, query_seed, avg(realized_cost) AS c, avg(competitive_ratio) AS r FROM results GROUP BY ALL)
+    SELECT 'budget' AS part, method, sweep_value, round(avg(c), 4) AS mean_realized_cost, NULL::DOUBLE AS mean_competitive_ratio FROM s GROUP BY ALL
+    UNION ALL SELECT 'weight', method, sweep_value, NULL, round(avg(r), 6) FROM s WHERE method = 'robust_astar' GROUP BY ALL""")
+def improvement_summary(spark, d):
+    r = _results(spark, d)
+    found = evaluation.improvement_summary(r, r.where("method = 'robust_astar'"))
+    return found.withColumns({"mean_realized_cost": F.round("mean_realized_cost", 4), "mean_competitive_ratio": F.round("mean_competitive_ratio", 6)})
