@@ -105,13 +105,13 @@ def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Map
     """Every row with its record's layout and its turns, an array of (role, text)."""
     known = {f: m.layout for m in mappings for f in fingerprints_of(m)}
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    df = records.withColumn("_v", F.try_parse_json(F.col(record)))
-    df = df.withColumn("layout", fenced(F.try_element_at(names, F.coalesce(fingerprint(F.col("_v")), F.lit("")))))
+    df = records.withColumn("__fernway_v", F.try_parse_json(F.col(record)))
+    df = df.withColumn("layout", fenced(F.try_element_at(names, F.coalesce(fingerprint(F.col("__fernway_v")), F.lit("")))))
     turns = None
     for m in mappings:
         here = F.col("layout") == m.layout
-        turns = F.when(here, _turns(m, F.col("_v"))) if turns is None else turns.when(here, _turns(m, F.col("_v")))
-    return df.withColumn("turns", fenced(turns)).drop("_v")
+        turns = F.when(here, _turns(m, F.col("__fernway_v"))) if turns is None else turns.when(here, _turns(m, F.col("__fernway_v")))
+    return df.withColumn("turns", fenced(turns)).drop("__fernway_v")
 
 
 def escaped(text: Column) -> Column:
@@ -127,34 +127,34 @@ def unescaped(text: Column) -> Column:
 def formatted(turned: DataFrame) -> DataFrame:
     """Every row with ``formatted`` and ``loss_mask``, an array of runs (length, loss), from ``turns``."""
     parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("head"), escaped(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
-    df = turned.withColumn("_p", fenced(parts))
+    df = turned.withColumn("__fernway_p", fenced(parts))
     no = F.lit(False)
     runs = F.transform(
-        "_p",
+        "__fernway_p",
         lambda p: F.array(
             F.struct(F.length(p["head"]).alias("length"), no.alias("loss")),
             F.struct(F.length(p["text"]).alias("length"), p["loss"].alias("loss")),
             F.struct(F.lit(len(END)).alias("length"), no.alias("loss")),
         ),
     )
-    whole = F.array_join(F.transform("_p", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
-    return df.withColumns({"formatted": whole, "loss_mask": F.flatten(runs)}).drop("_p")
+    whole = F.array_join(F.transform("__fernway_p", lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
+    return df.withColumns({"formatted": whole, "loss_mask": F.flatten(runs)}).drop("__fernway_p")
 
 
 def read_back(df: DataFrame) -> DataFrame:
     """Every row with ``read_turns`` (role, text) and ``loss_text``, read from ``formatted`` and ``loss_mask`` alone."""
     pieces = F.split("formatted", r"<\|im_end\|>\n")
-    df = df.withColumn("_all", fenced(pieces)).withColumn("_parts", fenced(F.expr("slice(_all, 1, greatest(size(_all) - 1, 0))"))).drop("_all")
+    df = df.withColumn("__fernway_all", fenced(pieces)).withColumn("__fernway_parts", fenced(F.expr("slice(__fernway_all, 1, greatest(size(__fernway_all) - 1, 0))"))).drop("__fernway_all")
     at = F.lit(len(START) + 1)
     turns = F.transform(
-        "_parts",
+        "__fernway_parts",
         lambda p: F.struct(
             F.url_decode(F.substring(F.substring_index(p, "\n", 1), at, F.length(p))).alias("role"),
             unescaped(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p))).alias("text"),
         ),
     )
-    under = F.transform("_parts", lambda p, i: F.when(F.get("loss_mask", 3 * i + 1)["loss"], unescaped(F.substring(p, F.get("loss_mask", 3 * i)["length"] + 1, F.get("loss_mask", 3 * i + 1)["length"]))).otherwise(F.lit("")))
-    return df.withColumns({"read_turns": turns, "loss_text": F.array_join(under, "")}).drop("_parts")
+    under = F.transform("__fernway_parts", lambda p, i: F.when(F.get("loss_mask", 3 * i + 1)["loss"], unescaped(F.substring(p, F.get("loss_mask", 3 * i)["length"] + 1, F.get("loss_mask", 3 * i + 1)["length"]))).otherwise(F.lit("")))
+    return df.withColumns({"read_turns": turns, "loss_text": F.array_join(under, "")}).drop("__fernway_parts")
 
 
 def message_records(rows: DataFrame) -> DataFrame:

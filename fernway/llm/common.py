@@ -76,9 +76,12 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 
-def with_bytes(df: DataFrame, text: str = "text", name: str = "_text_bytes") -> DataFrame:
-    """``df`` with the text's UTF-8 as binary, so that Arrow hands bytes to Python without decoding."""
-    return df.withColumn(name, F.col(text).cast("binary"))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores after it as it takes, so that it is none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_mod(column: str, modulus: int) -> F.Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernway.llm.common import ALNUM_TABLE, cut, slices
+from fernway.llm.common import ALNUM_TABLE, cut, fresh, slices
 
 WINDOW = 13
 #: Windows in one broadcast: 60 bytes each and their words, about 50 MB.
@@ -123,6 +123,7 @@ def benchmark_windows(benchmark: DataFrame, *, item_id: str = "item_id", text: s
 
 
 def _scan_pass(docs: DataFrame, windows: WindowSet, text: str, into: str) -> DataFrame:
+    raw_name = fresh(docs, "_raw")
     schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, RESULT)])
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     carried = into in docs.columns
@@ -131,10 +132,10 @@ def _scan_pass(docs: DataFrame, windows: WindowSet, text: str, into: str) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_raw"):
+            for batch in slices(whole, raw_name):
                 before = batch.column(into).to_pylist() if carried else [None] * batch.num_rows
                 out = []
-                for (n, mask, items), old in zip(shared.value.scan(batch.column("_raw").to_pylist()), before, strict=True):
+                for (n, mask, items), old in zip(shared.value.scan(batch.column(raw_name).to_pylist()), before, strict=True):
                     if old:
                         mask = mask.copy()
                         for a, b in zip(old["hit_spans"][::2], old["hit_spans"][1::2], strict=True):
@@ -143,7 +144,7 @@ def _scan_pass(docs: DataFrame, windows: WindowSet, text: str, into: str) -> Dat
                     out.append({"n_words": n, "n_hit": int(mask.sum()), "hit_spans": spans_of(mask), "item_ids": sorted(items)})
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, result_type)], [*kept, into])
 
-    return docs.withColumn("_raw", F.col(text).cast("binary")).mapInArrow(scan, schema)
+    return docs.withColumn(raw_name, F.col(text).cast("binary")).mapInArrow(scan, schema)
 
 
 def decontaminate(

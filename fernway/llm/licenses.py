@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernway.llm.common import ALNUM_TABLE, slices
+from fernway.llm.common import ALNUM_TABLE, fresh, slices
 
 # Phrases and labels of the base.
 BASE = (
@@ -142,6 +142,7 @@ def base_places(line: str, base=BASE) -> list[tuple[str, int]]:
 
 def scan_licenses(docs: DataFrame, *, text: str = "text", notices: tuple[Notice, ...] = NOTICES, into: str = "licenses") -> DataFrame:
     """Every row of ``docs`` with a struct: n_words, base places and matches with edits."""
+    raw_name = fresh(docs, "_raw")
     schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, RESULT)])
     kept = [f.name for f in schema.fields[:-1]]
     place = pa.struct([("label", pa.string()), ("word", pa.int64())])
@@ -150,9 +151,9 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", notices: tuple[Notice,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_raw"):
+            for batch in slices(whole, raw_name):
                 out = []
-                for raw in batch.column("_raw").to_pylist():
+                for raw in batch.column(raw_name).to_pylist():
                     words = raw.translate(ALNUM_TABLE).split()
                     line = b" ".join(words).decode()
                     base = [{"label": a, "word": w} for a, w in base_places(line)]
@@ -160,4 +161,4 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", notices: tuple[Notice,
                     out.append({"n_words": len(words), "base": base, "matches": fuzzy})
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, result)], [*kept, into])
 
-    return docs.drop(into).withColumn("_raw", F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(scan, schema)
+    return docs.drop(into).withColumn(raw_name, F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(scan, schema)

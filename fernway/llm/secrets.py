@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernway.llm.automaton import Automaton
-from fernway.llm.common import slices
+from fernway.llm.common import fresh, slices
 
 
 @dataclass(frozen=True)
@@ -89,6 +89,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
 
     ``redact``: the text itself has each secret replaced by ``[kind]``; null texts stay null.
     """
+    raw_name = fresh(docs, "_raw")
     schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, SPANS)])
     kept = [f.name for f in schema.fields[:-1]]
     shared = docs.sparkSession.sparkContext.broadcast(automaton(rules))
@@ -97,8 +98,8 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = [re.compile(x) for x in searches]
         for whole in batches:
-            for batch in slices(whole, "_raw"):
-                raws = batch.column("_raw").to_pylist()
+            for batch in slices(whole, raw_name):
+                raws = batch.column(raw_name).to_pylist()
                 bits = shared.value.scan(raws).tolist()
                 spans = [spans_in(raw.decode(), b, rules, patterns) if b else [] for raw, b in zip(raws, bits, strict=True)]
                 columns = {c: batch.column(c) for c in kept}
@@ -108,4 +109,4 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
                 out = pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in s] for s in spans], _SPANS)
                 yield pa.RecordBatch.from_arrays([*columns.values(), out], [*kept, into])
 
-    return docs.drop(into).withColumn("_raw", F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(scan, schema)
+    return docs.drop(into).withColumn(raw_name, F.coalesce(F.col(text), F.lit("")).cast("binary")).mapInArrow(scan, schema)

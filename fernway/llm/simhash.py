@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernway.llm.common import LOWER_TABLE, cut, slices, written
+from fernway.llm.common import LOWER_TABLE, cut, fresh, slices, written
 from fernway.llm.components import connected_components
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -178,6 +178,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest id of each component, once; documents without id stay if no other is in their component."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates([doc_id, text])
+    found, kept_name = near_duplicates(docs, doc_id=doc_id, text=text), fresh(docs, "_kept")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_name)).distinct()
+    return docs.join(keep, docs[doc_id].eqNullSafe(keep[kept_name]), "left_semi").dropDuplicates([doc_id, text])
