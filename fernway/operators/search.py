@@ -16,14 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
 from fernway.operators.rounds import cut
 
 #: Rounds between checkpoints.
-STRIDE = 3
+STRIDE = 2
 
 Costs = Callable[[DataFrame], DataFrame]
 
@@ -96,15 +96,17 @@ def search(
     hops = edges.withColumnRenamed("u", "node")
     number = 0
     while number < most_rounds:
-        best = labels.where(F.col("node") == F.col("dest")).select("query_id", F.col("cost").alias("_best")) if prune else None
         first = number
         for _ in range(STRIDE):
             frontier = labels.where(F.col("round") == number)
-            if best is not None:
+            if prune:
+                # Best known cost at the destination, of the labels as they are in this round.
+                arrived = F.min(F.when(F.col("node") == F.col("dest"), F.col("cost"))).over(Window.partitionBy("query_id"))
+                frontier = labels.withColumn("_best", arrived).where(F.col("round") == number)
                 if bound is not None:
                     frontier = bound(frontier)
                 rest = F.col("bound") if bound is not None else F.lit(0.0)
-                frontier = frontier.join(best, "query_id", "left").where(F.col("_best").isNull() | (F.col("cost") + rest < F.col("_best"))).drop("_best", "bound")
+                frontier = frontier.where(F.col("_best").isNull() | (F.col("cost") + rest < F.col("_best"))).drop("_best", "bound")
             number += 1
             moved = costs(frontier.join(hops, "node"))
             moved = moved.withColumns({"node": F.col("v"), "cost": F.col("cost") + F.col("step_s"), "true_cost": F.col("true_cost") + F.col("true_step_s"), "round": F.lit(number), "path": F.concat("path", F.array("v")), "work": F.lit(1).cast("long")})
@@ -150,8 +152,8 @@ def bidirectional(queries: DataFrame, edges: DataFrame, column: str = "free_flow
 
 def path_edges(paths: DataFrame, edges: DataFrame, column: str = "free_flow_s") -> DataFrame:
     """query_id, pos, u, v, edge_id and cost of each step of the paths; of parallel edges the cheapest, ties by name."""
-    steps = paths.select("query_id", F.posexplode(F.expr("transform(sequence(1, greatest(size(path) - 1, 0)), i -> struct(path[i - 1] AS u, path[i] AS v))")).alias("pos", "s")).where(F.size(F.array("s")) > 0)
-    steps = steps.select("query_id", "pos", F.col("s.u").alias("u"), F.col("s.v").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    hops = F.expr("transform(slice(path, 1, greatest(size(path) - 1, 0)), (x, i) -> struct(x AS u, get(path, i + 1) AS v))")
+    steps = paths.select("query_id", F.posexplode(hops).alias("pos", "s")).select("query_id", "pos", F.col("s.u").alias("u"), F.col("s.v").alias("v"))
     cheapest = edges.groupBy("u", "v").agg(F.min(F.struct(F.col(column).alias("cost"), "edge_id")).alias("e"))
     return steps.join(cheapest, ["u", "v"], "left").select("query_id", "pos", "u", "v", F.col("e.edge_id").alias("edge_id"), F.col("e.cost").alias("cost"))
 
