@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,25 @@ def test_clashing_columns(clashing, benchmark, empty):
         assert found.where(f"{into} IS NULL").count() == 0
     for f in (secrets.scan_secrets, licenses.scan_licenses):
         assert f(empty).count() == 0
+
+
+def test_word_features_against_one_word_at_a_time():
+    words = ["a", "été", "привет", "123", "x" * 200, "日本語", "aя", "don't", "<|>", "ß1"]
+    script, letters = langid.scripts_of(words)
+    assert letters.tolist() == [sum(c.isalpha() for c in w) for w in words]
+    names = [None if s < 0 else langid._NAMES[s] for s in script.tolist()]
+    assert names == ["Latin", "Latin", "Cyrillic", None, "Latin", "Han", "Latin", "Latin", None, "Latin"]
+    together = list(langid.grams_of(words, 997))
+    for i, word in enumerate(words):
+        size = min(len(word), langid.WORD_PART) + 2
+        for (buckets, each), (own, n), k in zip(together, langid.grams_of([word], 997), range(1, langid.LONGEST + 1), strict=True):
+            assert each[i] == n[0] == max(size - k + 1, 0)
+            first = int(each[:i].sum())
+            assert buckets[first : first + int(n[0])].tolist() == own.tolist()
+    rng = np.random.default_rng(3)
+    model = langid.Model(["p", "q"], rng.normal(size=(997, 2)), {"Latin": np.array([0.0, -1e4])})
+    scores, _ = model.words(words)
+    for i, word in enumerate(words):
+        total = sum(model.scores[b].sum(axis=0) for b, _ in langid.grams_of([word], 997)) if letters[i] else np.zeros(2)
+        want = total - total.max() + model.candidates.get(names[i] or "", 0.0)
+        assert np.allclose(scores[i], want)
