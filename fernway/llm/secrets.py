@@ -2,7 +2,7 @@
 
 The pass tells for each document which rules match in it; only there the rule's own regex then gives the exact spans (leftmost,
 non-overlapping per kind, code points). Rules are compiled once, on the driver, and broadcast as arrays; their size depends on the
-rules alone.
+rules alone. A private key's span goes from its BEGIN line to its END line, or without one to the end of its base64 lines.
 
 Defined results: a null text is an empty one and has no spans; repeated rows are scanned each; an empty table gives no rows; a
 column with the name of the result is replaced.
@@ -45,9 +45,15 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32}", 0, 32),
 )
 
+_BEGIN, _BREAK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?:\s|\\[nr])"
+#: To the key's END line, if no other block begins or ends before it.
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+#: Else the header fields and base64 lines; after lines of 16 characters and more a shorter one, if nothing follows on it.
+_LINES = rf"(?:{_BREAK}++[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_BREAK}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?![ \t]*+[^\s\"'\\]))?"
+
 #: Kinds that the method adds: published shapes of tokens.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", rf"{_BEGIN}(?:{_TO_END}|{_LINES})?", _BEGIN),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}", r"gh[pousr]_[A-Za-z0-9]{4}"),
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"xox[abprs]-[0-9A-Za-z-]{4}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{4}"),
