@@ -3,11 +3,15 @@
 Learning (documents with a language, crc32(doc_id as text) mod 3 not 1): of every language the numbers of words, of their hashed
 character n-grams (with the word's borders, 1 to 4 characters) and of letters by script, counted in each partition and summed by Spark.
 The model is an array of log probabilities by n-gram bucket and language; its size depends on ``BUCKETS`` and the languages alone.
+Every language found is learned.
+
+Words over ``WORD_PART`` characters, such as lines of text without spaces, are counted and labelled in consecutive parts of so many;
+no n-gram is lost at the cuts and none made up, as each is counted with the part in which it begins.
 
 Prediction: a word's candidates are the languages that have its script in at least ``SCRIPT_SHARE`` of their letters (all, if none
 has). Its score for a language is the sum of its n-grams' log probabilities; words without letters score alike. Viterbi with
-a penalty for each switch labels every word; the text's language is the one with most letters (ties: the first by name), its score
-that share of the letters. Spans are runs of words with one label.
+a penalty for each switch labels every word (or part); the text's language is the one with most letters (ties: the first by name), its
+score that share of the letters. Spans are runs with one label, by word: one that ends within a long word and the next share it.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no spans; with nothing to learn from, every text is;
 null languages and ids are not learned from; repeated rows are counted and judged each; an empty table gives no rows; columns with
@@ -34,10 +38,10 @@ BUCKETS = 1 << 16
 LONGEST = 4
 SWITCH = 12.0
 SCRIPT_SHARE = 0.001
-#: Languages learned at most, those with most words first.
+#: Languages whose counts are sent to the driver at once; with more of them, fewer words are held or scored together.
 MAX_LANGUAGES = 64
 CACHE_ENTRIES = 300_000
-#: Longest part of a word that n-grams are taken from.
+#: Characters of a word that are scored together; longer ones are scored in parts.
 WORD_PART = 64
 
 # First code points of blocks of scripts, in order; a range ends where the next begins.
@@ -85,6 +89,32 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def parts_of(word: str) -> list[str]:
+    """The word, or its parts if it is long.
+
+    Words have no spaces. A part that does not begin the word has a space before it, one that does not end it a space after it and
+    then the LONGEST - 1 characters that follow, which are there for the n-grams that begin in the part.
+    """
+    if len(word) <= WORD_PART:
+        return [word]
+    fenced = f"{word}>"
+    return [(" " if i else "") + word[i : i + WORD_PART] + (f" {fenced[i + WORD_PART : i + WORD_PART + LONGEST - 1]}" if i + WORD_PART < len(word) else "") for i in range(0, len(word), WORD_PART)]
+
+
+def _own(word: str) -> str:
+    """The word, or the part of one without what follows it."""
+    return word.removeprefix(" ").partition(" ")[0] if " " in word else word
+
+
+def _fenced(word: str) -> tuple[str, int]:
+    """The word between borders, or the part of one with those it has, and the number of characters in which its n-grams begin."""
+    if " " not in word:
+        return (whole := f"<{word[:WORD_PART]}>"), len(whole)
+    own, more, after = word.removeprefix(" ").partition(" ")
+    own = ("" if word[0] == " " else "<") + own + ("" if more else ">")
+    return own + after, len(own)
+
+
 def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The words' code points one after another, and the words' lengths."""
     return np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4"), np.fromiter(map(len, words), np.int64, len(words))
@@ -92,7 +122,7 @@ def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def scripts_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each word the script of most of its letters, as a place in ``_NAMES`` (ties: the first there; -1 without letters), and the number of letters."""
-    chars, lengths = _code_points(words)
+    chars, lengths = _code_points([_own(w) for w in words])
     letter = _letters()[chars]
     of_word = np.repeat(np.arange(len(words)), lengths)[letter]
     script = _NUMBERS[np.searchsorted(_STARTS, chars[letter], side="right") - 1]
@@ -102,15 +132,21 @@ def scripts_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams_of(words: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length of n-grams, the buckets of those of all words between borders, word after word, and how many each word has."""
-    chars, lengths = _code_points([f"<{w[:WORD_PART]}>" for w in words])
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    at, codes = np.arange(len(chars)), chars.astype(np.uint64) + np.uint64(1)
+    """For each length of n-grams, the buckets of those of all words between borders, word after word, and how many each word has.
+
+    Words longer than ``WORD_PART`` are given as :func:`parts_of` them.
+    """
+    fenced = [_fenced(w) for w in words]
+    chars, lengths = _code_points([w for w, _ in fenced])
+    own = np.fromiter((n for _, n in fenced), np.int64, len(fenced))
+    each = [np.maximum(np.minimum(lengths - k + 1, own), 0) for k in range(1, LONGEST + 1)]
+    begins = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at, codes = np.arange(len(chars)) - begins, chars.astype(np.uint64) + np.uint64(1)
     hashed = np.zeros(len(chars), dtype=np.uint64)
     for k in range(1, LONGEST + 1):
         hashed = hashed[: len(chars) - k + 1] * _STEP + codes[k - 1 :]
-        inside = at[: len(hashed)] + k <= ends[: len(hashed)]
-        yield (((hashed[inside] * _MIX) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), np.maximum(lengths - k + 1, 0)
+        inside = at[: len(hashed)] < np.repeat(each[k - 1], lengths)[: len(hashed)]
+        yield (((hashed[inside] * _MIX) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), each[k - 1]
 
 
 @dataclass
@@ -137,6 +173,16 @@ def _words(raw: bytes | None) -> list[str]:
     return raw.decode().lower().split() if raw else []
 
 
+def _parts(words: list[str]) -> list[str]:
+    """The words, long ones in parts."""
+    return [p for w in words for p in parts_of(w)] if any(len(w) > WORD_PART for w in words) else words
+
+
+def _word_numbers(words: list[str]) -> np.ndarray:
+    """Of each of the words' parts the place of the word."""
+    return np.repeat(np.arange(len(words)), np.fromiter((max(1, -(-len(w) // WORD_PART)) for w in words), np.int64, len(words)))
+
+
 def count_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> DataFrame:
     """(lang, kind, key, n): n-grams by bucket, letters by script and words, summed over all rows that have a language."""
 
@@ -158,7 +204,7 @@ def count_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", b
                     for at, each in grams_of(block, buckets):
                         into += np.bincount(at, weights=np.repeat(times, each), minlength=buckets).astype(np.int64)
                     script = script[script >= 0]
-                    sizes = times * np.fromiter(map(len, block), np.int64, len(block))
+                    sizes = times * np.fromiter((len(_own(w)) for w in block), np.int64, len(block))
                     for s in np.unique(script).tolist():
                         key = (language, _NAMES[s])
                         scripts[key] = scripts.get(key, 0) + int(sizes[script == s].sum())
@@ -168,7 +214,7 @@ def count_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", b
         for whole in batches:
             for batch in slices(whole, "raw"):
                 for language, raw in zip(batch.column("lang").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                    words.setdefault(language, Counter()).update(_words(raw))
+                    words.setdefault(language, Counter()).update(_parts(_words(raw)))
                 if sum(map(len, words.values())) > CACHE_ENTRIES:
                     fold()
         fold()
@@ -186,13 +232,12 @@ def count_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", b
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """A model of the rows' languages; what reaches the driver is bounded by buckets and languages."""
     counted = written(count_features(docs, text=text, lang=lang, buckets=buckets), "language-counts")
-    top = counted.where("kind = 'script' AND key = '#' AND n > 0").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    languages = sorted(r.lang for r in top.collect())
-    found = counted.where(F.col("lang").isin(languages)).toPandas() if languages else None
+    languages = sorted(r.lang for r in counted.where("kind = 'script' AND key = '#' AND n > 0").select("lang").collect())
     place = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((buckets, len(languages)))
     letters: dict[str, np.ndarray] = {}
-    if found is not None:
+    for low in range(0, len(languages), MAX_LANGUAGES):
+        found = counted.where(F.col("lang").isin(languages[low : low + MAX_LANGUAGES])).toPandas()
         for language, kind, key, n in found.itertuples(index=False):
             if kind == "gram":
                 counts[int(key), place[language]] = n
@@ -212,7 +257,7 @@ def viterbi(sequences: list[np.ndarray], scores: np.ndarray, switch: float) -> l
     lanes = Lockstep(sequences)
     k = scores.shape[1]
     stayed = np.zeros((len(lanes.flat), k), dtype=bool)
-    switched_from = np.zeros(len(lanes.flat), dtype=np.int16)
+    switched_from = np.zeros(len(lanes.flat), dtype=np.int32)
     best = np.zeros((len(lanes.order), k))
     for step, n in enumerate(lanes.active):
         at = lanes.places(step)
@@ -224,7 +269,7 @@ def viterbi(sequences: list[np.ndarray], scores: np.ndarray, switch: float) -> l
             stayed[at], switched_from[at] = stay, top
             now = np.where(stay, now, moved[:, None])
         best[:n] = now + scores[lanes.flat[at]]
-    label = np.zeros(len(lanes.flat), dtype=np.int16)
+    label = np.zeros(len(lanes.flat), dtype=np.int32)
     state = best.argmax(axis=1) if len(best) else np.zeros(0, dtype=np.int64)
     for step in range(len(lanes.active) - 1, -1, -1):
         n = lanes.active[step]
@@ -259,19 +304,22 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.languages)
+        # What is held at once grows with the languages.
+        fold = max(1, -(-k // MAX_LANGUAGES))
         number: dict[str, int] = {}
         scores, letters = np.zeros((1024, k)), np.zeros(1024, dtype=np.int64)
         for whole in batches:
-            for batch in slices(whole, raw_name):
-                if len(number) > CACHE_ENTRIES:
+            for batch in slices(whole, raw_name, (4 << 20) // fold):
+                if len(number) > CACHE_ENTRIES // fold:
                     number.clear()
-                texts = [_words(raw) for raw in batch.column(raw_name).to_pylist()]
+                split = [_words(raw) for raw in batch.column(raw_name).to_pylist()]
+                texts = [_parts(words) for words in split]
                 new = list({w for words in texts for w in words}.difference(number))
                 need = len(number) + len(new)
                 if need > len(scores):
                     scores, letters = np.resize(scores, (2 * need, k)), np.resize(letters, 2 * need)
-                for low in range(0, len(new), BLOCK):
-                    block, i = new[low : low + BLOCK], len(number)
+                for low in range(0, len(new), step := max(1, BLOCK // fold)):
+                    block, i = new[low : low + step], len(number)
                     number.update(zip(block, range(i, i + len(block)), strict=True))
                     if k:
                         scores[i : i + len(block)], letters[i : i + len(block)] = model.words(block)
@@ -279,7 +327,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "l
                 rows = [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
                 labels = viterbi(rows, scores, switch) if k else [None] * len(rows)
                 out = []
-                for row, label in zip(rows, labels, strict=True):
+                for words, row, label in zip(split, rows, labels, strict=True):
                     n = letters[row].sum() if k and len(row) else 0
                     if not n:
                         out.append(unknown)
@@ -288,7 +336,8 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "l
                     top = int(weight.argmax())
                     cuts = np.flatnonzero(np.diff(label)) + 1
                     firsts, lasts = [0, *cuts.tolist()], [*(cuts - 1).tolist(), len(row) - 1]
-                    spans = [{"first_word": a, "last_word": b, "lang": model.languages[label[a]]} for a, b in zip(firsts, lasts, strict=True)]
+                    word = range(len(row)) if len(row) == len(words) else _word_numbers(words).tolist()
+                    spans = [{"first_word": word[a], "last_word": word[b], "lang": model.languages[label[a]]} for a, b in zip(firsts, lasts, strict=True)]
                     out.append({"lang_pred": model.languages[top], "score": float(weight[top] / n), "spans": spans})
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, result)], [*kept, into])
 

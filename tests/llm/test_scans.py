@@ -205,3 +205,42 @@ def test_word_features_against_one_word_at_a_time():
         total = sum(model.scores[b].sum(axis=0) for b, _ in langid.grams_of([word], 997)) if letters[i] else np.zeros(2)
         want = total - total.max() + model.candidates.get(names[i] or "", 0.0)
         assert np.allclose(scores[i], want)
+
+
+def test_long_words_keep_all_their_n_grams(monkeypatch):
+    rnd = random.Random(11)
+    for n in (1, 63, 64, 65, 66, 67, 68, 127, 128, 129, 131, 500):
+        word = "".join(rnd.choices("abcäя日", k=n))
+        parts = langid.parts_of(word)
+        assert "".join(langid._own(p) for p in parts) == word and len(langid._word_numbers([word, "x"])) == len(parts) + 1
+        assert langid.scripts_of(parts)[1].sum() == n
+        got = [b.tolist() for b, _ in langid.grams_of(parts, 997)]
+        with monkeypatch.context() as m:
+            m.setattr(langid, "WORD_PART", 10_000)
+            assert [b.tolist() for b, _ in langid.grams_of([word], 997)] == got
+
+
+def test_text_without_spaces_changes_language(spark):
+    rnd = random.Random(12)
+    letters = {"ja": "日本語学校生", "zh": "汉书马鸟鱼龙", "th": "กขคงจฉ"}
+
+    def line(lang, n):
+        return "".join(rnd.choices(letters[lang], k=n))
+
+    # What tells the languages apart comes late in each line that is learned from.
+    rows = [(i, "一" * 70 + line(lang, 200), lang) for i, lang in enumerate(["ja", "zh", "th"] * 20)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(0, "x " + line("zh", 64) + line("ja", 400)), (1, line("th", 128) + line("zh", 640) + " y")], "doc_id long, text string")
+    got = {r.doc_id: r.language for r in langid.predict(asked, model).collect()}
+    assert [got[i].lang_pred for i in (0, 1)] == ["ja", "zh"]
+    assert [tuple(s) for s in got[1].spans] == [(0, 0, "th"), (0, 1, "zh")]
+    assert [s.lang for s in got[0].spans] == ["zh", "ja"] and got[0].spans[-1].last_word == 1
+
+
+def test_every_language_is_learned(spark):
+    n = 2 * langid.MAX_LANGUAGES + 3
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+    docs = spark.createDataFrame([(i, f"{w} " * 40, f"l{i:03d}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == n
+    assert langid.predict(docs, model).where("language.lang_pred <> lang").count() == 0
