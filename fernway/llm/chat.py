@@ -4,6 +4,10 @@ A record is a JSON object in one of many layouts. Its fingerprint is the SHA-256
 out; a registry maps fingerprints to declarative mappings (where the turns are, which field is the role, which the text). The
 fingerprints of a mapping are generated from its required and optional fields.
 
+Variants hold no text over 20 M characters and 128 MiB in all. Records of more than ``LONG`` bytes are therefore fingerprinted
+by their shape (keys cut, texts emptied, like elements in a row made one) and their fields read with a schema; scalars
+that are no texts are given there as they are written.
+
 Formatted: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Roles are percent-encoded in the header. Within texts each control
 string gets a backslash after its first character, besides those that were there already, so that taking one away gives
 the text back. The loss mask is a list of runs, three for each turn (header, text, end), with their lengths in code points; the
@@ -17,7 +21,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from fernway.llm.common import fenced
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+#: Bytes of a record up to which it is read as a variant.
+LONG = 16 << 20
+_CORRUPT = "__fernway_corrupt"
 
 # What makes a control string after its first character.
 _LEAD, _REST = r"[<\[]", r"/?s>|\||</?SYS>>|/?INST\]"
@@ -83,9 +90,23 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _turns(mapping: Mapping, record: Column) -> Column:
+def _shape(record: Column) -> Column:
+    """The record with escapes taken out, keys cut, texts emptied and runs of like elements made one: of the same fingerprint, and short."""
+    bare = F.regexp_replace(record, r"(?s)\\.", "")
+    empty = F.regexp_replace(bare, r'"([^"]{0,32})[^"]*"(?=\s*:)|"[^"]*"', '"$1"')
+    return F.regexp_replace(empty, r"(\{[^{}\[\]]*\}\s*,\s*)\1+", "$1")
+
+
+def _schema(mapping: Mapping) -> str:
+    """Of the mapping's records, for a parser without a limit on texts."""
+    fields = [f"`{mapping.turns}` array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"] if mapping.turns else [f"`{f}` string" for _, *some in mapping.fields for f in some]
+    return ", ".join([*fields, f"`{_CORRUPT}` string"])
+
+
+def _turns(mapping: Mapping, get: Callable[[str, str], Column]) -> Column:
+    """``get`` gives a record's field as a type."""
     if mapping.turns:
-        found = F.try_variant_get(record, f"$.{mapping.turns}", f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>")
+        found = get(mapping.turns, f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>")
 
         def named(role: Column) -> Column:
             for old, new in mapping.roles:
@@ -95,7 +116,7 @@ def _turns(mapping: Mapping, record: Column) -> Column:
         return F.transform(found, lambda t: _turn(named(t[mapping.role]), t[mapping.text]))
     turns = []
     for role, *fields in mapping.fields:
-        texts = [F.try_variant_get(record, f"$.{f}", "string") for f in fields]
+        texts = [get(f, "string") for f in fields]
         turn = F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *texts).alias("text"))
         turns.append(turn if fields[0] in mapping.required else F.when(texts[0].isNotNull(), turn))
     return F.array_compact(F.array(*turns))
@@ -105,13 +126,23 @@ def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Map
     """Every row with its record's layout and its turns, an array of (role, text)."""
     known = {f: m.layout for m in mappings for f in fingerprints_of(m)}
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    df = records.withColumn("__fernway_v", F.try_parse_json(F.col(record)))
+    long = F.octet_length(record) > LONG
+    df = records.withColumn("__fernway_v", F.try_parse_json(F.when(long, _shape(F.col(record))).otherwise(F.col(record))))
     df = df.withColumn("layout", fenced(F.try_element_at(names, F.coalesce(fingerprint(F.col("__fernway_v")), F.lit("")))))
     turns = None
-    for m in mappings:
-        here = F.col("layout") == m.layout
-        turns = F.when(here, _turns(m, F.col("__fernway_v"))) if turns is None else turns.when(here, _turns(m, F.col("__fernway_v")))
-    return df.withColumn("turns", fenced(turns)).drop("__fernway_v")
+    for k, m in enumerate(mappings):
+        here, name = F.col("layout") == m.layout, f"__fernway_{k}"
+        parsed = F.from_json(F.col(record), _schema(m), {"maxStringLen": str((1 << 31) - 1), "columnNameOfCorruptRecord": _CORRUPT})
+        df = df.withColumn(name, fenced(F.when(here & long, parsed)))
+        own = _turns(m, lambda f, t: F.try_variant_get(F.col("__fernway_v"), f"$.{f}", t))
+        whole = F.when(F.col(name)[_CORRUPT].isNull(), _turns(m, lambda f, _, name=name: F.col(name)[f]))
+        found = F.when(long, whole).otherwise(own)
+        turns = F.when(here, found) if turns is None else turns.when(here, found)
+    df = df.withColumn("turns", fenced(turns))
+    # A long record of a known shape that does not parse is broken; one that does has turns, or null for them.
+    broken = F.coalesce(*[F.col(f"__fernway_{k}")[_CORRUPT] for k in range(len(mappings))]).isNotNull()
+    df = df.withColumn("layout", F.when(~broken, F.col("layout")))
+    return df.drop("__fernway_v", *[f"__fernway_{k}" for k in range(len(mappings))])
 
 
 def escaped(text: Column) -> Column:

@@ -71,6 +71,29 @@ def test_conversations_come_back(spark):
     assert chat.format_chats(chat.message_records(table.limit(0))).count() == 0
 
 
+def test_layouts_of_long_records(spark, monkeypatch):
+    def found(records):
+        return chat.format_chats(spark.createDataFrame([(t,) for t in records], "record string")).collect()
+
+    broken = ['{"question": "\\q", "answer": ""}', '{"messages": [{"role": "user", "content": "a"}, {"role": "user", "content": "\\u00zz"}]}', '{"question": "a", "answer": "b"} x']
+    short = found(broken)
+    assert [r.layout for r in short[:2]] == [None, None]
+    monkeypatch.setattr(chat, "LONG", 0)
+    test_layouts(spark)
+    assert found(broken) == short
+    hard = [{"messages": [{"content": t, "role": '"},{\\"'}, {"role": "user", "content": t}]} for t in [*HARD, '": "', '\\"', "}, {" * 9]]
+    for x, r in zip(hard, found(map(json.dumps, hard)), strict=True):
+        assert [tuple(t) for t in r.turns] == [(t["role"], t["content"]) for t in x["messages"]]
+
+
+def test_texts_beyond_the_limits_of_variants(spark):
+    turns = [(1, 0, "user", 21_000_000), (1, 1, "assistant", 5), (2, 0, "assistant", 7)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, n int").select("conv_id", "turn", "role", F.concat(F.repeat(F.lit('é\n"'), F.expr("n div 3")), F.lit("x")).alias("text"))
+    back = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.message_records(table))).select("conv_id", "layout", F.transform("read_turns", lambda t: F.struct(t["role"], F.length(t["text"]))).alias("t"), F.length("loss_text").alias("n")).collect()}
+    assert [tuple(t) for t in back[1].t] == [("user", 21_000_001), ("assistant", 4)] and back[1].n == 4
+    assert [tuple(t) for t in back[2].t] == [("assistant", 7)] and back[1].layout == back[2].layout == "messages"
+
+
 PAGES = [
     (4, "http://a/é", "x" * 300),
     (2, "http://b/ \r\nX: 1", "x" * 300),
