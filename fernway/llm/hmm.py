@@ -7,7 +7,8 @@ of at most ``KNOWN`` words, the most frequent ones, are broadcast; those of the
 
 Training: each round runs the forward and backward recursions over every training text, in arrays over many texts at a time; the
 expected counts are summed in each partition and then by Spark, and what returns to the driver is one number per symbol and
-state. The rounds start from a model fitted on ``START_TEXTS`` texts, a bounded number, chosen by hash.
+state. The rounds start from the symbols' shares with seeded random factors and end when a round raises the log-likelihood of the
+training texts by less than ``SETTLED`` of it.
 
 Defined results: a null or empty text has the end token alone; null ids are neither learned from nor held out; with nothing to learn
 from every token is unknown and the base score 0; repeated rows are counted and scored each; an empty table gives no rows; other
@@ -33,8 +34,8 @@ from fernway.llm.lockstep import Lockstep
 
 STATES = 8
 OWN, SUFFIXES, KNOWN = 8192, 4096, 1 << 17
-ROUNDS = 2
-START_TEXTS, START_ROUNDS, START_TOKENS = 400, 12, 1000
+#: The last round's gain, as a share of the log-likelihood.
+SETTLED = 1e-3
 PSEUDO = 200.0
 #: Distinct words that a task counts before it hands them on.
 TASK_WORDS = 300_000
@@ -208,9 +209,14 @@ def forward(lanes: Lockstep, model: Model, keep: bool = False) -> tuple[np.ndarr
 
 def expected(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions, by the forward and backward recursions."""
+    return counts_and_likelihood(sequences, model)[:3]
+
+
+def counts_and_likelihood(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """As :func:`expected`, and the summed log10 likelihood."""
     lanes = Lockstep(sequences)
     s = len(model.start)
-    _, alpha, scales = forward(lanes, model, keep=True)
+    likelihood, alpha, scales = forward(lanes, model, keep=True)
     moves = np.zeros((s, s))
     beta = np.ones((len(lanes.order), s))
     last = len(lanes.active) - 1
@@ -224,63 +230,70 @@ def expected(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.
             beta[:m] = onward @ model.move.T
         alpha[at] *= beta[:n]
     emits = np.column_stack([np.bincount(lanes.flat, weights=alpha[:, k], minlength=SYMBOLS) for k in range(s)])
-    return alpha[lanes.places(0)].sum(axis=0) if len(sequences) else np.zeros(s), moves * model.move, emits
+    return alpha[lanes.places(0)].sum(axis=0) if len(sequences) else np.zeros(s), moves * model.move, emits, float(likelihood.sum())
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u2").astype(np.int32) for x in column.to_pylist()]
 
 
-def starting_model(encoded: DataFrame, unigram: np.ndarray, states: int = STATES) -> Model:
-    """Fitted on the first ``START_TOKENS`` tokens of ``START_TEXTS`` texts, the first by hash; from a fixed seed."""
-    rows = encoded.where("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("symbols", 1, 2 * START_TOKENS).alias("symbols")).limit(START_TEXTS).collect()
-    sequences = [np.frombuffer(bytes(r.symbols), dtype="<u2").astype(np.int32) for r in rows]
+def starting_model(unigram: np.ndarray, states: int = STATES) -> Model:
+    """The symbols' shares with random factors for each state, from a fixed seed; states tend to stay."""
     random = np.random.default_rng(8)
     move = np.full((states, states), 0.02 / max(1, states - 1))
     np.fill_diagonal(move, 0.98)
     emit = unigram[:, None] * random.uniform(0.5, 1.5, (len(unigram), states))
-    model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-    for _ in range(START_ROUNDS if sequences else 0):
-        model = Model.of(*expected(sequences, model), unigram)
-    return model
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> Model:
-    """One round over every training text: expected counts summed in each partition, then by Spark."""
+def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Model, float]:
+    """One round over every training text: expected counts summed in each partition, then by Spark; with the log10 likelihood before it."""
     states = len(model.start)
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     columns = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
+        start, moves, emits, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states)), np.zeros((1, states))
         for whole in batches:
             for batch in slices(whole, "symbols", 2 << 20):
-                a, b, c = expected(_sequences(batch.column("symbols")), shared.value)
+                a, b, c, total = counts_and_likelihood(_sequences(batch.column("symbols")), shared.value)
                 start, moves, emits = start + a, moves + b, emits + c
-        # Rows by symbol; those of starts and moves come after the symbols.
-        every = np.vstack((emits, start[None, :], moves))
+                likelihood[0, 0] += total
+        # Rows by symbol; those of starts, moves and the likelihood come after the symbols.
+        every = np.vstack((emits, start[None, :], moves, likelihood))
         used = np.flatnonzero(every.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(every[used, k]) for k in range(states)]], ["at", *columns])
 
     parts = encoded.where("NOT held_out").select("symbols").mapInArrow(run, ", ".join(["at long", *[f"{c} double" for c in columns]]))
     found = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    every = np.zeros((SYMBOLS + 1 + states, states))
+    every = np.zeros((SYMBOLS + 2 + states, states))
     every[found["at"].to_numpy(dtype=np.int64)] = found[columns].to_numpy(dtype=float)
-    return Model.of(every[SYMBOLS], every[SYMBOLS + 1 :], every[:SYMBOLS], unigram)
+    shared.destroy()
+    return Model.of(every[SYMBOLS], every[SYMBOLS + 1 : -1], every[:SYMBOLS], unigram), float(every[-1, 0])
+
+
+def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int | None = None) -> Model:
+    """So many rounds over all training texts, or as many as it takes until the likelihood settles."""
+    model, before, done = starting_model(unigram, states), -math.inf, 0
+    while done != rounds:
+        model, now = baum_welch(encoded, model, unigram)
+        done += 1
+        if rounds is None and not now - before > SETTLED * abs(now):
+            break
+        before = now
+    return model
 
 
-def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", rounds: int | None = None, states: int = STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows not held out are learned from.
 
-    ``held_out`` is null for rows that are scored but not learned from.
+    ``held_out`` is null for rows that are scored but not learned from. Without ``rounds`` they go on until the likelihood settles.
     """
     counted = written(word_counts(docs.where(~held_out), text=text), "words")
     words = vocabulary(counted)
     encoded = written(encode(docs, held_out, words, doc_id=doc_id, text=text), "symbols")
     unigram = (words.symbol_counts + 0.5) / (words.symbol_counts.sum() + 0.5 * SYMBOLS)
-    model = starting_model(encoded, unigram, states)
-    for _ in range(rounds if words.ends else 0):
-        model = baum_welch(encoded, model, unigram)
+    model = train(encoded, unigram, states, rounds if words.ends else 0)
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,6 +142,27 @@ def test_rounds_raise_the_likelihood(spark, texts):
     assert totals[1] >= totals[0] - 1.0
 
 
+def test_training_reads_all_texts_until_it_settles(spark):
+    rnd = np.random.default_rng(6)
+    # What tells two kinds of texts apart comes after 1,000 tokens, and in few texts of many.
+    texts = [rnd.integers(1, 50, 5) for _ in range(500)] + [np.append(rnd.integers(1, 50, 1000), rnd.integers(low, low + 20, 1500)) for low in (100, 200) * 4]
+    encoded = spark.createDataFrame([(i, False, bytes(t.astype("<u2").tobytes())) for i, t in enumerate(texts)], "doc_id long, held_out boolean, symbols binary").repartition(3)
+    shares = np.bincount(np.concatenate(texts), minlength=hmm.SYMBOLS)
+    unigram = (shares + 0.5) / (shares.sum() + 0.5 * hmm.SYMBOLS)
+    got = hmm.train(encoded, unigram, 3)
+    model, before = hmm.starting_model(unigram, 3), -math.inf
+    for done in range(1, 100):
+        *counts, now = hmm.counts_and_likelihood(texts, model)
+        model = hmm.Model.of(*counts, unigram)
+        if now - before <= hmm.SETTLED * -now:
+            break
+        before = now
+    assert 2 < done < 99
+    assert np.allclose(got.move, model.move, atol=1e-3) and np.allclose(got.emit, model.emit, atol=1e-3)
+    # Each kind has a state of its own.
+    assert got.emit[100:120].sum(axis=0).argmax() != got.emit[200:220].sum(axis=0).argmax()
+
+
 @given(st.lists(st.sampled_from(["a", "B", "cc", "É", "x\ty", "\n"]), max_size=30))
 @settings(max_examples=60, deadline=None)
 def test_fingerprint(words):
