@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` and joined by single spaces. Base phrases count where
 their words stand consecutively. For each notice with at most k edits, its wording is split into k + 1 pieces: a match
 with k edits leaves one piece whole. All pieces are found in one Aho-Corasick pass; around each, the ``regex`` library looks for
-the best match within the bound and gives its place and its edits.
+the best match within the bound, then in what is left on either side of it, and gives their places and edits.
 
 Defined results: a null text is an empty one and has no words; repeated rows are scanned each; an empty table gives no rows; a
 column with the name of the result is replaced.
@@ -117,15 +117,27 @@ def fuzzy_matches(line: str, notices: tuple[Notice, ...] = NOTICES) -> list[tupl
     for k in sorted(windows):
         notice = notices[k]
         for low, high in windows[k]:
-            # The bound's own anchors look at the character before and after, so search in the line and not in a part.
-            for m in patterns[k].finditer(line, low, high):
-                edits = sum(m.fuzzy_counts)
-                first = line.count(" ", 0, m.start())
-                text = m[0].strip(" ")
-                found.append((notice.label, first + (m[0][:1] == " "), first + (m[0][:1] == " ") + text.count(" "), edits, round(1 - edits / len(notice.wording), 6)))
+            for start, end, edits in _best_first(patterns[k], line, low, high):
+                text = line[start:end]
+                first = line.count(" ", 0, start) + (text[:1] == " ")
+                found.append((notice.label, first, first + text.strip(" ").count(" "), edits, round(1 - edits / len(notice.wording), 6)))
     return found
 
 
+def _best_first(pattern, line: str, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the best match, of the best before and after it, and so on, in order of place.
+
+    The pattern looks at the characters before and after a match, so it searches in the line and not in a part.
+    """
+    found, todo = [], [(low, high)]
+    while todo:
+        a, b = todo.pop()
+        if a < b and (m := pattern.search(line, a, b)) and m.end() > m.start():
+            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            todo += [(a, m.start()), (m.end(), b)]
+    return sorted(found)
+
+
 def base_places(line: str, base=BASE) -> list[tuple[str, int]]:
     """(label, first word) of every place where a base phrase's words stand consecutively, overlaps included."""
     found = []

@@ -135,6 +135,11 @@ def test_fuzzy_match_equals_a_search_of_the_whole_line():
         assert (n.label in {m[0] for m in licenses.fuzzy_matches(line)}) == bool(whole)
 
 
+def test_notices_before_a_better_one_are_found():
+    line = "gnu generl public license or gnu gneral public licnse and gnu general public license"
+    assert [m[:4] for m in licenses.fuzzy_matches(line)] == [("gpl", 0, 3, 1), ("gpl", 5, 8, 2), ("gpl", 10, 13, 0)]
+
+
 def test_language(spark):
     rnd = random.Random(1)
     stems = {"en": ["th", "ing", "wh", "and"], "de": ["sch", "ung", "ü", "lich"], "ru": ["жд", "ов", "ый"]}
