@@ -63,6 +63,8 @@ def breadth_first(edges: DataFrame, roots: DataFrame, most_levels: int = 10_000)
         reached = reached.unionByName(new)
         if level % 8 == 0:
             reached = cut(reached)
+    else:
+        raise RuntimeError(f"nodes are still met after {most_levels - 1} levels")
     return reached
 
 

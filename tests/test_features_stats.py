@@ -190,3 +190,10 @@ def test_levels(spark):
     nodes = spark.createDataFrame([(i,) for i in range(4)], "node long")
     assert roads.largest_strong_share(edges, nodes).first().largest_share == 0.75
     assert roads.induced(edges, roads.first_nodes(edges, root, 3)).count() == 3
+
+
+def test_breadth_first_does_not_end_silently(spark):
+    chain, root = spark.range(6).selectExpr("id AS u", "id + 1 AS v"), spark.range(1).selectExpr("id AS node")
+    with pytest.raises(RuntimeError, match="levels"):
+        roads.breadth_first(chain, root, most_levels=3)
+    assert roads.breadth_first(chain, root, most_levels=8).count() == 7
