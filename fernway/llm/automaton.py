@@ -1,7 +1,8 @@
 """Rule regexes as one deterministic byte automaton: subset construction, minimisation, transition arrays, one pass.
 
-The automaton searches: after every byte the start states are added, so a state tells for each rule whether a match ends here.
-Rules are ASCII regexes of literals, classes, groups, alternatives and repetitions.
+A searching automaton adds the start states after every byte, so a state tells for each rule whether a match ends here. An
+anchored one follows a match from its first byte on, or, reversed, from its last byte back. Rules are ASCII regexes of literals,
+classes, groups, alternatives and repetitions.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ import numpy as np
 
 #: Bytes after which a lane may be cut, at least.
 LANE = 256
+#: With so few lanes left, each is followed by itself.
+FEW = 24
 
 
 class _Nfa:
-    """Thompson construction: per state a set of bytes with a target, or empty moves."""
+    """Thompson construction: per state a set of bytes with a target, or empty moves; ``reverse``: of the words read from their end."""
 
-    def __init__(self):
+    def __init__(self, reverse: bool = False):
+        self.reverse = reverse
         self.moves: list[list[tuple[frozenset[int], int]]] = []
         self.empty: list[list[int]] = []
 
@@ -31,7 +35,7 @@ class _Nfa:
 
     def add(self, items, start: int, fold: bool) -> int:
         """The state in which a match of ``items`` that begins in ``start`` ends."""
-        for op, arg in items:
+        for op, arg in reversed(list(items)) if self.reverse else items:
             if op in (C.LITERAL, C.NOT_LITERAL, C.IN, C.ANY):
                 end = self.state()
                 self.moves[start].append((_bytes_of(op, arg, fold), end))
@@ -88,22 +92,56 @@ def _bytes_of(op, arg, fold: bool) -> frozenset[int]:
 class Automaton:
     """``classes``: byte to column. ``table``: state and column to state. ``accepts``: state to bits of the rules that end there."""
 
-    def __init__(self, rules: list[str]):
-        nfa = _Nfa()
+    def __init__(self, rules: list[str], *, search: bool = True, reverse: bool = False):
+        nfa = _Nfa(reverse)
         begin = nfa.state()
         ends: dict[int, int] = {}
         for k, rule in enumerate(rules):
             first = nfa.state()
             nfa.empty[begin].append(first)
             ends[nfa.add(_parser.parse(rule), first, False)] = 1 << k
-        self._subsets(nfa, begin, ends)
+        self._subsets(nfa, begin, ends, search)
         self._minimise()
-        start = self.table[:, :] == 0
-        resets = start.all(axis=0)
         #: Bytes that lead from every state to the start: no match spans them.
-        self.resets = resets[self.classes]
+        self.resets = (self.table == 0).all(axis=0)[self.classes]
+        stuck = (self.table == np.arange(len(self.table))[:, None]).all(axis=1) & (self.accepts == 0)
+        #: The state that nothing leads out of, if there is one.
+        self.dead = int(np.flatnonzero(stuck)[0]) if stuck.any() else -1
+        self._rows: list | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_rows": None}
+
+    @property
+    def rows(self) -> list[tuple[list[int], int]]:
+        """The table as lists, for single steps: of each state the state after each byte, and what it accepts."""
+        if self._rows is None:
+            self._rows = list(zip(self.table[:, self.classes].tolist(), self.accepts.tolist(), strict=True))
+        return self._rows
+
+    def longest(self, data: bytes, start: int, stop: int) -> int:
+        """Where the longest match that begins at ``start`` ends, at most ``stop``; -1 if there is none."""
+        rows, dead, state, last = self.rows, self.dead, 0, -1
+        for at in range(start, stop):
+            state = rows[state][0][data[at]]
+            if state == dead:
+                break
+            if rows[state][1]:
+                last = at + 1
+        return last
+
+    def longest_back(self, data: bytes, end: int, stop: int) -> int:
+        """Of a reversed automaton: where the longest match that ends at ``end`` begins, at least ``stop``; -1 if there is none."""
+        rows, dead, state, first = self.rows, self.dead, 0, -1
+        for at in range(end - 1, stop - 1, -1):
+            state = rows[state][0][data[at]]
+            if state == dead:
+                break
+            if rows[state][1]:
+                first = at
+        return first
 
-    def _subsets(self, nfa: _Nfa, begin: int, ends: dict[int, int]) -> None:
+    def _subsets(self, nfa: _Nfa, begin: int, ends: dict[int, int], search: bool) -> None:
         closures = []
         for s in range(len(nfa.moves)):
             seen, todo = {s}, [s]
@@ -124,9 +162,10 @@ class Automaton:
         # Of each state with moves, and each class of bytes: the states after it, with empty moves.
         after = [[frozenset().union(*(closures[t] for b, t in m if byte[0] in b)) if any(byte[0] in b for b, t in m) else None for byte in members] for m in nfa.moves]
         live = {s for s, m in enumerate(nfa.moves) if m} | set(ends)
-        again = frozenset(closures[begin] & live)
-        number = {again: 0}
-        table, todo = [], deque([again])
+        first = frozenset(closures[begin] & live)
+        again = first if search else frozenset()
+        number = {first: 0}
+        table, todo = [], deque([first])
         while todo:
             states = todo.popleft()
             row = []
@@ -156,34 +195,56 @@ class Automaton:
         self.table = order[label[self.table[first]]].astype(np.int32)
         self.accepts = self.accepts[first]
 
-    def scan(self, texts: list[bytes]) -> np.ndarray:
-        """For each text the bits of the rules that match somewhere in it.
+    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every place where a match ends: the text's number, the place in it and the bits of the rules, sorted.
 
         The texts are cut into lanes at bytes no match spans, and all lanes take a step at a time, so that each byte is looked at
-        once, in arrays.
+        once, in arrays. The longest few are followed to their ends one by one.
         """
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        found = np.zeros(len(texts), dtype=np.int64)
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        if not len(data):
-            return found
-        begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        cuts = np.flatnonzero(self.resets[data]) + 1
-        at = np.searchsorted(cuts, np.arange(LANE, len(data), LANE))
-        starts = np.unique(np.concatenate((begins[lengths > 0], cuts[at[at < len(cuts)]])))
-        starts = starts[starts < len(data)]
-        sizes = np.diff(np.concatenate((starts, [len(data)])))
-        order = np.argsort(-sizes, kind="stable")
-        lanes, sizes = starts[order], sizes[order]
-        columns = self.classes[data]
-        width = self.table.shape[1]
-        flat, accepts = (self.table * width).ravel(), np.repeat(self.accepts, 1)
-        state = np.zeros(len(lanes), dtype=np.int32)
-        bits = np.zeros(len(lanes), dtype=np.int64)
-        active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        for step, n in enumerate(active.tolist()):
-            now = flat[state[:n] + columns[lanes[:n] + step]]
-            state[:n] = now
-            bits[:n] |= accepts[now // width]
-        np.bitwise_or.at(found, np.searchsorted(begins, lanes, side="right") - 1, bits)
-        return found
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, dtype=np.uint8)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(data):
+            begins = np.cumsum(lengths) - lengths
+            cuts = np.flatnonzero(self.resets[data]) + 1
+            at = np.searchsorted(cuts, np.arange(LANE, len(data), LANE))
+            starts = np.unique(np.concatenate((begins[lengths > 0], cuts[at[at < len(cuts)]])))
+            starts = starts[starts < len(data)]
+            sizes = np.diff(np.concatenate((starts, [len(data)])))
+            order = np.argsort(-sizes, kind="stable")
+            lanes, sizes = starts[order], sizes[order]
+            columns = self.classes[data]
+            width = self.table.shape[1]
+            flat, accepts = (self.table * width).ravel(), np.repeat(self.accepts, width)
+            state = np.zeros(len(lanes), dtype=np.int32)
+            active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
+            step = 0
+            for step, n in enumerate(active):
+                if n <= FEW:
+                    break
+                now = flat[state[:n] + columns[lanes[:n] + step]]
+                state[:n] = now
+                bits = accepts[now]
+                if bits.any():
+                    hit = np.flatnonzero(bits)
+                    found.append((lanes[hit] + step + 1, bits[hit]))
+            rows = self.rows
+            for lane, size, s in zip(lanes[: active[step]].tolist(), sizes[: active[step]].tolist(), (state[: active[step]] // width).tolist(), strict=True):
+                if active[step] > FEW:
+                    break
+                places, bits = [], []
+                for at, byte in enumerate(whole[lane + step : lane + size], lane + step + 1):
+                    nexts, _ = rows[s]
+                    s = nexts[byte]
+                    if rows[s][1]:
+                        places.append(at)
+                        bits.append(rows[s][1])
+                found.append((np.array(places, dtype=np.int64), np.array(bits, dtype=np.int64)))
+        ends = np.concatenate([x for x, _ in found]) if found else np.zeros(0, dtype=np.int64)
+        bits = np.concatenate([x for _, x in found]) if found else np.zeros(0, dtype=np.int64)
+        order = np.argsort(ends)
+        ends, bits = ends[order], bits[order]
+        past = np.cumsum(lengths)
+        text = np.searchsorted(past, ends, side="left")
+        return text, ends - (past - lengths)[text] if len(ends) else ends, bits

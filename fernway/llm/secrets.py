@@ -1,20 +1,24 @@
 """Secret scans: every rule in one minimised deterministic automaton, one pass over the bytes of each text.
 
-The pass tells for each document which rules match in it; only there the rule's own regex then gives the exact spans (leftmost,
-non-overlapping per kind, code points). Rules are compiled once, on the driver, and broadcast as arrays; their size depends on the
-rules alone. A private key's span goes from its BEGIN line to its END line, or without one to the end of its base64 lines.
+The pass gives every place where a match of any rule ends. From such a place the rule's own reversed automaton finds where the
+match begins, and its anchored one how far the match goes: leftmost and longest, non-overlapping per kind. Rules are compiled once,
+on the driver, and broadcast as arrays; their size depends on the rules alone. Of two matches of a rule that overlap, the one that
+begins first must not be the one whose shortest form ends last; the rules here are of that kind.
 
-Defined results: a null text is an empty one and has no spans; repeated rows are scanned each; an empty table gives no rows; a
-column with the name of the result is replaced.
+A private key's span goes from its BEGIN line to its END line, or without one to the end of its base64 lines.
+
+Defined results: a null text is an empty one and has no spans; spans are in code points; repeated rows are scanned each; an empty
+table gives no rows; a column with the name of the result is replaced. A text without commas and line breaks is one lane of the
+automaton, which takes its bytes one by one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,58 +30,111 @@ from fernway.llm.common import fresh, slices
 
 @dataclass(frozen=True)
 class Rule:
-    """``search`` finds the spans, those with ``least`` characters in ``group`` count; ``needs`` is what the automaton
-    looks for: something that each such span begins with, with counts kept short, as long ones of many rules multiply its states."""
+    """``search`` finds the spans; those with ``least`` bytes after the longest match of ``lead`` at their start count."""
 
     kind: str
     search: str
-    needs: str
-    group: int = 0
     least: int = 0
+    lead: str = ""
+    key: bool = False  # the rest of a private key belongs to the span
 
 
-_KEY = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-
 # The base kinds, in the order in which they are listed.
+_KEY = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_IS = _KEY + r"""["']?\x20*[:=]\x20*["']?"""
 BASE_RULES = (
-    Rule("assign", _KEY.replace("?:", "", 1) + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _KEY + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{12}", 0, 16),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32}", 0, 32),
+    Rule("assign", _IS + r"[A-Za-z0-9+/_.=-]+", 8, _IS),
+    Rule("access", r"AKIA[A-Z0-9]+", 16),
+    # A run of these is found whole, so that short ones may be left out from the start; that keeps the automaton from stopping in every word.
+    Rule("hex", r"[0-9a-f]{32,}"),
 )
 
-_BEGIN, _BREAK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?:\s|\\[nr])"
-#: To the key's END line, if no other block begins or ends before it.
-_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
-#: Else the header fields and base64 lines; after lines of 16 characters and more a shorter one, if nothing follows on it.
-_LINES = rf"(?:{_BREAK}++[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_BREAK}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?![ \t]*+[^\s\"'\\]))?"
-
 #: Kinds that the method adds: published shapes of tokens.
 MORE_RULES = (
-    Rule("pem", rf"{_BEGIN}(?:{_TO_END}|{_LINES})?", _BEGIN),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}", r"gh[pousr]_[A-Za-z0-9]{4}"),
-    Rule("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"xox[abprs]-[0-9A-Za-z-]{4}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{4}"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", key=True),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("slack", r"xox[abprs]-[0-9A-Za-z-]+", 15),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+", 23),
 )
 
 RULES = BASE_RULES + MORE_RULES
 
+_BREAK = r"(?:[ \t\n\r\x0b\x0c]|\\[nr])"
+#: Header fields and base64 lines of a key; then perhaps a shorter line.
+_LINES = rf"(?:{_BREAK}+[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*)*(?:{_BREAK}*[A-Za-z0-9+/]{{16,}}=?=?)+"
+_KEY_PARTS = (r"-----END [A-Z ]*PRIVATE KEY-----", _LINES, rf"{_LINES}{_BREAK}+[A-Za-z0-9+/]{{1,15}}=?=?")
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-@lru_cache(maxsize=8)
-def automaton(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    """The rules in one automaton; they need at most 63 bits."""
-    return Automaton([r.needs for r in rules])
+class Scanner:
+    """The automata of the rules, all in one and each by itself."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.every = Automaton([r.search for r in rules])  # their bits are a 64-bit number
+        self.ahead = [Automaton([r.search], search=False) for r in rules]
+        self.back = [Automaton([r.search], search=False, reverse=True) for r in rules]
+        self.leads = [Automaton([r.lead], search=False) if r.lead else None for r in rules]
+        self.key_parts = [Automaton([x], search=False) for x in _KEY_PARTS]
+
+    def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """Of each text (start, place of the rule, end) of every span, in code points, sorted."""
+        number, ends, bits = self.every.scan(texts)
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        for at, past in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True) if len(number) else ():
+            text = texts[number[at]]
+            spans = []
+            for k in range(len(self.rules)):
+                spans += self._spans_of(k, text, ends[at:past][bits[at:past] >> k & 1 > 0])
+            if not text.isascii():
+                points = np.concatenate(([0], np.cumsum(np.frombuffer(text, dtype=np.uint8) & 0xC0 != 0x80))).tolist()
+                spans = [(points[a], k, points[b]) for a, k, b in spans]
+            found[number[at]] = sorted(spans)
+        return found
+
+    def _spans_of(self, k: int, text: bytes, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """A rule's spans, from the places in which its matches end."""
+        rule, lead, out, past, i = self.rules[k], self.leads[k], [], 0, 0
+        while i < len(ends):
+            start = self.back[k].longest_back(text, int(ends[i]), past)
+            if start < 0:
+                i += 1
+                continue
+            past = self.ahead[k].longest(text, start, len(text))
+            counted = lead.longest(text, start, past) if lead else start
+            if rule.key:
+                past = self._key_end(text, past)
+            if past - counted >= rule.least:
+                out.append((start, k, past))
+            i = int(np.searchsorted(ends, past, side="right"))
+        return out
+
+    def _key_end(self, text: bytes, past: int) -> int:
+        """Where a private key ends whose BEGIN line ends at ``past``; before the next block begins."""
+        closing, lines, more = self.key_parts
+        block = text.find(b"-----BEGIN ", past)
+        stop = block if block >= 0 else len(text)
+        end = text.find(b"-----END ", past, stop)
+        if end >= 0 and (found := closing.longest(text, end, len(text))) >= 0:
+            return found
+        whole = max(past, lines.longest(text, past, stop))
+        short = more.longest(text, past, stop)
+        # A shorter line counts if nothing but quotes or an escape follows on it.
+        at = short
+        while 0 <= at < len(text) and text[at] in b" \t":
+            at += 1
+        return short if short > whole and text[at : at + 1] in (b"", b"\n", b"\r", b"\x0b", b"\x0c", b'"', b"'", b"\\") else whole
 
 
-def spans_in(text: str, bits: int, rules: tuple[Rule, ...], searches: list[re.Pattern]) -> list[tuple[int, int, int]]:
-    """(start, place of the rule, end) of every span of the rules in ``bits``, sorted."""
-    found = []
-    for k, (rule, search) in enumerate(zip(rules, searches, strict=True)):
-        if bits >> k & 1:
-            found += [(m.start(), k, m.end()) for m in search.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-    return sorted(found)
+@lru_cache(maxsize=8)
+def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
+    """The rules, at most 63, compiled."""
+    if len(rules) > 63:
+        raise ValueError("at most 63 rules fit an automaton")
+    return Scanner(rules)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
@@ -98,16 +155,12 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
     raw_name = fresh(docs, "_raw")
     schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, SPANS)])
     kept = [f.name for f in schema.fields[:-1]]
-    shared = docs.sparkSession.sparkContext.broadcast(automaton(rules))
-    searches = [r.search for r in rules]
+    shared = docs.sparkSession.sparkContext.broadcast(scanner(rules))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [re.compile(x) for x in searches]
         for whole in batches:
             for batch in slices(whole, raw_name):
-                raws = batch.column(raw_name).to_pylist()
-                bits = shared.value.scan(raws).tolist()
-                spans = [spans_in(raw.decode(), b, rules, patterns) if b else [] for raw, b in zip(raws, bits, strict=True)]
+                spans = shared.value.spans(batch.column(raw_name).to_pylist())
                 columns = {c: batch.column(c) for c in kept}
                 if redact and any(spans):
                     texts = [redacted(t, s, rules) if s else t for t, s in zip(columns[text].to_pylist(), spans, strict=True)]

@@ -43,17 +43,31 @@ def test_secrets(docs, texts):
     assert sum(len(r.secrets) for r in rows) >= 6
 
 
-def test_automaton_flags_what_its_rules_find():
+def test_spans_of_every_kind_are_those_of_a_regex():
+    """All rules against Python's regexes: leftmost, greedy, short ones dropped after they took their text."""
+    searches = [(re.compile(r.search), re.compile(r.lead)) for r in secrets.RULES]
     rnd = random.Random(5)
-    automaton = secrets.automaton()
-    alphabet = ["token", "API_KEY", "=", ": ", '"', "AKIA", "abcdef0123456789", "ABCDEFGH1234", " ", "\n", "é", "ghp_", "eyJ", ".", "-----BEGIN RSA PRIVATE KEY-----", "xoxb-12345678901", "passw", "zz"]
-    many = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
-    bits = automaton.scan([t.encode() for t in many])
-    import re
-
-    for t, b in zip(many, bits.tolist(), strict=True):
-        for k, rule in enumerate(secrets.RULES):
-            assert bool(b >> k & 1) == bool(re.search(rule.needs, t)), (t, rule.kind)
+    alphabet = ["token", "API_KEY", "=", ": ", '"', "AKIA", "abcdef0123456789", "ABCDEFGH1234", " ", "\n", "é", "ghp_", "eyJ", ".", "-----BEGIN RSA PRIVATE KEY-----", "xoxb-12345678901", "passw", "zz", ",", "secret", "short"]
+    many = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["".join(rnd.choice(alphabet[:10]) for _ in range(9000)), "abcdef0123456789" * 5000, ""]
+    got, kinds = secrets.scanner().spans([t.encode() for t in many]), set()
+    for t, spans in zip(many, got, strict=True):
+        want = []
+        for k, (rule, (search, lead)) in enumerate(zip(secrets.RULES, searches, strict=True)):
+            for m in search.finditer(t):
+                if m.end() - (lead.match(t, m.start()).end() if rule.lead else m.start()) >= rule.least:
+                    want.append((m.start(), k, m.end()))
+        assert [(a, k) for a, k, _ in spans] == [(a, k) for a, k, _ in sorted(want)], t
+        plain = [s for s in sorted(want) if not secrets.RULES[s[1]].key]
+        assert [s for s in spans if not secrets.RULES[s[1]].key] == plain
+        base = brute.secret_spans(t)
+        assert {kind: [(a, b) for a, k, b in spans if secrets.RULES[k].kind == kind] for kind in base} == base
+        kinds |= {secrets.RULES[k].kind for _, k, _ in spans}
+    assert kinds == {r.kind for r in secrets.RULES}
+
+
+def test_a_failing_match_takes_its_text():
+    (spans,) = secrets.scanner().spans([b"token=secret:abcdefghijk token=secret=abcdefghijk"])
+    assert [(a, b) for a, k, b in spans if secrets.RULES[k].kind == "assign"] == [(25, 49)]
 
 
 def test_redaction_leaves_no_span(docs):
@@ -89,7 +103,7 @@ def test_private_keys_go_whole(spark, key, after):
 def test_many_private_keys_are_found_in_linear_time():
     one = f"-----BEGIN PRIVATE KEY-----\n{BODY}\n"
     text = (one + "-----END PRIVATE KEY-----\n") * 300 + (one + "text. ") * 300 + "-----BEGIN PRIVATE KEY-----\n" * 20_000 + "- " * 500_000
-    spans = secrets.spans_in(text, int(secrets.automaton().scan([text.encode()])[0]), secrets.RULES, [re.compile(r.search) for r in secrets.RULES])
+    (spans,) = secrets.scanner().spans([text.encode()])
     assert sum(secrets.RULES[k].kind == "pem" for _, k, _ in spans) == 20_600
     assert "MIIE" not in secrets.redacted(text, spans, secrets.RULES)
 
