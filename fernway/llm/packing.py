@@ -4,22 +4,25 @@ Each task packs the documents of its partition as they come. A document gives wh
 remains is placed online: of all fill levels at which it fits, and a new sequence, the one that makes the sum over levels of
 the squared number of partially filled sequences smallest (ties: the fullest level). The numbers stand in an array by level.
 
-Pieces of sequences still open at the end of a partition, or when more than ``max_open`` are open, are laid end to end and cut
-anew into full sequences; what is left over at the end is cut at powers of two, which need no padding. Memory: the
-tokens of at most ``max_open`` sequences and one Arrow batch.
+At most ``MAX_OPEN`` sequences are open. When no more may be opened and a piece fits none of them, it is cut to fill one exactly:
+the one for which the fill and the rest, as a sequence of its own, make that sum smallest; the rest is placed again. So a sequence is
+closed when it is full and never before. The few that are open at the end of a partition are laid end to end, fullest first, cut into
+full sequences and, at the last, at powers of two, which need no padding. Memory: the tokens of the open sequences and one Arrow batch.
 
-Tokens are found word by word: the tokenizer's pre-tokenizer never joins characters across white space, so the tokens of a
-text are those of its space-separated chunks, kept in a bounded cache.
+Where a tokenizer's pre-tokenizer drops white space, as that of ``word_bpe_49k`` does, the tokens of a text are those of its
+space-separated chunks, kept in a bounded cache. With any other tokenizer whole texts are tokenized.
 
 Defined results: a null text is an empty one and gives the end token alone; repeated rows are packed each; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored; ids must be numbers or texts of numbers, and null ids stay null.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,14 @@ from fernway.llm.common import slices
 
 CAPACITY = 2048
 END_ID = 1
-MAX_OPEN = 2048
+MAX_OPEN = 12
 CACHE_ENTRIES = 600_000
 SEQUENCES_PER_TASK = 1 << 36
 
+#: How a tokenizer that can be given chunks of texts makes them alike and cuts them.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_CUTS = {"pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -64,6 +71,10 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
+        spec = json.loads(self.tokenizer.to_str())
+        cuts = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        normalizers = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.by_chunk = normalizers == _NORMALIZERS and {k: v for k, v in cuts.items() if k != "type"} == _CUTS
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -99,6 +110,8 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, all in one go so that unknown chunks are tokenized together."""
+        if not self.by_chunk:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.chunks(t) for t in texts]
         young, old = self.young, self.old
         missing = {c for chunks in split for c in chunks if c not in young}
@@ -127,10 +140,13 @@ class Packer:
 
     def __init__(self, capacity: int, first_sequence: int, max_open: int = MAX_OPEN):
         self.capacity, self.next_sequence, self.max_open = capacity, first_sequence, max_open
-        self.count = np.zeros(capacity + 1, dtype=np.int64)
+        self.count = [0] * (capacity + 1)
         self.open: dict[int, list[list[tuple]]] = {}
+        self.levels: list[int] = []  # those of open sequences, sorted
         self.n_open = 0
         self.out: list[tuple] = []
+        #: Sequences of several pieces that the rule closed, and those that were laid out at the end.
+        self.by_rule, self.laid = 0, 0
 
     def close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -143,63 +159,71 @@ class Packer:
         total = len(ids)
         for start in range(0, total - self.capacity + 1, self.capacity):
             self.close([(doc, start, ids[start : start + self.capacity], total)])
-        if rest := total % self.capacity:
-            self.place((doc, total - rest, ids[total - rest :].copy(), total))
-
-    def place(self, piece: tuple) -> None:
-        size, capacity, count = len(piece[2]), self.capacity, self.count
-        # The change of the sum of squares; a full sequence is no longer counted.
-        best, level = 2 * int(count[size]) + 1, 0
-        levels = np.flatnonzero(count[: capacity - size + 1])
-        if len(levels):
-            change = 2 * (count[levels + size] - count[levels]) + 2
-            if levels[-1] + size == capacity:
-                change[-1] = 1 - 2 * count[capacity - size]
-            k = len(change) - 1 - int(np.argmin(change[::-1]))
-            if change[k] <= best:
-                level = int(levels[k])
-        bin_ = []
-        if level:
-            bin_ = self.open[level].pop()
-            count[level] -= 1
-            self.n_open -= 1
-        bin_.append(piece)
-        if level + size == capacity:
-            self.close(bin_)
-            return
-        self.open.setdefault(level + size, []).append(bin_)
-        count[level + size] += 1
+        rest = total % self.capacity
+        piece = (doc, total - rest, ids[total - rest :].copy(), total)
+        while len(piece[2]):
+            piece = self.place(piece)
+
+    def _change(self, level: int, size: int) -> int:
+        """Of the sum of squares, when so much goes to a sequence at this level; a full one is no longer counted, a cut piece's rest is."""
+        then = (level + size) % self.capacity
+        if then == level:
+            return 0
+        return (1 - 2 * self.count[level] if level else 0) + (2 * self.count[then] + 1 if then else 0)
+
+    def place(self, piece: tuple) -> tuple:
+        """Put the piece, or as much of it as fills a sequence, where the rule says; what is left of it."""
+        doc, start, ids, total = piece
+        size, capacity = len(ids), self.capacity
+        fitting = [level for level in self.levels if level + size <= capacity]
+        if self.n_open < self.max_open:
+            fitting.insert(0, 0)
+        level = min(fitting or self.levels, key=lambda x: (self._change(x, size), -x))
+        sequence = self._take(level) if level else []
+        n = min(size, capacity - level)
+        sequence.append((doc, start, ids[:n], total))
+        if level + n == capacity:
+            self.by_rule += len(sequence) > 1
+            self.close(sequence)
+        else:
+            self._put(level + n, sequence)
+        return doc, start + n, ids[n:], total
+
+    def _take(self, level: int) -> list[tuple]:
+        sequence = self.open[level].pop()
+        self.count[level] -= 1
+        self.n_open -= 1
+        if not self.count[level]:
+            del self.levels[bisect_left(self.levels, level)]
+        return sequence
+
+    def _put(self, level: int, sequence: list[tuple]) -> None:
+        if not self.count[level]:
+            insort(self.levels, level)
+        self.open.setdefault(level, []).append(sequence)
+        self.count[level] += 1
         self.n_open += 1
-        if self.n_open > self.max_open:
-            self.relay(last=False)
 
-    def relay(self, last: bool) -> None:
+    def finish(self) -> None:
         """Lay the open sequences end to end, fullest first, and cut them anew."""
-        pieces = [p for level in sorted(self.open, reverse=True) for bin_ in self.open[level] for p in bin_]
-        self.open, self.n_open = {}, 0
-        self.count[:] = 0
-        row, held, left = [], 0, sum(len(p[2]) for p in pieces)
+        pieces = [p for level in reversed(self.levels) for sequence in self.open[level] for p in sequence]
+        left = sum(len(p[2]) for p in pieces)
+        self.count, self.open, self.levels, self.n_open = [0] * (self.capacity + 1), {}, [], 0
 
         def next_room() -> int:
-            if left >= self.capacity or not last:
-                return min(self.capacity, left)
-            return 1 << (left.bit_length() - 1) if left else 0
+            return self.capacity if left >= self.capacity else 1 << left.bit_length() >> 1
 
-        room = next_room()
+        row, held, room = [], 0, next_room()
         for doc, start, ids, total in pieces:
             while len(ids):
                 n = min(len(ids), room - held)
                 row.append((doc, start, ids[:n], total))
                 held, start, ids = held + n, start + n, ids[n:]
-                if held < room:
-                    continue
-                left -= held
-                if held == self.capacity or last:
+                if held == room:
+                    left -= held
+                    self.laid += len(row) > 1
                     self.close(row)
-                else:
-                    self.open[held], self.n_open = [row], 1
-                    self.count[held] = 1
-                row, held, room = [], 0, next_room()
+                    row, held, room = [], 0, next_room()
 
     def drain(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -234,7 +258,7 @@ def pack(
                 for doc, encoded in zip(ids, tokens.encode(raws), strict=True):
                     packer.add(doc, np.frombuffer(encoded + end, dtype="<u4"))
                 yield rows(packer.drain())
-        packer.relay(last=True)
+        packer.finish()
         yield rows(packer.drain())
 
     whole = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("raw"))

@@ -103,7 +103,7 @@ def _small_model(states=3, symbols=hmm.SYMBOLS):
 def test_forward_sums_over_all_paths():
     model = _small_model()
     rows = [np.array(x) for x in ([7], [1, 2, 3, 0], [5, 5, 0])]
-    got, _, _ = hmm.forward(hmm.Lockstep(rows), model)
+    got = hmm.forward(hmm.Lockstep(rows), model)
     for row, g in zip(rows, got, strict=True):
         total = 0.0
         for path in itertools.product(range(3), repeat=len(row)):
@@ -259,24 +259,55 @@ def test_packing(docs, texts, empty, clashing):
     assert packing.pack(clashing).count() == packing.pack(docs).count()
 
 
-def test_packer_takes_the_level_with_the_smallest_sum_of_squares():
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_packer_takes_the_level_with_the_smallest_sum_of_squares(most):
     rnd = np.random.default_rng(3)
-    packer = packing.Packer(32, 0)
-    for doc in range(400):
+    packer = packing.Packer(32, 0, most)
+    for doc in range(600):
         size = int(rnd.integers(1, 32))
-        before = packer.count.copy()
+        before = np.array(packer.count)
+        n_open = int(before.sum())
 
         def after(level, before=before, size=size):
             n = before.copy()
             if level:
                 n[level] -= 1
-            if level + size < 32:
-                n[level + size] += 1
-            return int((n[:32] ** 2).sum())
-
-        choices = [after(level) for level in range(33 - size) if level == 0 or before[level]]
-        packer.place((doc, 0, np.zeros(size, dtype="<u4"), size))
-        assert int((packer.count[:32] ** 2).sum()) == min(choices)
+            if (level + size) % 32:
+                n[(level + size) % 32] += 1
+            return int((n**2).sum())
+
+        levels = np.flatnonzero(before).tolist()
+        whole = [x for x in ([0] if n_open < most else []) + levels if x + size <= 32]
+        rest = packer.place((doc, 0, np.zeros(size, dtype="<u4"), size))
+        # Only where nothing else is left is a piece cut; its rest then counts as a sequence of its own.
+        assert (len(rest[2]) > 0) == (not whole)
+        now = np.array(packer.count)
+        if len(rest[2]):
+            now[len(rest[2])] += 1
+        assert int((now**2).sum()) == min(map(after, whole or levels))
+        while len(rest[2]):
+            rest = packer.place(rest)
+        assert sum(packer.count) <= most
+
+
+def test_nearly_all_sequences_are_closed_by_the_rule():
+    rnd = np.random.default_rng(7)
+    packer = packing.Packer(2048, 0)
+    for doc in range(1600):
+        packer.add(doc, np.zeros(int(min(20_000, rnd.lognormal(6, 1.2))) + 1, dtype="<u4"))
+    packer.finish()
+    assert packer.by_rule >= 0.95 * (packer.by_rule + packer.laid)
+    lengths = defaultdict(int)
+    for _, _, n, _, _, sequence, _ in packer.drain():
+        lengths[sequence] += n
+    assert all(n == 2048 or n & (n - 1) == 0 for n in lengths.values())
+
+
+def test_other_tokenizers_get_whole_texts():
+    tokens = packing.ChunkTokenizer(packing.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["The stone, by the River.\nÉclat  two", "", "a b"]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in tokens.encode(texts)] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.ChunkTokenizer(packing.tokenizer_path()).by_chunk and not tokens.by_chunk
 
 
 @given(st.text(alphabet=st.sampled_from("aB é,.!'s\n\t 　ΣİK1é<|>"), max_size=60))
