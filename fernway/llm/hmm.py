@@ -187,24 +187,17 @@ class Model:
         )
 
 
-def forward(lanes: Lockstep, model: Model, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """log10 likelihood of each sequence (in the order given); with ``keep`` the scaled state probabilities and the scales."""
-    s = len(model.start)
-    alpha = np.zeros((len(lanes.flat), s), dtype=np.float32) if keep else None
-    scales = np.ones(len(lanes.flat)) if keep else None
+def forward(lanes: Lockstep, model: Model) -> np.ndarray:
+    """log10 likelihood of each sequence, in the order given."""
     now, total = np.tile(model.start, (len(lanes.order), 1)), np.zeros(len(lanes.order))
     for step, n in enumerate(lanes.active):
-        at = lanes.places(step)
-        state = (now[:n] @ model.move if step else now[:n]) * model.emit[lanes.flat[at]]
+        state = (now[:n] @ model.move if step else now[:n]) * model.emit[lanes.flat[lanes.run(step)]]
         scale = state.sum(axis=1)
-        state /= scale[:, None]
-        now[:n] = state
+        now[:n] = state / scale[:, None]
         total[:n] += np.log10(scale)
-        if keep:
-            alpha[at], scales[at] = state, scale
     out = np.zeros(len(total))
     out[lanes.order] = total
-    return out, alpha, scales
+    return out
 
 
 def expected(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,24 +206,36 @@ def expected(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.
 
 
 def counts_and_likelihood(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """As :func:`expected`, and the summed log10 likelihood."""
-    lanes = Lockstep(sequences)
+    """As :func:`expected`, and the summed log10 likelihood. Probabilities of states have 32 bits, sums over texts 64."""
     s = len(model.start)
-    likelihood, alpha, scales = forward(lanes, model, keep=True)
-    moves = np.zeros((s, s))
-    beta = np.ones((len(lanes.order), s))
-    last = len(lanes.active) - 1
-    for step in range(last, -1, -1):
-        n = lanes.active[step]
-        at = lanes.places(step)
-        if step < last and (m := lanes.active[step + 1]):
-            after = lanes.places(step + 1)
-            onward = model.emit[lanes.flat[after]] * beta[:m] / scales[after][:, None]
-            moves += alpha[at[:m]].T @ onward
-            beta[:m] = onward @ model.move.T
+    if not sequences:
+        return np.zeros(s), np.zeros((s, s)), np.zeros((SYMBOLS, s)), 0.0
+    lanes = Lockstep(sequences)
+    move, ones = model.move.astype(np.float32), np.ones(s, dtype=np.float32)
+    emit = model.emit.astype(np.float32)[lanes.flat]
+    alpha, scales = np.empty_like(emit), np.empty(len(emit), dtype=np.float32)
+    before = None
+    for step, n in enumerate(lanes.active):
+        at = lanes.run(step)
+        state = alpha[at]
+        state[:] = model.start if before is None else before[:n] @ move
+        state *= emit[at]
+        np.matmul(state, ones, out=scales[at])
+        state /= scales[at][:, None]
+        before = state
+    emit /= scales[:, None]
+    moves, beta = np.zeros((s, s)), np.ones((len(lanes.order), s), dtype=np.float32)
+    back = np.ascontiguousarray(move.T)
+    for step in range(len(lanes.active) - 1, -1, -1):
+        n, at = lanes.active[step], lanes.run(step)
         alpha[at] *= beta[:n]
+        if step:
+            onward = emit[at]
+            onward *= beta[:n]
+            moves += alpha[lanes.run(step - 1)][:n].T @ onward
+            beta[:n] = onward @ back
     emits = np.column_stack([np.bincount(lanes.flat, weights=alpha[:, k], minlength=SYMBOLS) for k in range(s)])
-    return alpha[lanes.places(0)].sum(axis=0) if len(sequences) else np.zeros(s), moves * model.move, emits, float(likelihood.sum())
+    return alpha[lanes.run(0)].sum(axis=0, dtype=float), moves * model.move, emits, float(np.log10(scales, dtype=float).sum())
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
@@ -300,7 +305,7 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
         kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_sum", "share_sum"]
         for whole in batches:
             for batch in slices(whole, "symbols", 2 << 20):
-                found, _, _ = forward(Lockstep(_sequences(batch.column("symbols"))), shared.value)
+                found = forward(Lockstep(_sequences(batch.column("symbols"))), shared.value)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found)], [*kept, "hidden"])
 
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_sum", "share_sum", "symbols").mapInArrow(

@@ -260,7 +260,7 @@ def viterbi(sequences: list[np.ndarray], scores: np.ndarray, switch: float) -> l
     switched_from = np.zeros(len(lanes.flat), dtype=np.int32)
     best = np.zeros((len(lanes.order), k))
     for step, n in enumerate(lanes.active):
-        at = lanes.places(step)
+        at = lanes.run(step)
         now = best[:n]
         if step:
             top = now.argmax(axis=1)
@@ -272,14 +272,13 @@ def viterbi(sequences: list[np.ndarray], scores: np.ndarray, switch: float) -> l
     label = np.zeros(len(lanes.flat), dtype=np.int32)
     state = best.argmax(axis=1) if len(best) else np.zeros(0, dtype=np.int64)
     for step in range(len(lanes.active) - 1, -1, -1):
-        n = lanes.active[step]
-        at = lanes.places(step)
+        n, at = lanes.active[step], lanes.run(step)
         label[at] = state[:n]
         if step:
-            keep = stayed[at, state[:n]]
+            keep = stayed[at][np.arange(n), state[:n]]
             state[:n] = np.where(keep, state[:n], switched_from[at])
     bounds = np.cumsum([len(s) for s in sequences])[:-1] if sequences else []
-    return np.split(label, bounds)
+    return np.split(label[lanes.place], bounds)
 
 
 RESULT = T.StructType(

@@ -6,20 +6,29 @@ import numpy as np
 
 
 class Lockstep:
-    """Symbols of documents laid out by position: at step t come the t-th symbols of all documents longer than t.
+    """Symbols of documents laid out by position: first the first symbols of all documents, then the second ones, and so on.
 
-    Documents are sorted by length, longest first, so those of a step are the first ``active[t]`` of ``order``.
+    Documents are sorted by length, longest first, so those of a step are the first ``active[t]`` of ``order``, and their symbols
+    lie in one run of ``flat``.
     """
 
     def __init__(self, sequences: list[np.ndarray]):
         lengths = np.array([len(s) for s in sequences], dtype=np.int64)
         self.order = np.argsort(-lengths, kind="stable")
-        self.lengths = lengths[self.order]
-        steps = int(self.lengths[0]) if len(lengths) else 0
-        self.active = np.searchsorted(-self.lengths, -np.arange(steps), side="left").tolist()
-        self.begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))[self.order] if len(lengths) else np.zeros(0, dtype=np.int64)
-        self.flat = np.concatenate(sequences) if sequences else np.zeros(0, dtype=np.int64)
+        longest = lengths[self.order]
+        steps = int(longest[0]) if len(lengths) else 0
+        active = np.searchsorted(-longest, -np.arange(steps), side="left")
+        first = np.concatenate(([0], np.cumsum(active)))
+        self.active, self.first = active.tolist(), first.tolist()
+        lane = np.empty(len(lengths), dtype=np.int64)
+        lane[self.order] = np.arange(len(lengths))
+        position = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        #: Where in ``flat`` the symbols of the sequences, one after another, lie.
+        self.place = first[position] + np.repeat(lane, lengths)
+        self.flat = np.zeros(len(self.place), dtype=sequences[0].dtype if sequences else np.int64)
+        if sequences:
+            self.flat[self.place] = np.concatenate(sequences)
 
-    def places(self, step: int) -> np.ndarray:
-        """Where the symbols of this step stand in ``flat``."""
-        return self.begins[: self.active[step]] + step
+    def run(self, step: int) -> slice:
+        """The symbols of this step in ``flat``."""
+        return slice(self.first[step], self.first[step + 1])
