@@ -11,7 +11,8 @@ A lost task writes a new archive under another name; the index has only the reco
 
 Defined results: null html is an empty payload; a null url has no URL header; control characters in URLs are percent-encoded;
 rows that repeat the smallest page_id of a payload are responses too; rows without page_id can't be referred to and are
-responses if no row with equal payload has one; an empty table gives no archives and no rows; other columns are ignored.
+responses if no row with equal payload has one; an empty table gives no archives and no rows; other columns are ignored. Page ids
+must be numbers or texts of numbers. The folder must be of a kind that Arrow's file systems open (local, HDFS, S3 or GCS).
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from fernway.llm.common import shared_path, slices, written
 
 LEAST_SHARED = 100
 GAP, RANGE, STRETCH = 64 << 10, 8 << 20, 32 << 20
-#: Payloads with copies that are broadcast at most, each a digest and an id.
-MAX_BROADCAST = 50_000
+#: Payloads with copies that are broadcast at most, each a digest and an id; with more, the rows of each digest go to ``SALTS`` tasks.
+MAX_BROADCAST, SALTS = 50_000, 16
 #: The records hold no crawl time of their own.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +44,7 @@ RECORDS = "page_id long, record_type string, refers_to long, payload_bytes long,
 def _filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    return FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -96,7 +97,11 @@ def with_copies(pages: DataFrame) -> DataFrame:
     shared = rows.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
     shared = written(shared, "payloads")
     few = shared.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    joined = rows.join(F.broadcast(shared) if few else shared, F.col("digest") == F.col("_d"), "left")
+    if few:
+        joined = rows.join(F.broadcast(shared), F.col("digest") == F.col("_d"), "left")
+    else:
+        salted = shared.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, (F.col("digest") == F.col("_d")) & (F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)) == F.col("_s")), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -143,7 +148,11 @@ def ranges(places: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) ->
 
 def read_records(index: DataFrame, *, payload: bool = True) -> DataFrame:
     """The records of the index rows given, read in sorted ranges; without ``payload`` the payloads are verified and dropped."""
-    sorted_index = index.select("archive", "offset", "length", F.floor(F.col("offset") / F.lit(STRETCH)).alias("stretch")).repartition("archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
+    bytes_ = index.agg(F.sum("length")).first()[0] or 0
+    # The index is tiny beside what it stands for, so that the number of tasks comes from the bytes to read.
+    tasks = max(-(-bytes_ // STRETCH), index.sparkSession.sparkContext.defaultParallelism)
+    dealt = index.select("archive", "offset", "length", F.floor(F.col("offset") / F.lit(STRETCH)).alias("stretch")).repartition(tasks, "archive", "stretch")
+    sorted_index = dealt.sortWithinPartitions("archive", "offset").drop("stretch")
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 

@@ -139,6 +139,13 @@ def test_archives(spark, pages, monkeypatch, most):
     assert {r.url for r in index.collect()} == {u for _, u, _ in PAGES}
 
 
+def test_records_are_read_in_many_tasks(spark):
+    many = spark.range(4000).selectExpr("id AS page_id", "CAST(NULL AS STRING) AS url", "concat('page ', sha2(CAST(id AS STRING), 256)) AS html").repartition(8)
+    index = warc.write_archives(many, warc.archive_folder(spark))
+    read = warc.read_records(index).withColumn("task", F.spark_partition_id())
+    assert read.select("task").distinct().count() > 1 and read.count() == 4000
+
+
 def test_archives_are_gzip_members(spark, pages):
     index = warc.write_archives(pages, warc.archive_folder(spark)).orderBy("archive", "offset").collect()
     for archive in {r.archive for r in index}:
