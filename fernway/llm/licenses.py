@@ -50,6 +50,14 @@ NOTICES = (
     Notice("lgpl", "gnu lesser general public license", 2),
     Notice("mpl-2", "mozilla public license version", 2, " 2"),
     Notice("bsd", "redistribution and use in source and binary forms with or without modification", 5),
+    Notice("agpl", "gnu affero general public license", 2),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 5),
+    Notice("unlicense", "free and unencumbered software released into the public domain", 4),
+    Notice("artistic-2", "the artistic license", 1, " 2"),
+    Notice("epl", "eclipse public license", 2),
+    Notice("zlib", "provided as is without any express or implied warranty in no event will the authors", 5),
+    Notice("cc0", "cc0 1 0 universal", 1),
+    Notice("spdx", "spdx license identifier", 2),
 )
 
 RESULT = T.StructType(
@@ -113,15 +121,15 @@ def fuzzy_matches(line: str, notices: tuple[Notice, ...] = NOTICES) -> list[tupl
                 held[-1][1] = max(high, held[-1][1])
             else:
                 held.append([low, high])
-    found = []
-    for k in sorted(windows):
-        notice = notices[k]
-        for low, high in windows[k]:
-            for start, end, edits in _best_first(patterns[k], line, low, high):
-                text = line[start:end]
-                first = line.count(" ", 0, start) + (text[:1] == " ")
-                found.append((notice.label, first, first + text.strip(" ").count(" "), edits, round(1 - edits / len(notice.wording), 6)))
-    return found
+    matches = [(start, end, k, edits) for k in windows for low, high in windows[k] for start, end, edits in _best_first(patterns[k], line, low, high)]
+    found, words, at = [], 0, 0
+    # By place, so that the spaces before each match are counted once.
+    for start, end, k, edits in sorted(matches):
+        notice, text = notices[k], line[start:end]
+        words, at = words + line.count(" ", at, start), start
+        first = words + (text[:1] == " ")
+        found.append((k, (notice.label, first, first + text.strip(" ").count(" "), edits, round(1 - edits / len(notice.wording), 6))))
+    return [match for _, match in sorted(found, key=lambda x: x[0])]
 
 
 def _best_first(pattern, line: str, low: int, high: int) -> list[tuple[int, int, int]]:
@@ -145,9 +153,10 @@ def base_places(line: str, base=BASE) -> list[tuple[str, int]]:
         if phrase not in line:
             continue
         fenced_line, needle = f" {line} ", f" {phrase} "
-        at = fenced_line.find(needle)
+        words, before, at = 0, 0, fenced_line.find(needle)
         while at >= 0:
-            found.append((label, fenced_line.count(" ", 0, at)))
+            words, before = words + fenced_line.count(" ", before, at), at
+            found.append((label, words))
             at = fenced_line.find(needle, at + 1)
     return found
 

@@ -154,6 +154,32 @@ def test_notices_before_a_better_one_are_found():
     assert [m[:4] for m in licenses.fuzzy_matches(line)] == [("gpl", 0, 3, 1), ("gpl", 5, 8, 2), ("gpl", 10, 13, 0)]
 
 
+def test_edited_notices_that_stand_close_are_all_found():
+    """Every planted notice is found where it stands, with its edits and score, and nothing else is."""
+    rnd = random.Random(11)
+    # Notices that hold no other one, so that what is planted is what is to be found.
+    alone = [n for n in licenses.NOTICES if n.label not in ("gpl", "spdx", "cc-by", "cc-by-nc", "mit")]
+    for _ in range(150):
+        words, want = [], []
+        for _ in range(rnd.randint(1, 7)):
+            words += rnd.choices(["stone", "river", "lamp", "über"], k=rnd.randint(0, 2))
+            notice, own = (n := rnd.choice(alone)), (n.wording + n.after).split(" ")
+            edits = rnd.randint(0, notice.edits)
+            long = [i for i, w in enumerate(n.wording.split(" ")) if len(w) > 2]
+            for i in rnd.sample(long, min(edits, len(long))):
+                own[i] = own[i][0] + "#" + own[i][2:]
+            edits = min(edits, len(long))
+            want.append((notice.label, len(words), len(words) + len(own) - 1, edits, round(1 - edits / len(notice.wording), 6)))
+            words += own
+        assert sorted(licenses.fuzzy_matches(" ".join(words))) == sorted(want)
+
+
+def test_many_notices_are_found_in_linear_time():
+    one = "released undr the mit licens permission is hereby granted free of charge to any person obtaining a copy gnu lesser general public license "
+    found = licenses.fuzzy_matches((one * 3000).strip())
+    assert len(found) == 9000 and found[2999][1] == 23 * 2999
+
+
 def test_language(spark):
     rnd = random.Random(1)
     stems = {"en": ["th", "ing", "wh", "and"], "de": ["sch", "ung", "ü", "lich"], "ru": ["жд", "ов", "ый"]}
