@@ -1,22 +1,55 @@
-"""Cutting the lineage between the rounds of an iteration."""
+"""Cutting the lineage between the rounds of an iteration, in a folder that the driver and all executors see."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(maxsize=1)
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="fernway-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local master without that setting gets a temporary folder, a cluster an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _local()
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below :func:`shared_dir`."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder of ``spark.checkpoint.dir``; without one, in a folder of our own.
-
-    Our own is a temporary folder for a local master and one below the warehouse on a cluster.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            local = context.master == "local" or context.master.startswith("local[")
-            folder = "file://" + tempfile.mkdtemp(prefix="fernway-rounds-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_fernway"
-        context.setCheckpointDir(folder)
+    """A reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage cut, columns prunable."""
+    return written_at(df, shared_path(df.sparkSession, name), codec)
+
+
+def written_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """As :func:`written`, at a path of the caller's."""
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
