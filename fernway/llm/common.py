@@ -1,14 +1,12 @@
-"""Small helpers that the corpus operators share: byte tables, batching and the shared folder."""
+"""Small helpers that the corpus operators share: byte tables and batching."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -24,45 +22,6 @@ ALNUM_TABLE = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: ``spark.checkpoint.dir``, else one of our own.
-
-    Without that setting a local master gets a temporary folder and a cluster one below the warehouse.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        global _local
-        if _local is None:
-            _local = "file://" + tempfile.mkdtemp(prefix="fernway-")
-        return _local
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_fernway"
-
-
-_local: str | None = None
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage cut, columns prunable."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose values in ``column`` hold about ``most_bytes``; at least one row each."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

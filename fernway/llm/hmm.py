@@ -29,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernway.llm.common import LOWER_TABLE, crc_mod, slices, written
+from fernway.llm.common import LOWER_TABLE, crc_mod, slices
 from fernway.llm.lockstep import Lockstep
+from fernway.operators.rounds import written
 
 STATES = 8
 OWN, SUFFIXES, KNOWN = 8192, 4096, 1 << 17

@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernway.llm.common import crc_mod, fresh, slices, written
+from fernway.llm.common import crc_mod, fresh, slices
 from fernway.llm.lockstep import Lockstep
+from fernway.operators.rounds import written
 
 BUCKETS = 1 << 16
 LONGEST = 4

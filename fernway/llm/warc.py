@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernway.llm.common import shared_path, slices, written
+from fernway.llm.common import slices
+from fernway.operators.rounds import shared_path, written
 
 LEAST_SHARED = 100
 GAP, RANGE, STRETCH = 64 << 10, 8 << 20, 32 << 20

@@ -226,6 +226,42 @@ def test_deduplicated(docs, texts, empty, clashing):
     assert simhash.deduplicated(nulls).count() == 1
 
 
+def test_dedup_tells_rows_with_repeated_ids_apart(spark, texts):
+    a, b, near = texts[6], texts[9], texts[8]
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "x"), (2, near, "x"), (2, b, "y"), (None, b, "x"), (None, "alone here", "x"), (None, "alone here", "y")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, other string")).collect()
+    linked = (brute.simhash(a) ^ brute.simhash(near)).bit_count() <= 4
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (2, b), (0, "alone here"), *([] if linked else [(2, near)])])
+
+
+def test_rows_without_id_connect_others(spark):
+    prints = {0: 5, 0xF: 3, 0xFF: None, 0xFFF: 9, 1 << 40: None, (1 << 50) - 1: None, (1 << 60) - 1: 4}
+    rows = [(f, i, 1) for f, i in prints.items()]
+    named = {r.fp: r.component_id for r in simhash._named(spark.createDataFrame(rows, "fp long, first long, n long"), 4).collect()}
+    want = brute.components(list(range(len(rows))), list(prints))
+    ids = [i for _, i, _ in rows]
+    for k, (f, _, _) in enumerate(rows):
+        assert named[f] == min((ids[j] for j in range(len(rows)) if want[j] == want[k] and ids[j] is not None), default=None)
+
+
+def test_components_with_hot_centres(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    pairs = [(0, i) for i in range(1, 300)] + [(int(x), int(y)) for x, y in rnd.integers(300, 700, (250, 2))]
+    monkeypatch.setattr(components, "MANY", 3)
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    root = {i: i for i in range(700)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in root if find(i) != i}
+
+
 def _check_packing(rows, texts, capacity):
     tokenizer = packing.ChunkTokenizer(packing.tokenizer_path()).tokenizer
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
