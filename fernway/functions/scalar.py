@@ -121,8 +121,8 @@ def blended(bound: Column, learned: Column, weight: Column) -> Column:
 
 
 def guard_ratio(cost: Column, classical: Column) -> Column:
-    """Cost over classical cost: one if both are nothing, null if either is null or only the latter is nothing."""
-    return F.when((classical == 0) & (cost == 0), F.lit(1.0)).otherwise(F.try_divide(cost, classical))
+    """Cost over classical cost: one if both are nothing, infinite if only the latter is; null if either is null."""
+    return F.when((classical == 0) & (cost == 0), F.lit(1.0)).when((classical == 0) & (cost > 0), F.lit(float("inf"))).otherwise(F.try_divide(cost, classical))
 
 
 def hashed_unit(*key: Column) -> Column:

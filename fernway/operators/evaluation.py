@@ -6,11 +6,13 @@ import platform
 from collections.abc import Mapping
 
 import pyspark
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
 from fernway.functions import statistics as stats
+from fernway.operators import search as R
+from fernway.operators.rounds import cut, numbered
 
 # The sweeps of the experiments; each point is (predictor, value).
 SWEEPS: dict[str, list[tuple[str, float]]] = {
@@ -60,22 +62,38 @@ def stratified(queries: DataFrame, nodes: DataFrame, max_mph: float, strata: Map
 def sampled_queries(endpoints: DataFrame, times: DataFrame, n: int, *, seed: int, direct: float = 0.85) -> DataFrame:
     """query_id, origin, dest, depart_time: drawn by hash, the same for the same seed.
 
-    The first ``direct`` share have both ends of one edge (u, v); the others those of two. Of both tables the rows are numbered in order.
+    The first ``direct`` share have both ends of one edge (u, v); the others those of two. Of both tables the rows are numbered in
+    order, and a draw is the place of a number in (0, 1) from the SHA-256 of seed, purpose and query.
     """
-    e = endpoints.select("u", "v").distinct().withColumn("i", F.row_number().over(Window.orderBy("u", "v")) - 1)
-    t = times.select("timestamp").distinct().withColumn("k", F.row_number().over(Window.orderBy("timestamp")) - 1)
+    e = numbered(endpoints.select("u", "v").distinct(), "u", "v", into="i")
+    t = numbered(times.select("timestamp").distinct(), "timestamp", into="k")
     n_edges, n_times = e.count(), t.count()
     if not n_edges or not n_times:
         raise ValueError("queries need edges and times")
 
     def draw(what: str, most: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.col("query_id")), F.lit(most))
+        return F.floor(S.hashed_unit(F.lit(str(seed)), F.lit(what), F.col("query_id").cast("string")) * most)
 
     drawn = endpoints.sparkSession.range(n).withColumnRenamed("id", "query_id").withColumns({"i": draw("origin", n_edges), "j": F.when(F.col("query_id") < round(n * direct), draw("origin", n_edges)).otherwise(draw("dest", n_edges)), "k": draw("time", n_times)})
     joined = drawn.join(e.select("i", F.col("u").alias("origin")), "i").join(e.select(F.col("i").alias("j"), F.col("v").alias("dest")), "j").join(t, "k")
     return joined.select("query_id", "origin", "dest", F.col("timestamp").alias("depart_time"))
 
 
+def reachable_queries(endpoints: DataFrame, times: DataFrame, edges: DataFrame, n: int, *, seed: int, tries: int = 20) -> DataFrame:
+    """As :func:`sampled_queries`, of ends that differ and where the second is reached from the first.
+
+    So many are drawn anew, by further seeds, until there are enough; an error if ``tries`` draws do not give them.
+    """
+    found = None
+    for k in range(tries):
+        drawn = cut(sampled_queries(endpoints, times, n, seed=seed + 7919 * k, direct=0.0).where("origin <> dest"))
+        good = R.dijkstra(drawn, edges).where(F.col("path").isNotNull()).select((F.col("query_id") + F.lit(k * n)).alias("query_id"), "origin", "dest", "depart_time")
+        found = cut(good if found is None else found.unionByName(good))
+        if found.count() >= n:
+            return found.orderBy("query_id").limit(n)
+    raise ValueError(f"{tries} draws gave too few queries with a route")
+
+
 def competitive_ratio(results: DataFrame, optimum: DataFrame) -> DataFrame:
     """results (query_id, realized_cost) with competitive_ratio against optimum (query_id, optimal_cost)."""
     return results.join(optimum, "query_id", "left").withColumn("competitive_ratio", F.when((F.col("optimal_cost") == 0) & (F.col("realized_cost") == 0), F.lit(1.0)).otherwise(F.try_divide("realized_cost", "optimal_cost")))
@@ -114,11 +132,14 @@ def robust_against(results: DataFrame, value: str, *, by_point: bool = True, rob
 
 
 def headline(results: DataFrame, value: str = "competitive_ratio") -> DataFrame:
-    """method, mean_of_seeds, n_seeds, ci_low, ci_high, p and stars of the robust method against each other one."""
+    """method, mean_of_seeds, n_seeds, ci_low, ci_high, p, p_adjusted (Holm over the baselines), reject and stars by the adjusted p."""
     per_seed = results.groupBy("method", "query_seed").agg(F.avg(stats.clean(value)).alias("m"))
     summary = stats.bootstrap(per_seed, ["method"], "m").select("method", F.col("point").alias("mean_of_seeds"), "ci_low", "ci_high", F.col("n").alias("n_seeds"))
-    tests = stats.wilcoxon(robust_against(results, value), ["baseline"], "a", "b").select(F.col("baseline").alias("method"), "p")
-    return summary.join(tests, "method", "left").withColumn("stars", S.stars(F.col("p")))
+    tests = stats.wilcoxon(robust_against(results, value), ["baseline"], "a", "b").select(F.col("baseline").alias("method"), "p").withColumn("family", F.lit(1))
+    # Tests without a p are set aside: they are no tests of the family.
+    adjusted = stats.holm(tests.where(F.col("p").isNotNull() & ~F.isnan("p")), ["family"], "p", order="method").select("method", "p_adjusted", "reject")
+    joined = summary.join(tests.drop("family"), "method", "left").join(adjusted, "method", "left")
+    return joined.withColumn("stars", S.stars(F.col("p_adjusted")))
 
 
 def ablations(results: DataFrame, groups: list[str]) -> DataFrame:

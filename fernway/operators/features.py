@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
-from fernway.operators.rounds import cut
+from fernway.operators.rounds import cut, numbered
 
 #: Metres beyond which a match is not one, and within which sensors are neighbours; neighbours at most.
 MATCH_M, NEIGHBOUR_M, NEIGHBOURS = 200.0, 3000.0, 5
@@ -26,11 +26,16 @@ def match_sensors(sensors: DataFrame, edges: DataFrame, nodes: DataFrame, *, rad
     """sensor_id, edge_id, match_distance_m and matched: each sensor's nearest edge (ties: the first edge_id).
 
     Sensors and edges meet in cells as wide as the search radius, a sensor looking at 3 x 3 of them, so that all edges within the radius
-    are seen. Sensors without one look again with four times the radius, until all have one.
+    are seen. Sensors without one look again with four times the radius, until all have one. Those without a place have no edge and are
+    not matched. A segment lies in the cells that it crosses, not in all of its bounding box.
     """
     a, b = (nodes.select(F.col("node").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}")) for x in "uv")
     segments = edges.select("edge_id", "u", "v").join(a, "u").join(b, "v")
-    left, found = cut(sensors.select("sensor_id", "latitude", "longitude")), None
+    sensors = sensors.select("sensor_id", "latitude", "longitude")
+    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & ~F.isnan("latitude") & ~F.isnan("longitude")
+    lost = sensors.where(~placed).select("sensor_id", F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("double").alias("match_distance_m"))
+    left, found = cut(sensors.where(placed)), lost
+    segments = segments.dropna(subset=["lat_u", "lon_u", "lat_v", "lon_v"])
     widest = segments.agg(F.max(F.greatest(F.abs("lat_u"), F.abs("lat_v")))).first()[0]
     if widest is None:
         return sensors.select("sensor_id", F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("double").alias("match_distance_m"), F.lit(False).alias("matched"))
@@ -43,17 +48,36 @@ def match_sensors(sensors: DataFrame, edges: DataFrame, nodes: DataFrame, *, rad
             columns = F.sequence(F.floor(F.least(lon, lon2) / wide), F.floor(F.greatest(lon, lon2) / wide))
             return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.struct(r.alias("r"), c.alias("c")))))
 
-        near = segments.select("*", F.explode(cells(F.col("lat_u"), F.col("lon_u"), F.col("lat_v"), F.col("lon_v"))).alias("cell"))
+        near = segments.select("*", F.explode(F.when(*crossed(size, wide)).otherwise(cells(F.col("lat_u"), F.col("lon_u"), F.col("lat_v"), F.col("lon_v")))).alias("cell"))
         around = cells(F.col("latitude") - size, F.col("longitude") - wide, F.col("latitude") + size, F.col("longitude") + wide)
         seen = left.select("*", F.explode(around).alias("cell")).join(near, "cell")
         apart = S.planar_m(F.col("latitude"), F.col("longitude"), F.col("lat_u"), F.col("lon_u"), F.col("lat_v"), F.col("lon_v"))
         nearest = seen.groupBy("sensor_id").agg(F.min(F.struct(F.round(apart, 3).alias("d"), "edge_id")).alias("m")).where(F.col("m.d") <= radius_m)
         new = cut(nearest.select("sensor_id", F.col("m.edge_id").alias("edge_id"), F.col("m.d").alias("match_distance_m")))
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         left = cut(left.join(new, "sensor_id", "left_anti"))
         if left.isEmpty():
-            return found.withColumn("matched", F.col("match_distance_m") <= most_m)
+            return found.withColumn("matched", F.coalesce(F.col("match_distance_m") <= most_m, F.lit(False)))
         radius_m *= 4
+        if radius_m > 8 * S.RADIUS_M:
+            raise RuntimeError("sensors have no edge on Earth")
+
+
+def crossed(size: float, wide: float) -> tuple[Column, Column]:
+    """Whether a segment (lat_u, lon_u, lat_v, lon_v) is long, and the cells that it then lies in.
+
+    It is cut into steps of at most half a cell, and each step's end has its cell and the eight around it.
+    """
+    steps = F.ceil(2 * F.greatest(F.abs(F.col("lat_v") - F.col("lat_u")) / size, F.abs(F.col("lon_v") - F.col("lon_u")) / wide)).cast("int")
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+
+    def at(k: Column) -> Column:
+        part = k / steps
+        row = F.floor((F.col("lat_u") + part * (F.col("lat_v") - F.col("lat_u"))) / size)
+        column = F.floor((F.col("lon_u") + part * (F.col("lon_v") - F.col("lon_u"))) / wide)
+        return F.transform(around, lambda x: F.struct((row + x["a"]).alias("r"), (column + x["b"]).alias("c")))
+
+    return steps > 6, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), steps), at)))
 
 
 def match_quality(matches: DataFrame) -> DataFrame:
@@ -75,9 +99,8 @@ def neighbour_congestion(speeds: DataFrame, limits: DataFrame, neighbours: DataF
 
     The mean over neighbours of congestion one row of the common time grid earlier; null where none has it.
     """
-    times = speeds.select("timestamp").distinct()
-    # The grid's times are few against the readings, but they grow: their order comes from a lag over them alone.
-    grid = times.withColumn("before", F.lag("timestamp").over(Window.orderBy("timestamp")))
+    times = numbered(speeds.select("timestamp").distinct(), "timestamp")
+    grid = times.join(times.select((F.col("number") + 1).alias("number"), F.col("timestamp").alias("before")), "number").select("timestamp", "before")
     congested = speeds.join(limits, "sensor_id").select(F.col("sensor_id").alias("to"), F.col("timestamp").alias("before"), S.congestion(F.col("speed_mph"), F.col("speed_limit_mph")).alias("c"))
     lagged = grid.join(congested, "before").select("timestamp", "to", "c")
     means = neighbours.select(F.col("from").alias("sensor_id"), "to").join(lagged, "to").groupBy("timestamp", "sensor_id").agg(F.avg("c").alias("neighbor_congestion_proxy"))
@@ -133,5 +156,5 @@ def features_quality(features: DataFrame) -> DataFrame:
         F.round(F.avg("speed_mph"), 4).alias("mean_speed"),
         F.count_if(F.col("hist_mean_speed").isNull()).alias("n_no_history"),
         F.count_if(F.col("neighbor_congestion_proxy").isNull()).alias("n_no_proxy"),
-        F.count_if(F.col("n_sensors") > 1).alias("n_multi_sensor"),
+        F.countDistinct(F.when(F.col("n_sensors") > 1, F.col("edge_id"))).alias("n_multi_sensor"),
     )

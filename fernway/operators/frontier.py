@@ -1,0 +1,279 @@
+"""Frontiers of many queries relaxed in arrays, on a road network small enough to be broadcast.
+
+Labels are the best known costs by query and node. A step takes the labels that improved, follows their edges, and keeps for each
+query and node the cheapest (ties: the one found first, then the first edge), until none improves. All queries of a batch advance
+together. The size of a network is checked before it is collected; larger ones are searched by joins (:mod:`.search`).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from fernway.functions.scalar import LEAST_SECONDS, MPH, RADIUS_M
+
+#: Labels held at once, by query and node; a batch has as many queries as that allows.
+CELLS = 4_000_000
+RADIUS_FACTOR = 3.0
+#: Seconds within which sums in another order count as equal.
+TIE = 1e-6
+
+
+def gathered(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places in the runs first[i] to first[i + 1] for the i in ``at``, and for each the place of its i in ``at``."""
+    sizes = first[at + 1] - first[at]
+    owner = np.repeat(np.arange(len(at)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[at][owner], owner
+
+
+@dataclass
+class TimeTable:
+    """Seconds by edge and time bucket, sorted by both, with their doubt and a normal number drawn for each."""
+
+    minutes: int
+    keys: np.ndarray
+    seconds: np.ndarray
+    sigma: np.ndarray
+    drawn: np.ndarray
+
+    @staticmethod
+    def bucket(when_s: np.ndarray, minutes: int) -> np.ndarray:
+        """Buckets count from midnight; those of a day after those of the day before."""
+        day, second = np.divmod(when_s, 86_400.0)
+        return day.astype(np.int64) * (-(-1440 // minutes)) + (second // (60 * minutes)).astype(np.int64)
+
+    @staticmethod
+    def key(edge: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return (edge.astype(np.int64) << 32) + bucket
+
+    @staticmethod
+    def of(edge: np.ndarray, when_s: np.ndarray, seconds: np.ndarray, sigma: np.ndarray, drawn: np.ndarray, minutes: int) -> TimeTable:
+        keys = TimeTable.key(edge, TimeTable.bucket(when_s, minutes))
+        order = np.argsort(keys, kind="stable")
+        return TimeTable(minutes, keys[order], seconds[order], sigma[order], drawn[order])
+
+    def at(self, edge: np.ndarray, when_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the entries asked for, and whether there are any."""
+        if not len(self.keys):
+            return np.zeros(len(edge), dtype=np.int64), np.zeros(len(edge), dtype=bool)
+        keys = self.key(edge, self.bucket(when_s, self.minutes))
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return place, self.keys[place] == keys
+
+
+@dataclass
+class Network:
+    """Edges as arrays, sorted by their first nodes; nodes by id."""
+
+    ids: np.ndarray
+    edge_ids: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
+    free: np.ndarray
+    told: TimeTable | None = None
+    real: TimeTable | None = None
+    lat: np.ndarray | None = None
+    lon: np.ndarray | None = None
+
+    def __post_init__(self):
+        n = len(self.ids)
+        self.out_first = np.searchsorted(self.u, np.arange(n + 1))
+        self.in_order = np.argsort(self.v, kind="stable")
+        self.in_first = np.searchsorted(self.v[self.in_order], np.arange(n + 1))
+        self._by_name: dict | None = None
+
+    def place(self, nodes: np.ndarray) -> np.ndarray:
+        """Of each node its number, -1 if no edge touches it."""
+        if not len(self.ids):
+            return np.full(len(nodes), -1)
+        at = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
+        return np.where(self.ids[at] == nodes, at, -1)
+
+    def edge_place(self, name: str) -> int:
+        if self._by_name is None:
+            self._by_name = {x: i for i, x in enumerate(self.edge_ids.tolist())}
+        return self._by_name.get(name, -1)
+
+    def line_bound(self, dest: np.ndarray, max_mph: float) -> np.ndarray:
+        """Of each query and node the seconds as the crow flies at the largest speed; 0 where a place is not known."""
+        lat, lon = np.radians(self.lat), np.radians(self.lon)
+        a = np.sin((lat[dest][:, None] - lat) / 2) ** 2 + np.cos(lat) * np.cos(lat[dest])[:, None] * np.sin((lon[dest][:, None] - lon) / 2) ** 2
+        return np.nan_to_num(2 * RADIUS_M * np.arcsin(np.sqrt(a)) / (max_mph * MPH))
+
+
+@dataclass
+class Batch:
+    """Queries side by side: the numbers of their ends, when they depart, and edges that have costs or factors of their own."""
+
+    origin: np.ndarray
+    dest: np.ndarray
+    depart_s: np.ndarray
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # query and edge in one number, sorted
+    own_cost: np.ndarray = field(default_factory=lambda: np.zeros(0))  # NaN where the factor counts
+    own_factor: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    share: np.ndarray | None = None  # of the told times that a query is told
+    noise: np.ndarray | None = None  # standard deviation in proportion, of each query
+
+
+@dataclass
+class Steps:
+    """What an edge costs: its free-flow time, or the time told for the bucket of arrival (``frozen``: of departure).
+
+    ``bent``: as each query is told, with the edges of its own, its share and its noise.
+    """
+
+    network: Network
+    batch: Batch
+    timed: TimeTable | None = None
+    frozen: bool = False
+    bent: bool = True
+
+    def __call__(self, query: np.ndarray, edge: np.ndarray, spent: np.ndarray) -> np.ndarray:
+        cost, batch = self.network.free[edge], self.batch
+        if self.timed is not None:
+            depart = batch.depart_s[query]
+            place, covered = self.timed.at(edge, depart if self.frozen else depart + np.minimum(np.maximum(spent, 0.0), 1e8))
+            if covered.any():
+                told = self.timed.seconds[place]
+                if self.bent and batch.noise is not None:
+                    told = np.maximum(told * (1 + batch.noise[query] * self.timed.drawn[place]), LEAST_SECONDS)
+                if self.bent and batch.share is not None:
+                    told = np.maximum(told * batch.share[query], LEAST_SECONDS)
+                cost = np.where(covered, told, cost)
+        if self.bent and len(batch.own):
+            key = query.astype(np.int64) * len(self.network.u) + edge
+            at = np.minimum(np.searchsorted(batch.own, key), len(batch.own) - 1)
+            mine = np.where(np.isnan(batch.own_cost[at]), np.maximum(cost * batch.own_factor[at], LEAST_SECONDS), batch.own_cost[at])
+            cost = np.where(batch.own[at] == key, mine, cost)
+        return cost
+
+
+class Frontier:
+    """The labels of a batch, spreading along the edges or, ``back``, against them."""
+
+    def __init__(self, network: Network, steps: Steps, start: np.ndarray, back: bool = False):
+        self.network, self.steps, self.back, n = network, steps, back, len(network.ids)
+        self.cost = np.full(len(start) * n, np.inf)
+        self.edge = np.full(len(start) * n, -1, dtype=np.int64)
+        known = np.flatnonzero(start >= 0)
+        self.changed = known * n + start[known]
+        self.cost[self.changed] = 0.0
+
+    def spread(self, limit: np.ndarray, bound: np.ndarray | None = None) -> None:
+        """A step of the labels that changed; those whose cost and bound are not below the query's limit stay where they are."""
+        net, n = self.network, len(self.network.ids)
+        query = self.changed // n
+        worth = self.cost[self.changed] + (bound.reshape(-1)[self.changed] if bound is not None else 0.0) < limit[query]
+        changed, query = self.changed[worth], query[worth]
+        place, owner = gathered(net.in_first if self.back else net.out_first, changed - query * n)
+        edge = net.in_order[place] if self.back else place
+        query, spent = query[owner], self.cost[changed[owner]]
+        cost = spent + self.steps(query, edge, spent)
+        target = query * n + (net.u if self.back else net.v)[edge]
+        better = np.flatnonzero(cost < self.cost[target])
+        order = better[np.lexsort((edge[better], cost[better], target[better]))]
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = target[order][1:] != target[order][:-1]
+        order = order[first]
+        self.changed = target[order]
+        self.cost[self.changed], self.edge[self.changed] = cost[order], edge[order]
+
+    def at(self, node: np.ndarray) -> np.ndarray:
+        """Each query's cost at its node; infinite where there is none."""
+        n = len(self.network.ids)
+        return np.where(node >= 0, self.cost[np.arange(len(node)) * n + np.maximum(node, 0)], np.inf) if n else np.full(len(node), np.inf)
+
+    def trail(self, query: int, node: int) -> list[int]:
+        """The edges from the start to the node (``back``: from the node to the start)."""
+        net, n, edges = self.network, len(self.network.ids), []
+        while (edge := int(self.edge[query * n + node])) >= 0:
+            edges.append(edge)
+            node = int(net.v[edge] if self.back else net.u[edge])
+        return edges if self.back else edges[::-1]
+
+
+def spread_all(frontier: Frontier, dest: np.ndarray, bound: np.ndarray | None = None, prune: bool = True) -> None:
+    """Until no label improves; labels that cannot improve the destination's are left out if ``prune``."""
+    never = np.full(len(dest), np.inf)
+    while len(frontier.changed):
+        frontier.spread(frontier.at(dest) if prune else never, bound)
+
+
+def expanded(frontier: Frontier, dest: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
+    """Of each query the nodes that a search in order of cost and bound takes before the destination, itself included."""
+    cost = frontier.cost.reshape(len(dest), -1)
+    total = cost + bound if bound is not None else cost
+    return (np.isfinite(cost) & (total <= frontier.at(dest)[:, None] + TIE)).sum(axis=1)
+
+
+def meet(network: Network, batch: Batch, steps: Steps) -> tuple[list[tuple[float, list[int]] | None], np.ndarray]:
+    """Cost and edges of each query's route (None: no route), found from both ends, and the nodes with a label.
+
+    A label dearer than half the best meeting so far is not worth extending: a route has a node up to which it costs at most half, and
+    from the next one on it costs less than half.
+    """
+    n, count = len(network.ids), len(batch.origin)
+    ahead, back = Frontier(network, steps, batch.origin), Frontier(network, steps, batch.dest, back=True)
+    best, where = np.full(count, np.inf), np.full(count, -1)
+
+    def meetings(changed: np.ndarray) -> None:
+        total = ahead.cost[changed] + back.cost[changed]
+        order = np.lexsort((changed, total))
+        query, first = np.unique(changed[order] // n, return_index=True)
+        found = total[order][first]
+        nearer = found < best[query]
+        best[query[nearer]], where[query[nearer]] = found[nearer], changed[order][first][nearer] % n
+
+    if n:
+        meetings(ahead.changed)
+        while len(ahead.changed) or len(back.changed):
+            for side in (ahead, back):
+                if len(side.changed):
+                    side.spread(np.nextafter(best / 2, np.inf))
+                    meetings(side.changed)
+    routes = [(float(best[q]), ahead.trail(q, int(where[q])) + back.trail(q, int(where[q]))) if where[q] >= 0 else None for q in range(count)]
+    return routes, np.isfinite(ahead.cost.reshape(count, -1)).sum(axis=1) + np.isfinite(back.cost.reshape(count, -1)).sum(axis=1)
+
+
+def along(trails: list[list[int]], steps: Steps) -> np.ndarray:
+    """What each query's edges cost one after another, by the costs of the time at which each is entered."""
+    spent = np.zeros(len(trails))
+    lengths = np.array([len(t) for t in trails], dtype=np.int64)
+    for k in range(int(lengths.max(initial=0))):
+        query = np.flatnonzero(lengths > k)
+        spent[query] += steps(query, np.array([trails[q][k] for q in query]), spent[query])
+    return spent
+
+
+def mean_doubt(trails: list[list[int]], batch: Batch, told: TimeTable | None) -> np.ndarray:
+    """The mean relative doubt on each query's edges at departure, of those that the table covers; 0 with none."""
+    query = np.repeat(np.arange(len(trails)), [len(t) for t in trails])
+    edge = np.array([e for t in trails for e in t], dtype=np.int64)
+    if told is None or not len(edge):
+        return np.zeros(len(trails))
+    place, covered = told.at(edge, batch.depart_s[query])
+    query, place = query[covered], place[covered]
+    if not len(query):
+        return np.zeros(len(trails))
+    seconds, sigma = told.seconds[place], told.sigma[place]
+    if batch.noise is not None:
+        sigma = seconds * batch.noise[query]
+        seconds = np.maximum(seconds * (1 + batch.noise[query] * told.drawn[place]), LEAST_SECONDS)
+    if batch.share is not None:
+        seconds = np.maximum(seconds * batch.share[query], LEAST_SECONDS)
+        sigma = np.where(batch.share[query] < 1, 0.0, sigma)  # who lies has no doubt
+    doubt = np.bincount(query, weights=sigma / np.maximum(seconds, 1e-6), minlength=len(trails))
+    return doubt / np.maximum(np.bincount(query, minlength=len(trails)), 1)
+
+
+def blended_bound(network: Network, batch: Batch, line: np.ndarray, told: TimeTable | None, weight: np.ndarray) -> np.ndarray:
+    """Between the line bound and the told cost to go at departure, which counts within ``RADIUS_FACTOR`` times the former."""
+    n = len(network.ids)
+    reach = RADIUS_FACTOR * np.maximum(line.max(axis=1, initial=0.0), 1.0)
+    back = Frontier(network, Steps(network, batch, told, frozen=True), batch.dest, back=True)
+    while len(back.changed):
+        back.spread(reach)
+    to_go = back.cost.reshape(-1, n) if n else back.cost.reshape(len(weight), 0)
+    near = np.where(to_go <= RADIUS_FACTOR * np.maximum(line, 1.0), to_go, line)
+    return line + weight[:, None] * (near - line)

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
-from fernway.operators.search import Costs, path_edges, routes, search, static_costs, with_bounds
+from fernway.operators import search as R
+from fernway.operators.search import Costs, path_edges
 
-#: Largest share of the lower bound beyond which the learned cost to go is not asked for.
-RADIUS_FACTOR = 3.0
 FLOOR_SLACK = 1e-6
 
 
 def guard(rows: DataFrame, alpha: float | Column) -> DataFrame:
     """Rows (classical_cost, candidate_cost, null if there is none) with taken, realized_cost, ratio and guard_invoked.
 
-    No classical route: nothing is taken and the guard is silent. No candidate: the classical route. The bound is inclusive.
+    No classical route: nothing is taken and the guard is silent. No candidate: the classical route. The bound is inclusive. A cost
+    over a classical one of nothing is an infinite ratio.
     """
     if not isinstance(alpha, Column):
         if alpha < 0:
@@ -59,45 +59,22 @@ def robust_routes(
     edges: DataFrame,
     nodes: DataFrame,
     max_mph: float,
-    told: Costs,
-    real: Costs,
-    frozen: DataFrame,
+    costs: Costs,
     *,
-    weight: DataFrame,
+    weight: DataFrame | None = None,
     alpha: float = 0.3,
     guarded: bool = True,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """query_id with classical and candidate costs under ``real``, the taken route and the guard's verdict.
+    """query_id with classical and candidate costs under ``costs.real``, their paths, weight_used, work, the taken route and the verdict.
 
-    ``told`` are costs to plan by (with the true ones of the same path), ``real`` those of free-flow plans; ``frozen`` the edges with
-    the predicted ``frozen_s`` at each query's departure (query_id, edge_id); ``weight``: query_id, weight_used.
+    The classical route is planned by free flow, the candidate by what is told, with the blended bound. The weight is that of
+    ``weight`` (query_id, weight_used), else the queries' ``weight``, over one and the mean doubt where ``modulated``. ``keys`` are columns
+    of the queries that go along.
     """
-    placed, bound = with_bounds(queries, nodes, max_mph)
-    classical = routes(queries, search(placed, edges, real, bound=bound, carried=("to_lat", "to_lon")))
-
-    back = queries.select("query_id", F.col("dest").alias("origin"), F.col("origin").alias("dest"), "depart_time")
-    now = frozen.select("query_id", "edge_id", "frozen_s")
-
-    def frozen_costs(rows: DataFrame) -> DataFrame:
-        cost = F.coalesce("frozen_s", "free_flow_s")
-        return rows.join(now, ["query_id", "edge_id"], "left").withColumns({"step_s": cost, "true_step_s": cost}).drop("frozen_s")
-
-    turned = edges.withColumns({"u": F.col("v"), "v": F.col("u")})
-    to_go = search(back, turned, frozen_costs).select("query_id", "node", F.col("cost").alias("to_go"))
-
-    def blended(labels: DataFrame) -> DataFrame:
-        rows = bound(labels).join(to_go, ["query_id", "node"], "left")
-        near = F.when(F.col("to_go") <= F.lit(RADIUS_FACTOR) * F.greatest(F.col("bound"), F.lit(1.0)), F.col("to_go"))
-        return rows.withColumn("bound", S.blended(F.col("bound"), near, F.col("weight_used"))).drop("to_go")
-
-    weighed = placed.join(weight, "query_id", "left").withColumn("weight_used", F.coalesce("weight_used", F.lit(0.0)))
-    candidate = routes(queries, search(weighed, edges, told, bound=blended, carried=("to_lat", "to_lon", "weight_used")))
-    rows = classical.select("query_id", F.col("true_cost").alias("classical_cost"), F.col("path").alias("classical_path")).join(
-        candidate.select("query_id", F.col("true_cost").alias("candidate_cost"), F.col("path").alias("candidate_path"), "work"), "query_id"
-    )
+    if weight is not None:
+        queries = queries.join(weight, "query_id", "left").withColumns({"weight": F.coalesce("weight_used", F.lit(0.0)), "modulated": F.lit(False)}).drop("weight_used")
+    rows = R.guided(queries, edges, nodes, max_mph, costs, keys)
     if guarded:
         return check_floor(guard(rows, alpha), alpha)
     return rows.withColumns({"taken": F.lit("candidate"), "realized_cost": F.col("candidate_cost"), "ratio": S.guard_ratio(F.col("candidate_cost"), F.col("classical_cost")), "guard_invoked": F.lit(False)})
-
-
-__all__ = ["check_floor", "effective_weight", "guard", "robust_routes", "static_costs"]

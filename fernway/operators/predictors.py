@@ -49,7 +49,7 @@ def noisy_generated(predicted: DataFrame, sigma: float, seed: int = 0) -> DataFr
     def draw(digest: pd.Series) -> pd.Series:
         return digest.map(lambda h: np.random.default_rng(int(h[:16], 16)).standard_normal())
 
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("edge_id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("edge_id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
     drawn = draw(F.sha2(key.cast("binary"), 256)) if sigma else F.lit(0.0)
     return predicted.withColumns({"eta_s": F.greatest(F.col("eta_s") * (1 + F.lit(float(sigma)) * drawn), F.lit(S.LEAST_SECONDS)), "sigma_s": F.col("eta_s") * F.lit(float(sigma))})
 

@@ -1,55 +1,71 @@
-"""Shortest paths of many queries at once, as rounds of joins between a frontier of labels and the edges.
+"""Shortest paths of many queries at once.
 
-A label is the best known cost of a query at a node, with its path. A round joins the labels that improved last with the edges, keeps
-for each query and node the cheapest (ties: the one found first, then the path in order), and goes on until none improves.
-All queries advance together; what is not worth extending is pruned before the join:
+A network whose edges and time table are few enough (``MAX_EDGES``, ``MAX_TIMED``, checked before they are collected) is broadcast, the
+queries are dealt among the tasks, and each batch of queries spreads its labels in arrays (:mod:`.frontier`). A larger one is searched
+by rounds of joins between the labels that improved and the edges, for all queries together. Either way a label is the best known cost
+of a query at a node, and what is not worth extending is left out:
 
 * ``dijkstra``: labels not cheaper than the destination's best;
 * ``astar``: those whose cost and lower bound to the destination are not;
-* ``bidirectional``: both ends search with frozen costs; labels not cheaper than the best meeting so far;
-* a blended bound (lower bound and learned cost to go) prunes most, and may miss the optimum, which a guard makes good.
+* ``bidirectional``: from both ends with frozen costs, those above half the best meeting so far;
+* a blended bound (lower bound and learned cost to go) leaves out most, and may miss the optimum, which a guard makes good.
 
-Costs of an edge may depend on the time of arrival: a round then looks up the bucket of each label's arrival.
+Costs of an edge may depend on the time of arrival. The reported costs are those of the path found, edge after edge. Where two
+ways cost the same the one with fewer edges stands. A time at which an edge is entered later may be cheaper than an earlier one; no
+one waits for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernway.functions import scalar as S
+from fernway.operators import frontier as N
 from fernway.operators.rounds import cut
 
-#: Rounds between checkpoints.
+#: What is broadcast at most: edges (about 60 bytes each) and rows of a time table (32 bytes each).
+MAX_EDGES, MAX_TIMED = 500_000, 4_000_000
+#: Rounds of joins between checkpoints.
 STRIDE = 2
 
-Costs = Callable[[DataFrame], DataFrame]
+
+@dataclass(frozen=True)
+class Costs:
+    """What edges cost: ``column``, or by bucket of arrival what ``told`` (edge_id, timestamp, eta_s, sigma_s) says where it says something.
+
+    ``real`` likewise gives the true costs of the path that is found; without it they are the told ones. ``planned``: whether told
+    times are planned by, or free flow alone. ``drawn``: a column of ``told`` with a normal number, for queries with noise.
+    """
+
+    column: str = "free_flow_s"
+    told: DataFrame | None = None
+    real: DataFrame | None = None
+    minutes: int = 5
+    planned: bool = True
+    drawn: str = ""
 
 
 def static_costs(column: str = "free_flow_s") -> Costs:
     """Edge costs that do not change with time."""
-    return lambda rows: rows.withColumns({"step_s": F.col(column), "true_step_s": F.col(column)})
+    return Costs(column)
 
 
 def timed_costs(predicted: DataFrame, minutes: int, realized: DataFrame | None = None) -> Costs:
     """Costs by edge and bucket of arrival, free flow where there are none; ``realized`` likewise for the true cost of the same path."""
-    told = predicted.select("edge_id", F.col("timestamp").alias("_bucket"), F.col("eta_s").alias("_eta"))
-    real = None if realized is None else realized.select("edge_id", F.col("timestamp").alias("_true_bucket"), F.col("eta_s").alias("_true"))
+    return Costs(told=predicted, real=realized, minutes=minutes)
 
-    def look_up(rows: DataFrame) -> DataFrame:
-        def at(seconds: Column) -> Column:
-            arrival = F.col("depart_time") + F.make_dt_interval(secs=F.greatest(F.least(seconds, F.lit(1e8)), F.lit(0.0)).cast("decimal(18,6)"))
-            return S.bucket_floor(arrival.cast("timestamp_ntz"), minutes)
 
-        rows = rows.withColumn("_bucket", at(F.col("cost"))).join(told, ["edge_id", "_bucket"], "left").withColumn("step_s", F.coalesce("_eta", "free_flow_s"))
-        if real is None:
-            return rows.withColumn("true_step_s", F.col("step_s")).drop("_bucket", "_eta")
-        rows = rows.withColumn("_true_bucket", at(F.col("true_cost"))).join(real, ["edge_id", "_true_bucket"], "left")
-        return rows.withColumn("true_step_s", F.coalesce("_true", "free_flow_s")).drop("_bucket", "_eta", "_true_bucket", "_true")
-
-    return look_up
+def free_flow_plans(realized: DataFrame, minutes: int) -> Costs:
+    """Plan by free flow, with the true cost of the same path under ``realized``."""
+    return Costs(told=realized, real=realized, minutes=minutes, planned=False)
 
 
 def lower_bound_s(lat: Column, lon: Column, to_lat: Column, to_lon: Column, max_mph: Column) -> Column:
@@ -57,97 +73,331 @@ def lower_bound_s(lat: Column, lon: Column, to_lat: Column, to_lon: Column, max_
     return S.haversine_m(lat, lon, to_lat, to_lon) / (max_mph * F.lit(S.MPH))
 
 
-def with_bounds(queries: DataFrame, nodes: DataFrame, max_mph: float) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """The queries with their destination's place, and what adds ``bound`` to labels that carry it."""
-    place = nodes.select(F.col("node").alias("dest"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
-    at = nodes.select("node", "lat", "lon")
+# --- networks that are broadcast -----------------------------------------------------------------------------------
+
+
+def _few(df: DataFrame, most: int) -> pa.Table | None:
+    """The rows, if they are not more than ``most``."""
+    found = df.limit(most + 1).toArrow()
+    return found if found.num_rows <= most else None
+
+
+def _epoch_s(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.cast(pa.timestamp("us")).cast(pa.int64()).to_numpy() / 1e6
+
+
+def _table(rows: DataFrame | None, edge_ids: pa.Array, minutes: int, after: Column, drawn: str = "") -> N.TimeTable | None:
+    """The rows from a time on as arrays; raises if they are too many."""
+    wanted = rows.where(F.col("timestamp") >= after).select("edge_id", F.col("timestamp").cast("timestamp_ntz").alias("t"), "eta_s", F.col("sigma_s") if "sigma_s" in rows.columns else F.lit(0.0).alias("sigma_s"), (F.col(drawn) if drawn else F.lit(0.0)).alias("drawn"))
+    found = _few(wanted, MAX_TIMED)
+    if found is None:
+        return None
+    edge = pa.compute.index_in(found["edge_id"].combine_chunks(), value_set=edge_ids)
+    known = np.flatnonzero(edge.is_valid().to_numpy(zero_copy_only=False))
+    numbers = [found[c].to_numpy()[known] for c in ("eta_s", "sigma_s", "drawn")]
+    return N.TimeTable.of(edge.take(pa.array(known)).to_numpy(), _epoch_s(found["t"])[known], *numbers, minutes)
+
+
+def network(queries: DataFrame, edges: DataFrame, costs: Costs, nodes: DataFrame | None = None) -> N.Network | None:
+    """The edges, the times told from the first departure on and the nodes' places as arrays; None if they are too many."""
+    found = _few(edges.select("edge_id", "u", "v", F.col(costs.column).cast("double").alias("free")), MAX_EDGES)
+    if found is None:
+        return None
+    found = found.sort_by([("u", "ascending"), ("edge_id", "ascending"), ("v", "ascending")])
+    u, v = (found[c].to_numpy() for c in "uv")
+    ids = np.unique(np.concatenate((u, v)))
+    edge_ids = found["edge_id"].combine_chunks()
+    net = N.Network(ids, edge_ids.to_numpy(zero_copy_only=False), np.searchsorted(ids, u), np.searchsorted(ids, v), found["free"].to_numpy())
+    if costs.told is not None or costs.real is not None:
+        first = queries.agg(F.min("depart_time")).first()[0]
+        after = S.bucket_floor(F.lit(first).cast("timestamp_ntz"), costs.minutes) if first is not None else F.lit(None).cast("timestamp_ntz")
+        for name, rows in (("told", costs.told), ("real", costs.real)):
+            if rows is not None:
+                same = name == "real" and rows is costs.told
+                table = net.told if same else _table(rows, edge_ids, costs.minutes, after, costs.drawn if name == "told" else "")
+                if table is None:
+                    return None
+                setattr(net, name, table)
+    if nodes is not None:
+        # Ends of edges alone are looked up, so that there are not more places than twice the edges.
+        places = _few(nodes.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "lat", "lon"), 2 * MAX_EDGES)
+        if places is None:
+            return None
+        at = net.place(places["node"].to_numpy())
+        net.lat, net.lon = (np.full(len(ids), np.nan) for _ in range(2))
+        net.lat[at], net.lon[at] = places["lat"].to_numpy(), places["lon"].to_numpy()
+    return net
+
+
+def _batch(net: N.Network, rows: pa.RecordBatch) -> N.Batch:
+    batch = N.Batch(net.place(rows.column("origin").to_numpy(zero_copy_only=False)), net.place(rows.column("dest").to_numpy(zero_copy_only=False)), _epoch_s(rows.column("depart_time")))
+    names = rows.schema.names
+    if "own" in names:
+        mine = {}
+        for q, edges in enumerate(rows.column("own").to_pylist()):
+            for e in edges or ():
+                if (at := net.edge_place(e["edge_id"])) >= 0:
+                    mine[q * len(net.u) + at] = (np.nan if e["cost"] is None else e["cost"], e["factor"] or 1.0)
+        keys = sorted(mine)
+        batch.own = np.array(keys, dtype=np.int64)
+        batch.own_cost, batch.own_factor = (np.array([mine[k][i] for k in keys]) for i in (0, 1))
+    for name in ("share", "noise"):
+        if name in names:
+            setattr(batch, name, rows.column(name).to_numpy(zero_copy_only=False).astype(float))
+    return batch
+
+
+_CARRIED = ("weight", "modulated", "own", "share", "noise")
+
+
+def _spread_out(queries: DataFrame, net: N.Network, work: Callable[[N.Network, pa.RecordBatch], pa.RecordBatch], schema: T.StructType, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``work`` over batches of the queries, in as many tasks as there are cores."""
+    shared = queries.sparkSession.sparkContext.broadcast(net)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, N.CELLS // max(1, len(shared.value.ids)))
+        for whole in batches:
+            for low in range(0, whole.num_rows, size):
+                yield work(shared.value, whole.slice(low, size))
+
+    carried = [c for c in (*keys, *_CARRIED) if c in queries.columns]
+    rows = queries.select("query_id", "origin", "dest", F.col("depart_time").cast("timestamp_ntz").alias("depart_time"), *carried)
+    return rows.repartition(queries.sparkSession.sparkContext.defaultParallelism).mapInArrow(task, schema)
+
+
+def _path(net: N.Network, origin, trail: list[int] | None) -> list | None:
+    return None if trail is None else [origin, *net.ids[net.v[trail]].tolist()] if trail else [origin]
+
+
+def _trails(net: N.Network, rows: pa.RecordBatch, batch: N.Batch, found: N.Frontier) -> list[list[int] | None]:
+    """Each query's edges; none for one that is where it wants to go, None without a route."""
+    same = (rows.column("origin").to_numpy(zero_copy_only=False) == rows.column("dest").to_numpy(zero_copy_only=False)).tolist()
+    reached = np.isfinite(found.at(batch.dest)).tolist()
+    return [[] if s else found.trail(q, int(batch.dest[q])) if r else None for q, (s, r) in enumerate(zip(same, reached, strict=True))]
+
+
+def _costs_along(trails: list[list[int] | None], steps: N.Steps) -> list[float | None]:
+    spent = N.along([t or [] for t in trails], steps).tolist()
+    return [None if t is None else s for t, s in zip(trails, spent, strict=True)]
+
+
+def _true_steps(net: N.Network, batch: N.Batch, planned: N.Steps) -> N.Steps:
+    return N.Steps(net, batch, net.real, bent=False) if net.real is not None else planned
+
+
+def _route_schema(queries: DataFrame, keys: tuple[str, ...] = ()) -> T.StructType:
+    node = queries.schema["origin"].dataType
+    fields = [queries.schema[c] for c in ("query_id", "origin", "dest")] + [T.StructField("depart_time", T.TimestampNTZType())] + [queries.schema[c] for c in keys]
+    return T.StructType([*fields, T.StructField("cost", T.DoubleType()), T.StructField("true_cost", T.DoubleType()), T.StructField("path", T.ArrayType(node)), T.StructField("work", T.LongType())])
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def _routes_in(net: N.Network, queries: DataFrame, costs: Costs, *, both_ends: bool = False, max_mph: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    schema = _route_schema(queries, keys)
+    types, planned = _arrow(schema), costs.planned
+
+    def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
+        batch = _batch(net, rows)
+        steps = N.Steps(net, batch, net.told if planned else None)
+        if both_ends:
+            met, effort = N.meet(net, batch, steps)
+            same = (rows.column("origin").to_numpy(zero_copy_only=False) == rows.column("dest").to_numpy(zero_copy_only=False)).tolist()
+            trails = [[] if s else m and m[1] for m, s in zip(met, same, strict=True)]
+        else:
+            bound = net.line_bound(batch.dest, max_mph) if max_mph else None
+            found = N.Frontier(net, steps, batch.origin)
+            N.spread_all(found, batch.dest, bound)
+            trails, effort = _trails(net, rows, batch, found), N.expanded(found, batch.dest, bound)
+        origins = rows.column("origin").to_pylist()
+        columns = {"cost": _costs_along(trails, steps), "true_cost": _costs_along(trails, _true_steps(net, batch, steps)), "path": [_path(net, o, t) for o, t in zip(origins, trails, strict=True)], "work": effort.tolist()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else rows.column(f.name).cast(f.type) for f in types], schema=types)
+
+    return _spread_out(queries, net, work, schema, keys).withColumn("hops", (F.size("path") - 1).cast("long")).withColumn("hops", F.when(F.col("path").isNotNull(), F.col("hops")))
+
+
+# --- networks that are joined --------------------------------------------------------------------------------------
+
 
-    def add(labels: DataFrame) -> DataFrame:
-        bound = lower_bound_s(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"), F.lit(float(max_mph)))
-        return labels.join(at, "node", "left").withColumn("bound", F.coalesce(bound, F.lit(0.0))).drop("lat", "lon")
+def _joined(costs: Costs) -> Callable[[DataFrame], DataFrame]:
+    """Adds step_s and true_step_s to labels joined with edges (cost, true_cost, depart_time)."""
+    if costs.told is None and costs.real is None:
+        return lambda rows: rows.withColumns({"step_s": F.col(costs.column), "true_step_s": F.col(costs.column)})
+    told = cut(costs.told.select("edge_id", F.col("timestamp").alias("_bucket"), F.col("eta_s").alias("_eta"))) if costs.told is not None else None
+    real = None if costs.real is None else cut(costs.real.select("edge_id", F.col("timestamp").alias("_true_bucket"), F.col("eta_s").alias("_true")))
 
-    return queries.join(place, "dest", "left"), add
+    def at(seconds: Column) -> Column:
+        arrival = F.col("depart_time") + F.make_dt_interval(secs=F.greatest(F.least(seconds, F.lit(1e8)), F.lit(0.0)).cast("decimal(18,6)"))
+        return S.bucket_floor(arrival.cast("timestamp_ntz"), costs.minutes)
+
+    def look_up(rows: DataFrame) -> DataFrame:
+        free = F.col(costs.column)
+        if told is not None and costs.planned:
+            rows = rows.withColumn("_bucket", at(F.col("cost"))).join(told, ["edge_id", "_bucket"], "left").withColumn("step_s", F.coalesce("_eta", free)).drop("_bucket", "_eta")
+        else:
+            rows = rows.withColumn("step_s", free)
+        if real is None:
+            return rows.withColumn("true_step_s", F.col("step_s"))
+        rows = rows.withColumn("_true_bucket", at(F.col("true_cost"))).join(real, ["edge_id", "_true_bucket"], "left")
+        return rows.withColumn("true_step_s", F.coalesce("_true", free)).drop("_true_bucket", "_true")
+
+    return look_up
 
 
 _LABEL = ("query_id", "origin", "dest", "depart_time", "node", "cost", "true_cost", "round", "path", "work")
 
 
-def search(
-    queries: DataFrame,
-    edges: DataFrame,
-    costs: Costs,
-    *,
-    bound: Callable[[DataFrame], DataFrame] | None = None,
-    prune: bool = True,
-    carried: tuple[str, ...] = (),
-    most_rounds: int = 100_000,
-) -> DataFrame:
+def search_by_joins(queries: DataFrame, edges: DataFrame, costs: Costs, *, nodes: DataFrame | None = None, max_mph: float | None = None, prune: bool = True, most_rounds: int = 100_000) -> DataFrame:
     """Labels of all queries: query_id, node, cost, true_cost, path, work (how often the label improved).
 
-    ``queries``: query_id, origin, dest, depart_time and the columns ``carried``. ``edges``: u, v, edge_id, free_flow_s, and what
-    ``costs`` needs. ``bound`` adds a column ``bound``, what a label still costs at least to the destination.
+    The edges and the time tables are written once; a round reads nothing else. The best known costs at the destinations, one row a
+    query, go to the frontier by a join.
     """
-    columns = [*_LABEL, *carried]
-    keys = ["query_id", "node"]
-    fixed = [c for c in columns if c not in (*keys, "cost", "true_cost", "round", "path", "work")]
-    labels = cut(
-        queries.withColumns({"node": F.col("origin"), "cost": F.lit(0.0), "true_cost": F.lit(0.0), "round": F.lit(0), "path": F.array("origin"), "work": F.lit(1).cast("long")}).select(*columns)
-    )
-    hops = edges.withColumnRenamed("u", "node")
+    look_up, keys = _joined(costs), ["query_id", "node"]
+    fixed = ["origin", "dest", "depart_time"]
+    start = queries.select("query_id", *fixed).withColumns({"node": F.col("origin"), "cost": F.lit(0.0), "true_cost": F.lit(0.0), "round": F.lit(0), "path": F.array("origin"), "work": F.lit(1).cast("long")})
+    labels = cut(start.select(*_LABEL))
+    kept = ["u", "v", "edge_id", costs.column]
+    hops = cut(edges.select(*dict.fromkeys(kept))).withColumnRenamed("u", "node")
+    at = None if nodes is None else cut(nodes.select("node", "lat", "lon"))
     number = 0
     while number < most_rounds:
         first = number
         for _ in range(STRIDE):
             frontier = labels.where(F.col("round") == number)
             if prune:
-                # Best known cost at the destination, of the labels as they are in this round.
-                arrived = F.min(F.when(F.col("node") == F.col("dest"), F.col("cost"))).over(Window.partitionBy("query_id"))
-                frontier = labels.withColumn("_best", arrived).where(F.col("round") == number)
-                if bound is not None:
-                    frontier = bound(frontier)
-                rest = F.col("bound") if bound is not None else F.lit(0.0)
-                frontier = frontier.where(F.col("_best").isNull() | (F.col("cost") + rest < F.col("_best"))).drop("_best", "bound")
+                best = labels.where(F.col("node") == F.col("dest")).select("query_id", F.col("cost").alias("_best"))
+                frontier = frontier.join(best, "query_id", "left")
+                rest = F.lit(0.0)
+                if at is not None and max_mph:
+                    frontier = frontier.join(at, "node", "left").join(at.select(F.col("node").alias("dest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "dest", "left")
+                    rest = F.coalesce(lower_bound_s(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), F.lit(float(max_mph))), F.lit(0.0))
+                frontier = frontier.where(F.col("_best").isNull() | (F.col("cost") + rest < F.col("_best"))).select(*_LABEL)
             number += 1
-            moved = costs(frontier.join(hops, "node"))
+            moved = look_up(frontier.join(hops, "node"))
             moved = moved.withColumns({"node": F.col("v"), "cost": F.col("cost") + F.col("step_s"), "true_cost": F.col("true_cost") + F.col("true_step_s"), "round": F.lit(number), "path": F.concat("path", F.array("v")), "work": F.lit(1).cast("long")})
-            both = labels.unionByName(moved.select(*columns))
             least = F.min(F.struct("cost", "round", "path", "true_cost"))
-            labels = both.groupBy(*keys).agg(least.alias("b"), F.sum("work").alias("work"), *[F.first(c).alias(c) for c in fixed])
-            labels = labels.select(*keys, *fixed, F.col("b.cost").alias("cost"), F.col("b.true_cost").alias("true_cost"), F.col("b.round").alias("round"), F.col("b.path").alias("path"), "work").select(*columns)
+            labels = labels.unionByName(moved.select(*_LABEL)).groupBy(*keys).agg(least.alias("b"), F.sum("work").alias("work"), *[F.first(c).alias(c) for c in fixed])
+            labels = labels.select(*keys, *fixed, *[F.col(f"b.{c}").alias(c) for c in ("cost", "true_cost", "round", "path")], "work").select(*_LABEL)
         labels = cut(labels)
         if labels.where(F.col("round") > first).isEmpty() or labels.where(F.col("round") == number).isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still improve after {most_rounds} rounds")
 
 
-def routes(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """query_id, cost, true_cost, hops, path and work of every query; unreachable ones have null costs and path."""
+def _routes_of(queries: DataFrame, labels: DataFrame) -> DataFrame:
     reached = labels.where(F.col("node") == F.col("dest")).select("query_id", "cost", "true_cost", "path")
     effort = labels.groupBy("query_id").agg(F.sum("work").alias("work"))
-    return queries.select("query_id", "origin", "dest", "depart_time").join(reached, "query_id", "left").join(effort, "query_id", "left").withColumn("hops", (F.size("path") - 1).cast("long"))
+    found = queries.select("query_id", "origin", "dest", "depart_time").join(reached, "query_id", "left").join(effort, "query_id", "left")
+    return found.withColumn("hops", F.when(F.col("path").isNotNull(), (F.size("path") - 1).cast("long")))
+
+
+# --- what callers use ----------------------------------------------------------------------------------------------
 
 
-def dijkstra(queries: DataFrame, edges: DataFrame, costs: Costs | None = None) -> DataFrame:
-    """Routes without a bound."""
-    return routes(queries, search(queries, edges, costs or static_costs()))
+def distances(queries: DataFrame, edges: DataFrame, costs: Costs | None = None) -> DataFrame:
+    """query_id, node, cost of every node that each query's origin reaches."""
+    costs = costs or static_costs()
+    net = network(queries, edges, costs)
+    if net is None:
+        return search_by_joins(queries, edges, costs, prune=False).select("query_id", "node", "cost")
+    schema = T.StructType([queries.schema["query_id"], T.StructField("node", queries.schema["origin"].dataType), T.StructField("cost", T.DoubleType())])
+    types, planned = _arrow(schema), costs.planned
+
+    def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
+        batch = _batch(net, rows)
+        found = N.Frontier(net, N.Steps(net, batch, net.told if planned else None), batch.origin)
+        N.spread_all(found, batch.dest, prune=False)
+        at, n = np.flatnonzero(np.isfinite(found.cost)), max(1, len(net.ids))
+        # An origin that no edge touches reaches itself.
+        alone = np.flatnonzero(batch.origin < 0)
+        query = rows.column("query_id").take(pa.array(np.concatenate((at // n, alone))))
+        node = pa.concat_arrays([pa.array(net.ids[at % n].tolist(), types.field("node").type), rows.column("origin").take(pa.array(alone)).cast(types.field("node").type)])
+        return pa.RecordBatch.from_arrays([query, node, pa.array(np.concatenate((found.cost[at], np.zeros(len(alone)))))], schema=types)
+
+    return _spread_out(queries, net, work, schema)
+
+
+def dijkstra(queries: DataFrame, edges: DataFrame, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Routes without a bound: query_id, origin, dest, depart_time, cost, true_cost, path, hops and work; null without a route.
+
+    ``work`` is how many nodes a search in order of cost takes. Columns of the queries named by ``keys`` go along on networks that are
+    broadcast, and edges, shares and noise of the queries' own count there.
+    """
+    costs = costs or static_costs()
+    net = network(queries, edges, costs)
+    return _routes_of(queries, search_by_joins(queries, edges, costs)) if net is None else _routes_in(net, queries, costs, keys=keys)
+
 
+def astar(queries: DataFrame, edges: DataFrame, nodes: DataFrame, max_mph: float, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`dijkstra`, with the lower bound to the destination."""
+    costs = costs or static_costs()
+    net = network(queries, edges, costs, nodes)
+    if net is None:
+        return _routes_of(queries, search_by_joins(queries, edges, costs, nodes=nodes, max_mph=max_mph))
+    return _routes_in(net, queries, costs, max_mph=max_mph, keys=keys)
 
-def astar(queries: DataFrame, edges: DataFrame, nodes: DataFrame, max_mph: float, costs: Costs | None = None) -> DataFrame:
-    """Routes with the lower bound to the destination."""
-    placed, bound = with_bounds(queries, nodes, max_mph)
-    return routes(queries, search(placed, edges, costs or static_costs(), bound=bound, carried=("to_lat", "to_lon")))
 
+def bidirectional(queries: DataFrame, edges: DataFrame, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`dijkstra`, from both ends by free flow. Larger networks are searched from one end."""
+    costs = costs or static_costs()
+    if costs.planned and costs.told is not None:
+        raise ValueError("a search from both ends plans by costs that do not change with time")
+    net = network(queries, edges, costs)
+    return _routes_of(queries, search_by_joins(queries, edges, costs)) if net is None else _routes_in(net, queries, costs, both_ends=True, keys=keys)
 
-def bidirectional(queries: DataFrame, edges: DataFrame, column: str = "free_flow_s") -> DataFrame:
-    """query_id, cost, path: both ends search with frozen costs, and meet where the sum is least (ties: the first node)."""
-    ahead = queries.select("query_id", "origin", "dest", "depart_time")
-    back = ahead.select(F.col("query_id"), F.col("dest").alias("origin"), F.col("origin").alias("dest"), "depart_time")
-    reversed_edges = edges.withColumns({"u": F.col("v"), "v": F.col("u")})
-    forth = search(ahead, edges, static_costs(column)).select("query_id", "node", "cost", "path")
-    reach = search(back, reversed_edges, static_costs(column)).select("query_id", "node", F.col("cost").alias("rest"), F.col("path").alias("tail"))
-    met = forth.join(reach, ["query_id", "node"]).groupBy("query_id").agg(F.min(F.struct((F.col("cost") + F.col("rest")).alias("cost"), "node", "path", "tail")).alias("m"))
-    path = F.concat(F.col("m.path"), F.expr("slice(reverse(m.tail), 2, size(m.tail))"))
-    return queries.select("query_id", "origin", "dest").join(met.select("query_id", F.col("m.cost").alias("cost"), path.alias("path")), "query_id", "left")
+
+def guided(queries: DataFrame, edges: DataFrame, nodes: DataFrame, max_mph: float, costs: Costs, keys: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, classical_cost, classical_path, candidate_cost, candidate_path, weight_used and work of every query, and ``keys``.
+
+    ``queries`` have a ``weight`` and perhaps ``modulated``. The classical route is planned by free flow with the lower bound, the
+    candidate by the told times with the blended bound; both cost what they do under the real times. A network that is too large to be
+    broadcast is searched with the lower bound alone, at the weight given, and only where queries have no edges, share or noise of their own.
+    """
+    net = network(queries, edges, costs, nodes)
+    if net is None:
+        if set(queries.columns) & {"own", "share", "noise"}:
+            raise ValueError("costs of a query's own need a network that can be broadcast")
+        plain = _routes_of(queries, search_by_joins(queries, edges, Costs(costs.column, costs.told, costs.real, costs.minutes, False), nodes=nodes, max_mph=max_mph))
+        told = _routes_of(queries, search_by_joins(queries, edges, costs, nodes=nodes, max_mph=max_mph))
+        found = plain.select("query_id", F.col("true_cost").alias("classical_cost"), F.col("path").alias("classical_path")).join(told.select("query_id", F.col("true_cost").alias("candidate_cost"), F.col("path").alias("candidate_path"), "work"), "query_id")
+        return queries.select("query_id", *keys, F.col("weight").alias("weight_used")).join(found, "query_id")
+    path = T.ArrayType(queries.schema["origin"].dataType)
+    numbers = [T.StructField(x, T.DoubleType()) for x in ("classical_cost", "candidate_cost", "weight_used")]
+    schema = T.StructType([queries.schema[c] for c in ("query_id", *keys)] + numbers + [T.StructField("classical_path", path), T.StructField("candidate_path", path), T.StructField("work", T.LongType())])
+    types, planned = _arrow(schema), costs.planned
+
+    def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
+        batch = _batch(net, rows)
+        told = N.Steps(net, batch, net.told if planned else None)
+        real, line = _true_steps(net, batch, told), net.line_bound(batch.dest, max_mph)
+        safe = N.Frontier(net, N.Steps(net, batch, bent=False), batch.origin)
+        N.spread_all(safe, batch.dest, line)
+        classical = _trails(net, rows, batch, safe)
+        weight = rows.column("weight").to_numpy(zero_copy_only=False).astype(float)
+        if "modulated" in rows.schema.names:
+            doubt = N.mean_doubt([t or [] for t in classical], batch, net.told)
+            weight = np.where(rows.column("modulated").to_numpy(zero_copy_only=False).astype(bool), weight / (1 + doubt), weight)
+        bound = N.blended_bound(net, batch, line, net.told, weight)
+        found = N.Frontier(net, told, batch.origin)
+        N.spread_all(found, batch.dest, bound)
+        candidate = _trails(net, rows, batch, found)
+        origins = rows.column("origin").to_pylist()
+        columns = {
+            "classical_cost": _costs_along(classical, real),
+            "candidate_cost": _costs_along(candidate, real),
+            "weight_used": weight.tolist(),
+            "classical_path": [_path(net, o, t) for o, t in zip(origins, classical, strict=True)],
+            "candidate_path": [_path(net, o, t) for o, t in zip(origins, candidate, strict=True)],
+            "work": N.expanded(found, batch.dest, bound).tolist(),
+        }
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else rows.column(f.name).cast(f.type) for f in types], schema=types)
+
+    return _spread_out(queries, net, work, schema, keys)
 
 
 def path_edges(paths: DataFrame, edges: DataFrame, column: str = "free_flow_s") -> DataFrame:
@@ -158,6 +408,15 @@ def path_edges(paths: DataFrame, edges: DataFrame, column: str = "free_flow_s")
     return steps.join(cheapest, ["u", "v"], "left").select("query_id", "pos", "u", "v", F.col("e.edge_id").alias("edge_id"), F.col("e.cost").alias("cost"))
 
 
+def path_edges_at_departure(paths: DataFrame, edges: DataFrame, told: DataFrame, minutes: int) -> DataFrame:
+    """As :func:`path_edges`, for paths with a ``depart_time``: of parallel edges the one told to be cheapest in its bucket."""
+    hops = F.expr("transform(slice(path, 1, greatest(size(path) - 1, 0)), (x, i) -> struct(x AS u, get(path, i + 1) AS v))")
+    steps = paths.select("query_id", S.bucket_floor(F.col("depart_time"), minutes).alias("timestamp"), F.posexplode(hops).alias("pos", "s")).select("query_id", "timestamp", "pos", F.col("s.u").alias("u"), F.col("s.v").alias("v"))
+    timed = steps.join(edges.select("u", "v", "edge_id", "free_flow_s"), ["u", "v"], "left").join(told.select("edge_id", "timestamp", "eta_s"), ["edge_id", "timestamp"], "left")
+    best = timed.groupBy("query_id", "pos", "u", "v").agg(F.min(F.struct(F.coalesce("eta_s", "free_flow_s").alias("cost"), "edge_id")).alias("e"))
+    return best.select("query_id", "pos", "u", "v", F.col("e.edge_id").alias("edge_id"), F.when(F.col("e.edge_id").isNotNull(), F.col("e.cost")).alias("cost"))
+
+
 def realized_static(paths: DataFrame, edges: DataFrame, column: str = "free_flow_s") -> DataFrame:
     """query_id, realized: the summed cost of each path; infinite for no path or a missing edge, 0 for one node."""
     summed = path_edges(paths, edges, column).groupBy("query_id").agg(F.sum("cost").alias("s"), F.count_if(F.col("cost").isNull()).alias("gaps"))
@@ -166,22 +425,48 @@ def realized_static(paths: DataFrame, edges: DataFrame, column: str = "free_flow
     return paths.join(summed, "query_id", "left").select("query_id", cost.alias("realized"))
 
 
+def realized(paths: DataFrame, edges: DataFrame, real: DataFrame, minutes: int, most_steps: int = 100_000) -> DataFrame:
+    """query_id, realized, of paths (query_id, path, depart_time): each edge costs what it does in the bucket in which it is entered.
+
+    Of parallel edges the cheapest then. Infinite for no path or a missing edge, 0 for one node. All paths take a step at a time, as
+    each arrival depends on those before.
+    """
+    known = cut(edges.select("u", "v", "edge_id", "free_flow_s"))
+    times = cut(real.select("edge_id", F.col("timestamp").alias("_at"), "eta_s"))
+    walked = cut(paths.select("query_id", "path", "depart_time", F.when(F.col("path").isNull(), F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("realized")))
+    longest = walked.agg(F.max(F.size("path"))).first()[0] or 0
+    if longest > most_steps:
+        raise ValueError(f"a path has {longest} nodes")
+    for k in range(longest - 1):
+        arrival = (F.col("depart_time") + F.make_dt_interval(secs=F.col("realized").cast("decimal(18,6)"))).cast("timestamp_ntz")
+        on = walked.where((F.size("path") > k + 1) & (F.col("realized") < float("inf"))).withColumns({"u": F.get("path", F.lit(k)), "v": F.get("path", F.lit(k + 1)), "_at": S.bucket_floor(arrival, minutes)})
+        step = on.join(known, ["u", "v"]).join(times, ["edge_id", "_at"], "left").groupBy("query_id").agg(F.min(F.coalesce("eta_s", "free_flow_s")).alias("step"))
+        more = F.when((F.size("path") > k + 1) & (F.col("realized") < float("inf")), F.coalesce("step", F.lit(float("inf")))).otherwise(F.lit(0.0))
+        walked = walked.join(step, "query_id", "left").withColumn("realized", F.col("realized") + more).drop("step")
+        if k % 4 == 3:
+            walked = cut(walked)
+    return walked.select("query_id", "realized")
+
+
 def corridor_and_trap(queries: DataFrame, edges: DataFrame, column: str = "free_flow_s", blocked: float = 1e7) -> DataFrame:
     """query_id, corridor and trap as arrays of edge_id: the best route's edges, and those of the best route that avoids them.
 
     Corridor edges cost ``blocked`` in the second search, so that a route through them remains where there is no other.
     """
-    best = routes(queries, search(queries, edges, static_costs(column)))
-    own = cut(path_edges(best, edges, column))
-    corridor = own.groupBy("query_id").agg(F.array_sort(F.collect_set("edge_id")).alias("corridor"))
-    taken = own.select("query_id", "edge_id", F.lit(blocked).alias("_blocked"))
+    none = F.array().cast("array<string>")
 
-    def avoiding(rows: DataFrame) -> DataFrame:
-        cost = F.coalesce("_blocked", F.col(column))
-        return rows.join(taken, ["query_id", "edge_id"], "left").withColumns({"step_s": cost, "true_step_s": F.col(column)}).drop("_blocked")
+    def edges_of(routes: DataFrame, name: str) -> DataFrame:
+        return path_edges(routes, edges, column).groupBy("query_id").agg(F.array_sort(F.collect_set("edge_id")).alias(name))
 
-    second = routes(queries, search(queries, edges, avoiding))
-    trap = path_edges(second, edges, column).groupBy("query_id").agg(F.array_sort(F.collect_set("edge_id")).alias("trap"))
-    none = F.array().cast("array<string>")
-    joined = queries.select("query_id").join(corridor, "query_id", "left").join(trap, "query_id", "left")
-    return joined.select("query_id", F.coalesce("corridor", none).alias("corridor"), F.coalesce("trap", none).alias("trap"))
+    costs = static_costs(column)
+    corridor = cut(queries.join(edges_of(dijkstra(queries, edges, costs), "corridor"), "query_id", "left").withColumn("corridor", F.coalesce("corridor", none)))
+    own = F.transform("corridor", lambda e: F.struct(e.alias("edge_id"), F.lit(float(blocked)).alias("cost"), F.lit(None).cast("double").alias("factor")))
+    turned = corridor.withColumn("own", own)
+    net = network(turned, edges, costs)
+    if net is None:
+        raise ValueError("routes that avoid others need a network that can be broadcast")
+    second = edges_of(_routes_in(net, turned, costs), "trap")
+    return corridor.join(second, "query_id", "left").select("query_id", "corridor", F.coalesce("trap", none).alias("trap"))
+
+
+__all__ = ["Costs", "astar", "bidirectional", "corridor_and_trap", "dijkstra", "distances", "free_flow_plans", "guided", "network", "path_edges", "realized", "realized_static", "search_by_joins", "static_costs", "timed_costs"]

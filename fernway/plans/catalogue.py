@@ -38,6 +38,10 @@ def _free(spark: SparkSession, d: str) -> DataFrame:
     return roads.free_flow(I.edges(spark, d))
 
 
+def _once(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    return I.once(spark, d, name, make)
+
+
 # --- roads -----------------------------------------------------------------------------------------------------------
 
 
@@ -105,7 +109,9 @@ def induced_subgraph(spark, d):
     return roads.induced(e, roads.first_nodes(e, spark.createDataFrame([(0,)], "node long"), 50)).select("edge_id", "u", "v")
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.ROADS_SQL}, reach(a, b) AS (SELECT u, v FROM edges UNION SELECT a, e.v FROM reach JOIN edges e ON e.u = b),
+    sizes AS (SELECT r.a, count(DISTINCT r.b) AS n FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY r.a)
+    SELECT greatest((SELECT max(n) FROM sizes), 1)::DOUBLE / count(*) AS largest_share, count(*) AS n_nodes FROM nodes""")
 def scc_fraction(spark, d):
     return roads.largest_strong_share(I.edges(spark, d).select("u", "v"), I.nodes(spark, d))
 
@@ -140,7 +146,7 @@ COLLAPSED = f"""{PROXY}, collapsed AS (
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    return features.match_sensors(I.sensors(spark, d), I.edges(spark, d), I.nodes(spark, d), most_m=1000.0)
+    return _once(spark, d, "matches", lambda: features.match_sensors(I.sensors(spark, d), I.edges(spark, d), I.nodes(spark, d), most_m=1000.0))
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +154,7 @@ def _top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return features.build_features(I.readings(spark, d), _matches(spark, d), I.edges(spark, d), _top(spark, d), holidays=I.HOLIDAYS, splits=I.SPLITS)
+    return _once(spark, d, "features", lambda: features.build_features(I.readings(spark, d), _matches(spark, d), I.edges(spark, d), _top(spark, d), holidays=I.HOLIDAYS, splits=I.SPLITS))
 
 
 @query("SELECT event_id, (date_trunc('day', ts) + to_minutes((hour(ts) * 60 + minute(ts)) // 5 * 5))::TIMESTAMP AS bucket FROM events")
@@ -156,10 +162,9 @@ def bucket_floor(spark, d):
     return I.table(spark, d, "events").select("event_id", S.bucket_floor(F.col("ts"), 5).alias("bucket"))
 
 
-@query(f"""WITH {I.SENSORS_SQL}, wide AS (PIVOT (SELECT timestamp, sensor_id, speed_mph FROM readings WHERE sensor_id IN ('s1', 's2', 's3')) ON sensor_id IN ('s1', 's2', 's3') USING first(speed_mph) GROUP BY timestamp)
-    SELECT timestamp, sensor_id, speed_mph FROM (UNPIVOT wide ON s1, s2, s3 INTO NAME sensor_id VALUE speed_mph)""")
+@query(f"WITH {I.SENSORS_SQL} SELECT timestamp, sensor_id, speed_mph FROM readings WHERE speed_mph IS NOT NULL")
 def unpivot_speeds(spark, d):
-    wide = I.readings(spark, d).where(F.col("sensor_id").isin("s1", "s2", "s3")).groupBy("timestamp").pivot("sensor_id", ["s1", "s2", "s3"]).agg(F.first("speed_mph"))
+    wide = I.readings(spark, d).groupBy("timestamp").pivot("sensor_id").agg(F.first("speed_mph"))
     return features.unpivot_speeds(wide)
 
 
@@ -215,7 +220,7 @@ def features_full(spark, d):
 
 
 @query(f"""{COLLAPSED} SELECT split, count(*) AS n_rows, count(DISTINCT edge_id) AS n_edges, min(timestamp) AS first_time, max(timestamp) AS last_time, round(avg(speed_mph), 4) AS mean_speed,
-    count(*) FILTER (hist_mean_speed IS NULL) AS n_no_history, count(*) FILTER (neighbor_congestion_proxy IS NULL) AS n_no_proxy, count(*) FILTER (n_sensors > 1) AS n_multi_sensor FROM features GROUP BY split""")
+    count(*) FILTER (hist_mean_speed IS NULL) AS n_no_history, count(*) FILTER (neighbor_congestion_proxy IS NULL) AS n_no_proxy, count(DISTINCT edge_id) FILTER (n_sensors > 1) AS n_multi_sensor FROM features GROUP BY split""")
 def features_quality(spark, d):
     return features.features_quality(_features(spark, d))
 
@@ -253,11 +258,12 @@ def generated_noise_eta(spark, d):
     return predictors.noisy_generated(_oracle(spark, d), 0.5, seed=7)
 
 
-@query(f"""{TIMES}, hours AS (SELECT DISTINCT timestamp FROM features WHERE split = 'test'), asked AS (SELECT e.edge_id, h.timestamp, length_m / (greatest(speed_limit_mph, 1.0) * 0.44704) AS free_flow_s FROM edges e, hours h WHERE hour(h.timestamp) = 8)
+@query(f"""{TIMES}, hours AS (SELECT DISTINCT timestamp FROM features WHERE split = 'test'), asked AS (SELECT e.edge_id, h.timestamp, length_m / (greatest(speed_limit_mph, 1.0) * 0.44704) AS free_flow_s FROM edges e, hours h)
     SELECT a.edge_id, a.timestamp, round(coalesce(true_s, free_flow_s), 6) AS cost_s, true_s IS NOT NULL AS covered FROM asked a LEFT JOIN times t ON t.edge_id = a.edge_id AND t.timestamp = a.timestamp""")
 def coverage_fallback_cost(spark, d):
     f = _features(spark, d)
-    hours = f.where("split = 'test' AND hour_of_day = 8").select("timestamp").distinct().agg(F.collect_list("timestamp").alias("hours")).withColumn("_one", F.lit(1))
+    # One row: the hours of the test days, as many as the calendar has.
+    hours = f.where("split = 'test'").agg(F.collect_set("timestamp").alias("hours")).withColumn("_one", F.lit(1))
     asked = _free(spark, d).withColumn("_one", F.lit(1)).join(F.broadcast(hours), "_one").select("edge_id", "free_flow_s", F.explode("hours").alias("timestamp"))
     found = predictors.with_fallback(asked, predictors.oracle(f))
     return found.select("edge_id", "timestamp", F.round("cost_s", 6).alias("cost_s"), F.col("eta_s").isNotNull().alias("covered"))
@@ -320,8 +326,7 @@ def _costs_of(found: DataFrame) -> DataFrame:
 
 @query(f"{DIST} SELECT query_id, node, round(cost, 6) AS cost FROM dist")
 def sssp_static(spark, d):
-    labels = search.search(I.queries(spark, d), _free(spark, d), search.static_costs(), prune=False)
-    return labels.select("query_id", "node", F.round("cost", 6).alias("cost"))
+    return search.distances(I.queries(spark, d), _free(spark, d)).select("query_id", "node", F.round("cost", 6).alias("cost"))
 
 
 @query(ROUTED)
@@ -339,41 +344,41 @@ def bidirectional_cost(spark, d):
     return _costs_of(search.bidirectional(I.queries(spark, d), _free(spark, d)))
 
 
-@query()
+@query(f"""{DIST}, goals AS (SELECT q.query_id, dest, coalesce(cost, 'infinity'::DOUBLE) AS goal FROM queries q LEFT JOIN dist d ON d.query_id = q.query_id AND d.node = dest)
+    SELECT g.query_id, count(*) FILTER (cost <= goal + 0.000001) AS dijkstra_work,
+        count(*) FILTER (cost + {I.hav("n.lat", "n.lon", "m.lat", "m.lon")} / (65.0::DOUBLE * 0.44704::DOUBLE) <= goal + 0.000001) AS astar_work
+    FROM goals g JOIN dist d ON d.query_id = g.query_id JOIN nodes n ON n.node = d.node JOIN nodes m ON m.node = g.dest GROUP BY g.query_id""")
 def search_effort(spark, d):
-    plain = search.dijkstra(I.queries(spark, d), _free(spark, d)).select("query_id", F.col("work").alias("dijkstra_work"), F.col("hops").alias("hops"))
+    plain = search.dijkstra(I.queries(spark, d), _free(spark, d)).select("query_id", F.col("work").alias("dijkstra_work"))
     guided = search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0).select("query_id", F.col("work").alias("astar_work"))
     return plain.join(guided, "query_id")
 
 
 @query()
 def pure_ml_cost(spark, d):
-    told = search.timed_costs(predictors.adversarial(_oracle(spark, d), 0.4), I.BUCKET_MINUTES, _oracle(spark, d))
-    placed, bound = search.with_bounds(I.queries(spark, d), I.nodes(spark, d), 65.0)
-    found = search.routes(placed, search.search(placed, _free(spark, d), told, bound=bound, carried=("to_lat", "to_lon")))
+    real = _oracle(spark, d)
+    found = search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0, search.timed_costs(predictors.adversarial(real, 0.4), I.BUCKET_MINUTES, real))
     return found.select("query_id", "cost", "true_cost", "hops", F.array_join("path", ",").alias("path"))
 
 
-@query(f"""{FREE}, paths AS (SELECT 0 AS query_id, [0, 1, 2] AS path UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY a.u, a.v, b.v))::INT, [a.u, a.v, b.v] FROM edges a JOIN edges b ON b.u = a.v)),
+@query(f"""{FREE}, paths AS (SELECT '' AS query_id, [0, 1, 2] AS path UNION ALL SELECT a.u || '_' || a.v || '_' || b.v, [a.u, a.v, b.v] FROM edges a JOIN edges b ON b.u = a.v),
     steps AS (SELECT query_id, unnest(range(1, len(path))) AS i, path FROM paths)
-    SELECT p.query_id::BIGINT AS query_id, (i - 1)::BIGINT AS pos, path[i] AS u, path[i + 1] AS v, edge_id, round(free_flow_s, 6) AS cost FROM steps p LEFT JOIN free e ON e.u = path[i] AND e.v = path[i + 1]""")
+    SELECT p.query_id, (i - 1)::BIGINT AS pos, path[i] AS u, path[i + 1] AS v, edge_id, round(free_flow_s, 6) AS cost FROM steps p LEFT JOIN free e ON e.u = path[i] AND e.v = path[i + 1]""")
 def path_edges(spark, d):
     found = search.path_edges(_two_hops(spark, d), _free(spark, d))
-    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("pos").cast("long").alias("pos"), "u", "v", "edge_id", F.round("cost", 6).alias("cost"))
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "u", "v", "edge_id", F.round("cost", 6).alias("cost"))
 
 
 def _two_hops(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = I.edges(spark, d)
     two = e.select("u", F.col("v").alias("m")).join(e.select(F.col("u").alias("m"), F.col("v").alias("w")), "m")
-    paths = two.withColumn("query_id", F.row_number().over(Window.orderBy("u", "m", "w")).cast("long")).select("query_id", F.array("u", "m", "w").alias("path"))
-    return paths.unionByName(spark.createDataFrame([(0, [0, 1, 2])], "query_id long, path array<long>"))
+    paths = two.select(F.concat_ws("_", "u", "m", "w").alias("query_id"), F.array("u", "m", "w").alias("path"))
+    return paths.unionByName(spark.createDataFrame([("", [0, 1, 2])], "query_id string, path array<long>"))
 
 
-@query(f"""{FREE}, paths AS (SELECT 0 AS query_id, [0, 1, 2] AS path UNION ALL SELECT * FROM (SELECT (row_number() OVER (ORDER BY a.u, a.v, b.v))::INT, [a.u, a.v, b.v] FROM edges a JOIN edges b ON b.u = a.v)),
+@query(f"""{FREE}, paths AS (SELECT '' AS query_id, [0, 1, 2] AS path UNION ALL SELECT a.u || '_' || a.v || '_' || b.v, [a.u, a.v, b.v] FROM edges a JOIN edges b ON b.u = a.v),
     steps AS (SELECT query_id, unnest(range(1, len(path))) AS i, path FROM paths), costs AS (SELECT query_id, free_flow_s FROM steps p LEFT JOIN free e ON e.u = path[i] AND e.v = path[i + 1])
-    SELECT query_id::BIGINT AS query_id, CASE WHEN count(*) = count(free_flow_s) THEN round(sum(free_flow_s), 5) END AS realized FROM costs GROUP BY query_id""")
+    SELECT query_id, CASE WHEN count(*) = count(free_flow_s) THEN round(sum(free_flow_s), 5) END AS realized FROM costs GROUP BY query_id""")
 def path_realized_cost_static(spark, d):
     found = search.realized_static(_two_hops(spark, d), _free(spark, d))
     return found.select("query_id", F.round(F.nullif("realized", F.lit(float("inf"))), 5).alias("realized"))
@@ -383,7 +388,7 @@ def path_realized_cost_static(spark, d):
         CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 13 = 0 AND o_orderkey % 2 = 0 THEN 0 ELSE round(o_totalprice, 2) * (1 + (o_orderkey % 10)::DOUBLE / 10) END AS x FROM orders),
     v AS (SELECT *, coalesce(x <= (1 + alpha) * c, FALSE) AS ok FROM g), r AS (SELECT *, CASE WHEN c IS NULL THEN NULL WHEN ok THEN x ELSE c END AS y FROM v)
     SELECT id, CASE WHEN c IS NULL THEN 'none' WHEN ok THEN 'candidate' ELSE 'classical' END AS taken, round(y, 4) AS realized_cost,
-        round(CASE WHEN c = 0 AND y = 0 THEN 1 ELSE y / nullif(c, 0) END, 6) AS ratio, c IS NOT NULL AND NOT ok AS guard_invoked FROM r""")
+        round(CASE WHEN c = 0 AND y = 0 THEN 1 WHEN c = 0 AND y > 0 THEN 'infinity'::DOUBLE ELSE y / c END, 6) AS ratio, c IS NOT NULL AND NOT ok AS guard_invoked FROM r""")
 def guard_apply(spark, d):
     k, price = F.col("o_orderkey"), F.round("o_totalprice", 2)
     rows = I.table(spark, d, "orders").select(
@@ -397,12 +402,9 @@ def guard_apply(spark, d):
 
 
 def _robust(spark: SparkSession, d: str, told: DataFrame, weight: float, guarded: bool = True) -> DataFrame:
-    q, e, n, real = I.queries(spark, d), _free(spark, d), I.nodes(spark, d), _oracle(spark, d)
-    classical = search.astar(q, e, n, 65.0)
-    used = guard.effective_weight(classical, e, told, weight, I.BUCKET_MINUTES)
-    return guard.robust_routes(
-        q, e, n, 65.0, search.timed_costs(told, I.BUCKET_MINUTES, real), service.planned_by_free_flow(real, I.BUCKET_MINUTES), service.frozen_at_departure(q, told, I.BUCKET_MINUTES), weight=used, alpha=0.3, guarded=guarded
-    )
+    q = I.queries(spark, d).withColumns({"weight": F.lit(weight), "modulated": F.lit(True)})
+    costs = search.timed_costs(told, I.BUCKET_MINUTES, _oracle(spark, d))
+    return guard.robust_routes(q, _free(spark, d), I.nodes(spark, d), 65.0, costs, alpha=0.3, guarded=guarded)
 
 
 @query()
@@ -467,10 +469,22 @@ def query_strata(spark, d):
     return found.select("query_id", "lower_bound_s", "distance_stratum", "time_stratum")
 
 
-@query()
+_DRAW = "((('0x' || substr(sha256('20120604|{0}|' || query_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+
+
+@query(f"""{COLLAPSED}, e AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS i FROM (SELECT DISTINCT u, v FROM edges JOIN matches USING (edge_id) WHERE matched)),
+    t AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS k FROM (SELECT DISTINCT timestamp FROM features WHERE split = 'test')),
+    sizes AS (SELECT (SELECT count(*) FROM e) AS ne, (SELECT count(*) FROM t) AS nt),
+    drawn AS (SELECT query_id, floor({_DRAW.format("origin")} * ne) AS i, floor(CASE WHEN query_id < 68 THEN {_DRAW.format("origin")} ELSE {_DRAW.format("dest")} END * ne) AS j,
+        floor({_DRAW.format("time")} * nt) AS k FROM range(80) r(query_id), sizes)
+    SELECT query_id, a.u AS origin, b.v AS dest, timestamp AS depart_time FROM drawn JOIN e a ON a.i = drawn.i JOIN e b ON b.i = drawn.j JOIN t ON t.k = drawn.k""")
 def sampled_query_set(spark, d):
-    f = _features(spark, d)
-    return evaluation.sampled_queries(I.edges(spark, d), f.where("split = 'test'"), 80, seed=20120604)
+    return evaluation.sampled_queries(_instrumented(spark, d), _features(spark, d).where("split = 'test'"), 80, seed=20120604)
+
+
+def _instrumented(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that a sensor is matched to."""
+    return I.edges(spark, d).join(_matches(spark, d).where("matched").select("edge_id"), "edge_id", "left_semi")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}', {v}::DOUBLE)" for r, points in evaluation.SWEEPS.items() for p, v in points) + ") t(run_id, predictor, sweep_value)")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
+from fernway.operators.roads import build_edges
+from fernway.operators.rounds import written
 
 HOLIDAYS = ["2024-01-15"]
 SPLITS = {"train": ("2024-01-01", "2024-01-20"), "val": ("2024-01-21", "2024-01-24"), "test": ("2024-01-25", "2024-01-30")}
@@ -52,11 +54,20 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """edge_id, u, v, length_m, road_class, speed_limit_mph, lanes."""
-    from fernway.operators.roads import build_edges
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """What ``make`` gives, written to the shared folder once for each application and folder of tables, and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        _written[key] = written(make(), name)
+    return _written[key]
 
-    return build_edges(raw_edges(spark, sf_dir), nodes(spark, sf_dir))
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edge_id, u, v, length_m, road_class, speed_limit_mph, lanes; built once."""
+    return once(spark, sf_dir, "edges", lambda: build_edges(raw_edges(spark, sf_dir), nodes(spark, sf_dir)))
 
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +100,12 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "i").select("from", "to", F.round(S.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")), 3).alias("cost"))
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """query_id, origin, dest, depart_time."""
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, origin, dest, depart_time: one for each node."""
     count = table(spark, sf_dir, "supplier").agg(F.count("*").alias("count"))
-    q = F.col("id")
+    q = F.col("s_suppkey")
     return (
-        spark.range(n)
+        table(spark, sf_dir, "supplier")
         .join(F.broadcast(count))
         .select(
             q.alias("query_id"),
@@ -144,5 +155,5 @@ SENSORS_SQL = f"""users AS (SELECT DISTINCT user_id, (user_id * 7) % (SELECT cou
 QUERIES_SQL = """queries AS (
     SELECT i AS query_id, (i * 7) % n AS origin, (i * 13 + 5) % n AS dest,
         TIMESTAMP '2024-01-25 00:00:00' + to_days((i % 5)::INT) + to_hours((i * 3) % 24) AS depart_time
-    FROM (SELECT unnest(range(0, 20)) AS i, (SELECT count(*) FROM supplier) AS n)
+    FROM (SELECT s_suppkey AS i, (SELECT count(*) FROM supplier) AS n FROM supplier)
 )"""

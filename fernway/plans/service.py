@@ -51,8 +51,8 @@ def health(service: Service) -> dict:
     return {"status": "ok" if loaded else "not loaded", "bucket_minutes": service.minutes}
 
 
-def route(spark: SparkSession, service: Service, origin, dest, depart: datetime, *, weight: float = 1.0, alpha: float = 0.3) -> Route:
-    """A guarded route; the predictor is also what routes are judged by."""
+def route(spark: SparkSession, service: Service, origin, dest, depart: datetime, *, weight: float = 1.0, alpha: float = 0.3, judged: DataFrame | None = None) -> Route:
+    """A guarded route. Routes are judged by the times ``judged``; without them by the predictor itself, and no more than consistent with it."""
     if health(service)["status"] != "ok":
         raise NotLoaded("no graph or predictor is loaded")
     if not 0 <= weight <= 1 or alpha < 0:
@@ -61,30 +61,8 @@ def route(spark: SparkSession, service: Service, origin, dest, depart: datetime,
     if {origin, dest} - known:
         raise Unprocessable(f"unknown node: {', '.join(map(str, {origin, dest} - known))}")
     query = spark.createDataFrame([(0, origin, dest, depart)], "query_id long, origin long, dest long, depart_time timestamp_ntz")
-    told = search.timed_costs(service.predicted, service.minutes, service.predicted)
-    real = planned_by_free_flow(service.predicted, service.minutes)
-    classical = search.astar(query, service.edges, service.nodes, service.max_mph)
-    used = guard.effective_weight(classical, service.edges, service.predicted, weight, service.minutes)
-    frozen = frozen_at_departure(query, service.predicted, service.minutes)
-    row = guard.robust_routes(query, service.edges, service.nodes, service.max_mph, told, real, frozen, weight=used, alpha=alpha).join(used, "query_id").first()
+    costs = search.timed_costs(service.predicted, service.minutes, service.predicted if judged is None else judged)
+    row = guard.robust_routes(query.withColumns({"weight": F.lit(float(weight)), "modulated": F.lit(True)}), service.edges, service.nodes, service.max_mph, costs, alpha=alpha).first()
     path = {"candidate": row["candidate_path"], "classical": row["classical_path"], "none": None}[row["taken"]]
     cost = row["realized_cost"]
     return Route(path, cost, None if cost is None else depart + timedelta(seconds=cost), row["weight_used"], row["classical_cost"], row["candidate_cost"], row["ratio"], row["guard_invoked"])
-
-
-def planned_by_free_flow(realized: DataFrame, minutes: int) -> search.Costs:
-    """Plan by free flow, with the true cost of the same path under ``realized``."""
-    timed = search.timed_costs(realized, minutes, realized)
-
-    def costs(rows: DataFrame) -> DataFrame:
-        return timed(rows).withColumn("step_s", F.col("free_flow_s"))
-
-    return costs
-
-
-def frozen_at_departure(queries: DataFrame, predicted: DataFrame, minutes: int) -> DataFrame:
-    """query_id, edge_id, frozen_s: the predictions in the bucket in which each query departs."""
-    from fernway.functions.scalar import bucket_floor
-
-    at = queries.select("query_id", bucket_floor(F.col("depart_time"), minutes).alias("timestamp"))
-    return at.join(predicted, "timestamp").select("query_id", "edge_id", F.col("eta_s").alias("frozen_s"))
