@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import platform
 from collections.abc import Mapping
 
@@ -14,38 +15,9 @@ from fernway.functions import statistics as stats
 from fernway.operators import search as R
 from fernway.operators.rounds import cut, numbered
 
-# The sweeps of the experiments; each point is (predictor, value).
-SWEEPS: dict[str, list[tuple[str, float]]] = {
-    "consistency_sweep": [("oracle", 0.0), ("quantile", 0.0), ("noisy", 1.0)],
-    "robustness_sweep": [("adversarial", b) for b in (0.0, 0.2, 0.4, 0.6, 0.8, 0.95)],
-    "smoothness_sweep": [("noisy", s) for s in (0.0, 0.1, 0.2, 0.5, 1.0, 2.0)],
-    "ablation_guard": [("adversarial", 0.95), ("noisy", 1.0)],
-    "ablation_lambda_sweep": [("quantile", w / 5) for w in range(6)],
-    "adversarial_budget_sweep": [("routing_aware", b) for b in (0.25, 0.5, 1.0, 2.0)],
-}
-METHODS: dict[str, list[str]] = {
-    "consistency_sweep": ["dijkstra", "astar", "bidirectional", "pure_ml_astar", "robust_astar"],
-    "robustness_sweep": ["dijkstra", "astar", "bidirectional", "pure_ml_astar", "robust_astar"],
-    "smoothness_sweep": ["dijkstra", "astar", "bidirectional", "pure_ml_astar", "robust_astar"],
-    "ablation_guard": ["robust_astar", "robust_no_guard"],
-    "ablation_lambda_sweep": ["robust_astar"],
-    "adversarial_budget_sweep": ["pure_ml_astar", "robust_astar", "robust_no_guard"],
-}
 CLASSICAL = ("dijkstra", "astar", "bidirectional")
 
 
-def sweep_points(spark) -> DataFrame:
-    """run_id, predictor, sweep_value: every point of every sweep."""
-    return spark.createDataFrame([(run, p, float(v)) for run, points in SWEEPS.items() for p, v in points], "run_id string, predictor string, sweep_value double")
-
-
-def planned_runs(queries: DataFrame) -> DataFrame:
-    """queries with each run's methods and points, a row each; classical methods have one row per query and run."""
-    plan = [(run, m, None if m in CLASSICAL else p, None if m in CLASSICAL else float(v)) for run, points in SWEEPS.items() for m in METHODS[run] for p, v in (points[:1] if m in CLASSICAL else points)]
-    literal = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(m).alias("method"), F.lit(p).cast("string").alias("predictor"), F.lit(v).cast("double").alias("sweep_value")) for r, m, p, v in plan])
-    return queries.withColumn("_plan", F.explode(literal)).select(*queries.columns, "_plan.*")
-
-
 def stratified(queries: DataFrame, nodes: DataFrame, max_mph: float, strata: Mapping[str, tuple[int, int]]) -> DataFrame:
     """The queries with lower_bound_s, distance_stratum (cut at the thirds, inclusive) and time_stratum."""
     ends = [nodes.select(F.col("node").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}")) for x in ("origin", "dest")]
@@ -159,9 +131,10 @@ def latency_by_size(results: DataFrame) -> DataFrame:
     return results.groupBy("graph_size").pivot("method").agg(F.avg("latency_ms"))
 
 
-def provenance(df: DataFrame, run_id: str, **values) -> DataFrame:
-    """The rows with run_id, the values given and the versions they were made with."""
-    return df.withColumns({"run_id": F.lit(run_id), **{k: F.lit(v) for k, v in values.items()}, "python_version": F.lit(platform.python_version()), "spark_version": F.lit(pyspark.__version__)})
+def provenance(df: DataFrame, **values) -> DataFrame:
+    """The rows with the values given, the versions they were made with and the time."""
+    versions = json.dumps({"pyspark": pyspark.__version__, "python": platform.python_version()}, sort_keys=True)
+    return df.withColumns({**{k: F.lit(v) for k, v in values.items()}, "library_versions": F.lit(versions), "run_timestamp": F.current_timestamp()})
 
 
 def improvement_summary(budget_rows: DataFrame, weight_rows: DataFrame) -> DataFrame:

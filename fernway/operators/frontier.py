@@ -111,7 +111,7 @@ class Batch:
     depart_s: np.ndarray
     own: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # query and edge in one number, sorted
     own_cost: np.ndarray = field(default_factory=lambda: np.zeros(0))  # NaN where the factor counts
-    own_factor: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    own_factor: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of told times
     share: np.ndarray | None = None  # of the told times that a query is told
     noise: np.ndarray | None = None  # standard deviation in proportion, of each query
 
@@ -130,7 +130,7 @@ class Steps:
     bent: bool = True
 
     def __call__(self, query: np.ndarray, edge: np.ndarray, spent: np.ndarray) -> np.ndarray:
-        cost, batch = self.network.free[edge], self.batch
+        cost, batch, covered = self.network.free[edge], self.batch, True
         if self.timed is not None:
             depart = batch.depart_s[query]
             place, covered = self.timed.at(edge, depart if self.frozen else depart + np.minimum(np.maximum(spent, 0.0), 1e8))
@@ -144,7 +144,8 @@ class Steps:
         if self.bent and len(batch.own):
             key = query.astype(np.int64) * len(self.network.u) + edge
             at = np.minimum(np.searchsorted(batch.own, key), len(batch.own) - 1)
-            mine = np.where(np.isnan(batch.own_cost[at]), np.maximum(cost * batch.own_factor[at], LEAST_SECONDS), batch.own_cost[at])
+            bent = np.where(covered, np.maximum(cost * batch.own_factor[at], LEAST_SECONDS), cost)
+            mine = np.where(np.isnan(batch.own_cost[at]), bent, batch.own_cost[at])
             cost = np.where(batch.own[at] == key, mine, cost)
         return cost
 

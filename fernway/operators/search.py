@@ -17,6 +17,7 @@ one waits for it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -188,7 +189,7 @@ def _true_steps(net: N.Network, batch: N.Batch, planned: N.Steps) -> N.Steps:
 def _route_schema(queries: DataFrame, keys: tuple[str, ...] = ()) -> T.StructType:
     node = queries.schema["origin"].dataType
     fields = [queries.schema[c] for c in ("query_id", "origin", "dest")] + [T.StructField("depart_time", T.TimestampNTZType())] + [queries.schema[c] for c in keys]
-    return T.StructType([*fields, T.StructField("cost", T.DoubleType()), T.StructField("true_cost", T.DoubleType()), T.StructField("path", T.ArrayType(node)), T.StructField("work", T.LongType())])
+    return T.StructType([*fields, T.StructField("cost", T.DoubleType()), T.StructField("true_cost", T.DoubleType()), T.StructField("path", T.ArrayType(node)), T.StructField("work", T.LongType()), T.StructField("latency_ms", T.DoubleType())])
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -202,7 +203,7 @@ def _routes_in(net: N.Network, queries: DataFrame, costs: Costs, *, both_ends: b
     types, planned = _arrow(schema), costs.planned
 
     def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
-        batch = _batch(net, rows)
+        began, batch = time.perf_counter(), _batch(net, rows)
         steps = N.Steps(net, batch, net.told if planned else None)
         if both_ends:
             met, effort = N.meet(net, batch, steps)
@@ -213,8 +214,8 @@ def _routes_in(net: N.Network, queries: DataFrame, costs: Costs, *, both_ends: b
             found = N.Frontier(net, steps, batch.origin)
             N.spread_all(found, batch.dest, bound)
             trails, effort = _trails(net, rows, batch, found), N.expanded(found, batch.dest, bound)
-        origins = rows.column("origin").to_pylist()
-        columns = {"cost": _costs_along(trails, steps), "true_cost": _costs_along(trails, _true_steps(net, batch, steps)), "path": [_path(net, o, t) for o, t in zip(origins, trails, strict=True)], "work": effort.tolist()}
+        origins, each = rows.column("origin").to_pylist(), 1000 * (time.perf_counter() - began) / rows.num_rows
+        columns = {"latency_ms": [each] * rows.num_rows, "cost": _costs_along(trails, steps), "true_cost": _costs_along(trails, _true_steps(net, batch, steps)), "path": [_path(net, o, t) for o, t in zip(origins, trails, strict=True)], "work": effort.tolist()}
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else rows.column(f.name).cast(f.type) for f in types], schema=types)
 
     return _spread_out(queries, net, work, schema, keys).withColumn("hops", (F.size("path") - 1).cast("long")).withColumn("hops", F.when(F.col("path").isNotNull(), F.col("hops")))
@@ -293,7 +294,7 @@ def _routes_of(queries: DataFrame, labels: DataFrame) -> DataFrame:
     reached = labels.where(F.col("node") == F.col("dest")).select("query_id", "cost", "true_cost", "path")
     effort = labels.groupBy("query_id").agg(F.sum("work").alias("work"))
     found = queries.select("query_id", "origin", "dest", "depart_time").join(reached, "query_id", "left").join(effort, "query_id", "left")
-    return found.withColumn("hops", F.when(F.col("path").isNotNull(), (F.size("path") - 1).cast("long")))
+    return found.withColumns({"hops": F.when(F.col("path").isNotNull(), (F.size("path") - 1).cast("long")), "latency_ms": F.lit(None).cast("double")})
 
 
 # --- what callers use ----------------------------------------------------------------------------------------------
@@ -326,7 +327,7 @@ def dijkstra(queries: DataFrame, edges: DataFrame, costs: Costs | None = None, k
     """Routes without a bound: query_id, origin, dest, depart_time, cost, true_cost, path, hops and work; null without a route.
 
     ``work`` is how many nodes a search in order of cost takes. Columns of the queries named by ``keys`` go along on networks that are
-    broadcast, and edges, shares and noise of the queries' own count there.
+    broadcast, and edges, shares and noise of the queries' own count there; ``latency_ms`` is a query's share of its batch's time.
     """
     costs = costs or static_costs()
     net = network(queries, edges, costs)
@@ -360,19 +361,19 @@ def guided(queries: DataFrame, edges: DataFrame, nodes: DataFrame, max_mph: floa
     """
     net = network(queries, edges, costs, nodes)
     if net is None:
-        if set(queries.columns) & {"own", "share", "noise"}:
-            raise ValueError("costs of a query's own need a network that can be broadcast")
+        if set(queries.columns) & {"own", "share", "noise"} or keys:
+            raise ValueError("costs of a query's own, and columns that go along, need a network that can be broadcast")
         plain = _routes_of(queries, search_by_joins(queries, edges, Costs(costs.column, costs.told, costs.real, costs.minutes, False), nodes=nodes, max_mph=max_mph))
         told = _routes_of(queries, search_by_joins(queries, edges, costs, nodes=nodes, max_mph=max_mph))
-        found = plain.select("query_id", F.col("true_cost").alias("classical_cost"), F.col("path").alias("classical_path")).join(told.select("query_id", F.col("true_cost").alias("candidate_cost"), F.col("path").alias("candidate_path"), "work"), "query_id")
+        found = plain.select("query_id", F.col("true_cost").alias("classical_cost"), F.col("path").alias("classical_path")).join(told.select("query_id", F.col("true_cost").alias("candidate_cost"), F.col("path").alias("candidate_path"), "work", "latency_ms"), "query_id")
         return queries.select("query_id", *keys, F.col("weight").alias("weight_used")).join(found, "query_id")
     path = T.ArrayType(queries.schema["origin"].dataType)
     numbers = [T.StructField(x, T.DoubleType()) for x in ("classical_cost", "candidate_cost", "weight_used")]
-    schema = T.StructType([queries.schema[c] for c in ("query_id", *keys)] + numbers + [T.StructField("classical_path", path), T.StructField("candidate_path", path), T.StructField("work", T.LongType())])
+    schema = T.StructType([queries.schema[c] for c in ("query_id", *keys)] + numbers + [T.StructField("classical_path", path), T.StructField("candidate_path", path), T.StructField("work", T.LongType()), T.StructField("latency_ms", T.DoubleType())])
     types, planned = _arrow(schema), costs.planned
 
     def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
-        batch = _batch(net, rows)
+        began, batch = time.perf_counter(), _batch(net, rows)
         told = N.Steps(net, batch, net.told if planned else None)
         real, line = _true_steps(net, batch, told), net.line_bound(batch.dest, max_mph)
         safe = N.Frontier(net, N.Steps(net, batch, bent=False), batch.origin)
@@ -386,8 +387,9 @@ def guided(queries: DataFrame, edges: DataFrame, nodes: DataFrame, max_mph: floa
         found = N.Frontier(net, told, batch.origin)
         N.spread_all(found, batch.dest, bound)
         candidate = _trails(net, rows, batch, found)
-        origins = rows.column("origin").to_pylist()
+        origins, each = rows.column("origin").to_pylist(), 1000 * (time.perf_counter() - began) / rows.num_rows
         columns = {
+            "latency_ms": [each] * rows.num_rows,
             "classical_cost": _costs_along(classical, real),
             "candidate_cost": _costs_along(candidate, real),
             "weight_used": weight.tolist(),
@@ -448,17 +450,18 @@ def realized(paths: DataFrame, edges: DataFrame, real: DataFrame, minutes: int,
     return walked.select("query_id", "realized")
 
 
-def corridor_and_trap(queries: DataFrame, edges: DataFrame, column: str = "free_flow_s", blocked: float = 1e7) -> DataFrame:
+def corridor_and_trap(queries: DataFrame, edges: DataFrame, costs: Costs | None = None, blocked: float = 1e7) -> DataFrame:
     """query_id, corridor and trap as arrays of edge_id: the best route's edges, and those of the best route that avoids them.
 
-    Corridor edges cost ``blocked`` in the second search, so that a route through them remains where there is no other.
+    Corridor edges cost ``blocked`` in the second search, so that a route through them remains where there is no other. Of parallel
+    edges the cheapest at departure counts.
     """
-    none = F.array().cast("array<string>")
+    costs, none = costs or static_costs(), F.array().cast("array<string>")
 
     def edges_of(routes: DataFrame, name: str) -> DataFrame:
-        return path_edges(routes, edges, column).groupBy("query_id").agg(F.array_sort(F.collect_set("edge_id")).alias(name))
+        steps = path_edges(routes, edges, costs.column) if costs.told is None else path_edges_at_departure(routes, edges, costs.told, costs.minutes)
+        return steps.groupBy("query_id").agg(F.array_sort(F.collect_set("edge_id")).alias(name))
 
-    costs = static_costs(column)
     corridor = cut(queries.join(edges_of(dijkstra(queries, edges, costs), "corridor"), "query_id", "left").withColumn("corridor", F.coalesce("corridor", none)))
     own = F.transform("corridor", lambda e: F.struct(e.alias("edge_id"), F.lit(float(blocked)).alias("cost"), F.lit(None).cast("double").alias("factor")))
     turned = corridor.withColumn("own", own)
@@ -469,4 +472,13 @@ def corridor_and_trap(queries: DataFrame, edges: DataFrame, column: str = "free_
     return corridor.join(second, "query_id", "left").select("query_id", "corridor", F.coalesce("trap", none).alias("trap"))
 
 
-__all__ = ["Costs", "astar", "bidirectional", "corridor_and_trap", "dijkstra", "distances", "free_flow_plans", "guided", "network", "path_edges", "realized", "realized_static", "search_by_joins", "static_costs", "timed_costs"]
+def lured(corridor: Column, trap: Column, budget: Column) -> Column:
+    """Edges of a query's own, as an adversary tells them: the trap's look fast and the corridor's slow; an edge in both is of the trap."""
+
+    def edge(factor: Column) -> Callable[[Column], Column]:
+        return lambda e: F.struct(e.alias("edge_id"), F.lit(None).cast("double").alias("cost"), factor.alias("factor"))
+
+    return F.concat(F.transform(trap, edge(1 / (1 + budget))), F.transform(F.array_except(corridor, trap), edge(1 + budget)))
+
+
+__all__ = ["Costs", "astar", "bidirectional", "corridor_and_trap", "dijkstra", "distances", "free_flow_plans", "guided", "lured", "network", "path_edges", "realized", "realized_static", "search_by_joins", "static_costs", "timed_costs"]

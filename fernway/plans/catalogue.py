@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
 from fernway.functions import statistics as stats
-from fernway.operators import evaluation, features, guard, predictors, roads, search
+from fernway.operators import evaluation, experiments, features, guard, predictors, regression, roads, search
 from fernway.plans import inputs as I
 from fernway.plans import service
 
@@ -487,14 +487,18 @@ def _instrumented(spark: SparkSession, d: str) -> DataFrame:
     return I.edges(spark, d).join(_matches(spark, d).where("matched").select("edge_id"), "edge_id", "left_semi")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}', {v}::DOUBLE)" for r, points in evaluation.SWEEPS.items() for p, v in points) + ") t(run_id, predictor, sweep_value)")
+def _literal(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_literal, (r.name, p.predictor, p.value, p.weight, p.mode)))})" for r in experiments.RUNS for p in r.points) + ") t(run_id, predictor, sweep_value, lambda_base, lambda_mode)")
 def sweep_points(spark, d):
-    return evaluation.sweep_points(spark)
+    return experiments.sweep_points(spark)
 
 
-@query(f"""WITH {I.QUERIES_SQL} SELECT run_id, method, count(*) AS n FROM queries, (VALUES """ + ", ".join(f"('{r}', '{m}', {1 if m in evaluation.CLASSICAL else len(points)})" for r, points in evaluation.SWEEPS.items() for m in evaluation.METHODS[r]) + ") t(run_id, method, points), range(points) GROUP BY ALL")
+@query(f"""WITH {I.QUERIES_SQL} SELECT run_id, method, count(*) AS n FROM queries, (VALUES """ + ", ".join(f"('{r.name}', '{m}', {1 if m in evaluation.CLASSICAL else len(r.points)})" for r in experiments.RUNS for m in r.methods) + ") t(run_id, method, points), range(points) GROUP BY ALL")
 def planned_runs(spark, d):
-    return evaluation.planned_runs(I.queries(spark, d)).groupBy("run_id", "method").agg(F.count("*").alias("n"))
+    return experiments.planned_runs(I.queries(spark, d)).groupBy("run_id", "method").agg(F.count("*").alias("n"))
 
 
 @query(f"""{RESULTS}, optimum AS (SELECT query_id, min(realized_cost) AS optimal_cost FROM results GROUP BY query_id)
@@ -612,3 +616,86 @@ def improvement_summary(spark, d):
     r = _results(spark, d)
     found = evaluation.improvement_summary(r, r.where("method = 'robust_astar'"))
     return found.withColumns({"mean_realized_cost": F.round("mean_realized_cost", 4), "mean_competitive_ratio": F.round("mean_competitive_ratio", 6)})
+
+
+# --- experiments -----------------------------------------------------------------------------------------------------
+
+SEEDS = (20120604, 20120605, 20120606, 20120607, 20120608)
+PER_SEED = 80
+
+
+def _regressed(spark: SparkSession, d: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Quantiles that the regression predicts for the test split; trained once."""
+    f = _features(spark, d)
+    name = "regressed-without-" + "-".join(excluded) if excluded else "regressed"
+    return _once(spark, d, name, lambda: regression.predict(f.where("split = 'test'"), regression.fit(f, excluded=excluded)))
+
+
+def _world(spark: SparkSession, d: str) -> experiments.World:
+    predicted = {n: predictors.times_and_sigma(_regressed(spark, d, x)).select("edge_id", "timestamp", "eta_s", "sigma_s") for n, x in (("quantile", ()), ("quantile_ablation", ("neighbor_congestion_proxy",)))}
+    return experiments.World(_free(spark, d), I.nodes(spark, d), 65.0, _oracle(spark, d), predicted, I.BUCKET_MINUTES)
+
+
+def _experiments(spark: SparkSession, d: str) -> DataFrame:
+    """The result table of all sweeps; run once."""
+
+    def make() -> DataFrame:
+        q = experiments.query_sets(_instrumented(spark, d), _features(spark, d).where("split = 'test'"), I.nodes(spark, d), 65.0, I.STRATA, seeds=SEEDS, n=PER_SEED)
+        return experiments.results(q, _world(spark, d))
+
+    return _once(spark, d, "experiments", make)
+
+
+@query()
+def regression_eval(spark, d):
+    found = predictors.evaluate(predictors.times_and_sigma(_regressed(spark, d)))
+    return found.select("n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mape")])
+
+
+@query()
+def regression_calibration(spark, d):
+    return predictors.calibration(_regressed(spark, d))
+
+
+@query()
+def experiment_results(spark, d):
+    return _experiments(spark, d).drop("latency_ms", "library_versions", "run_timestamp")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r.name}', '{m}', {len(SEEDS) * PER_SEED * (1 if m in evaluation.CLASSICAL else len(r.points))}::BIGINT)" for r in experiments.RUNS for m in r.methods) + ") t(run_id, method, n)")
+def experiment_counts(spark, d):
+    return _experiments(spark, d).groupBy("run_id", "method").agg(F.count("*").alias("n"))
+
+
+@query()
+def experiment_worst_case(spark, d):
+    rows = _experiments(spark, d).where("run_id IN ('robustness_sweep', 'adversarial_budget_sweep')")
+    return stats.worst_of_seeds(rows, ["run_id", "method", "sweep_value"], "competitive_ratio")
+
+
+@query()
+def experiment_guard_rate(spark, d):
+    rows = _experiments(spark, d).where("method = 'robust_astar' AND lambda_base IS NOT NULL")
+    return evaluation.guard_rate(rows, ["run_id", "lambda_base", "sweep_value"])
+
+
+@query()
+def experiment_headline(spark, d):
+    return evaluation.headline(_experiments(spark, d).where("run_id = 'consistency_sweep'"))
+
+
+@query()
+def experiment_ablations(spark, d):
+    rows = _experiments(spark, d).where("run_id LIKE 'ablation%'")
+    return evaluation.ablations(rows, ["run_id", "method", "predictor_type", "lambda_mode", "sweep_value"])
+
+
+@query()
+def experiment_improvement(spark, d):
+    r = _experiments(spark, d).withColumn("realized_cost", F.col("cost"))
+    return evaluation.improvement_summary(r.where("run_id = 'adversarial_budget_sweep'"), r.where("run_id = 'adversary_lambda_diagnosis'"))
+
+
+@query()
+def experiment_latency(spark, d):
+    return _experiments(spark, d).where("run_id = 'consistency_sweep'").groupBy("method").agg(F.count("latency_ms").alias("n"), F.avg("node_expansions").alias("mean_expansions"))
