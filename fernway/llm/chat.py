@@ -1,12 +1,14 @@
 """Chat formatting in DataFrame functions alone: schema fingerprints choose the mapping of each record to canonical turns.
 
-A record is a JSON object in one of many layouts. Its fingerprint is the SHA-256 of its nested field paths, scalar types left
-out; a registry maps fingerprints to declarative mappings (where the turns are, which field is the role, which the text). The
-fingerprints of a mapping are generated from its required and optional fields.
+A record is a JSON object in one of many layouts. Its fingerprint is the SHA-256 of its nested field paths, of those that some mapping
+reads, scalar types left out; other fields, such as ids, names and sources, don't count. A registry maps fingerprints to declarative
+mappings (where the turns are, which field is the role, which the text). The fingerprints of a mapping are generated from its
+required and optional fields. A turn's text may be an array of parts: it is then their texts, one after another, and parts of
+other kinds are left out.
 
 Variants hold no text over 20 M characters and 128 MiB in all. Records of more than ``LONG`` bytes are therefore fingerprinted
 by their shape (keys cut, texts emptied, like elements in a row made one) and their fields read with a schema; scalars
-that are no texts are given there as they are written.
+that are no texts are given there as they are written, and a record with texts in parts is of an unknown layout there.
 
 Formatted: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Roles are percent-encoded in the header. Within texts each control
 string gets a backslash after its first character, besides those that were there already, so that taking one away gives
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +45,9 @@ _LEAD, _REST = r"[<\[]", r"/?s>|\||</?SYS>>|/?INST\]"
 class Mapping:
     """How one layout becomes turns.
 
-    With ``turns``, that field is an array of objects with fields ``role`` and ``text``, and ``roles`` renames roles. Else ``fields``
-    lists (role, field, ...) in the order of the turns; the texts of several fields are joined by an empty line.
+    With ``turns``, that field is an array of objects with fields ``role`` and ``text``, and ``roles`` renames roles; a ``system`` text
+    comes before them, and the array ``then`` or the assistant's text ``last`` after them. Else ``fields`` lists (role, field, ...) in the
+    order of the turns; the texts of several fields are joined by an empty line.
     """
 
     layout: str
@@ -55,16 +58,30 @@ class Mapping:
     text: str = ""
     roles: tuple[tuple[str, str], ...] = ()
     fields: tuple[tuple[str, ...], ...] = ()
+    then: str = ""
+    last: str = ""
+
+    @property
+    def arrays(self) -> tuple[str, ...]:
+        return tuple(x for x in (self.turns, self.then) if x)
+
+    @property
+    def scalars(self) -> tuple[str, ...]:
+        return (*self.required, *self.optional, *([self.last] if self.last else []))
 
 
 # Layouts in use.
+_HUMAN = (("human", "user"), ("gpt", "assistant"))
 MAPPINGS = (
-    Mapping("messages", optional=("id",), turns="messages", role="role", text="content"),
-    Mapping("conversations", optional=("id",), turns="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
-    Mapping("instruction", ("instruction", "output"), ("id", "input", "system"), fields=(("system", "system"), ("user", "instruction", "input"), ("assistant", "output"))),
-    Mapping("prompt-completion", ("prompt", "completion"), ("id", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
-    Mapping("prompt-response", ("prompt", "response"), ("id", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Mapping("question-answer", ("question", "answer"), ("id",), fields=(("user", "question"), ("assistant", "answer"))),
+    Mapping("messages", optional=("system",), turns="messages", role="role", text="content"),
+    Mapping("conversations", optional=("system",), turns="conversations", role="from", text="value", roles=_HUMAN),
+    Mapping("prompt-messages", turns="prompt", role="role", text="content", then="completion"),
+    Mapping("prompt-messages", turns="prompt", role="role", text="content", last="completion"),
+    Mapping("prompt-messages", turns="prompt", role="role", text="content", last="response"),
+    Mapping("instruction", ("instruction", "output"), ("input", "system"), fields=(("system", "system"), ("user", "instruction", "input"), ("assistant", "output"))),
+    Mapping("prompt-completion", ("prompt", "completion"), ("system",), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
+    Mapping("prompt-response", ("prompt", "response"), ("system",), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Mapping("question-answer", ("question", "answer"), (), fields=(("user", "question"), ("assistant", "answer"))),
 )
 
 
@@ -72,18 +89,35 @@ def _tree(fields: Sequence[str]) -> str:
     return f"OBJECT<{', '.join(sorted(fields))}>"
 
 
-def fingerprints_of(mapping: Mapping) -> list[str]:
-    """Those of the mapping's records: the required fields with each choice of the optional ones."""
-    inner = [f"{mapping.turns}: ARRAY<{x}>" for x in (_tree((mapping.role, mapping.text)), "VOID")] if mapping.turns else [None]
-    choices = [some for n in range(len(mapping.optional) + 1) for some in combinations(mapping.optional, n)]
-    trees = [_tree((*mapping.required, *some, *([x] if x else []))) for x in inner for some in choices]
-    return [hashlib.sha256(t.encode()).hexdigest() for t in trees]
+def fingerprints_of(mapping: Mapping) -> dict[str, bool]:
+    """Those of the mapping's records, and whether texts are in parts there: the required fields with each choice of the optional ones."""
+    kinds = {"": False, ": PARTS": True, ": VARIANT": True}
+    inner = {f"ARRAY<{_tree((mapping.role, mapping.text + kind))}>": rich for kind, rich in kinds.items()} | {"ARRAY<>": False}
+    always = [*mapping.required, *([mapping.last] if mapping.last else [])]
+    found = {}
+    for n in range(len(mapping.optional) + 1):
+        for some in combinations(mapping.optional, n):
+            for arrays in product(inner, repeat=len(mapping.arrays)):
+                tree = _tree((*always, *some, *(f"{name}: {x}" for name, x in zip(mapping.arrays, arrays, strict=True))))
+                found[hashlib.sha256(tree.encode()).hexdigest()] = any(inner[x] for x in arrays)
+    return found
+
 
+_NESTED = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*+>)*+>)*+>"
 
-def fingerprint(record: Column) -> Column:
-    """SHA-256 of the tree of a variant's field names, its scalar types left out."""
-    scalar = r": (VOID|VARIANT|STRING|BOOLEAN|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+, ?\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID)(?=[,>])"
-    return F.sha2(F.regexp_replace(F.schema_of_variant(record), scalar, "").cast("binary"), 256)
+
+def fingerprint(record: Column, mappings: Sequence[Mapping] = MAPPINGS) -> Column:
+    """SHA-256 of the tree of those of a variant's fields that the mappings read, scalar types left out."""
+    scalar = r"(?:VOID|STRING|BOOLEAN|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+, ?\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID)"
+    texts = "|".join(sorted({m.text for m in mappings if m.turns}))
+    known = "|".join(sorted({x for m in mappings for x in (*m.scalars, *m.arrays, m.role, m.text) if x}))
+    tree = F.regexp_replace(F.schema_of_variant(record), rf"ARRAY<(?:{scalar}|VARIANT)>", "ARRAY<>")
+    tree = F.regexp_replace(tree, rf": {scalar}(?=[,>])", "")
+    tree = F.regexp_replace(tree, rf"([<, ])({texts}): ARRAY{_NESTED}", "$1$2: PARTS")
+    for _ in range(3):  # each takes out what is nested three deep
+        tree = F.regexp_replace(tree, rf"([<,]) ?+(?!(?:{known})[:,>])(?:`(?:[^`]|``)*+`|[^<>,:`]++)(?:: (?:VARIANT|PARTS|(?:ARRAY|OBJECT){_NESTED}))?(?=[,>])", "$1")
+    tree = F.regexp_replace(F.regexp_replace(tree, r",(?=[,>])", ""), r"<,+ ?", "<")
+    return F.sha2(tree.cast("binary"), 256)
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -99,21 +133,37 @@ def _shape(record: Column) -> Column:
 
 def _schema(mapping: Mapping) -> str:
     """Of the mapping's records, for a parser without a limit on texts."""
-    fields = [f"`{mapping.turns}` array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"] if mapping.turns else [f"`{f}` string" for _, *some in mapping.fields for f in some]
+    fields = [f"`{x}` string" for x in mapping.scalars] + [f"`{x}` array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>" for x in mapping.arrays]
     return ", ".join([*fields, f"`{_CORRUPT}` string"])
 
 
-def _turns(mapping: Mapping, get: Callable[[str, str], Column]) -> Column:
-    """``get`` gives a record's field as a type."""
+def _text_of(content: Column) -> Column:
+    """The text of a variant that is a text or an array of parts."""
+    part = lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).otherwise(F.try_variant_get(p, "$.text", "string"))
+    parts = F.array_join(F.array_compact(F.transform(F.try_variant_get(content, "$", "array<variant>"), part)), "")
+    return F.when(F.schema_of_variant(content).startswith("ARRAY"), parts).otherwise(F.try_variant_get(content, "$", "string"))
+
+
+def _turns(mapping: Mapping, get: Callable[[str, str], Column], rich: bool = False) -> Column:
+    """``get`` gives a record's field as a type; ``rich``: texts may be in parts."""
     if mapping.turns:
-        found = get(mapping.turns, f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>")
 
         def named(role: Column) -> Column:
             for old, new in mapping.roles:
                 role = F.when(role == old, F.lit(new)).otherwise(role)
             return role
 
-        return F.transform(found, lambda t: _turn(named(t[mapping.role]), t[mapping.text]))
+        def turns_in(name: str) -> Column:
+            found = get(name, f"array<struct<`{mapping.role}`:string,`{mapping.text}`:{'variant' if rich else 'string'}>>")
+            return F.transform(found, lambda t: _turn(named(t[mapping.role]), _text_of(t[mapping.text]) if rich else t[mapping.text]))
+
+        found = [turns_in(x) for x in mapping.arrays]
+        if "system" in mapping.optional:
+            system = get("system", "string")
+            found.insert(0, F.when(system.isNotNull(), F.array(_turn(F.lit("system"), system))).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
+        if mapping.last:
+            found.append(F.array(_turn(F.lit("assistant"), get(mapping.last, "string"))))
+        return F.concat(*found)
     turns = []
     for role, *fields in mapping.fields:
         texts = [get(f, "string") for f in fields]
@@ -124,25 +174,29 @@ def _turns(mapping: Mapping, get: Callable[[str, str], Column]) -> Column:
 
 def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """Every row with its record's layout and its turns, an array of (role, text)."""
-    known = {f: m.layout for m in mappings for f in fingerprints_of(m)}
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    known = {f: f"{k}{'+' if rich else ''}" for k, m in enumerate(mappings) for f, rich in fingerprints_of(m).items()}
+    chosen = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     long = F.octet_length(record) > LONG
     df = records.withColumn("__fernway_v", F.try_parse_json(F.when(long, _shape(F.col(record))).otherwise(F.col(record))))
-    df = df.withColumn("layout", fenced(F.try_element_at(names, F.coalesce(fingerprint(F.col("__fernway_v")), F.lit("")))))
-    turns = None
+    df = df.withColumn("__fernway_m", fenced(F.try_element_at(chosen, F.coalesce(fingerprint(F.col("__fernway_v"), mappings), F.lit("")))))
+    df = df.withColumn("__fernway_m", F.when(~long | ~F.col("__fernway_m").endswith("+"), F.col("__fernway_m")))
+    turns = layout = None
     for k, m in enumerate(mappings):
-        here, name = F.col("layout") == m.layout, f"__fernway_{k}"
+        plain, rich, name = F.col("__fernway_m") == str(k), F.col("__fernway_m") == f"{k}+", f"__fernway_{k}"
         parsed = F.from_json(F.col(record), _schema(m), {"maxStringLen": str((1 << 31) - 1), "columnNameOfCorruptRecord": _CORRUPT})
-        df = df.withColumn(name, fenced(F.when(here & long, parsed)))
-        own = _turns(m, lambda f, t: F.try_variant_get(F.col("__fernway_v"), f"$.{f}", t))
+        df = df.withColumn(name, fenced(F.when(plain & long, parsed)))
+        get = lambda f, t: F.try_variant_get(F.col("__fernway_v"), f"$.{f}", t)
         whole = F.when(F.col(name)[_CORRUPT].isNull(), _turns(m, lambda f, _, name=name: F.col(name)[f]))
-        found = F.when(long, whole).otherwise(own)
-        turns = F.when(here, found) if turns is None else turns.when(here, found)
+        found = F.when(long, whole).otherwise(_turns(m, get))
+        turns = F.when(plain, found) if turns is None else turns.when(plain, found)
+        layout = F.when(plain | rich, m.layout) if layout is None else layout.when(plain | rich, m.layout)
+        if m.turns:
+            turns = turns.when(rich, _turns(m, get, rich=True))
     df = df.withColumn("turns", fenced(turns))
     # A long record of a known shape that does not parse is broken; one that does has turns, or null for them.
     broken = F.coalesce(*[F.col(f"__fernway_{k}")[_CORRUPT] for k in range(len(mappings))]).isNotNull()
-    df = df.withColumn("layout", F.when(~broken, F.col("layout")))
-    return df.drop("__fernway_v", *[f"__fernway_{k}" for k in range(len(mappings))])
+    df = df.withColumn("layout", F.when(~broken, layout))
+    return df.drop("__fernway_v", "__fernway_m", *[f"__fernway_{k}" for k in range(len(mappings))])
 
 
 def escaped(text: Column) -> Column:

@@ -44,6 +44,17 @@ LAYOUTS = [
     ({"question": "p", "reply": "c"}, None, None),
     ({"messages": [{"role": "user", "content": {"parts": ["x"]}}]}, None, None),
     ([1, 2], None, None),
+    ({"messages": [{"role": "user", "content": "q", "name": "x", "tool": {"role": 1, "a": [{"b": [[2]]}]}}], "source": "s", "we,ird <x>": {"messages": 1}, "tags": ["a"], "f": [], "o": {}}, "messages", [("user", "q")]),
+    ({"system": "be", "conversations": [{"from": "gpt", "value": "a", "weight": 1}], "id": [1]}, "conversations", [("system", "be"), ("assistant", "a")]),
+    ({"prompt": [{"role": "user", "content": "p"}], "completion": [{"role": "assistant", "content": "c"}]}, "prompt-messages", [("user", "p"), ("assistant", "c")]),
+    ({"prompt": [{"role": "user", "content": "p"}], "completion": "c", "score": 0.5}, "prompt-messages", [("user", "p"), ("assistant", "c")]),
+    ({"question": "p", "answer": "c", "meta": {"question": {"deep": {"deeper": {"deepest": [1]}}}}}, "question-answer", [("user", "p"), ("assistant", "c")]),
+    ({"messages": [{"role": "user", "content": "q"}], "prompt": "p"}, None, None),
+]
+IN_PARTS = [
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "b"}]}]}, "messages", [("user", "ab")]),
+    ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": ["x", {"text": "y"}, 7]}, {"role": "user", "content": None}], "n": 1}, "messages", [("user", "q"), ("assistant", "xy"), ("user", "")]),
+    ({"conversations": [{"from": "human", "value": []}]}, "conversations", [("user", "")]),
 ]
 
 
@@ -57,6 +68,11 @@ def test_layouts(spark):
         assert (r.formatted is None) == (turns is None)
 
 
+def test_texts_in_parts(spark):
+    rows = chat.format_chats(spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(IN_PARTS)], "i int, record string")).collect()
+    assert {r.i: (r.layout, [tuple(t) for t in r.turns]) for r in rows} == {i: (layout, turns) for i, (_, layout, turns) in enumerate(IN_PARTS)}
+
+
 def test_conversations_come_back(spark):
     rows = [(1, i, ["user", "assistant", "system", None][i % 4], t) for i, t in enumerate(HARD)]
     rows += [(2, None, "user", None), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, 1, "odd role\n%", "x"), (3, 1, "user", "z" * 50_000)]
