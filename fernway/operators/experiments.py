@@ -7,14 +7,15 @@ together: each is a copy of the queries with columns of its own. So there is one
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
 from fernway.operators import guard, search
-from fernway.operators.evaluation import CLASSICAL, provenance, sampled_queries, stratified
+from fernway.operators.evaluation import CLASSICAL, provenance, reachable_queries, sampled_queries, stratified
+from fernway.operators.roads import first_nodes, induced
 from fernway.operators.rounds import cut
 
 # The sweeps, with their seeds, methods and points.
@@ -212,3 +213,15 @@ def query_sets(endpoints: DataFrame, times: DataFrame, nodes: DataFrame, max_mph
         one = stratified(sampled_queries(endpoints, times, n, seed=seed), nodes, max_mph, strata).withColumn("query_seed", F.lit(seed).cast("long"))
         every = one if every is None else every.unionByName(one)
     return every.select("query_seed", "query_id", "origin", "dest", "depart_time", "distance_stratum", "time_stratum")
+
+
+def scaling(edges: DataFrame, root: DataFrame, sizes: tuple[int, ...], world: World, times: DataFrame, *, n: int, seed: int, point: Point) -> DataFrame:
+    """The result table with ``graph_size``: every method on the first so many nodes around a root, for queries with a route there."""
+    every = None
+    for size in sizes:
+        part = cut(induced(edges, first_nodes(edges, root, size)))
+        queries = reachable_queries(part, times, part, n, seed=seed).withColumns({"query_seed": F.lit(seed).cast("long"), "distance_stratum": F.lit("all"), "time_stratum": F.lit("all")})
+        here = replace(world, edges=part)
+        one = run_all(queries, here, (Run("scaling", seed, EVERY, (point,)),)).withColumn("graph_size", F.lit(size).cast("long"))
+        every = one if every is None else every.unionByName(one)
+    return every

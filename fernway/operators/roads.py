@@ -79,25 +79,37 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(u, "u", "left_semi").join(v, "v", "left_semi")
 
 
-def strong_component(edges: DataFrame, root: DataFrame) -> DataFrame:
-    """(node): what the root reaches and what reaches it."""
-    return breadth_first(edges, root).select("node").join(breadth_first(reverse(edges), root).select("node"), "node", "left_semi")
+def strong_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(node, component): the strongly connected component of every node, named by its smallest node; all are found side by side.
 
+    Each pass gives every node the smallest one that reaches it as its colour, by rounds of joins. A node of its own colour then
+    has for component those of its colour that reach it. What is found is removed, and so are nodes without an edge in or out.
+    """
+    left, kept, found = cut(nodes.select("node").distinct()), cut(edges.select("u", "v").where("u <> v").distinct()), None
+    for _ in range(most_rounds):
+        ends = kept.select(F.col("u").alias("node")).intersect(kept.select(F.col("v").alias("node")))
+        alone = left.join(ends, "node", "left_anti").select("node", F.col("node").alias("component"))
+        colours = cut(left.join(ends, "node", "left_semi").select("node", F.col("node").alias("colour"), F.lit(0).alias("round")))
+        for k in range(1, most_rounds):
+            moved = colours.where(F.col("round") == k - 1).join(kept, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "colour", F.lit(k).alias("round"))
+            inside = moved.join(colours.select("node"), "node", "left_semi")
+            colours = cut(colours.unionByName(inside).groupBy("node").agg(F.min(F.struct("colour", "round")).alias("c")).select("node", "c.colour", "c.round"))
+            if colours.where(F.col("round") == k).isEmpty():
+                break
+        # Edges within a colour, to be followed back from the node that gave it.
+        own = [colours.select(F.col("node").alias(x), F.col("colour").alias(f"c{x}")) for x in "uv"]
+        back = cut(kept.join(own[0], "u").join(own[1], "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        met = breadth_first(back, colours.where("node = colour").select("node"), most_rounds).select("node")
+        new = cut(alone.unionByName(colours.join(met, "node", "left_semi").select("node", F.col("colour").alias("component"))))
+        found = new if found is None else found.unionByName(new)
+        left = cut(left.join(new, "node", "left_anti"))
+        if left.isEmpty():
+            return found
+        kept = cut(induced(kept, left))
+    raise RuntimeError(f"components are still found after {most_rounds} passes")
 
-def largest_strong_share(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: the share of the nodes in the largest strongly connected component.
 
-    Each round takes the unassigned node with most edges, finds its component by two breadth-first searches and removes it; it ends
-    when the largest found is at least as large as what is left.
-    """
-    left = cut(nodes.select("node").distinct())
-    total = left.count()
-    best, rest, kept = 0, total, edges
-    while rest > best:
-        degrees = left.join(kept.select(F.col("u").alias("node")), "node", "left").groupBy("node").count().orderBy(F.desc("count"), "node").limit(1).select("node")
-        component = cut(strong_component(kept, degrees))
-        size = component.count()
-        best, rest = max(best, size), rest - size
-        left = cut(left.join(component, "node", "left_anti"))
-        kept = induced(edges, left)
-    return edges.sparkSession.createDataFrame([(best / total if total else None, total)], "largest_share double, n_nodes long")
+def largest_strong_share(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: the share of the nodes in the largest strongly connected component; null without nodes."""
+    sizes = strong_components(edges, nodes).groupBy("component").agg(F.count("*").alias("n"))
+    return sizes.agg((F.max("n") / F.sum("n")).alias("largest_share"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_nodes"))

@@ -699,3 +699,25 @@ def experiment_improvement(spark, d):
 @query()
 def experiment_latency(spark, d):
     return _experiments(spark, d).where("run_id = 'consistency_sweep'").groupBy("method").agg(F.count("latency_ms").alias("n"), F.avg("node_expansions").alias("mean_expansions"))
+
+
+def _scaling(spark: SparkSession, d: str, predictor: str) -> DataFrame:
+    """Every method on a quarter, a half and all of the nodes."""
+
+    def make() -> DataFrame:
+        count = I.nodes(spark, d).count()
+        root = spark.createDataFrame([(0,)], "node long")
+        times = _features(spark, d).where("split = 'test'")
+        return experiments.scaling(_free(spark, d), root, (count // 4, count // 2, count), _world(spark, d), times, n=40, seed=20120604, point=experiments.Point(predictor))
+
+    return _once(spark, d, f"scaling-{predictor}", make)
+
+
+@query()
+def scaling_oracle(spark, d):
+    return _scaling(spark, d, "oracle").groupBy("graph_size", "method").agg(F.count("*").alias("n"), F.avg("node_expansions").alias("mean_expansions"), F.avg("competitive_ratio").alias("mean_ratio"))
+
+
+@query()
+def scaling_quantile(spark, d):
+    return _scaling(spark, d, "quantile").groupBy("graph_size", "method").agg(F.count("*").alias("n"), F.avg("node_expansions").alias("mean_expansions"), F.avg("competitive_ratio").alias("mean_ratio"))

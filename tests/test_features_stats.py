@@ -192,6 +192,63 @@ def test_levels(spark):
     assert roads.induced(edges, roads.first_nodes(edges, root, 3)).count() == 3
 
 
+def test_strong_components(spark):
+    import random
+
+    rnd = random.Random(2)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(55)] + [(50, 51), (51, 52), (52, 50), (52, 60), (60, 60)]
+    nodes = sorted({x for p in pairs for x in p} | {99})
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for u, v in pairs:
+            for n in nodes:
+                if u in reach[n]:
+                    reach[n].add(v)
+    want = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+    got = roads.strong_components(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame([(n,) for n in nodes], "node long"))
+    assert {r.node: r.component for r in got.collect()} == want
+
+
+def test_sensors_without_a_place_or_near_a_long_edge(spark):
+    nodes = spark.createDataFrame([(0, 34.0, -118.0), (1, 34.5, -117.0), (2, 34.0, -117.0)], "node long, lat double, lon double")
+    edges = spark.createDataFrame([("long", 0, 1), ("flat", 0, 2)], "edge_id string, u long, v long")
+    places = [("a", 34.25, -117.5), ("b", 34.001, -117.4), ("c", None, -117.0), ("d", float("nan"), 1.0), ("e", 34.6, -116.9)]
+    got = {r.sensor_id: r for r in features.match_sensors(spark.createDataFrame(places, "sensor_id string, latitude double, longitude double"), edges, nodes).collect()}
+    assert (got["a"].edge_id, got["b"].edge_id, got["e"].edge_id) == ("long", "flat", "long")
+    assert got["a"].matched and not got["e"].matched
+    assert all(got[x].edge_id is None and not got[x].matched for x in "cd")
+
+
+def test_noise_of_the_generator(spark):
+    """The draws of a generator seeded by the first eight bytes of the SHA-256 of seed, edge and time."""
+    import hashlib
+
+    import numpy as np
+
+    rows = spark.createDataFrame([("e1", datetime(2012, 6, 4, 8), 10.0), ("e2", datetime(2012, 6, 4, 8, 5), 20.0)], "edge_id string, timestamp timestamp_ntz, eta_s double")
+    for r in predictors.noisy_generated(rows, 0.5, seed=42).collect():
+        eta = {"e1": 10.0, "e2": 20.0}[r.edge_id]
+        digest = hashlib.sha256(f"42:{r.edge_id}:{r.timestamp.isoformat()}".encode()).digest()
+        want = max(eta + np.random.default_rng(int.from_bytes(digest[:8], "big")).normal(0.0, 0.5 * eta), 1e-3)
+        assert math.isclose(r.eta_s, want, rel_tol=1e-12)
+
+
+def test_numbers_follow_the_order(spark):
+    from fernway.operators.rounds import numbered
+
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k").repartition(5)
+    assert all(r.k == r.number for r in numbered(rows, "k").collect())
+
+
+def test_headline_adjusts_its_tests(spark):
+    rows = [(s, q, m, 1.0 + q / 100 + {"robust_astar": 0.0, "astar": 0.5, "pure_ml_astar": 0.001 * (-1) ** q}[m]) for s in (1, 2, 3) for q in range(12) for m in ("robust_astar", "astar", "pure_ml_astar")]
+    results = spark.createDataFrame(rows, "query_seed int, query_id int, method string, competitive_ratio double").withColumn("sweep_value", F.lit(None).cast("double"))
+    got = {r.method: r for r in evaluation.headline(results).collect()}
+    assert got["astar"].p_adjusted == min(1.0, 2 * got["astar"].p) and got["astar"].stars == "***" and got["astar"].reject
+    assert got["pure_ml_astar"].p_adjusted >= got["pure_ml_astar"].p and got["pure_ml_astar"].stars == "ns"
+    assert got["robust_astar"].p is None and got["robust_astar"].stars == ""
+
+
 def test_breadth_first_does_not_end_silently(spark):
     chain, root = spark.range(6).selectExpr("id AS u", "id + 1 AS v"), spark.range(1).selectExpr("id AS node")
     with pytest.raises(RuntimeError, match="levels"):
