@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fernway.functions import scalar as S
 from fernway.operators import guard, search
 from fernway.operators.evaluation import CLASSICAL, provenance, reachable_queries, sampled_queries, stratified
-from fernway.operators.roads import first_nodes, induced
+from fernway.operators.roads import breadth_first, induced
 from fernway.operators.rounds import cut
 
 # The sweeps, with their seeds, methods and points.
@@ -217,9 +217,9 @@ def query_sets(endpoints: DataFrame, times: DataFrame, nodes: DataFrame, max_mph
 
 def scaling(edges: DataFrame, root: DataFrame, sizes: tuple[int, ...], world: World, times: DataFrame, *, n: int, seed: int, point: Point) -> DataFrame:
     """The result table with ``graph_size``: every method on the first so many nodes around a root, for queries with a route there."""
-    every = None
+    every, levels = None, cut(breadth_first(edges, root))
     for size in sizes:
-        part = cut(induced(edges, first_nodes(edges, root, size)))
+        part = cut(induced(edges, levels.orderBy("level", "node").limit(size)))
         queries = reachable_queries(part, times, part, n, seed=seed).withColumns({"query_seed": F.lit(seed).cast("long"), "distance_stratum": F.lit("all"), "time_stratum": F.lit("all")})
         here = replace(world, edges=part)
         one = run_all(queries, here, (Run("scaling", seed, EVERY, (point,)),)).withColumn("graph_size", F.lit(size).cast("long"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
 from fernway.operators.rounds import cut
 
+#: Rounds of joins between checkpoints.
+STRIDE = 4
+
 
 def build_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """edge_id, u, v, length_m, road_class, speed_limit_mph and lanes, from tagged node pairs and the nodes' places.
@@ -51,21 +54,26 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"u": F.col("v"), "v": F.col("u")})
 
 
+def _spread(labels: DataFrame, steps: DataFrame, onward: Column, most_rounds: int) -> DataFrame:
+    """(node, label, round): the least label that reaches each node along steps (node, v), and the round in which it came.
+
+    A round takes the labels that improved last; rows are written and looked at every ``STRIDE`` rounds.
+    """
+    for k in range(1, most_rounds):
+        moved = labels.where(F.col("round") == k - 1).join(steps, "node").select(F.col("v").alias("node"), onward.alias("label"), F.lit(k).alias("round"))
+        labels = labels.unionByName(moved).groupBy("node").agg(F.min(F.struct("label", "round")).alias("b")).select("node", "b.label", "b.round")
+        if k % STRIDE == 0 or k == most_rounds - 1:
+            labels = cut(labels)
+            if labels.where(F.col("round") == k).isEmpty():
+                return labels
+    raise RuntimeError(f"nodes are still met after {most_rounds - 1} levels")
+
+
 def breadth_first(edges: DataFrame, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
     """(node, level): the fewest edges from any root (node), by rounds of joins until nothing new is met."""
-    reached = cut(roots.select("node", F.lit(0).alias("level")).distinct())
-    steps = edges.select(F.col("u").alias("node"), "v").distinct()
-    for level in range(1, most_levels):
-        new = reached.where(F.col("level") == level - 1).join(steps, "node").select(F.col("v").alias("node")).distinct().join(reached, "node", "left_anti")
-        new = cut(new.select("node", F.lit(level).alias("level")))
-        if new.isEmpty():
-            break
-        reached = reached.unionByName(new)
-        if level % 8 == 0:
-            reached = cut(reached)
-    else:
-        raise RuntimeError(f"nodes are still met after {most_levels - 1} levels")
-    return reached
+    start = roots.select("node", F.lit(0).alias("label"), F.lit(0).alias("round")).distinct()
+    steps = cut(edges.select(F.col("u").alias("node"), "v").distinct())
+    return _spread(cut(start), steps, F.col("label") + 1, most_levels).select("node", F.col("label").alias("level"))
 
 
 def first_nodes(edges: DataFrame, roots: DataFrame, n: int) -> DataFrame:
@@ -89,13 +97,10 @@ def strong_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 10_
     for _ in range(most_rounds):
         ends = kept.select(F.col("u").alias("node")).intersect(kept.select(F.col("v").alias("node")))
         alone = left.join(ends, "node", "left_anti").select("node", F.col("node").alias("component"))
-        colours = cut(left.join(ends, "node", "left_semi").select("node", F.col("node").alias("colour"), F.lit(0).alias("round")))
-        for k in range(1, most_rounds):
-            moved = colours.where(F.col("round") == k - 1).join(kept, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "colour", F.lit(k).alias("round"))
-            inside = moved.join(colours.select("node"), "node", "left_semi")
-            colours = cut(colours.unionByName(inside).groupBy("node").agg(F.min(F.struct("colour", "round")).alias("c")).select("node", "c.colour", "c.round"))
-            if colours.where(F.col("round") == k).isEmpty():
-                break
+        among = left.join(ends, "node", "left_semi")
+        steps = cut(induced(kept, among).select(F.col("u").alias("node"), "v"))
+        start = cut(among.select("node", F.col("node").alias("label"), F.lit(0).alias("round")))
+        colours = _spread(start, steps, F.col("label"), most_rounds).select("node", F.col("label").alias("colour"))
         # Edges within a colour, to be followed back from the node that gave it.
         own = [colours.select(F.col("node").alias(x), F.col("colour").alias(f"c{x}")) for x in "uv"]
         back = cut(kept.join(own[0], "u").join(own[1], "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")))
