@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernway.functions.scalar import hashed_unit
+
 #: Values of one group that a bootstrap holds at most; larger groups use :func:`bootstrap_hashed`.
 MOST_VALUES = 1_000_000
 #: Pairs up to which the signed-rank test is exact.
@@ -62,20 +64,24 @@ def bootstrap(rows: DataFrame, groups: list[str], value: str, *, draws: int = 10
     return values.groupBy(*groups).applyInPandas(resample, schema)
 
 
-def bootstrap_hashed(rows: DataFrame, groups: list[str], value: str, *, key: str, draws: int = 200, level: float = 0.95) -> DataFrame:
-    """As :func:`bootstrap` of the mean for groups of any size: each value counts in each draw as often as a Poisson number hashed from
-    its key and the draw says, so that the draws are sums and nothing is gathered."""
-    v = rows.select(*groups, clean(value).alias("_v"), F.col(key).alias("_k")).dropna(subset=["_v"])
-    # Poisson of mean one by its inverse distribution function.
+def poisson_steps() -> list[tuple[float, int]]:
+    """The distribution function of a Poisson number of mean one, with the number: it is the first whose bound is above a number in (0, 1)."""
     steps, total, at = [], 0.0, math.exp(-1)
     for k in range(9):
         total += at
         steps.append((total, k))
         at /= k + 1
+    return steps
+
+
+def bootstrap_hashed(rows: DataFrame, groups: list[str], value: str, *, key: str, draws: int = 200, level: float = 0.95) -> DataFrame:
+    """As :func:`bootstrap` of the mean for groups of any size: each value counts in each draw as often as a Poisson number hashed from
+    its key and the draw says, so that the draws are sums and nothing is gathered."""
+    v = rows.select(*groups, clean(value).alias("_v"), F.col(key).alias("_k")).dropna(subset=["_v"])
     drawn = v.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
-    unit = F.pmod(F.xxhash64("_k", "_d"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    unit = hashed_unit(F.col("_k").cast("string"), F.col("_d").cast("string"))
     times = F.lit(9)
-    for bound, k in reversed(steps):
+    for bound, k in reversed(poisson_steps()):
         times = F.when(unit < bound, F.lit(k)).otherwise(times)
     means = drawn.withColumn("_t", times).groupBy(*groups, "_d").agg(F.try_divide(F.sum(F.col("_v") * F.col("_t")), F.sum("_t")).alias("_m"))
     tail = (1 - level) / 2

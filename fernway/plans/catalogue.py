@@ -440,7 +440,7 @@ RESULTS = """WITH results AS (
     SELECT l_orderkey % 5 AS query_seed, l_partkey % 80 AS query_id, ['astar', 'pure_ml_astar', 'robust_astar'][(l_suppkey % 3 + 1)::INT] AS method,
         CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE (l_linenumber % 4)::DOUBLE / 2 END AS sweep_value,
         round(l_extendedprice, 2) AS realized_cost, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE 1 + (l_partkey % 100)::DOUBLE / 64 + l_discount END AS competitive_ratio,
-        (l_quantity * 10)::BIGINT AS node_expansions, CASE WHEN l_suppkey % 3 = 2 THEN l_tax > 0.05 END AS guard_invoked, l_quantity AS latency_ms, (l_linenumber % 3 + 1) * 1000 AS graph_size FROM lineitem)"""
+        (l_quantity * 10)::BIGINT AS node_expansions, CASE WHEN l_suppkey % 3 = 2 THEN l_tax > 0.05 END AS guard_invoked, l_quantity AS latency_ms, (l_linenumber % 3 + 1) * 1000 AS graph_size, l_orderkey || '-' || l_linenumber AS row_key FROM lineitem)"""
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -456,6 +456,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
         F.when(m == 2, F.col("l_tax") > 0.05).alias("guard_invoked"),
         F.col("l_quantity").alias("latency_ms"),
         ((F.col("l_linenumber") % 3 + 1) * 1000).alias("graph_size"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"),
     )
 
 
@@ -547,10 +548,17 @@ def bootstrap_ci(spark, d):
     return stats.bootstrap(per_seed, ["method"], "m", draws=2000)
 
 
-@query()
+_POISSON = "CASE " + " ".join(f"WHEN u < {b!r}::DOUBLE THEN {k}" for b, k in stats.poisson_steps()) + " ELSE 9 END"
+
+
+@query(f"""{RESULTS}, v AS (SELECT method, competitive_ratio AS v, row_key FROM results WHERE competitive_ratio IS NOT NULL),
+    drawn AS (SELECT method, v, d, (('0x' || substr(sha256(row_key || '|' || d), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM v, range(1, 51) r(d)),
+    means AS (SELECT method, d, sum(v * t) / sum(t) AS m FROM (SELECT *, {_POISSON} AS t FROM drawn) GROUP BY method, d)
+    SELECT method, round((SELECT avg(v) FROM v w WHERE w.method = means.method), 6) AS point, (SELECT count(*) FROM v w WHERE w.method = means.method) AS n,
+        round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM means GROUP BY method""")
 def bootstrap_ci_hashed(spark, d):
-    rows = _results(spark, d).withColumn("k", F.monotonically_increasing_id())
-    return stats.bootstrap_hashed(rows, ["method"], "competitive_ratio", key="k", draws=100)
+    found = stats.bootstrap_hashed(_results(spark, d), ["method"], "competitive_ratio", key="row_key", draws=50)
+    return found.select("method", F.round("point", 6).alias("point"), "n", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
 PAIRS = f"""{RESULTS}, own AS (SELECT query_seed, query_id, sweep_value, median(realized_cost) AS a FROM results WHERE method = 'robust_astar' GROUP BY ALL),
