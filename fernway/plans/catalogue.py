@@ -11,7 +11,6 @@ from fernway.functions import scalar as S
 from fernway.functions import statistics as stats
 from fernway.operators import evaluation, experiments, features, guard, predictors, regression, roads, search
 from fernway.plans import inputs as I
-from fernway.plans import service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
