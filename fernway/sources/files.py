@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,44 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
 
 
 def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as written by :func:`write_graph`."""
-    return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+    """Nodes and edges as written by :func:`write_graph`; no such folder is an error, and so is a graph without nodes or edges."""
+    nodes, edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+    if nodes.isEmpty() or edges.isEmpty():
+        raise ValueError(f"the graph in {folder} is empty")
+    return nodes, edges
+
+
+def wkb_points(geometry: bytes | None) -> list[dict] | None:
+    """The points (x, y) of a point or line in well-known binary, of two dimensions; null for null."""
+    if geometry is None:
+        return None
+    order = "<" if geometry[0] else ">"
+    kind = int(np.frombuffer(geometry, f"{order}u4", 1, 1)[0])
+    if kind not in (1, 2):
+        raise ValueError(f"a geometry of kind {kind} is neither a point nor a line")
+    places = np.frombuffer(geometry, f"{order}f8", offset=5 if kind == 1 else 9).reshape(-1, 2)
+    return [{"x": x, "y": y} for x, y in places.tolist()]
+
+
+def read_geometries(spark: SparkSession, path: str, column: str = "geometry") -> DataFrame:
+    """The rows of a GeoParquet file of points or lines, with ``points``, an array of (x, y), in place of the geometry."""
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def points(values: pd.Series) -> pd.Series:
+        return values.map(wkb_points)
+
+    rows = spark.read.parquet(path)
+    return rows.withColumn("points", points(F.col(column))).drop(column)
+
+
+def line_segments(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (edge_id, u, v) and nodes (node, lat, lon) of the straight parts of lines (edge_id, points), to match sensors to.
+
+    Each part has its line's edge_id, so that the nearest edge is that with the nearest part.
+    """
+    vertices = edges.select("edge_id", F.posexplode("points").alias("k", "p")).withColumn("node", F.concat_ws("#", "edge_id", "k"))
+    parts = vertices.where("k > 0").select("edge_id", F.concat_ws("#", "edge_id", F.col("k") - 1).alias("u"), F.col("node").alias("v"))
+    return parts, vertices.select("node", F.col("p.y").alias("lat"), F.col("p.x").alias("lon"))
 
 
 def write_features(features: DataFrame, folder: str) -> None:

@@ -172,6 +172,40 @@ def test_files(spark, tmp_path):
     assert files.load_model(spark, str(tmp_path / "m"), "v1").first().level == 2
 
 
+def test_geometries(spark, tmp_path):
+    import struct
+
+    def line(order, *points):
+        return struct.pack(order + "BII", order == "<", 2, len(points)) + b"".join(struct.pack(order + "dd", *p) for p in points)
+
+    shapes = [("bent", line("<", (-118.0, 34.0), (-118.0, 34.1), (-117.9, 34.1))), ("straight", line(">", (-118.0, 34.0), (-117.9, 34.0))), ("none", None), ("dot", struct.pack("<BIdd", 1, 1, 3.0, 4.0))]
+    spark.createDataFrame(shapes, "edge_id string, geometry binary").write.parquet(str(tmp_path / "g"))
+    read = files.read_geometries(spark, str(tmp_path / "g"))
+    found = {r.edge_id: r.points and [tuple(p) for p in r.points] for r in read.collect()}
+    assert found == {"bent": [(-118.0, 34.0), (-118.0, 34.1), (-117.9, 34.1)], "straight": [(-118.0, 34.0), (-117.9, 34.0)], "none": None, "dot": [(3.0, 4.0)]}
+    parts, nodes = files.line_segments(read.where("edge_id IN ('bent', 'straight')"))
+    places = spark.createDataFrame([("a", 34.0995, -117.95), ("b", 34.0005, -117.95), ("c", 34.07, -118.0005)], "sensor_id string, latitude double, longitude double")
+    assert {r.sensor_id: r.edge_id for r in features.match_sensors(places, parts, nodes).collect()} == {"a": "bent", "b": "straight", "c": "bent"}
+
+
+def test_sinks_and_empty_graphs(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", T0, 1.0, "train"), ("e2", T0, 2.0, "val")], "edge_id string, timestamp timestamp_ntz, speed_mph double, split string")
+    files.write_features(rows, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).where("split = 'val'").first().edge_id == "e2"
+    results = evaluation.provenance(rows.withColumn("run_id", F.lit("r")), config="c")
+    files.write_results(results, str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r")).where("run_id = 'r'").collect()
+    assert len(back) == 2 and back[0].config == "c" and "pyspark" in back[0].library_versions and back[0].run_timestamp is not None
+    files.write_figure(rows.select("edge_id", "speed_mph"), str(tmp_path / "fig"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "fig")).count() == 2
+    nodes = spark.createDataFrame([(0, 1.0, 2.0)], "node long, lat double, lon double")
+    files.write_graph(nodes, nodes.limit(0), str(tmp_path / "g"))
+    with pytest.raises(ValueError, match="empty"):
+        files.read_graph(spark, str(tmp_path / "g"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_graph(spark, str(tmp_path / "nowhere"))
+
+
 def test_stream(spark, tmp_path):
     rows = [("s", T0 + timedelta(minutes=m), float(v)) for m, v in ((0, 10), (1, 20), (6, 30), (30, 40))]
     spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, speed_mph double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
