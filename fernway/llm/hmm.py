@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +139,7 @@ ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 def encode(docs: DataFrame, held_out: Column, words: Vocabulary, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row as symbols (16 bits each), with what the known words add to the scores and the other words by count."""
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_sum", "share_sum", "symbols", "rare"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,22 +151,26 @@ def encode(docs: DataFrame, held_out: Column, words: Vocabulary, *, doc_id: str
         next_row = TaskContext.get().partitionId() << 36
         for whole in batches:
             for batch in slices(whole, "raw"):
-                out = []
-                for doc, held, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "raw")), strict=True):
+                out, rare_words, rare_counts, ends_at = [], [], [], [0]
+                for raw in batch.column("raw").to_pylist():
                     tokens = _words(raw)
-                    at = np.fromiter((get(w, known) for w in tokens), np.int64, len(tokens))
-                    symbols = symbol[at]
-                    rare: Counter = Counter()
-                    for i in np.flatnonzero(at == known).tolist():
-                        rare[tokens[i]] += 1
-                        symbols[i] = suffix_symbol(tokens[i])
                     n = len(tokens)
-                    found = n - sum(rare.values()) + (v.ends > 0)
-                    whole_base = float(base[at].sum()) + end - (n + 1) * v.base_below
-                    out.append((next_row, doc, held, n + 1, found, whole_base, float(share[at].sum()), np.append(symbols, END).astype("<u2").tobytes(), [{"word": w, "n": k} for w, k in rare.items()]))
-                    next_row += 1
-                columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    at = np.fromiter(map(get, tokens, repeat(known)), np.int64, n)
+                    symbols = np.append(symbol[at], END)
+                    rare = np.flatnonzero(at == known)
+                    if len(rare):
+                        words = [tokens[i] for i in rare.tolist()]
+                        symbols[rare] = [suffix_symbol(w) for w in words]
+                        counts = Counter(words)
+                        rare_words += counts.keys()
+                        rare_counts += counts.values()
+                    ends_at.append(len(rare_words))
+                    out.append((n + 1, n - len(rare) + (v.ends > 0), float(base[at].sum()) + end - (n + 1) * v.base_below, float(share[at].sum()), symbols.astype("<u2").tobytes()))
+                numbers = pa.array(range(next_row, next_row + len(out)), pa.int64())
+                next_row += len(out)
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types[3:8], strict=True)]
+                rare = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], ["word", "n"]))
+                yield pa.RecordBatch.from_arrays([numbers, batch.column("doc_id"), batch.column("held_out"), *columns, rare], names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("binary").alias("raw"))
     return rows.mapInArrow(run, ENCODED)
