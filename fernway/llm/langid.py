@@ -42,6 +42,8 @@ SCRIPT_SHARE = 0.001
 #: Languages whose counts are sent to the driver at once; with more of them, fewer words are held or scored together.
 MAX_LANGUAGES = 64
 CACHE_ENTRIES = 300_000
+#: Bytes of texts that are looked at together.
+SLICE = 2 << 20
 #: Characters of a word that are scored together; longer ones are scored in parts.
 WORD_PART = 64
 
@@ -213,7 +215,7 @@ def count_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", b
             words.clear()
 
         for whole in batches:
-            for batch in slices(whole, "raw"):
+            for batch in slices(whole, "raw", SLICE):
                 for language, raw in zip(batch.column("lang").to_pylist(), batch.column("raw").to_pylist(), strict=True):
                     words.setdefault(language, Counter()).update(_parts(_words(raw)))
                 if sum(map(len, words.values())) > CACHE_ENTRIES:
@@ -309,7 +311,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "l
         number: dict[str, int] = {}
         scores, letters = np.zeros((1024, k)), np.zeros(1024, dtype=np.int64)
         for whole in batches:
-            for batch in slices(whole, raw_name, (4 << 20) // fold):
+            for batch in slices(whole, raw_name, SLICE // fold):
                 if len(number) > CACHE_ENTRIES // fold:
                     number.clear()
                 split = [_words(raw) for raw in batch.column(raw_name).to_pylist()]
@@ -317,7 +319,8 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", into: str = "l
                 new = list({w for words in texts for w in words}.difference(number))
                 need = len(number) + len(new)
                 if need > len(scores):
-                    scores, letters = np.resize(scores, (2 * need, k)), np.resize(letters, 2 * need)
+                    more = need + need // 4 - len(scores)
+                    scores, letters = np.concatenate((scores, np.zeros((more, k)))), np.concatenate((letters, np.zeros(more, dtype=np.int64)))
                 for low in range(0, len(new), step := max(1, BLOCK // fold)):
                     block, i = new[low : low + step], len(number)
                     number.update(zip(block, range(i, i + len(block)), strict=True))
