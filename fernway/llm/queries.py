@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernway.llm import chat, decontam, hmm, langid, licenses, packing, quality, secrets, simhash, warc
+from fernway.llm import chat, decontam, divergence, hmm, langid, licenses, mixing, packing, quality, runs, secrets, simhash, warc
 from fernway.llm.sql import ORACLE_SQL
 
 
@@ -127,6 +127,38 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").cast("long").alias("n_spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that set each source apart from its language, and how far its sources lie from each other."""
+    found = divergence.audit(_table(spark, sf_dir, "documents"))
+    parts = {"pair": divergence.source_pairs(found), "term": divergence.top_terms(found)}
+    rows = [df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank") for part, df in parts.items()]
+    return rows[0].unionByName(rows[1])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, of which each tenth is given a periodic end."""
+    found = runs.periodic_runs(runs.with_periodic_ends(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    each = F.col("periodic.runs")
+    best = F.array_max(F.transform(each, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform(each, lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size(each).cast("long").alias("n_runs"),
+        (-best["start"]).alias("start"),
+        best["length"].alias("length"),
+        (-best["period"]).alias("period"),
+        F.call_function("div", best["length"] * 1000, -best["period"]).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all sources takes of every document."""
+    sized = mixing.sized(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.taken(sized, mixing.mix(sized)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline``."""
     import corpus_pipeline
@@ -147,6 +179,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hmm_scoring,
         op9_simhash,
         op10_language_id,
+        op11_source_divergence,
+        op12_periodic_runs,
+        op13_mixing,
         pipeline,
     )
 }
