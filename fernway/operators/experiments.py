@@ -95,6 +95,10 @@ class World:
     predicted: dict[str, DataFrame]
     minutes: int
 
+    def roads(self) -> search.Roads:
+        """The network for searches that share it."""
+        return search.Roads(self.edges, self.nodes)
+
     def told(self, name: str) -> search.Costs:
         """The costs of a source."""
         if name in self.predicted:
@@ -124,9 +128,9 @@ def _swept(queries: DataFrame, points: list[tuple[str, Point]]) -> DataFrame:
     return rows.withColumn("own", own) if any(p.predictor == "routing_aware" for _, p in points) else rows
 
 
-def optimal_costs(queries: DataFrame, world: World) -> DataFrame:
+def optimal_costs(queries: DataFrame, world: World, roads: search.Roads | None = None) -> DataFrame:
     """query_seed, query_id, oracle_optimal_cost: the cost of the best route by the true times."""
-    best = search.astar(queries, world.edges, world.nodes, world.max_mph, world.told("true"), keys=("query_seed",))
+    best = search.astar(queries, roads or world.roads(), None, world.max_mph, world.told("true"), keys=("query_seed",))
     return best.select("query_seed", "query_id", F.coalesce("cost", F.lit(float("inf"))).alias("oracle_optimal_cost"))
 
 
@@ -135,7 +139,7 @@ def run_all(queries: DataFrame, world: World, runs: tuple[Run, ...] = RUNS, alph
 
     cost is what the path taken costs by the true times, infinite without one. A guarded row above one plus alpha is an error.
     """
-    queries = cut(queries)
+    queries, roads = cut(queries), world.roads()
     key = ("query_seed",)
     free = search.free_flow_plans(world.real, world.minutes)
     rows: list[DataFrame] = []
@@ -152,8 +156,8 @@ def run_all(queries: DataFrame, world: World, runs: tuple[Run, ...] = RUNS, alph
     wanted = {m for run in runs for m in run.methods}
     for method in CLASSICAL:
         if method in wanted:
-            bound = (world.nodes, world.max_mph) if method == "astar" else ()
-            found = getattr(search, method)(queries, world.edges, *bound, costs=free, keys=key)
+            bound = (None, world.max_mph) if method == "astar" else ()
+            found = getattr(search, method)(queries, roads, *bound, costs=free, keys=key)
             put(found, method, F.col("true_cost"), F.col("work"))
     by_source: dict[str, list[tuple[str, Run, Point]]] = {}
     for run in runs:
@@ -161,25 +165,23 @@ def run_all(queries: DataFrame, world: World, runs: tuple[Run, ...] = RUNS, alph
             by_source.setdefault(source(run, point), []).append((point_id(run, k), run, point))
     luring = any(p.predictor == "routing_aware" for run in runs for p in run.points)
     if luring:
-        whole = queries.withColumn("_key", F.concat_ws("/", "query_seed", "query_id"))
-        found = search.corridor_and_trap(whole.withColumn("query_id", F.col("_key")), world.edges, world.told("true"))
-        lured = cut(whole.join(found.withColumnRenamed("query_id", "_key"), "_key").drop("_key"))
+        lured = cut(queries.join(search.corridor_and_trap(queries, roads, world.told("true"), keys=key), ["query_seed", "query_id"]))
     for name, points in by_source.items():
         costs, keys = world.told(name), (*key, "point")
         base = lured if any(p.predictor == "routing_aware" for *_, p in points) else queries
         pure = [(i, p) for i, run, p in points if "pure_ml_astar" in run.methods]
         if pure:
-            found = search.astar(_swept(base, pure), world.edges, world.nodes, world.max_mph, costs, keys=keys)
+            found = search.astar(_swept(base, pure), roads, None, world.max_mph, costs, keys=keys)
             put(found, "pure_ml_astar", F.col("true_cost"), F.col("work"), point=F.col("point"))
         robust = [(i, p) for i, run, p in points if any(m.startswith("robust") for m in run.methods)]
         if robust:
-            found = cut(guard.robust_routes(_swept(base, robust), world.edges, world.nodes, world.max_mph, costs, alpha=alpha, keys=keys))
+            found = cut(guard.robust_routes(_swept(base, robust), roads, None, world.max_mph, costs, alpha=alpha, keys=keys))
             put(found, "robust_astar", F.col("realized_cost"), F.col("work"), F.col("guard_invoked"), F.col("ratio"), F.col("point"))
             put(found, "robust_astar_no_guard", F.col("candidate_cost"), F.col("work"), point=F.col("point"))
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
-    return _named(every, queries, optimal_costs(queries, world), runs, alpha)
+    return _named(every, queries, optimal_costs(queries, world, roads), runs, alpha)
 
 
 def _named(rows: DataFrame, queries: DataFrame, optimum: DataFrame, runs: tuple[Run, ...], alpha: float) -> DataFrame:

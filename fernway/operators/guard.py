@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
 from fernway.operators import search as R
-from fernway.operators.search import Costs, path_edges
+from fernway.operators.search import Costs, Roads, folded
 
 FLOOR_SLACK = 1e-6
 
@@ -42,22 +42,22 @@ def check_floor(rows: DataFrame, alpha: float) -> DataFrame:
 
 
 def effective_weight(classical: DataFrame, edges: DataFrame, predicted: DataFrame, weight: float, minutes: int) -> DataFrame:
-    """query_id, weight_used: the weight over one and the mean relative doubt on the classical route's edges at departure.
+    """query_id, weight_used: the weight over one and the mean relative doubt on the classical route's edges, each at the time at which it is
+    entered by what is predicted.
 
-    Edges without a prediction are left out; with none at all the weight stays.
+    Edges without a prediction are left out, and pass in their free-flow time; with none at all the weight stays.
     """
     if not 0 <= weight <= 1:
         raise ValueError("the weight is from 0 to 1")
-    steps = path_edges(classical, edges).join(classical.select("query_id", S.bucket_floor(F.col("depart_time"), minutes).alias("timestamp")), "query_id")
-    doubt = F.col("sigma_s") / F.greatest(F.col("eta_s"), F.lit(1e-6))
-    means = steps.join(predicted, ["edge_id", "timestamp"]).groupBy("query_id").agg(F.avg(doubt).alias("doubt"))
-    return classical.select("query_id").join(means, "query_id", "left").select("query_id", (F.lit(float(weight)) / (1 + F.coalesce("doubt", F.lit(0.0)))).alias("weight_used"))
+    fold = F.col("fold")
+    doubt = F.coalesce(F.try_divide(fold["doubt"], fold["known"]), F.lit(0.0))
+    return folded(classical, edges, predicted, minutes, sigma=True).select("query_id", (F.lit(float(weight)) / (1 + doubt)).alias("weight_used"))
 
 
 def robust_routes(
     queries: DataFrame,
-    edges: DataFrame,
-    nodes: DataFrame,
+    edges: DataFrame | Roads,
+    nodes: DataFrame | None,
     max_mph: float,
     costs: Costs,
     *,

@@ -1,22 +1,20 @@
 """Shortest paths of many queries at once.
 
-A network whose edges and time table are few enough (``MAX_EDGES``, ``MAX_TIMED``, checked before they are collected) is broadcast, the
-queries are dealt among the tasks, and each batch of queries spreads its labels in arrays (:mod:`.frontier`). A larger one is searched
-by rounds of joins between the labels that improved and the edges, for all queries together. Either way a label is the best known cost
-of a query at a node, and what is not worth extending is left out:
-
-* ``dijkstra``: labels not cheaper than the destination's best;
-* ``astar``: those whose cost and lower bound to the destination are not;
-* ``bidirectional``: from both ends with frozen costs, those above half the best meeting so far;
-* a blended bound (lower bound and learned cost to go) leaves out most, and may miss the optimum, which a guard makes good.
-
-Costs of an edge may depend on the time of arrival. The reported costs are those of the path found, edge after edge. Where two
-ways cost the same the one with fewer edges stands. A time at which an edge is entered later may be cheaper than an earlier one; no
-one waits for it.
+Each query is a search in order of cost (:mod:`.ordered`) in some task: nodes are settled once, ties by the text of their ids, each edge at the
+cost of the time at which it is entered. A network of few enough edges and told times (``MAX_EDGES``, ``MAX_TIMED``, counted before they are
+collected) is broadcast and the queries are dealt among the tasks. Of a larger one the cells that the queries come to are brought to
+them (:mod:`.cells`). The code of the searches is the same, and so are their rows.
+
+* ``dijkstra``: up to the destination; ``astar``: by cost and lower bound to the destination;
+* ``bidirectional``: from both ends with costs that do not change;
+* ``guided``: by cost and a blend of the lower bound and the learned cost to go, which may miss the optimum; a guard makes that good.
+
+A time at which an edge is entered later may be cheaper than an earlier one; no one waits for it.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,13 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernway.functions import scalar as S
-from fernway.operators import frontier as N
-from fernway.operators.rounds import cut
+from fernway.operators import cells as C
+from fernway.operators import ordered as N
+from fernway.operators.rounds import cut, remove, shared_path, written, written_at
 
 #: What is broadcast at most: edges (about 60 bytes each) and rows of a time table (32 bytes each).
 MAX_EDGES, MAX_TIMED = 500_000, 4_000_000
-#: Rounds of joins between checkpoints.
-STRIDE = 2
 
 
 @dataclass(frozen=True)
@@ -74,122 +71,131 @@ def lower_bound_s(lat: Column, lon: Column, to_lat: Column, to_lon: Column, max_
     return S.haversine_m(lat, lon, to_lat, to_lon) / (max_mph * F.lit(S.MPH))
 
 
-# --- networks that are broadcast -----------------------------------------------------------------------------------
+# --- networks --------------------------------------------------------------------------------------------------------
 
 
-def _few(df: DataFrame, most: int) -> pa.Table | None:
-    """The rows, if they are not more than ``most``."""
-    found = df.limit(most + 1).toArrow()
-    return found if found.num_rows <= most else None
+class Roads:
+    """A network that several searches share: what was broadcast, or dealt into cells, for one is used by the next.
 
+    ``edges``: edge_id, u, v and costs; ``nodes``: node, lat, lon; ``since``: the time from which told times are kept, for searches that
+    depart at different times; without it that of the first departure of a search. :meth:`close` gives the memory of broadcasts back once
+    the rows of all searches have been read.
+    """
 
-def _epoch_s(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return column.cast(pa.timestamp("us")).cast(pa.int64()).to_numpy() / 1e6
+    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, since=None):
+        self.edges, self.nodes, self.since = edges, nodes, since
+        self._few: bool | None = None
+        self._known: dict[tuple, object] = {}
 
+    @property
+    def few(self) -> bool:
+        if self._few is None:
+            self._few = self.edges.count() <= MAX_EDGES
+        return self._few
 
-def _table(rows: DataFrame | None, edge_ids: pa.Array, minutes: int, after: Column, drawn: str = "") -> N.TimeTable | None:
-    """The rows from a time on as arrays; raises if they are too many."""
-    wanted = rows.where(F.col("timestamp") >= after).select("edge_id", F.col("timestamp").cast("timestamp_ntz").alias("t"), "eta_s", F.col("sigma_s") if "sigma_s" in rows.columns else F.lit(0.0).alias("sigma_s"), (F.col(drawn) if drawn else F.lit(0.0)).alias("drawn"))
-    found = _few(wanted, MAX_TIMED)
-    if found is None:
-        return None
-    edge = pa.compute.index_in(found["edge_id"].combine_chunks(), value_set=edge_ids)
-    known = np.flatnonzero(edge.is_valid().to_numpy(zero_copy_only=False))
-    numbers = [found[c].to_numpy()[known] for c in ("eta_s", "sigma_s", "drawn")]
-    return N.TimeTable.of(edge.take(pa.array(known)).to_numpy(), _epoch_s(found["t"])[known], *numbers, minutes)
+    def once(self, key: tuple, make: Callable):
+        """What ``make`` gives, for as long as this network is used."""
+        if key not in self._known:
+            self._known[key] = make()
+        return self._known[key]
 
+    def close(self) -> None:
+        for found in self._known.values():
+            if hasattr(found, "unpersist"):
+                found.unpersist()
+        self._known.clear()
 
-def network(queries: DataFrame, edges: DataFrame, costs: Costs, nodes: DataFrame | None = None) -> N.Network | None:
-    """The edges, the times told from the first departure on and the nodes' places as arrays; None if they are too many."""
-    found = _few(edges.select("edge_id", "u", "v", F.col(costs.column).cast("double").alias("free")), MAX_EDGES)
-    if found is None:
-        return None
-    found = found.sort_by([("u", "ascending"), ("edge_id", "ascending"), ("v", "ascending")])
-    u, v = (found[c].to_numpy() for c in "uv")
-    ids = np.unique(np.concatenate((u, v)))
-    edge_ids = found["edge_id"].combine_chunks()
-    net = N.Network(ids, edge_ids.to_numpy(zero_copy_only=False), np.searchsorted(ids, u), np.searchsorted(ids, v), found["free"].to_numpy())
-    if costs.told is not None or costs.real is not None:
-        first = queries.agg(F.min("depart_time")).first()[0]
-        after = S.bucket_floor(F.lit(first).cast("timestamp_ntz"), costs.minutes) if first is not None else F.lit(None).cast("timestamp_ntz")
-        for name, rows in (("told", costs.told), ("real", costs.real)):
-            if rows is not None:
-                same = name == "real" and rows is costs.told
-                table = net.told if same else _table(rows, edge_ids, costs.minutes, after, costs.drawn if name == "told" else "")
-                if table is None:
-                    return None
-                setattr(net, name, table)
-    if nodes is not None:
-        # Ends of edges alone are looked up, so that there are not more places than twice the edges.
-        places = _few(nodes.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "lat", "lon"), 2 * MAX_EDGES)
-        if places is None:
-            return None
-        at = net.place(places["node"].to_numpy())
-        net.lat, net.lon = (np.full(len(ids), np.nan) for _ in range(2))
-        net.lat[at], net.lon[at] = places["lat"].to_numpy(), places["lon"].to_numpy()
-    return net
 
+def _roads(edges: DataFrame | Roads, nodes: DataFrame | None = None) -> Roads:
+    return edges if isinstance(edges, Roads) else Roads(edges, nodes)
 
-def _batch(net: N.Network, rows: pa.RecordBatch) -> N.Batch:
-    batch = N.Batch(net.place(rows.column("origin").to_numpy(zero_copy_only=False)), net.place(rows.column("dest").to_numpy(zero_copy_only=False)), _epoch_s(rows.column("depart_time")))
-    names = rows.schema.names
-    if "own" in names:
-        mine = {}
-        for q, edges in enumerate(rows.column("own").to_pylist()):
-            for e in edges or ():
-                if (at := net.edge_place(e["edge_id"])) >= 0:
-                    mine[q * len(net.u) + at] = (np.nan if e["cost"] is None else e["cost"], e["factor"] or 1.0)
-        keys = sorted(mine)
-        batch.own = np.array(keys, dtype=np.int64)
-        batch.own_cost, batch.own_factor = (np.array([mine[k][i] for k in keys]) for i in (0, 1))
-    for name in ("share", "noise"):
-        if name in names:
-            setattr(batch, name, rows.column(name).to_numpy(zero_copy_only=False).astype(float))
-    return batch
 
+def _after(queries: DataFrame, costs: Costs):
+    """The bucket of the first departure; None where there is none."""
+    return queries.agg(F.min("depart_time").alias("t")).select(S.bucket_floor(F.col("t").cast("timestamp_ntz"), costs.minutes)).first()[0]
 
-_CARRIED = ("weight", "modulated", "own", "share", "noise")
 
+def _times(rows: DataFrame, after, drawn: str) -> DataFrame:
+    """edge_id, when_s, eta_s, sigma_s and drawn of the rows from a time on."""
+    seconds = F.unix_micros(F.col("timestamp").cast("timestamp_ntz").cast("timestamp")) / 1e6
+    if rows.sparkSession.conf.get("spark.sql.session.timeZone") != "UTC":
+        seconds = F.unix_micros(F.to_utc_timestamp(F.col("timestamp").cast("timestamp_ntz").cast("timestamp"), F.current_timezone())) / 1e6
+    sigma = F.col("sigma_s").cast("double") if "sigma_s" in rows.columns else F.lit(0.0)
+    wanted = rows.where(F.col("timestamp") >= F.lit(after)) if after is not None else rows.limit(0)
+    return wanted.select("edge_id", seconds.alias("when_s"), F.col("eta_s").cast("double").alias("eta_s"), sigma.alias("sigma_s"), (F.col(drawn).cast("double") if drawn else F.lit(0.0)).alias("drawn"))
 
-def _spread_out(queries: DataFrame, net: N.Network, work: Callable[[N.Network, pa.RecordBatch], pa.RecordBatch], schema: T.StructType, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``work`` over batches of the queries, in as many tasks as there are cores."""
-    shared = queries.sparkSession.sparkContext.broadcast(net)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = max(1, N.CELLS // max(1, len(shared.value.ids)))
-        for whole in batches:
-            for low in range(0, whole.num_rows, size):
-                yield work(shared.value, whole.slice(low, size))
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return pa.compute.fill_null(column, math.nan).to_numpy() if isinstance(column, pa.ChunkedArray) else pa.compute.fill_null(column, math.nan).to_numpy(zero_copy_only=False)
 
-    carried = [c for c in (*keys, *_CARRIED) if c in queries.columns]
-    rows = queries.select("query_id", "origin", "dest", F.col("depart_time").cast("timestamp_ntz").alias("depart_time"), *carried)
-    return rows.repartition(queries.sparkSession.sparkContext.defaultParallelism).mapInArrow(task, schema)
 
+def _whole(array: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return array.to_numpy() if isinstance(array, pa.ChunkedArray) else array.to_numpy(zero_copy_only=False)
 
-def _path(net: N.Network, origin, trail: list[int] | None) -> list | None:
-    return None if trail is None else [origin, *net.ids[net.v[trail]].tolist()] if trail else [origin]
 
+def _network(found: pa.Table) -> N.Network:
+    return N.Network(_whole(found["edge_id"]), _whole(found["u"]), _whole(found["v"]), _numbers(found["free"]))
 
-def _trails(net: N.Network, rows: pa.RecordBatch, batch: N.Batch, found: N.Frontier) -> list[list[int] | None]:
-    """Each query's edges; none for one that is where it wants to go, None without a route."""
-    same = (rows.column("origin").to_numpy(zero_copy_only=False) == rows.column("dest").to_numpy(zero_copy_only=False)).tolist()
-    reached = np.isfinite(found.at(batch.dest)).tolist()
-    return [[] if s else found.trail(q, int(batch.dest[q])) if r else None for q, (s, r) in enumerate(zip(same, reached, strict=True))]
 
+def _broadcast_network(roads: Roads, costs: Costs, with_places: bool):
+    """The network's edges and the places of their ends, broadcast."""
+    net = _network(roads.edges.select("edge_id", "u", "v", F.col(costs.column).cast("double").alias("free")).toArrow())
+    if with_places:
+        # Ends of edges alone are looked up, so that there are not more places than twice the edges.
+        ends = roads.edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        places = roads.nodes.join(ends, "node", "left_semi").select("node", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).toArrow()
+        _place(net, _whole(places["node"]), _numbers(places["lat"]), _numbers(places["lon"]))
+    return roads.edges.sparkSession.sparkContext.broadcast(net)
+
+
+def _place(net: N.Network, nodes: np.ndarray, lat: np.ndarray, lon: np.ndarray, cell: np.ndarray | None = None) -> None:
+    at = np.array(net.places(nodes.tolist()), dtype=np.int64)
+    known = at >= 0
+    net.lat, net.lon = (np.full(len(net.ids), np.nan) for _ in range(2))
+    net.lat[at[known]], net.lon[at[known]] = lat[known], lon[known]
+    if cell is not None:
+        net.cells = np.full(len(net.ids), -1, dtype=np.int64)
+        net.cells[at[known]] = cell[known]
+    net._ready = None
+
+
+def _broadcast_times(roads: Roads, net: N.Network, rows: DataFrame, minutes: int):
+    found = rows.toArrow()
+    edge = pa.compute.index_in(found["edge_id"].combine_chunks(), value_set=pa.array(net.edge_ids.tolist(), found["edge_id"].type))
+    known = np.flatnonzero(edge.is_valid().to_numpy(zero_copy_only=False))
+    at = edge.take(pa.array(known)).to_numpy().astype(np.int64)
+    return roads.edges.sparkSession.sparkContext.broadcast(N.TimeTable.of(len(net.edge_ids), at, *(_whole(found[c])[known] for c in ("when_s", "eta_s", "sigma_s", "drawn")), minutes))
 
-def _costs_along(trails: list[list[int] | None], steps: N.Steps) -> list[float | None]:
-    spent = N.along([t or [] for t in trails], steps).tolist()
-    return [None if t is None else s for t, s in zip(trails, spent, strict=True)]
 
+# --- searches --------------------------------------------------------------------------------------------------------
 
-def _true_steps(net: N.Network, batch: N.Batch, planned: N.Steps) -> N.Steps:
-    return N.Steps(net, batch, net.real, bent=False) if net.real is not None else planned
+#: What one search gives: its fields, and their values for a query, which has the columns of its row.
+Search = tuple[list[T.StructField], Callable[[N.Network, N.Query, dict], dict]]
 
+_CARRIED = ("weight", "modulated", "own", "share", "noise")
+
+
+def _epoch_s(column: pa.ChunkedArray | pa.Array) -> list[float]:
+    return (_whole(column.cast(pa.timestamp("us")).cast(pa.int64())) / 1e6).tolist()
 
-def _route_schema(queries: DataFrame, keys: tuple[str, ...] = ()) -> T.StructType:
-    node = queries.schema["origin"].dataType
-    fields = [queries.schema[c] for c in ("query_id", "origin", "dest")] + [T.StructField("depart_time", T.TimestampNTZType())] + [queries.schema[c] for c in keys]
-    return T.StructType([*fields, T.StructField("cost", T.DoubleType()), T.StructField("true_cost", T.DoubleType()), T.StructField("path", T.ArrayType(node)), T.StructField("work", T.LongType()), T.StructField("latency_ms", T.DoubleType())])
+
+def _own(ready: N.Ready, edges: list | None) -> dict[int, tuple[float | None, float]]:
+    return {at: (e["cost"], e["factor"] or 1.0) for e in edges or () if (at := ready.edge(e["edge_id"])) >= 0}
+
+
+def _searched(net: N.Network, rows: pa.Table | pa.RecordBatch, search: Callable, names: list[str]) -> tuple[dict[str, list], list[list[int]]]:
+    """The search's values for each row, and the cells that it misses."""
+    ready, found, missing = net.ready, {n: [] for n in names}, []
+    ends = [net.places(rows.column(c).to_pylist()) for c in ("origin", "dest")]
+    columns = {c: rows.column(c).to_pylist() for c in rows.schema.names if c in ("origin", "dest", *_CARRIED)}
+    for i, (origin, dest, depart) in enumerate(zip(*ends, _epoch_s(rows.column("depart_time")), strict=True)):
+        row = {c: x[i] for c, x in columns.items()}
+        query = N.Query(origin, dest, depart, _own(ready, row.get("own")), row.get("share", 1.0), row.get("noise", 0.0))
+        values = search(net, query, row)
+        for n in names:
+            found[n].append(values[n])
+        missing.append(sorted(query.missing))
+    return found, missing
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -198,208 +204,219 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _routes_in(net: N.Network, queries: DataFrame, costs: Costs, *, both_ends: bool = False, max_mph: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    schema = _route_schema(queries, keys)
-    types, planned = _arrow(schema), costs.planned
+def _run(roads: Roads, queries: DataFrame, costs: Costs, search: Search, keys: tuple[str, ...] = (), *, places: bool = False) -> DataFrame:
+    """The queries' query_id, origin, dest, depart_time and ``keys`` with the fields of the search."""
+    spark, (fields, one) = queries.sparkSession, search
+    plain = ["query_id", "origin", "dest", "depart_time", *keys]
+    carried = [c for c in _CARRIED if c in queries.columns and c not in keys]
+    rows = queries.select("query_id", "origin", "dest", F.col("depart_time").cast("timestamp_ntz").alias("depart_time"), *keys, *carried)
+    timed = {name: t for name, t in (("told", costs.told), ("real", costs.real)) if t is not None}
+    after = None if not timed else roads.since if roads.since is not None else _after(queries, costs)
+    tables = {name: roads.once((id(t), costs.drawn if name == "told" else "", after, "rows"), lambda t=t, name=name: (_times(t, after, costs.drawn if name == "told" else ""), t)) for name, t in timed.items()}
+    names, types = [f.name for f in fields], _arrow(T.StructType(fields))
+
+    def columns(net: N.Network, batch) -> tuple[list[pa.Array], list[list[int]]]:
+        found, missing = _searched(net, batch, one, names)
+        return [pa.array(found[n], types.field(n).type) for n in names], missing
+
+    few = roads.few and all(roads.once((id(t), after, "few"), lambda name=name: tables[name][0].count() <= MAX_TIMED) for name, t in timed.items())
+    if few:
+        shared = roads.once((costs.column, places, "net"), lambda: _broadcast_network(roads, costs, places))
+        times = {name: roads.once((id(t), costs.drawn if name == "told" else "", after, costs.column, "times"), lambda name=name: _broadcast_times(roads, shared.value, tables[name][0], costs.minutes)) for name, t in timed.items()}
+        schema = T.StructType([*rows.select(*plain).schema.fields, *fields])
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            net = shared.value
+            net.told, net.real = (times[n].value if n in times else None for n in ("told", "real"))
+            for batch in batches:
+                found, _ = columns(net, batch)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], *found], names=schema.names)
+
+        return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(task, schema)
+
+    # Each cell has about as many edges, whatever their number.
+    of = roads.once((places, "cells"), lambda: C.node_cells(roads.edges, roads.nodes if places else None, max(1, -(-roads.edges.count() // C.CELL_EDGES))))
+    key = (costs.column, places, after, costs.drawn, *[id(t) for t in timed.values()], "pages")
+    plain_edges = roads.edges.select("edge_id", "u", "v", F.col(costs.column).cast("double").alias("free"))
+    page = roads.once(key, lambda: C.pages(plain_edges, of, *(tables[n][0] if n in tables else None for n in ("told", "real"))))
+    minutes, told = costs.minutes, frozenset(timed)
+
+    def work(batch: pa.Table, edges: pa.Table, held: frozenset[int]) -> pa.Table:
+        found, missing = columns(_held_network(edges, held, minutes, told), batch)
+        return pa.table([*found, pa.array(missing, pa.list_(pa.int32()))], names=[*names, "missing"])
+
+    return C.in_rounds(rows, of, page, work, fields).select(*plain, *names)
+
+
+def _held_network(edges: pa.Table, held: frozenset[int], minutes: int, timed: frozenset[str]) -> N.Network:
+    """The network of the cells' edges, each once."""
+    key = list(zip(*(edges.column(c).to_pylist() for c in ("edge_id", "u", "v")), strict=True))
+    once = pa.array(sorted({k: i for i, k in enumerate(key)}.values()), pa.int64())
+    edges = edges.take(once).combine_chunks()
+    net = _network(edges)
+    both = {c: np.concatenate([_numbers(edges.column(f"{end}_{c}")) if c != "cell" else _whole(edges.column(f"{end}_{c}")) for end in "uv"]) for c in ("lat", "lon", "cell")}
+    nodes = np.concatenate([_whole(edges.column(end)) for end in "uv"]) if edges.num_rows else np.zeros(0, dtype=np.int64)
+    _place(net, nodes, both["lat"], both["lon"], both["cell"])
+    net.held = held
+    place = np.empty(edges.num_rows, dtype=np.int64)
+    place[net.order] = np.arange(edges.num_rows)
+    for name in timed:
+        lists = edges.column(name)
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        setattr(net, name, N.TimeTable.of(edges.num_rows, np.repeat(place, sizes), *(flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("when_s", "eta_s", "sigma_s", "drawn")), minutes))
+    net._ready = None
+    return net
 
-    def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
-        began, batch = time.perf_counter(), _batch(net, rows)
-        steps = N.Steps(net, batch, net.told if planned else None)
-        if both_ends:
-            met, effort = N.meet(net, batch, steps)
-            same = (rows.column("origin").to_numpy(zero_copy_only=False) == rows.column("dest").to_numpy(zero_copy_only=False)).tolist()
-            trails = [[] if s else m and m[1] for m, s in zip(met, same, strict=True)]
-        else:
-            bound = net.line_bound(batch.dest, max_mph) if max_mph else None
-            found = N.Frontier(net, steps, batch.origin)
-            N.spread_all(found, batch.dest, bound)
-            trails, effort = _trails(net, rows, batch, found), N.expanded(found, batch.dest, bound)
-        origins, each = rows.column("origin").to_pylist(), 1000 * (time.perf_counter() - began) / rows.num_rows
-        columns = {"latency_ms": [each] * rows.num_rows, "cost": _costs_along(trails, steps), "true_cost": _costs_along(trails, _true_steps(net, batch, steps)), "path": [_path(net, o, t) for o, t in zip(origins, trails, strict=True)], "work": effort.tolist()}
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else rows.column(f.name).cast(f.type) for f in types], schema=types)
 
-    return _spread_out(queries, net, work, schema, keys).withColumn("hops", (F.size("path") - 1).cast("long")).withColumn("hops", F.when(F.col("path").isNotNull(), F.col("hops")))
+def _path(net: N.Network, origin, trail: list[int] | None) -> list | None:
+    if trail is None:
+        return None
+    ids, head = net.ids, net.ready.head
+    return [origin, *[x.item() if hasattr(x, "item") else x for x in (ids[head[e]] for e in trail)]]
+
 
+def _route_fields(queries: DataFrame) -> list[T.StructField]:
+    node = queries.schema["origin"].dataType
+    return [T.StructField("cost", T.DoubleType()), T.StructField("true_cost", T.DoubleType()), T.StructField("path", T.ArrayType(node)), T.StructField("work", T.LongType()), T.StructField("latency_ms", T.DoubleType())]
 
-# --- networks that are joined --------------------------------------------------------------------------------------
 
+def _found(ready: N.Ready, query: N.Query, row: dict, step: N.Step | None, bound=None) -> tuple[list[int] | None, float | None, int]:
+    """Edges, cost and nodes settled of a route in order of cost and bound; None without one."""
+    if row["origin"] == row["dest"]:
+        return [], 0.0, 1
+    if query.origin < 0:
+        return None, None, 1
+    found = N.settle(ready, query, query.origin, query.dest, step, bound)
+    if query.dest not in found.cost:
+        return None, None, found.work
+    return found.trail(ready, query.dest), found.cost[query.dest], found.work
 
-def _joined(costs: Costs) -> Callable[[DataFrame], DataFrame]:
-    """Adds step_s and true_step_s to labels joined with edges (cost, true_cost, depart_time)."""
-    if costs.told is None and costs.real is None:
-        return lambda rows: rows.withColumns({"step_s": F.col(costs.column), "true_step_s": F.col(costs.column)})
-    told = cut(costs.told.select("edge_id", F.col("timestamp").alias("_bucket"), F.col("eta_s").alias("_eta"))) if costs.told is not None else None
-    real = None if costs.real is None else cut(costs.real.select("edge_id", F.col("timestamp").alias("_true_bucket"), F.col("eta_s").alias("_true")))
 
-    def at(seconds: Column) -> Column:
-        arrival = F.col("depart_time") + F.make_dt_interval(secs=F.greatest(F.least(seconds, F.lit(1e8)), F.lit(0.0)).cast("decimal(18,6)"))
-        return S.bucket_floor(arrival.cast("timestamp_ntz"), costs.minutes)
+def _route_search(queries: DataFrame, costs: Costs, *, both_ends: bool = False, max_mph: float | None = None) -> Search:
+    planned = costs.planned
 
-    def look_up(rows: DataFrame) -> DataFrame:
-        free = F.col(costs.column)
-        if told is not None and costs.planned:
-            rows = rows.withColumn("_bucket", at(F.col("cost"))).join(told, ["edge_id", "_bucket"], "left").withColumn("step_s", F.coalesce("_eta", free)).drop("_bucket", "_eta")
+    def one(net: N.Network, query: N.Query, row: dict) -> dict:
+        began, ready = time.perf_counter(), net.ready
+        step = N.steps(ready, query, net.told if planned else None, frozen=both_ends)
+        if both_ends and row["origin"] != row["dest"] and min(query.origin, query.dest) >= 0:
+            cost, trail, work = N.meet(ready, query, step)
         else:
-            rows = rows.withColumn("step_s", free)
-        if real is None:
-            return rows.withColumn("true_step_s", F.col("step_s"))
-        rows = rows.withColumn("_true_bucket", at(F.col("true_cost"))).join(real, ["edge_id", "_true_bucket"], "left")
-        return rows.withColumn("true_step_s", F.coalesce("_true", free)).drop("_true_bucket", "_true")
+            trail, cost, work = _found(ready, query, row, step, N.line_bound(ready, query.dest, max_mph) if max_mph else None)
+        cost = None if trail is None else cost
+        true = cost if trail is None or net.real is None else N.along(ready, trail, N.steps(ready, query, net.real, bent=False))
+        return {"cost": cost, "true_cost": true, "path": _path(net, row["origin"], trail), "work": work, "latency_ms": 1000 * (time.perf_counter() - began)}
 
-    return look_up
+    return _route_fields(queries), one
 
 
-_LABEL = ("query_id", "origin", "dest", "depart_time", "node", "cost", "true_cost", "round", "path", "work")
+def _with_hops(found: DataFrame) -> DataFrame:
+    return found.withColumn("hops", F.when(F.col("path").isNotNull(), (F.size("path") - 1).cast("long")))
 
 
-def search_by_joins(queries: DataFrame, edges: DataFrame, costs: Costs, *, nodes: DataFrame | None = None, max_mph: float | None = None, prune: bool = True, most_rounds: int = 100_000) -> DataFrame:
-    """Labels of all queries: query_id, node, cost, true_cost, path, work (how often the label improved).
+def distances(queries: DataFrame, edges: DataFrame | Roads, costs: Costs | None = None) -> DataFrame:
+    """query_id, node, cost of every node that each query's origin reaches."""
+    roads, costs = _roads(edges), costs or static_costs()
+    if not roads.few and costs.told is None:
+        return reached_by_joins(queries, roads.edges, costs.column)
+    planned = costs.planned
+    fields = [T.StructField("reached", T.ArrayType(T.StructType([T.StructField("node", queries.schema["origin"].dataType), T.StructField("cost", T.DoubleType())])))]
 
-    The edges and the time tables are written once; a round reads nothing else. The best known costs at the destinations, one row a
-    query, go to the frontier by a join.
-    """
-    look_up, keys = _joined(costs), ["query_id", "node"]
-    fixed = ["origin", "dest", "depart_time"]
-    start = queries.select("query_id", *fixed).withColumns({"node": F.col("origin"), "cost": F.lit(0.0), "true_cost": F.lit(0.0), "round": F.lit(0), "path": F.array("origin"), "work": F.lit(1).cast("long")})
-    labels = cut(start.select(*_LABEL))
-    kept = ["u", "v", "edge_id", costs.column]
-    hops = cut(edges.select(*dict.fromkeys(kept))).withColumnRenamed("u", "node")
-    at = None if nodes is None else cut(nodes.select("node", "lat", "lon"))
-    number = 0
-    while number < most_rounds:
-        first = number
-        for _ in range(STRIDE):
-            frontier = labels.where(F.col("round") == number)
-            if prune:
-                best = labels.where(F.col("node") == F.col("dest")).select("query_id", F.col("cost").alias("_best"))
-                frontier = frontier.join(best, "query_id", "left")
-                rest = F.lit(0.0)
-                if at is not None and max_mph:
-                    frontier = frontier.join(at, "node", "left").join(at.select(F.col("node").alias("dest"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "dest", "left")
-                    rest = F.coalesce(lower_bound_s(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), F.lit(float(max_mph))), F.lit(0.0))
-                frontier = frontier.where(F.col("_best").isNull() | (F.col("cost") + rest < F.col("_best"))).select(*_LABEL)
-            number += 1
-            moved = look_up(frontier.join(hops, "node"))
-            moved = moved.withColumns({"node": F.col("v"), "cost": F.col("cost") + F.col("step_s"), "true_cost": F.col("true_cost") + F.col("true_step_s"), "round": F.lit(number), "path": F.concat("path", F.array("v")), "work": F.lit(1).cast("long")})
-            least = F.min(F.struct("cost", "round", "path", "true_cost"))
-            labels = labels.unionByName(moved.select(*_LABEL)).groupBy(*keys).agg(least.alias("b"), F.sum("work").alias("work"), *[F.first(c).alias(c) for c in fixed])
-            labels = labels.select(*keys, *fixed, *[F.col(f"b.{c}").alias(c) for c in ("cost", "true_cost", "round", "path")], "work").select(*_LABEL)
-        labels = cut(labels)
-        if labels.where(F.col("round") > first).isEmpty() or labels.where(F.col("round") == number).isEmpty():
-            return labels
-    raise RuntimeError(f"labels still improve after {most_rounds} rounds")
+    def one(net: N.Network, query: N.Query, row: dict) -> dict:
+        if query.origin < 0:
+            return {"reached": [(row["origin"], 0.0)]}
+        found = N.settle(net.ready, query, query.origin, step=N.steps(net.ready, query, net.told if planned else None))
+        ids = net.ids.tolist()
+        return {"reached": [(ids[i], c) for i, c in found.cost.items()]}
 
+    return _run(roads, queries, costs, (fields, one)).select("query_id", F.explode("reached").alias("r")).select("query_id", "r.node", "r.cost")
 
-def _routes_of(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    reached = labels.where(F.col("node") == F.col("dest")).select("query_id", "cost", "true_cost", "path")
-    effort = labels.groupBy("query_id").agg(F.sum("work").alias("work"))
-    found = queries.select("query_id", "origin", "dest", "depart_time").join(reached, "query_id", "left").join(effort, "query_id", "left")
-    return found.withColumns({"hops": F.when(F.col("path").isNotNull(), (F.size("path") - 1).cast("long")), "latency_ms": F.lit(None).cast("double")})
 
+def reached_by_joins(queries: DataFrame, edges: DataFrame, column: str, most_rounds: int = 100_000) -> DataFrame:
+    """query_id, node, cost of every node that each query's origin reaches, by rounds of joins, for networks larger than a task.
 
-# --- what callers use ----------------------------------------------------------------------------------------------
+    A round joins the labels that improved in the last with the edges, which are written once, and their heads' labels with the settled table;
+    what improved replaces the older labels there.
+    """
+    spark, key = queries.sparkSession, ["query_id", "node"]
+    hops = written(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.col(column).cast("double").alias("step")).groupBy("node", "to").agg(F.min("step").alias("step")), "hops")
+    labels = written(queries.select("query_id", F.col("origin").alias("node"), F.lit(0.0).alias("cost")).distinct(), "labels")
+    frontier, old = labels, None
+    for _ in range(most_rounds):
+        tried = frontier.join(hops, "node").groupBy("query_id", F.col("to").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
+        better = tried.join(labels.withColumnRenamed("cost", "_known"), key, "left").where(F.col("_known").isNull() | (F.col("cost") < F.col("_known"))).select(*key, "cost")
+        frontier = written(better, "frontier")
+        if frontier.isEmpty():
+            return labels
+        path = shared_path(spark, "labels")
+        labels = written_at(labels.join(frontier, key, "left_anti").unionByName(frontier), path)
+        if old:
+            remove(spark, old)
+        old = path
+    raise RuntimeError(f"labels still improve after {most_rounds} rounds")
 
 
-def distances(queries: DataFrame, edges: DataFrame, costs: Costs | None = None) -> DataFrame:
-    """query_id, node, cost of every node that each query's origin reaches."""
-    costs = costs or static_costs()
-    net = network(queries, edges, costs)
-    if net is None:
-        return search_by_joins(queries, edges, costs, prune=False).select("query_id", "node", "cost")
-    schema = T.StructType([queries.schema["query_id"], T.StructField("node", queries.schema["origin"].dataType), T.StructField("cost", T.DoubleType())])
-    types, planned = _arrow(schema), costs.planned
-
-    def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
-        batch = _batch(net, rows)
-        found = N.Frontier(net, N.Steps(net, batch, net.told if planned else None), batch.origin)
-        N.spread_all(found, batch.dest, prune=False)
-        at, n = np.flatnonzero(np.isfinite(found.cost)), max(1, len(net.ids))
-        # An origin that no edge touches reaches itself.
-        alone = np.flatnonzero(batch.origin < 0)
-        query = rows.column("query_id").take(pa.array(np.concatenate((at // n, alone))))
-        node = pa.concat_arrays([pa.array(net.ids[at % n].tolist(), types.field("node").type), rows.column("origin").take(pa.array(alone)).cast(types.field("node").type)])
-        return pa.RecordBatch.from_arrays([query, node, pa.array(np.concatenate((found.cost[at], np.zeros(len(alone)))))], schema=types)
-
-    return _spread_out(queries, net, work, schema)
-
-
-def dijkstra(queries: DataFrame, edges: DataFrame, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def dijkstra(queries: DataFrame, edges: DataFrame | Roads, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Routes without a bound: query_id, origin, dest, depart_time, cost, true_cost, path, hops and work; null without a route.
 
-    ``work`` is how many nodes a search in order of cost takes. Columns of the queries named by ``keys`` go along on networks that are
-    broadcast, and edges, shares and noise of the queries' own count there; ``latency_ms`` is a query's share of its batch's time.
+    ``work`` is how many nodes were settled, the destination included; ``latency_ms`` what the search took in its task. Columns of the queries
+    named by ``keys`` go along, and edges, shares and noise of the queries' own count.
     """
     costs = costs or static_costs()
-    net = network(queries, edges, costs)
-    return _routes_of(queries, search_by_joins(queries, edges, costs)) if net is None else _routes_in(net, queries, costs, keys=keys)
+    return _with_hops(_run(_roads(edges), queries, costs, _route_search(queries, costs), keys))
 
 
-def astar(queries: DataFrame, edges: DataFrame, nodes: DataFrame, max_mph: float, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def astar(queries: DataFrame, edges: DataFrame | Roads, nodes: DataFrame | None, max_mph: float, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """As :func:`dijkstra`, with the lower bound to the destination."""
     costs = costs or static_costs()
-    net = network(queries, edges, costs, nodes)
-    if net is None:
-        return _routes_of(queries, search_by_joins(queries, edges, costs, nodes=nodes, max_mph=max_mph))
-    return _routes_in(net, queries, costs, max_mph=max_mph, keys=keys)
+    return _with_hops(_run(_roads(edges, nodes), queries, costs, _route_search(queries, costs, max_mph=max_mph), keys, places=True))
 
 
-def bidirectional(queries: DataFrame, edges: DataFrame, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """As :func:`dijkstra`, from both ends by free flow. Larger networks are searched from one end."""
+def bidirectional(queries: DataFrame, edges: DataFrame | Roads, costs: Costs | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`dijkstra`, from both ends by free flow."""
     costs = costs or static_costs()
     if costs.planned and costs.told is not None:
         raise ValueError("a search from both ends plans by costs that do not change with time")
-    net = network(queries, edges, costs)
-    return _routes_of(queries, search_by_joins(queries, edges, costs)) if net is None else _routes_in(net, queries, costs, both_ends=True, keys=keys)
+    return _with_hops(_run(_roads(edges), queries, costs, _route_search(queries, costs, both_ends=True), keys))
 
 
-def guided(queries: DataFrame, edges: DataFrame, nodes: DataFrame, max_mph: float, costs: Costs, keys: tuple[str, ...] = ()) -> DataFrame:
+def guided(queries: DataFrame, edges: DataFrame | Roads, nodes: DataFrame | None, max_mph: float, costs: Costs, keys: tuple[str, ...] = ()) -> DataFrame:
     """query_id, classical_cost, classical_path, candidate_cost, candidate_path, weight_used and work of every query, and ``keys``.
 
-    ``queries`` have a ``weight`` and perhaps ``modulated``. The classical route is planned by free flow with the lower bound, the
-    candidate by the told times with the blended bound; both cost what they do under the real times. A network that is too large to be
-    broadcast is searched with the lower bound alone, at the weight given, and only where queries have no edges, share or noise of their own.
+    ``queries`` have a ``weight`` from 0 to 1 and perhaps ``modulated``: whether the weight is divided by one and the mean doubt on the classical
+    route. The classical route is planned by free flow with the lower bound, the candidate by the told times with the blended bound; both
+    cost what they do under the real times.
     """
-    net = network(queries, edges, costs, nodes)
-    if net is None:
-        if set(queries.columns) & {"own", "share", "noise"} or keys:
-            raise ValueError("costs of a query's own, and columns that go along, need a network that can be broadcast")
-        plain = _routes_of(queries, search_by_joins(queries, edges, Costs(costs.column, costs.told, costs.real, costs.minutes, False), nodes=nodes, max_mph=max_mph))
-        told = _routes_of(queries, search_by_joins(queries, edges, costs, nodes=nodes, max_mph=max_mph))
-        found = plain.select("query_id", F.col("true_cost").alias("classical_cost"), F.col("path").alias("classical_path")).join(told.select("query_id", F.col("true_cost").alias("candidate_cost"), F.col("path").alias("candidate_path"), "work", "latency_ms"), "query_id")
-        return queries.select("query_id", *keys, F.col("weight").alias("weight_used")).join(found, "query_id")
-    path = T.ArrayType(queries.schema["origin"].dataType)
-    numbers = [T.StructField(x, T.DoubleType()) for x in ("classical_cost", "candidate_cost", "weight_used")]
-    schema = T.StructType([queries.schema[c] for c in ("query_id", *keys)] + numbers + [T.StructField("classical_path", path), T.StructField("candidate_path", path), T.StructField("work", T.LongType()), T.StructField("latency_ms", T.DoubleType())])
-    types, planned = _arrow(schema), costs.planned
-
-    def work(net: N.Network, rows: pa.RecordBatch) -> pa.RecordBatch:
-        began, batch = time.perf_counter(), _batch(net, rows)
-        told = N.Steps(net, batch, net.told if planned else None)
-        real, line = _true_steps(net, batch, told), net.line_bound(batch.dest, max_mph)
-        safe = N.Frontier(net, N.Steps(net, batch, bent=False), batch.origin)
-        N.spread_all(safe, batch.dest, line)
-        classical = _trails(net, rows, batch, safe)
-        weight = rows.column("weight").to_numpy(zero_copy_only=False).astype(float)
-        if "modulated" in rows.schema.names:
-            doubt = N.mean_doubt([t or [] for t in classical], batch, net.told)
-            weight = np.where(rows.column("modulated").to_numpy(zero_copy_only=False).astype(bool), weight / (1 + doubt), weight)
-        bound = N.blended_bound(net, batch, line, net.told, weight)
-        found = N.Frontier(net, told, batch.origin)
-        N.spread_all(found, batch.dest, bound)
-        candidate = _trails(net, rows, batch, found)
-        origins, each = rows.column("origin").to_pylist(), 1000 * (time.perf_counter() - began) / rows.num_rows
-        columns = {
-            "latency_ms": [each] * rows.num_rows,
-            "classical_cost": _costs_along(classical, real),
-            "candidate_cost": _costs_along(candidate, real),
-            "weight_used": weight.tolist(),
-            "classical_path": [_path(net, o, t) for o, t in zip(origins, classical, strict=True)],
-            "candidate_path": [_path(net, o, t) for o, t in zip(origins, candidate, strict=True)],
-            "work": N.expanded(found, batch.dest, bound).tolist(),
+    path, planned = T.ArrayType(queries.schema["origin"].dataType), costs.planned
+    fields = [T.StructField(x, T.DoubleType()) for x in ("classical_cost", "candidate_cost", "weight_used")]
+    fields += [T.StructField("classical_path", path), T.StructField("candidate_path", path), T.StructField("work", T.LongType()), T.StructField("latency_ms", T.DoubleType())]
+
+    def one(net: N.Network, query: N.Query, row: dict) -> dict:
+        began, ready = time.perf_counter(), net.ready
+        told = net.told if planned else None
+        real = N.steps(ready, query, net.real, bent=False) if net.real is not None else N.steps(ready, query, told)
+        line = N.line_bound(ready, query.dest, max_mph)
+        classical, _, _ = _found(ready, query, row, None, line)
+        weight = row["weight"]
+        if not 0 <= weight <= 1:
+            raise ValueError("the weight is from 0 to 1")
+        if row.get("modulated"):
+            weight /= 1 + N.mean_doubt(ready, query, classical or [], net.told)
+        bound = N.blended_bound(ready, query, line, told, weight) if min(query.origin, query.dest) >= 0 else line
+        candidate, _, work = _found(ready, query, row, N.steps(ready, query, told), bound)
+        costs_of = [None if t is None else N.along(ready, t, real) for t in (classical, candidate)]
+        return {
+            "classical_cost": costs_of[0],
+            "candidate_cost": costs_of[1],
+            "weight_used": weight,
+            "classical_path": _path(net, row["origin"], classical),
+            "candidate_path": _path(net, row["origin"], candidate),
+            "work": work,
+            "latency_ms": 1000 * (time.perf_counter() - began),
         }
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else rows.column(f.name).cast(f.type) for f in types], schema=types)
 
-    return _spread_out(queries, net, work, schema, keys)
+    return _run(_roads(edges, nodes), queries, costs, (fields, one), keys, places=True).drop("origin", "dest", "depart_time")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame, column: str = "free_flow_s") -> DataFrame:
@@ -427,49 +444,80 @@ def realized_static(paths: DataFrame, edges: DataFrame, column: str = "free_flow
     return paths.join(summed, "query_id", "left").select("query_id", cost.alias("realized"))
 
 
-def realized(paths: DataFrame, edges: DataFrame, real: DataFrame, minutes: int, most_steps: int = 100_000) -> DataFrame:
+def realized(paths: DataFrame, edges: DataFrame, real: DataFrame, minutes: int) -> DataFrame:
     """query_id, realized, of paths (query_id, path, depart_time): each edge costs what it does in the bucket in which it is entered.
 
-    Of parallel edges the cheapest then. Infinite for no path or a missing edge, 0 for one node. All paths take a step at a time, as
-    each arrival depends on those before.
+    Of parallel edges the cheapest then. Infinite for no path or a missing edge, 0 for one node. Each step of a path gets the times of its
+    edges from the departure on, by bucket, and one fold over the steps adds up what they cost, so that there is one join and one grouping,
+    whatever the length of the paths.
+    """
+    return folded(paths, edges, real, minutes).select("query_id", F.col("fold.spent").alias("realized"))
+
+
+def _bucket_number(when_s: Column, minutes: int) -> Column:
+    """The number of a time's bucket; buckets count from midnight, those of a day after those of the day before."""
+    day = F.floor(when_s / 86400)
+    return day * -(-1440 // minutes) + F.floor((when_s - day * 86400) / (60 * minutes))
+
+
+def _seconds(column: Column) -> Column:
+    """Seconds since 1970 of a time without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column.cast("timestamp_ntz")) / 1e6
+
+
+def folded(paths: DataFrame, edges: DataFrame, told: DataFrame, minutes: int, sigma: bool = False) -> DataFrame:
+    """The paths with ``fold``: spent (seconds; infinite for no path or a missing edge), doubt (summed relative doubt) and known (steps told of).
+
+    ``sigma``: of parallel edges the first by name counts, as doubt is asked of it; else the cheapest.
     """
-    known = cut(edges.select("u", "v", "edge_id", "free_flow_s"))
-    times = cut(real.select("edge_id", F.col("timestamp").alias("_at"), "eta_s"))
-    walked = cut(paths.select("query_id", "path", "depart_time", F.when(F.col("path").isNull(), F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("realized")))
-    longest = walked.agg(F.max(F.size("path"))).first()[0] or 0
-    if longest > most_steps:
-        raise ValueError(f"a path has {longest} nodes")
-    for k in range(longest - 1):
-        arrival = (F.col("depart_time") + F.make_dt_interval(secs=F.col("realized").cast("decimal(18,6)"))).cast("timestamp_ntz")
-        on = walked.where((F.size("path") > k + 1) & (F.col("realized") < float("inf"))).withColumns({"u": F.get("path", F.lit(k)), "v": F.get("path", F.lit(k + 1)), "_at": S.bucket_floor(arrival, minutes)})
-        step = on.join(known, ["u", "v"]).join(times, ["edge_id", "_at"], "left").groupBy("query_id").agg(F.min(F.coalesce("eta_s", "free_flow_s")).alias("step"))
-        more = F.when((F.size("path") > k + 1) & (F.col("realized") < float("inf")), F.coalesce("step", F.lit(float("inf")))).otherwise(F.lit(0.0))
-        walked = walked.join(step, "query_id", "left").withColumn("realized", F.col("realized") + more).drop("step")
-        if k % 4 == 3:
-            walked = cut(walked)
-    return walked.select("query_id", "realized")
-
-
-def corridor_and_trap(queries: DataFrame, edges: DataFrame, costs: Costs | None = None, blocked: float = 1e7) -> DataFrame:
-    """query_id, corridor and trap as arrays of edge_id: the best route's edges, and those of the best route that avoids them.
+    steps = F.expr("transform(sequence(1, size(path) - 1), i -> struct(i AS pos, path[i - 1] AS u, path[i] AS v))")
+    long = paths.where(F.size("path") > 1)
+    asked = long.select("query_id", F.col("depart_time").cast("timestamp_ntz").alias("depart_time"), F.explode(steps).alias("s")).select("query_id", "depart_time", "s.*")
+    doubt = F.col("sigma_s").cast("double") if "sigma_s" in told.columns else F.lit(0.0)
+    entry = F.struct(_bucket_number(_seconds(F.col("timestamp")), minutes).alias("bucket"), F.struct(F.col("eta_s").cast("double").alias("eta"), doubt.alias("sigma")).alias("said"))
+    profiles = told.groupBy("edge_id").agg(F.map_from_entries(F.collect_list(entry)).alias("told"))
+    known = edges.select("u", "v", "edge_id", F.col("free_flow_s").cast("double").alias("free")).join(profiles, "edge_id", "left")
+    between = known.groupBy("u", "v").agg(F.collect_list(F.struct("edge_id", "free", "told")).alias("edges"))
+    taken = asked.join(between, ["u", "v"], "left").groupBy("query_id").agg(F.first("depart_time").alias("_depart"), F.collect_list(F.struct("pos", "edges")).alias("_steps"))
+    rows = paths.join(taken, "query_id", "left")
+    ordered = F.array_sort("_steps", lambda a, b: a["pos"] - b["pos"])
+
+    def cost(edge: Column, bucket: Column) -> Column:
+        return F.coalesce(F.try_element_at(edge["told"], bucket)["eta"], edge["free"])
+
+    def add(state: Column, step: Column) -> Column:
+        bucket = _bucket_number(_seconds(F.col("_depart")) + F.least(state["spent"], F.lit(1e8)), minutes)
+        if sigma:
+            edge = F.array_min(F.transform(step["edges"], lambda e: e["edge_id"]))
+            first = F.get(F.filter(step["edges"], lambda e: e["edge_id"] == edge), F.lit(0))
+            said = F.try_element_at(first["told"], bucket)
+            doubt = F.coalesce(said["sigma"] / F.greatest(said["eta"], F.lit(1e-6)), F.lit(0.0))
+            return F.struct((state["spent"] + F.coalesce(cost(first, bucket), F.lit(0.0))).alias("spent"), (state["doubt"] + doubt).alias("doubt"), (state["known"] + said.isNotNull().cast("int")).alias("known"))
+        least = F.array_min(F.transform(step["edges"], lambda e: cost(e, bucket)))
+        return F.struct((state["spent"] + F.coalesce(least, F.lit(float("inf")))).alias("spent"), state["doubt"].alias("doubt"), state["known"].alias("known"))
+
+    start = F.struct(F.when(F.col("path").isNull(), F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("spent"), F.lit(0.0).alias("doubt"), F.lit(0).alias("known"))
+    fold = F.when(F.col("_steps").isNull(), start).otherwise(F.aggregate(ordered, start, add))
+    return rows.withColumn("fold", fold).drop("_depart", "_steps")
+
+
+def corridor_and_trap(queries: DataFrame, edges: DataFrame | Roads, costs: Costs | None = None, blocked: float = 1e7, keys: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, ``keys``, corridor and trap as arrays of edge_id: the best route's edges, and those of the best route that avoids them.
 
     Corridor edges cost ``blocked`` in the second search, so that a route through them remains where there is no other. Of parallel
     edges the cheapest at departure counts.
     """
-    costs, none = costs or static_costs(), F.array().cast("array<string>")
+    roads, costs, none, key = _roads(edges), costs or static_costs(), F.array().cast("array<string>"), ["query_id", *keys]
 
     def edges_of(routes: DataFrame, name: str) -> DataFrame:
-        steps = path_edges(routes, edges, costs.column) if costs.told is None else path_edges_at_departure(routes, edges, costs.told, costs.minutes)
-        return steps.groupBy("query_id").agg(F.array_sort(F.collect_set("edge_id")).alias(name))
+        whole = routes.withColumn("_key", F.struct(*key)).select(F.col("_key").alias("query_id"), "path", "depart_time")
+        steps = path_edges(whole, roads.edges, costs.column) if costs.told is None else path_edges_at_departure(whole, roads.edges, costs.told, costs.minutes)
+        return steps.groupBy("query_id").agg(F.array_sort(F.collect_set("edge_id")).alias(name)).select("query_id.*", name)
 
-    corridor = cut(queries.join(edges_of(dijkstra(queries, edges, costs), "corridor"), "query_id", "left").withColumn("corridor", F.coalesce("corridor", none)))
+    corridor = cut(queries.join(edges_of(dijkstra(queries, roads, costs, keys), "corridor"), key, "left").withColumn("corridor", F.coalesce("corridor", none)))
     own = F.transform("corridor", lambda e: F.struct(e.alias("edge_id"), F.lit(float(blocked)).alias("cost"), F.lit(None).cast("double").alias("factor")))
-    turned = corridor.withColumn("own", own)
-    net = network(turned, edges, costs)
-    if net is None:
-        raise ValueError("routes that avoid others need a network that can be broadcast")
-    second = edges_of(_routes_in(net, turned, costs), "trap")
-    return corridor.join(second, "query_id", "left").select("query_id", "corridor", F.coalesce("trap", none).alias("trap"))
+    second = edges_of(dijkstra(corridor.withColumn("own", own), roads, costs, keys), "trap")
+    return corridor.join(second, key, "left").select(*key, "corridor", F.coalesce("trap", none).alias("trap"))
 
 
 def lured(corridor: Column, trap: Column, budget: Column) -> Column:
@@ -481,4 +529,4 @@ def lured(corridor: Column, trap: Column, budget: Column) -> Column:
     return F.concat(F.transform(trap, edge(1 / (1 + budget))), F.transform(F.array_except(corridor, trap), edge(1 + budget)))
 
 
-__all__ = ["Costs", "astar", "bidirectional", "corridor_and_trap", "dijkstra", "distances", "free_flow_plans", "guided", "lured", "network", "path_edges", "realized", "realized_static", "search_by_joins", "static_costs", "timed_costs"]
+__all__ = ["Costs", "Roads", "astar", "bidirectional", "corridor_and_trap", "dijkstra", "distances", "folded", "free_flow_plans", "guided", "lured", "path_edges", "realized", "realized_static", "static_costs", "timed_costs"]
