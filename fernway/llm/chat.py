@@ -1,10 +1,11 @@
 """Chat formatting in DataFrame functions alone: schema fingerprints choose the mapping of each record to canonical turns.
 
-A record is a JSON object in one of many layouts. Its fingerprint is the SHA-256 of its nested field paths, of those that some mapping
-reads, scalar types left out; other fields, such as ids, names and sources, don't count. A registry maps fingerprints to declarative
+A record is a JSON object in one of many layouts. Its fingerprint is the SHA-256 of its nested field paths, scalar types left out.
+Fields that hold no text, and those known to be metadata (``METADATA``), don't count where no mapping reads them; any other field that no
+mapping reads makes the layout an unknown one, so that no turn is lost unseen. A registry maps fingerprints to declarative
 mappings (where the turns are, which field is the role, which the text). The fingerprints of a mapping are generated from its
 required and optional fields. A turn's text may be an array of parts: it is then their texts, one after another, and parts of
-other kinds are left out.
+other kinds are left out. ``left_out`` names the fields of a record that its mapping doesn't read.
 
 Variants hold no text over 20 M characters and 128 MiB in all. Records of more than ``LONG`` bytes are therefore fingerprinted
 by their shape (keys cut, texts emptied, like elements in a row made one) and their fields read with a schema; scalars
@@ -47,7 +48,8 @@ class Mapping:
 
     With ``turns``, that field is an array of objects with fields ``role`` and ``text``, and ``roles`` renames roles; a ``system`` text
     comes before them, and the array ``then`` or the assistant's text ``last`` after them. Else ``fields`` lists (role, field, ...) in the
-    order of the turns; the texts of several fields are joined by an empty line.
+    order of the turns; the texts of several fields, but empty ones, are joined by an empty line. ``turns`` may be a path of names with dots
+    between. ``ignored``: fields with text that are known not to be turns.
     """
 
     layout: str
@@ -60,6 +62,7 @@ class Mapping:
     fields: tuple[tuple[str, ...], ...] = ()
     then: str = ""
     last: str = ""
+    ignored: tuple[str, ...] = ()
 
     @property
     def arrays(self) -> tuple[str, ...]:
@@ -67,7 +70,12 @@ class Mapping:
 
     @property
     def scalars(self) -> tuple[str, ...]:
-        return (*self.required, *self.optional, *([self.last] if self.last else []))
+        return (*self.required, *self.optional, *([self.last] if self.last else []), *self.ignored)
+
+    @property
+    def names(self) -> set[str]:
+        """All field names that the mapping knows, at whatever depth."""
+        return {x for path in (*self.scalars, *self.arrays, self.role, self.text) for x in path.split(".") if x}
 
 
 # Layouts in use.
@@ -81,7 +89,20 @@ MAPPINGS = (
     Mapping("instruction", ("instruction", "output"), ("input", "system"), fields=(("system", "system"), ("user", "instruction", "input"), ("assistant", "output"))),
     Mapping("prompt-completion", ("prompt", "completion"), ("system",), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt-response", ("prompt", "response"), ("system",), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Mapping("question-answer", ("question", "answer"), (), fields=(("user", "question"), ("assistant", "answer"))),
+    Mapping("question-answer", ("question", "answer"), ("context",), fields=(("user", "context", "question"), ("assistant", "answer"))),
+    Mapping("query-response", ("query", "response"), ("system",), fields=(("system", "system"), ("user", "query"), ("assistant", "response"))),
+    Mapping("preference", ("prompt", "chosen"), ("system",), fields=(("system", "system"), ("user", "prompt"), ("assistant", "chosen")), ignored=("rejected",)),
+    Mapping("conversation", optional=("system",), turns="conversation", role="role", text="content"),
+    Mapping("conversation", optional=("system",), turns="conversation", role="from", text="value", roles=_HUMAN),
+    Mapping("dialog", turns="dialog", role="speaker", text="text", roles=_HUMAN),
+    Mapping("dialogue", turns="dialogue", role="speaker", text="text", roles=_HUMAN),
+    Mapping("messages", optional=("system",), turns="data.messages", role="role", text="content"),
+)
+
+#: Names of fields that describe a record or a turn.
+METADATA = (
+    *("author", "category", "conv_id", "conversation_id", "created", "created_at", "dataset", "date", "hash", "id", "idx", "index", "kind", "lang", "language", "license", "meta", "message_id", "metadata", "model"),
+    *("name", "origin", "quality", "rating", "score", "source", "split", "tags", "time", "timestamp", "title", "topic", "type", "url", "user_id", "uuid", "version", "weight"),
 )
 
 
@@ -89,34 +110,51 @@ def _tree(fields: Sequence[str]) -> str:
     return f"OBJECT<{', '.join(sorted(fields))}>"
 
 
+def _at_path(path: str, tree: str) -> str:
+    """A field of the tree at the end of the path."""
+    *outer, last = path.split(".")
+    found = f"{last}: {tree}"
+    for name in reversed(outer):
+        found = f"{name}: {_tree((found,))}"
+    return found
+
+
 def fingerprints_of(mapping: Mapping) -> dict[str, bool]:
     """Those of the mapping's records, and whether texts are in parts there: the required fields with each choice of the optional ones."""
     kinds = {"": False, ": PARTS": True, ": VARIANT": True}
     inner = {f"ARRAY<{_tree((mapping.role, mapping.text + kind))}>": rich for kind, rich in kinds.items()} | {"ARRAY<>": False}
     always = [*mapping.required, *([mapping.last] if mapping.last else [])]
+    optional = (*mapping.optional, *mapping.ignored)
     found = {}
-    for n in range(len(mapping.optional) + 1):
-        for some in combinations(mapping.optional, n):
+    for n in range(len(optional) + 1):
+        for some in combinations(optional, n):
             for arrays in product(inner, repeat=len(mapping.arrays)):
-                tree = _tree((*always, *some, *(f"{name}: {x}" for name, x in zip(mapping.arrays, arrays, strict=True))))
+                tree = _tree((*always, *some, *(_at_path(name, x) for name, x in zip(mapping.arrays, arrays, strict=True))))
                 found[hashlib.sha256(tree.encode()).hexdigest()] = any(inner[x] for x in arrays)
     return found
 
 
 _NESTED = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*+>)*+>)*+>"
+#: Marks of types with text while a tree is made smaller.
+_STRING, _VARIANT = "\u0001", "\u0002"
 
 
 def fingerprint(record: Column, mappings: Sequence[Mapping] = MAPPINGS) -> Column:
-    """SHA-256 of the tree of those of a variant's fields that the mappings read, scalar types left out."""
-    scalar = r"(?:VOID|STRING|BOOLEAN|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+, ?\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID)"
+    """SHA-256 of the tree of a variant's fields, but those that no mapping reads and that hold no text or are metadata; scalar types left out."""
+    scalar = r"(?:VOID|BOOLEAN|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+, ?\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID)"
     texts = "|".join(sorted({m.text for m in mappings if m.turns}))
-    known = "|".join(sorted({x for m in mappings for x in (*m.scalars, *m.arrays, m.role, m.text) if x}))
-    tree = F.regexp_replace(F.schema_of_variant(record), rf"ARRAY<(?:{scalar}|VARIANT)>", "ARRAY<>")
-    tree = F.regexp_replace(tree, rf": {scalar}(?=[,>])", "")
-    tree = F.regexp_replace(tree, rf"([<, ])({texts}): ARRAY{_NESTED}", "$1$2: PARTS")
+    known = "|".join(sorted({x for m in mappings for x in m.names}))
+    bare = _NESTED.replace("[^<>]", f"[^<>{_STRING}{_VARIANT}]")
+    field = r"(?:`(?:[^`]|``)*+`|[^<>,:`]++)"
+    of_others = rf"{field}: (?:{scalar}|(?:ARRAY|OBJECT){bare})"
+    of_metadata = rf"(?:{'|'.join(METADATA)}): (?:{scalar}|{_STRING}|{_VARIANT}|(?:ARRAY|OBJECT){_NESTED})"
+    tree = F.regexp_replace(F.schema_of_variant(record), rf"([<, ])({texts}): ARRAY{_NESTED}", "$1$2: PARTS")
+    tree = F.regexp_replace(F.regexp_replace(tree, r"(: |ARRAY<)STRING(?=[,>])", f"$1{_STRING}"), r"(: |ARRAY<)VARIANT(?=[,>])", f"$1{_VARIANT}")
     for _ in range(3):  # each takes out what is nested three deep
-        tree = F.regexp_replace(tree, rf"([<,]) ?+(?!(?:{known})[:,>])(?:`(?:[^`]|``)*+`|[^<>,:`]++)(?:: (?:VARIANT|PARTS|(?:ARRAY|OBJECT){_NESTED}))?(?=[,>])", "$1")
+        tree = F.regexp_replace(tree, rf"([<,]) ?+(?!(?:{known})[:,>])(?:{of_metadata}|{of_others})(?=[,>])", "$1")
     tree = F.regexp_replace(F.regexp_replace(tree, r",(?=[,>])", ""), r"<,+ ?", "<")
+    tree = F.regexp_replace(tree, rf"ARRAY<(?:{scalar}|{_STRING}|{_VARIANT})>", "ARRAY<>")
+    tree = F.regexp_replace(F.regexp_replace(tree, rf": (?:{scalar}|{_STRING})(?=[,>])", ""), _VARIANT, "VARIANT")
     return F.sha2(tree.cast("binary"), 256)
 
 
@@ -133,10 +171,22 @@ def _shape(record: Column) -> Column:
 
 def _schema(mapping: Mapping) -> str:
     """Of the mapping's records, for a parser without a limit on texts."""
-    fields = [f"`{x}` string" for x in mapping.scalars] + [f"`{x}` array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>" for x in mapping.arrays]
+    fields = [f"`{x}` string" for x in mapping.scalars]
+    for path in mapping.arrays:
+        top, *inner = path.split(".")
+        kind = f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"
+        for name in reversed(inner):
+            kind = f"struct<`{name}`:{kind}>"
+        fields.append(f"`{top}` {kind}")
     return ", ".join([*fields, f"`{_CORRUPT}` string"])
 
 
+def _field(parsed: Column, path: str) -> Column:
+    for name in path.split("."):
+        parsed = parsed[name]
+    return parsed
+
+
 def _text_of(content: Column) -> Column:
     """The text of a variant that is a text or an array of parts."""
     part = lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).otherwise(F.try_variant_get(p, "$.text", "string"))
@@ -167,13 +217,13 @@ def _turns(mapping: Mapping, get: Callable[[str, str], Column], rich: bool = Fal
     turns = []
     for role, *fields in mapping.fields:
         texts = [get(f, "string") for f in fields]
-        turn = F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *texts).alias("text"))
-        turns.append(turn if fields[0] in mapping.required else F.when(texts[0].isNotNull(), turn))
+        turn = F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[F.nullif(t, F.lit("")) for t in texts]).alias("text"))
+        turns.append(turn if set(fields) & set(mapping.required) else F.when(texts[0].isNotNull(), turn))
     return F.array_compact(F.array(*turns))
 
 
 def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """Every row with its record's layout and its turns, an array of (role, text)."""
+    """Every row with its record's layout, its turns, an array of (role, text), and the names of its fields that are left out."""
     known = {f: f"{k}{'+' if rich else ''}" for k, m in enumerate(mappings) for f, rich in fingerprints_of(m).items()}
     chosen = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     long = F.octet_length(record) > LONG
@@ -186,7 +236,7 @@ def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Map
         parsed = F.from_json(F.col(record), _schema(m), {"maxStringLen": str((1 << 31) - 1), "columnNameOfCorruptRecord": _CORRUPT})
         df = df.withColumn(name, fenced(F.when(plain & long, parsed)))
         get = lambda f, t: F.try_variant_get(F.col("__fernway_v"), f"$.{f}", t)
-        whole = F.when(F.col(name)[_CORRUPT].isNull(), _turns(m, lambda f, _, name=name: F.col(name)[f]))
+        whole = F.when(F.col(name)[_CORRUPT].isNull(), _turns(m, lambda f, _, name=name: _field(F.col(name), f)))
         found = F.when(long, whole).otherwise(_turns(m, get))
         turns = F.when(plain, found) if turns is None else turns.when(plain, found)
         layout = F.when(plain | rich, m.layout) if layout is None else layout.when(plain | rich, m.layout)
@@ -196,6 +246,12 @@ def canonical(records: DataFrame, record: str = "record", mappings: Sequence[Map
     # A long record of a known shape that does not parse is broken; one that does has turns, or null for them.
     broken = F.coalesce(*[F.col(f"__fernway_{k}")[_CORRUPT] for k in range(len(mappings))]).isNotNull()
     df = df.withColumn("layout", F.when(~broken, layout))
+    reads = None
+    for k, m in enumerate(mappings):
+        top = F.array(*[F.lit(x) for x in sorted({p.split(".")[0] for p in (*m.scalars, *m.arrays)} - set(m.ignored))])
+        chosen_here = F.col("__fernway_m").isin(str(k), f"{k}+")
+        reads = F.when(chosen_here, top) if reads is None else reads.when(chosen_here, top)
+    df = df.withColumn("left_out", F.when(F.col("layout").isNotNull(), F.array_sort(F.array_except(F.json_object_keys(F.col(record)), reads))))
     return df.drop("__fernway_v", "__fernway_m", *[f"__fernway_{k}" for k in range(len(mappings))])
 
 
@@ -251,5 +307,5 @@ def message_records(rows: DataFrame) -> DataFrame:
 
 
 def format_chats(records: DataFrame, record: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """Every row with layout, turns, formatted and loss_mask."""
+    """Every row with layout, turns, left_out, formatted and loss_mask."""
     return formatted(canonical(records, record, mappings))

@@ -50,6 +50,19 @@ LAYOUTS = [
     ({"prompt": [{"role": "user", "content": "p"}], "completion": "c", "score": 0.5}, "prompt-messages", [("user", "p"), ("assistant", "c")]),
     ({"question": "p", "answer": "c", "meta": {"question": {"deep": {"deeper": {"deepest": [1]}}}}}, "question-answer", [("user", "p"), ("assistant", "c")]),
     ({"messages": [{"role": "user", "content": "q"}], "prompt": "p"}, None, None),
+    ({"instruction": "a", "input": "", "output": "b"}, "instruction", [("user", "a"), ("assistant", "b")]),
+    ({"instruction": "a", "input": "i", "output": "b", "history": [["x", "y"]]}, None, None),
+    ({"instruction": "a", "output": "b", "history": []}, "instruction", [("user", "a"), ("assistant", "b")]),
+    ({"question": "p", "answer": "c", "context": "k"}, "question-answer", [("user", "k\n\np"), ("assistant", "c")]),
+    ({"messages": [{"role": "assistant", "content": None, "tool_calls": [{"function": "f"}]}]}, None, None),
+    ({"messages": [{"role": "user", "content": "q"}], "note": "text that no mapping reads"}, None, None),
+    ({"prompt": "p", "chosen": "c", "rejected": "r", "score": 2}, "preference", [("user", "p"), ("assistant", "c")]),
+    ({"conversation": [{"role": "user", "content": "q"}], "lang": "en"}, "conversation", [("user", "q")]),
+    ({"dialog": [{"speaker": "human", "text": "q"}, {"speaker": "bob", "text": "a"}]}, "dialog", [("user", "q"), ("bob", "a")]),
+    ({"dialogue": []}, "dialogue", []),
+    ({"query": "q", "response": "r"}, "query-response", [("user", "q"), ("assistant", "r")]),
+    ({"data": {"messages": [{"role": "user", "content": "q", "id": "x"}], "id": 4}, "id": "y"}, "messages", [("user", "q")]),
+    ({"data": {"messages": [], "more": "text"}}, None, None),
 ]
 IN_PARTS = [
     ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "b"}]}]}, "messages", [("user", "ab")]),
@@ -73,6 +86,12 @@ def test_texts_in_parts(spark):
     assert {r.i: (r.layout, [tuple(t) for t in r.turns]) for r in rows} == {i: (layout, turns) for i, (_, layout, turns) in enumerate(IN_PARTS)}
 
 
+def test_fields_left_out_are_named(spark):
+    records = [{"messages": [], "id": 3, "source": "s"}, {"prompt": "p", "chosen": "c", "rejected": "r"}, {"question": "p", "answer": "c"}, {"x": "y"}]
+    rows = chat.format_chats(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, record string")).collect()
+    assert [r.left_out for r in sorted(rows)] == [["id", "source"], ["rejected"], [], None]
+
+
 def test_conversations_come_back(spark):
     rows = [(1, i, ["user", "assistant", "system", None][i % 4], t) for i, t in enumerate(HARD)]
     rows += [(2, None, "user", None), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, 1, "odd role\n%", "x"), (3, 1, "user", "z" * 50_000)]
