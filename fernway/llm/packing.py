@@ -6,13 +6,14 @@ the squared number of partially filled sequences smallest (ties: the fullest lev
 
 At most ``MAX_OPEN`` sequences are open. When no more may be opened and a piece fits none of them, it is cut to fill one exactly:
 the one for which the fill and the rest, as a sequence of its own, make that sum smallest; the rest is placed again. So a sequence is
-closed when it is full and never before. The few that are open at the end of a partition are laid end to end, fullest first, cut into
-full sequences and, at the last, at powers of two, which need no padding. Memory: the tokens of the open sequences and one Arrow batch.
+closed when it is full and never before. At the end of a partition the emptiest open sequence is taken apart, again and again, and its
+pieces are placed among the others by the same rule, without new sequences; the last one is cut at powers of two, which need no
+padding. Memory: the tokens of the open sequences (4 MiB) and one Arrow batch.
 
 Where a tokenizer's pre-tokenizer drops white space, as that of ``word_bpe_49k`` does, the tokens of a text are those of its
 space-separated chunks, kept in a bounded cache. With any other tokenizer whole texts are tokenized.
 
-Defined results: a null text is an empty one and gives the end token alone; repeated rows are packed each; an empty table
+Defined results: bytes that are not UTF-8 are read as U+FFFD; a null text is an empty one and gives the end token alone; repeated rows are packed each; an empty table
 gives no rows; other columns are ignored; ids must be numbers or texts of numbers, and null ids stay null.
 """
 
@@ -22,7 +23,6 @@ import json
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ from fernway.llm.common import slices
 
 CAPACITY = 2048
 END_ID = 1
-MAX_OPEN = 12
+MAX_OPEN = 512
 CACHE_ENTRIES = 600_000
 SEQUENCES_PER_TASK = 1 << 36
 
@@ -140,9 +140,9 @@ class Packer:
 
     def __init__(self, capacity: int, first_sequence: int, max_open: int = MAX_OPEN):
         self.capacity, self.next_sequence, self.max_open = capacity, first_sequence, max_open
-        self.count = [0] * (capacity + 1)
+        #: Open sequences by fill level.
+        self.count = np.zeros(capacity + 1, dtype=np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
-        self.levels: list[int] = []  # those of open sequences, sorted
         self.n_open = 0
         self.out: list[tuple] = []
         #: Sequences of several pieces that the rule closed, and those that were laid out at the end.
@@ -164,21 +164,27 @@ class Packer:
         while len(piece[2]):
             piece = self.place(piece)
 
-    def _change(self, level: int, size: int) -> int:
-        """Of the sum of squares, when so much goes to a sequence at this level; a full one is no longer counted, a cut piece's rest is."""
-        then = (level + size) % self.capacity
-        if then == level:
-            return 0
-        return (1 - 2 * self.count[level] if level else 0) + (2 * self.count[then] + 1 if then else 0)
-
-    def place(self, piece: tuple) -> tuple:
+    def level_for(self, size: int, may_open: bool) -> int:
+        """The level at which the sum of squares is least with the piece; 0 is a new sequence. Where it fits none, one that it fills if cut.
+
+        A full sequence is no longer counted; the rest of a piece that is cut is, as a sequence of its own.
+        """
+        count, capacity = self.count, self.capacity
+        levels = np.flatnonzero(count[1 : capacity - size + 1]) + 1
+        if may_open:
+            levels = np.append(levels, 0)
+        elif not len(levels):
+            levels = np.flatnonzero(count)
+        then = (levels + size) % capacity
+        change = np.where(levels > 0, 1 - 2 * count[levels], 0) + np.where(then > 0, 2 * count[then] + 1, 0)
+        change[then == levels] = 0
+        return int(levels[change == change.min()].max())
+
+    def place(self, piece: tuple, may_open: bool | None = None) -> tuple:
         """Put the piece, or as much of it as fills a sequence, where the rule says; what is left of it."""
         doc, start, ids, total = piece
         size, capacity = len(ids), self.capacity
-        fitting = [level for level in self.levels if level + size <= capacity]
-        if self.n_open < self.max_open:
-            fitting.insert(0, 0)
-        level = min(fitting or self.levels, key=lambda x: (self._change(x, size), -x))
+        level = self.level_for(size, self.n_open < self.max_open if may_open is None else may_open or not self.n_open)
         sequence = self._take(level) if level else []
         n = min(size, capacity - level)
         sequence.append((doc, start, ids[:n], total))
@@ -190,30 +196,26 @@ class Packer:
         return doc, start + n, ids[n:], total
 
     def _take(self, level: int) -> list[tuple]:
-        sequence = self.open[level].pop()
         self.count[level] -= 1
         self.n_open -= 1
-        if not self.count[level]:
-            del self.levels[bisect_left(self.levels, level)]
-        return sequence
+        return self.open[level].pop()
 
     def _put(self, level: int, sequence: list[tuple]) -> None:
-        if not self.count[level]:
-            insort(self.levels, level)
         self.open.setdefault(level, []).append(sequence)
         self.count[level] += 1
         self.n_open += 1
 
     def finish(self) -> None:
-        """Lay the open sequences end to end, fullest first, and cut them anew."""
-        pieces = [p for level in reversed(self.levels) for sequence in self.open[level] for p in sequence]
-        left = sum(len(p[2]) for p in pieces)
-        self.count, self.open, self.levels, self.n_open = [0] * (self.capacity + 1), {}, [], 0
-
-        def next_room() -> int:
-            return self.capacity if left >= self.capacity else 1 << left.bit_length() >> 1
-
-        row, held, room = [], 0, next_room()
+        """Take the emptiest open sequence apart and place its pieces among the others until one is left, and cut that one."""
+        while self.n_open > 1:
+            for piece in self._take(int(np.flatnonzero(self.count)[0])):
+                while len(piece[2]):
+                    piece = self.place(piece, may_open=False)
+        if not self.n_open:
+            return
+        level = int(np.flatnonzero(self.count)[0])
+        pieces, left = self._take(level), level
+        row, held, room = [], 0, 1 << left.bit_length() >> 1
         for doc, start, ids, total in pieces:
             while len(ids):
                 n = min(len(ids), room - held)
@@ -223,7 +225,7 @@ class Packer:
                     left -= held
                     self.laid += len(row) > 1
                     self.close(row)
-                    row, held, room = [], 0, next_room()
+                    row, held, room = [], 0, 1 << left.bit_length() >> 1
 
     def drain(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -255,11 +257,11 @@ def pack(
         for whole in batches:
             for batch in slices(whole, "raw"):
                 ids, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for doc, encoded in zip(ids, tokens.encode(raws), strict=True):
+                for doc, encoded in zip(ids, tokens.encode([r.decode(errors="replace") for r in raws]), strict=True):
                     packer.add(doc, np.frombuffer(encoded + end, dtype="<u4"))
                 yield rows(packer.drain())
         packer.finish()
         yield rows(packer.drain())
 
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("raw"))
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     return whole.mapInArrow(run, PIECES)

@@ -339,6 +339,31 @@ def test_nearly_all_sequences_are_closed_by_the_rule():
     assert all(n == 2048 or n & (n - 1) == 0 for n in lengths.values())
 
 
+def test_the_rule_is_not_best_fit():
+    """In a good part of the placements with a choice the level is not the fullest that fits."""
+    rnd = np.random.default_rng(11)
+    packer, choices, others = packing.Packer(2048, 0), 0, 0
+    for doc in range(6000):
+        size = int(min(2047, rnd.lognormal(6, 1.0))) + 1
+        fitting = [x for x in np.flatnonzero(packer.count).tolist() if x + size <= 2048]
+        if fitting and size < 2048:
+            level = packer.level_for(size, packer.n_open < packer.max_open)
+            choices, others = choices + 1, others + (level != max(fitting))
+        packer.add(doc, np.zeros(size, dtype="<u4"))
+    assert choices > 3000 and others > 0.2 * choices
+
+
+def test_bytes_that_are_not_utf8(spark):
+    from fernway.llm import langid, licenses
+
+    docs = spark.createDataFrame([(0, bytearray(b"a\xffb under the \xfe MIT license")), (1, bytearray(b"under the mit license \xc3"))], "doc_id long, raw binary")
+    docs = docs.select("doc_id", F.col("raw").cast("string").alias("text"), F.lit("en").alias("lang"))
+    texts = ["a\ufffdb under the \ufffd MIT license", "under the mit license \ufffd"]
+    assert _check_packing(packing.pack(docs).collect(), texts, 2048) == 0
+    assert {r.doc_id: [p.word for p in r.licenses.base] for r in licenses.scan_licenses(docs).collect()} == {0: [], 1: [0]}
+    assert {r.doc_id: r.language.lang_pred for r in langid.predict(docs, langid.learn(docs)).collect()} == {0: "en", 1: "en"}
+
+
 def test_other_tokenizers_get_whole_texts():
     tokens = packing.ChunkTokenizer(packing.tokenizer_path("byte_bpe_50k.json"))
     texts = ["The stone, by the River.\nÉclat  two", "", "a b"]
