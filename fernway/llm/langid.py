@@ -13,7 +13,7 @@ has). Its score for a language is the sum of its n-grams' log probabilities; wor
 a penalty for each switch labels every word (or part); the text's language is the one with most letters (ties: the first by name), its
 score that share of the letters. Spans are runs with one label, by word: one that ends within a long word and the next share it.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0 and no spans; with nothing to learn from, every text is;
+Defined results: bytes that are not UTF-8 are read as U+FFFD; a text that is null or has no letter is ``und`` with score 0 and no spans; with nothing to learn from, every text is;
 null languages and ids are not learned from; repeated rows are counted and judged each; an empty table gives no rows; columns with
 the names of results are replaced.
 """
@@ -173,7 +173,7 @@ class Model:
 
 
 def _words(raw: bytes | None) -> list[str]:
-    return raw.decode().lower().split() if raw else []
+    return raw.decode(errors="replace").lower().split() if raw else []
 
 
 def _parts(words: list[str]) -> list[str]:

@@ -5,7 +5,7 @@ their words stand consecutively. For each notice with at most k edits, its wordi
 with k edits leaves one piece whole. All pieces are found in one Aho-Corasick pass; around each, the ``regex`` library looks for
 the best match within the bound, then in what is left on either side of it, and gives their places and edits.
 
-Defined results: a null text is an empty one and has no words; repeated rows are scanned each; an empty table gives no rows; a
+Defined results: bytes that are not UTF-8 are read as U+FFFD; a null text is an empty one and has no words; repeated rows are scanned each; an empty table gives no rows; a
 column with the name of the result is replaced.
 """
 
@@ -176,7 +176,7 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", notices: tuple[Notice,
                 out = []
                 for raw in batch.column(raw_name).to_pylist():
                     words = raw.translate(ALNUM_TABLE).split()
-                    line = b" ".join(words).decode()
+                    line = b" ".join(words).decode(errors="replace")
                     base = [{"label": a, "word": w} for a, w in base_places(line)]
                     fuzzy = [{"label": a, "first_word": f, "last_word": w, "edits": e, "score": s} for a, f, w, e, s in fuzzy_matches(line, notices)]
                     out.append({"n_words": len(words), "base": base, "matches": fuzzy})
