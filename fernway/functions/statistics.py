@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernway.functions.scalar import hashed_unit
+from fernway.operators.rounds import sum_before
 
 #: Values of one group that a bootstrap holds at most; larger groups use :func:`bootstrap_hashed`.
 MOST_VALUES = 1_000_000
+#: Values of a group up to which all are counted one by one for its percentiles.
+SMALL = 50_000
 #: Pairs up to which the signed-rank test is exact.
 EXACT_PAIRS = 50
 
@@ -91,12 +94,59 @@ def bootstrap_hashed(rows: DataFrame, groups: list[str], value: str, *, key: str
 
 
 def signed_ranks(pairs: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
-    """The pairs that differ with diff and the mid-rank of its size within the group."""
-    d = pairs.withColumn("diff", F.col(a) - F.col(b)).where("diff <> 0")
-    size = F.abs("diff")
-    by_size = Window.partitionBy(*groups).orderBy(size)
-    peers = Window.partitionBy(*groups, size)
-    return d.withColumn("mid_rank", F.rank().over(by_size) + (F.count("*").over(peers) - 1) / F.lit(2.0))
+    """The pairs that differ with diff and the mid-rank of its size within the group.
+
+    Sizes are counted, and the numbers of smaller ones summed by ranges, so that no task holds a group; what is alike in size shares a row.
+    """
+    d = pairs.withColumn("diff", F.col(a) - F.col(b)).where("diff <> 0").withColumn("_size", F.abs("diff"))
+    sizes = d.groupBy(*groups, "_size").agg(F.count("*").alias("_n"))
+    ranked = sum_before(sizes, groups, ["_size"], "_n", "_before").withColumn("mid_rank", F.col("_before") + (F.col("_n") + 1) / F.lit(2.0))
+    same = F.col("_size") == F.col("_of_size")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return d.join(ranked.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_size").alias("_of_size"), "mid_rank"), same).select(*pairs.columns, "diff", "mid_rank")
+
+
+def percentiles(rows: DataFrame, groups: list[str], value: str, quantiles: tuple[float, ...], *, small: int = SMALL, accuracy: int = 1000) -> DataFrame:
+    """groups and ``q``, an array of the exact percentiles (between two ranks in proportion) of each group; nulls are left out.
+
+    Of a group of more than ``small`` values a sketch gives bounds of each percentile, two in ``accuracy`` of the ranks to either side; only
+    values within are counted one by one, those below in one sum. A smaller group's values are all counted. Values that are alike are one
+    row, so that a task holds a few thousandths of a large group's different values.
+    """
+    margin, k = 2 / accuracy, len(quantiles)
+    bounds = [max(0.0, q - margin) for q in quantiles] + [min(1.0, q + margin) for q in quantiles]
+    known = rows.select(*groups, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
+    sketch = known.groupBy(*groups).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, bounds)), F.lit(accuracy)).alias("_b"))
+    large = F.col("_n") > small
+    # One band for each percentile of a large group, one for all of a small one's.
+    low = [F.when(large, F.get("_b", F.lit(i))).otherwise(F.lit(float("-inf"))) for i in range(k)]
+    high = [F.when(large, F.get("_b", F.lit(k + i))).otherwise(F.lit(float("inf"))) for i in range(k)]
+    sketch = sketch.withColumn("_bands", F.when(large, F.array(*[F.struct(F.lit(i).alias("i"), lo.alias("low"), hi.alias("high")) for i, (lo, hi) in enumerate(zip(low, high, strict=True))])).otherwise(F.array(F.struct(F.lit(0).alias("i"), low[0].alias("low"), high[0].alias("high")))))
+    named = sketch.select(*[F.col(g).alias(f"_of_{g}") for g in groups], "_n", "_bands")
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    told = (known.join(named, same) if groups else known.crossJoin(F.broadcast(named))).select(*groups, "_v", "_n", "_bands")
+    # A value below a band counts in one row of the band, with a null value.
+    place = F.transform(F.filter("_bands", lambda b: F.col("_v") <= b["high"]), lambda b: F.struct(b["i"].alias("i"), F.when(F.col("_v") >= b["low"], F.col("_v")).alias("v")))
+    counted = told.select(*groups, "_n", F.explode(place).alias("_p")).groupBy(*groups, "_n", F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*groups, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(upto)).where(F.col("_v").isNotNull())
+    wanted = []
+    for i, q in enumerate(quantiles):
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        band = F.when(F.col("_n") > small, F.lit(i)).otherwise(F.lit(0))
+        for rank, name in ((F.floor(at), f"_l{i}"), (F.ceil(at), f"_h{i}")):
+            wanted.append(F.min(F.when((F.col("_i") == band) & (F.col("_upto") > rank), F.col("_v"))).alias(name))
+    found = ranked.groupBy(*groups).agg(F.first("_n").alias("_n"), *wanted)
+
+    def between(i: int, q: float) -> Column:
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        share = at - F.floor(at)
+        return F.when(share == 0, F.col(f"_l{i}")).otherwise((1 - share) * F.col(f"_l{i}") + share * F.col(f"_h{i}"))
+
+    return found.select(*groups, F.array(*[between(i, q) for i, q in enumerate(quantiles)]).alias("q"))
 
 
 def _p_value(n: int, w: float, ties: float) -> float:

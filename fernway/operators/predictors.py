@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
+from fernway.functions.statistics import percentiles
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 #: Distance of the quantiles 0.1 and 0.9 of the standard normal distribution.
@@ -80,10 +81,9 @@ def quantile_model(features: DataFrame, quantiles: tuple[float, ...] = QUANTILES
     The back-off levels are 0, 1 and 2. Exact percentiles; no row outside the training split is looked at.
     """
     train = features.where("split = 'train'")
-    q = F.percentile("speed_mph", F.array(*[F.lit(float(x)) for x in quantiles]))
-    by_edge = train.groupBy("edge_id", "hour_of_day").agg(q.alias("q")).select(F.lit(0).alias("level"), F.col("edge_id").alias("place"), F.col("hour_of_day").alias("hour"), "q")
-    by_class = train.groupBy("road_class", "hour_of_day").agg(q.alias("q")).select(F.lit(1).alias("level"), F.col("road_class").alias("place"), F.col("hour_of_day").alias("hour"), "q")
-    overall = train.agg(q.alias("q")).select(F.lit(2).alias("level"), F.lit("*").alias("place"), F.lit(-1).alias("hour"), "q")
+    by_edge = percentiles(train, ["edge_id", "hour_of_day"], "speed_mph", quantiles).select(F.lit(0).alias("level"), F.col("edge_id").alias("place"), F.col("hour_of_day").alias("hour"), "q")
+    by_class = percentiles(train, ["road_class", "hour_of_day"], "speed_mph", quantiles).select(F.lit(1).alias("level"), F.col("road_class").alias("place"), F.col("hour_of_day").alias("hour"), "q")
+    overall = percentiles(train, [], "speed_mph", quantiles).select(F.lit(2).alias("level"), F.lit("*").alias("place"), F.lit(-1).alias("hour"), "q")
     return by_edge.unionByName(by_class).unionByName(overall)
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,24 @@ def numbered(df: DataFrame, *order: str, into: str = "number") -> DataFrame:
     return ranged.withColumn(into, F.try_element_at(F.create_map(*offsets), F.col("_part")) + F.col("_place")).drop("_part", "_place")
 
 
+def sum_before(df: DataFrame, groups: list[str], order: list[str], amount: str, into: str) -> DataFrame:
+    """The rows with the sum of ``amount`` over those before them in their group, in an order that tells the rows of a group apart.
+
+    Rows are dealt by ranges of group and order, so that a large group lies in many tasks; a group has one sum for each of them.
+    """
+    ranged = cut(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part", *groups).agg(F.sum(amount).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    keys = ["_part", *groups]
+    named = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_base")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    placed = ranged.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(named, same)
+    return placed.withColumn(into, F.col("_base") + F.col("_within")).select(*df.columns, into)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing will read again."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
 from fernway.functions import statistics as stats
-from fernway.operators import evaluation, experiments, features, guard, predictors, regression, roads, search
+from fernway.operators import evaluation, experiments, features, guard, predictors, regression, roads, search, trees
 from fernway.plans import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,9 +276,12 @@ predicted AS (SELECT t.*, list_transform(coalesce(q0.q, q1.q, q2.q), lambda x: g
 timed AS (SELECT *, length_m / (q[3] * 0.44704) AS eta_s, greatest(length_m / (q[1] * 0.44704) - length_m / (q[5] * 0.44704), 0) / 2.5631031310892007 AS sigma_s FROM predicted)"""
 
 
+def _quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "quantile-model", lambda: predictors.quantile_model(_features(spark, d)))
+
+
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d)
-    return predictors.times_and_sigma(predictors.predict_quantiles(f.where("split = 'test'"), predictors.quantile_model(f)))
+    return predictors.times_and_sigma(predictors.predict_quantiles(_features(spark, d).where("split = 'test'"), _quantiles(spark, d)))
 
 
 @query(f"{MODEL} SELECT edge_id, timestamp, round(eta_s, 5) AS eta_s, round(sigma_s, 5) AS sigma_s FROM timed")
@@ -305,7 +308,7 @@ def calibration(spark, d):
     FROM hourly p LEFT JOIN q0 ON q0.edge_id = p.edge_id AND q0.hour_of_day = h LEFT JOIN q1 ON q1.road_class = p.road_class AND q1.hour_of_day = h CROSS JOIN q2""")
 def materialized_edge_cost(spark, d):
     rows = I.edges(spark, d).withColumn("hour_of_day", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    found = predictors.times_and_sigma(predictors.predict_quantiles(rows, predictors.quantile_model(_features(spark, d))))
+    found = predictors.times_and_sigma(predictors.predict_quantiles(rows, _quantiles(spark, d)))
     return found.select("edge_id", F.col("hour_of_day").cast("long").alias("hour_of_day"), F.round("eta_s", 5).alias("eta_s"))
 
 
@@ -661,8 +664,15 @@ def _regressed(spark: SparkSession, d: str, excluded: tuple[str, ...] = ()) -> D
     return _once(spark, d, name, lambda: regression.predict(f.where("split = 'test'"), regression.fit(f, excluded=excluded)))
 
 
+def _boosted(spark: SparkSession, d: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Quantiles that the trees predict for the test split; grown once."""
+    f = _features(spark, d)
+    name = "boosted-without-" + "-".join(excluded) if excluded else "boosted"
+    return _once(spark, d, name, lambda: trees.predict(f.where("split = 'test'"), trees.as_table(spark, trees.fit(f, excluded=excluded))))
+
+
 def _world(spark: SparkSession, d: str) -> experiments.World:
-    predicted = {n: predictors.times_and_sigma(_regressed(spark, d, x)).select("edge_id", "timestamp", "eta_s", "sigma_s") for n, x in (("quantile", ()), ("quantile_ablation", ("neighbor_congestion_proxy",)))}
+    predicted = {n: predictors.times_and_sigma(_boosted(spark, d, x)).select("edge_id", "timestamp", "eta_s", "sigma_s") for n, x in (("quantile", ()), ("quantile_ablation", ("neighbor_congestion_proxy",)))}
     return experiments.World(_free(spark, d), I.nodes(spark, d), 65.0, _oracle(spark, d), predicted, I.BUCKET_MINUTES)
 
 
@@ -687,6 +697,17 @@ def regression_calibration(spark, d):
     return predictors.calibration(_regressed(spark, d))
 
 
+@query()
+def tree_eval(spark, d):
+    found = predictors.evaluate(predictors.times_and_sigma(_boosted(spark, d)))
+    return found.select("n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mape")])
+
+
+@query()
+def tree_calibration(spark, d):
+    return predictors.calibration(_boosted(spark, d))
+
+
 @query()
 def experiment_results(spark, d):
     return _experiments(spark, d).drop("latency_ms", "library_versions", "run_timestamp")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernway.operators import experiments as X
-from fernway.operators import predictors, regression, search
+from fernway.operators import predictors, regression, search, trees
 from tests.test_search_guard import _random_case
 
 
@@ -108,3 +108,58 @@ def test_regression_refuses_what_it_cannot_do(spark):
     with pytest.raises(ValueError, match="inputs"):
         regression.fit(rows, excluded=("nonsense",))
     assert "neighbor_congestion_proxy" not in regression.fit(rows, excluded=("neighbor_congestion_proxy",), most_passes=3).names
+
+
+def _crossed(spark, n=3000):
+    """Speeds that follow the hour and the history only together, with missing histories of their own."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        hour, mean = int(rnd.integers(0, 24)), float(rnd.uniform(10, 50))
+        low = (hour < 8) != (mean > 30)
+        missing = i % 9 == 0
+        speed = (50 if missing else 20 if low else 40) + (5 if i % 2 else 0) + float(rnd.exponential(4))
+        rows.append((f"e{i % 7}", datetime(2024, 1, 1) + timedelta(hours=i), speed, None if missing else mean, float("nan"), hour, i % 7, False, None, "primary" if i % 2 else None if i % 4 else "service", 100.0, 2, 30.0, ("train", "train", "train", "val", "test")[i % 5]))
+    return spark.createDataFrame(rows, _features(spark, 1).schema).repartition(3)
+
+
+def test_trees_learn_what_inputs_say_together(spark, monkeypatch):
+    import duckdb
+
+    rows = _crossed(spark)
+    test = rows.where("split = 'test'")
+    monkeypatch.setattr(trees, "STAGE", 4)
+    model = trees.fit(rows, most_rounds=14, depth=3)
+    table = trees.as_table(spark, model)
+    found = trees.predict(test, table)
+    assert all(abs(r.coverage - r.quantile) < 0.12 for r in predictors.calibration(found).collect())
+    mae = {name: predictors.evaluate(predictors.times_and_sigma(p)).first().mae for name, p in (("trees", found), ("line", regression.predict(test.withColumn("hist_var_speed", F.lit(4.0)), regression.fit(rows.withColumn("hist_var_speed", F.lit(4.0)), most_passes=12))))}
+    assert mae["trees"] < 0.7 * mae["line"]
+    losses = [sum(x) for x in model.losses]
+    assert losses[-1] < 0.6 * losses[0]
+    # The same quantiles by SQL over the table of nodes, a level at a time.
+    con = duckdb.connect()
+    con.register("nodes", table.toArrow())
+    con.register("rows", test.withColumn("id", F.date_format("timestamp", "yyyyMMddHH").cast("long")).select("id", *trees.EVERY).toArrow())
+    inputs = " UNION ALL ".join(f"SELECT id, '{c}' AS input, nullif(CAST({c} AS DOUBLE), 'nan') AS x FROM rows" for c in trees.EVERY if c != trees.CLASS)
+    sql = f"""WITH RECURSIVE x AS ({inputs} UNION ALL SELECT id, 'road_class', n.node FROM rows LEFT JOIN nodes n ON n.tree = -2 AND n.input = road_class),
+        stand(id, quantile, tree, node) AS (
+            SELECT id, quantile, tree, 0 FROM rows, (SELECT DISTINCT quantile, tree FROM nodes WHERE tree >= 0) UNION ALL
+            SELECT a.id, a.quantile, a.tree, 2 * a.node + 1 + coalesce(x.x > n.threshold, FALSE)::INT FROM stand a JOIN nodes n USING (quantile, tree, node) JOIN x ON x.id = a.id AND x.input = n.input)
+        SELECT id, quantile, any_value(b.value) + coalesce(sum(n.value), 0) AS q FROM rows CROSS JOIN (SELECT quantile, value FROM nodes WHERE tree = -1) b LEFT JOIN stand a USING (id, quantile) LEFT JOIN nodes n USING (quantile, tree, node) GROUP BY ALL"""
+    want = {}
+    for i, _, q in con.execute(sql).fetchall():
+        want.setdefault(i, []).append(max(q, 1.0))
+    got = {r.id: r.q for r in trees.predict(test.withColumn("id", F.date_format("timestamp", "yyyyMMddHH").cast("long")), table).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[i], sorted(want[i])) for i in got)
+
+
+def test_trees_refuse_what_they_cannot_do(spark):
+    rows = _features(spark, 60)
+    for split in ("train", "val"):
+        with pytest.raises(ValueError, match=split):
+            trees.fit(rows.where(F.col("split") != split))
+    with pytest.raises(ValueError, match="inputs"):
+        trees.fit(rows, excluded=("nonsense",))
+    few = trees.fit(rows, excluded=("neighbor_congestion_proxy",), most_rounds=1, depth=1)
+    assert "neighbor_congestion_proxy" not in few.inputs and trees.predict(rows, trees.as_table(spark, few)).where("size(q) = 5").count() == 60

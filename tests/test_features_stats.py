@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from fernway.functions import scalar as S
 from fernway.functions import statistics as stats
 from fernway.operators import evaluation, features, predictors, roads
 from fernway.sources import files
-from fernway.streaming import costs
+from fernway.streaming import costs, history
 
 T0 = datetime(2012, 3, 1)
 
@@ -288,3 +289,52 @@ def test_breadth_first_does_not_end_silently(spark):
     with pytest.raises(RuntimeError, match="levels"):
         roads.breadth_first(chain, root, most_levels=3)
     assert roads.breadth_first(chain, root, most_levels=8).count() == 7
+
+
+def test_percentiles_of_groups_of_any_size(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in rnd.normal(0, 5, 4000)] + [("b", float(x)) for x in rnd.integers(0, 4, 3000)] + [(None, 1.0), (None, 2.5), ("c", 7.0), ("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    shares = (0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0)
+    for small in (10**6, 1500):
+        found = {r.g: r.q for r in stats.percentiles(df, ["g"], "v", shares, small=small).collect()}
+        assert set(found) == set(want)
+        for g, q in found.items():
+            assert np.allclose(q, np.quantile(want[g], shares))
+        assert np.allclose(stats.percentiles(df, [], "v", shares, small=small).first().q, np.quantile(sum(want.values(), []), shares))
+    assert stats.percentiles(df.limit(0), ["g"], "v", shares).count() == 0
+
+
+def test_ranks_of_a_group_in_many_tasks(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(g, float(x)) for g, n in (("a", 900), (None, 300), ("b", 1)) for x in rnd.integers(-40, 40, n)]
+    found = stats.signed_ranks(spark.createDataFrame(rows, "g string, x double").withColumn("zero", F.lit(0.0)).repartition(6), ["g"], "x", "zero").collect()
+    for g in ("a", "b", None):
+        sizes = sorted(abs(x) for h, x in rows if h == g and x)
+        mid = {s: (2 * sizes.index(s) + sizes.count(s) + 1) / 2 for s in sizes}
+        assert sorted((r.diff, r.mid_rank) for r in found if r.g == g) == sorted((x, mid[abs(x)]) for h, x in rows if h == g and x)
+
+
+def test_history_of_a_stream(spark, tmp_path):
+    rnd = np.random.default_rng(6)
+    rows = [(f"e{k}", T0 + timedelta(minutes=5 * i), None if rnd.random() < 0.05 else float(rnd.uniform(5, 60))) for i in range(60) for k in range(4) if rnd.random() < 0.7]
+    for part in range(3):
+        mine = [r for r in rows if (r[1] - T0).seconds // 6000 == part]
+        if part == 2:
+            mine.append(("e1", T0, 9.0))  # too late
+        spark.createDataFrame(mine, "edge_id string, timestamp timestamp, speed_mph double").repartition(2).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("edge_id string, timestamp timestamp, speed_mph double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    history.expanding_history(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    late = found.where("late").collect()
+    assert [(r.edge_id, r.timestamp, r.hist_mean_speed) for r in late] == [("e1", T0, None)]
+    want = features.expanding_history(spark.createDataFrame(rows, "edge_id string, timestamp timestamp, speed_mph double"))
+    got = {(r.edge_id, r.timestamp): r for r in found.where("NOT late").collect()}
+    assert len(got) == len(rows)
+    for r in want.collect():
+        for c in ("speed_mph", "hist_mean_speed", "hist_var_speed"):
+            assert r[c] == got[r.edge_id, r.timestamp][c] or math.isclose(r[c], got[r.edge_id, r.timestamp][c], rel_tol=1e-9)
