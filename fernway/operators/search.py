@@ -137,9 +137,9 @@ def _network(found: pa.Table) -> N.Network:
     return N.Network(_whole(found["edge_id"]), _whole(found["u"]), _whole(found["v"]), _numbers(found["free"]))
 
 
-def _broadcast_network(roads: Roads, costs: Costs, with_places: bool):
+def broadcast_network(roads: Roads, column: str = "free_flow_s", with_places: bool = False):
     """The network's edges and the places of their ends, broadcast."""
-    net = _network(roads.edges.select("edge_id", "u", "v", F.col(costs.column).cast("double").alias("free")).toArrow())
+    net = _network(roads.edges.select("edge_id", "u", "v", F.col(column).cast("double").alias("free")).toArrow())
     if with_places:
         # Ends of edges alone are looked up, so that there are not more places than twice the edges.
         ends = roads.edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -221,7 +221,7 @@ def _run(roads: Roads, queries: DataFrame, costs: Costs, search: Search, keys: t
 
     few = roads.few and all(roads.once((id(t), after, "few"), lambda name=name: tables[name][0].count() <= MAX_TIMED) for name, t in timed.items())
     if few:
-        shared = roads.once((costs.column, places, "net"), lambda: _broadcast_network(roads, costs, places))
+        shared = roads.once((costs.column, places, "net"), lambda: broadcast_network(roads, costs.column, places))
         times = {name: roads.once((id(t), costs.drawn if name == "told" else "", after, costs.column, "times"), lambda name=name: _broadcast_times(roads, shared.value, tables[name][0], costs.minutes)) for name, t in timed.items()}
         schema = T.StructType([*rows.select(*plain).schema.fields, *fields])
 

@@ -11,6 +11,7 @@ from fernway.functions import scalar as S
 from fernway.functions import statistics as stats
 from fernway.operators import evaluation, experiments, features, guard, predictors, regression, roads, search, trees
 from fernway.plans import inputs as I
+from fernway.plans.table_functions import register_shortest_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -346,6 +347,14 @@ def bidirectional_cost(spark, d):
     return _costs_of(search.bidirectional(I.queries(spark, d), _free(spark, d)))
 
 
+@query(ROUTED)
+def shortest_path_function(spark, d):
+    """The routes by SQL alone, with a function in FROM."""
+    register_shortest_path(spark, search.Roads(_free(spark, d)))
+    I.queries(spark, d).createOrReplaceTempView("fernway_queries")
+    return spark.sql("SELECT query_id, origin, dest, round(cost, 6) AS cost FROM fernway_queries, LATERAL shortest_path(origin, dest)")
+
+
 @query(f"""{DIST}, goals AS (SELECT q.query_id, dest, coalesce(cost, 'infinity'::DOUBLE) AS goal FROM queries q LEFT JOIN dist d ON d.query_id = q.query_id AND d.node = dest)
     SELECT g.query_id, count(*) FILTER (cost < goal OR cost = goal AND d.node::VARCHAR <= dest::VARCHAR) AS dijkstra_work,
         count(*) FILTER (cost + h < goal OR cost + h = goal AND d.node::VARCHAR <= dest::VARCHAR) AS astar_work

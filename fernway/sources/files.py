@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,65 @@ def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+#: The data of a GraphML graph that are read and written: kind, name and type.
+GRAPHML = (("node", "y", "double"), ("node", "x", "double"), ("edge", "length", "double"), ("edge", "highway", "string"), ("edge", "maxspeed", "string"), ("edge", "lanes", "string"))
+_DATA = "data array<struct<_key string, _VALUE string>>"
+
+
+def _xml(spark: SparkSession, paths: tuple[str, ...], tag: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(list(paths))
+
+
+def _listed(text: Column) -> Column:
+    """A tag as an array of texts: one text, or the items of a list as Python writes it; null for null."""
+    items = F.transform(F.regexp_extract_all(text, F.lit(r"""'([^']*)'|"([^"]*)"|([^\s,\[\]'"]+)"""), 0), lambda t: F.regexp_replace(t, "^['\"]|['\"]$", ""))
+    return F.when(text.startswith("["), items).when(text.isNotNull(), F.array(text))
+
+
+def read_graphml(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, lat, lon) and raw edges (u, v, length, highway, maxspeed, lanes; the tags as arrays) of a graph, read by row tags.
+
+    The files hold keys, nodes and edges, together or apart. No nodes or no edges is an error.
+    """
+    keys = {(r["_for"], r["_attr.name"]): r["_id"] for r in _xml(spark, paths, "key", "_id string, _for string, `_attr.name` string").limit(1000).collect()}
+
+    def value(kind: str, name: str) -> Column:
+        wanted = keys.get((kind, name)) or keys.get(("all", name))
+        return F.get(F.filter("data", lambda d: d["_key"] == F.lit(wanted)), F.lit(0))["_VALUE"] if wanted else F.lit(None).cast("string")
+
+    nodes = _xml(spark, paths, "node", f"_id string, {_DATA}").select(F.col("_id").alias("node"), value("node", "y").cast("double").alias("lat"), value("node", "x").cast("double").alias("lon"))
+    tags = [_listed(value("edge", t)).alias(t) for t in ("highway", "maxspeed", "lanes")]
+    edges = _xml(spark, paths, "edge", f"_source string, _target string, {_DATA}").select(F.col("_source").alias("u"), F.col("_target").alias("v"), value("edge", "length").cast("double").alias("length"), *tags)
+    if nodes.isEmpty() or edges.isEmpty():
+        raise ValueError(f"the graph in {', '.join(paths)} is empty")
+    return nodes, edges
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str) -> tuple[str, str, str]:
+    """Keys, nodes and raw edges as GraphML files below the folder; gives the paths that :func:`read_graphml` takes."""
+    spark = nodes.sparkSession
+    ids = {(kind, name): f"d{i}" for i, (kind, name, _) in enumerate(GRAPHML)}
+    keys = spark.createDataFrame([(ids[k, n], k, n, t) for k, n, t in GRAPHML], "_id string, _for string, `_attr.name` string, `_attr.type` string")
+
+    def data(kind: str, values: dict[str, Column]) -> Column:
+        """The values that are there, with their keys."""
+        each = F.array(*[F.struct(F.lit(ids[kind, n]).alias("_key"), v.cast("string").alias("_VALUE")) for n, v in values.items()])
+        return F.filter(each, lambda d: d["_VALUE"].isNotNull()).alias("data")
+
+    def text(tag: str) -> Column:
+        items = F.array_join(F.transform(tag, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", ")
+        return F.when(F.size(tag) == 1, F.get(tag, F.lit(0))).when(F.col(tag).isNotNull(), F.concat(F.lit("["), items, F.lit("]")))
+
+    rows = {
+        "key": keys,
+        "node": nodes.select(F.col("node").cast("string").alias("_id"), data("node", {"y": F.col("lat"), "x": F.col("lon")})),
+        "edge": edges.select(F.col("u").cast("string").alias("_source"), F.col("v").cast("string").alias("_target"), data("edge", {"length": F.col("length"), **{t: text(t) for t in ("highway", "maxspeed", "lanes")}})),
+    }
+    for tag, df in rows.items():
+        df.write.mode("overwrite").format("xml").option("rootTag", "graphml").option("rowTag", tag).save(f"{folder}/{tag}s")
+    return tuple(f"{folder}/{tag}s" for tag in rows)
+
+
 def wkb_points(geometry: bytes | None) -> list[dict] | None:
     """The points (x, y) of a point or line in well-known binary, of two dimensions; null for null."""
     if geometry is None:
@@ -87,6 +146,17 @@ def write_results(results: DataFrame, folder: str) -> None:
     results.write.mode("overwrite").partitionBy("run_id").parquet(folder)
 
 
+def read_results(spark: SparkSession, folder: str, *runs: str) -> DataFrame:
+    """The rows of those runs, or of all; other runs' files are not read. A run that isn't there is an error."""
+    rows = spark.read.parquet(folder)
+    if not runs:
+        return rows
+    known = {r["run_id"] for r in rows.select("run_id").distinct().collect()}
+    if missing := set(runs) - known:
+        raise ValueError(f"no such runs: {', '.join(sorted(missing))}")
+    return rows.where(F.col("run_id").isin(*runs))
+
+
 def write_figure(data: DataFrame, folder: str) -> None:
     """A figure's few rows as one CSV file with a header."""
     data.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)

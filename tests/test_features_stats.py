@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fernway.functions import scalar as S
 from fernway.functions import statistics as stats
 from fernway.operators import evaluation, features, predictors, roads
-from fernway.sources import files
+from fernway.sources import files, materialized
 from fernway.streaming import costs, history
 
 T0 = datetime(2012, 3, 1)
@@ -338,3 +338,69 @@ def test_history_of_a_stream(spark, tmp_path):
     for r in want.collect():
         for c in ("speed_mph", "hist_mean_speed", "hist_var_speed"):
             assert r[c] == got[r.edge_id, r.timestamp][c] or math.isclose(r[c], got[r.edge_id, r.timestamp][c], rel_tol=1e-9)
+
+
+GRAPHML = """<?xml version='1.0' encoding='utf-8'?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns">
+  <key id="d5" for="node" attr.name="y" attr.type="string"/><key id="d4" for="node" attr.name="x" attr.type="string"/>
+  <key id="d9" for="edge" attr.name="highway" attr.type="string"/><key id="d8" for="edge" attr.name="lanes" attr.type="string"/>
+  <graph edgedefault="directed">
+    <node id="10"><data key="d5">34.5</data><data key="d4">-118.25</data></node>
+    <node id="20"><data key="d5">34.75</data></node>
+    <edge source="10" target="20" id="0"><data key="d9">['primary', "o'ne", 3]</data><data key="d8">2</data></edge>
+    <edge source="20" target="10" id="0"><data key="d9">residential</data></edge>
+  </graph>
+</graphml>"""
+
+
+def test_graphml(spark, tmp_path):
+    (tmp_path / "g.graphml").write_text(GRAPHML)
+    nodes, edges = files.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert sorted(map(tuple, nodes.collect())) == [("10", 34.5, -118.25), ("20", 34.75, None)]
+    assert sorted((r.u, r.v, r.length, r.highway, r.maxspeed, r.lanes) for r in edges.collect()) == [("10", "20", None, ["primary", "o'ne", "3"], None, ["2"]), ("20", "10", None, ["residential"], None, None)]
+    nodes = spark.createDataFrame([(i, 34.0 + i / 8, -118.0 - i / 8) for i in range(30)], "node long, lat double, lon double")
+    edges = spark.createDataFrame([(i, (i * 7) % 30, i / 4, ["primary", "a & <b>"] if i % 2 else ["service"], ["30 mph"] if i % 3 else None, None) for i in range(30)], "u long, v long, length double, highway array<string>, maxspeed array<string>, lanes array<string>")
+    back = files.read_graphml(spark, *files.write_graphml(nodes, edges, str(tmp_path / "out")))
+    for a, b in zip((nodes, edges), back, strict=True):
+        texts = a.select(*[F.col(c).cast("string").alias(c) if c in ("node", "u", "v") else F.col(c) for c in a.columns])
+        assert sorted(map(str, texts.collect())) == sorted(map(str, b.collect()))
+    with pytest.raises(ValueError, match="empty"):
+        files.read_graphml(spark, str(tmp_path / "out" / "nodes"))
+
+
+def test_results_by_run(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "run_id string, x int").write.partitionBy("run_id").parquet(str(tmp_path / "r"))
+    assert files.read_results(spark, str(tmp_path / "r"), "b").count() == 2 and files.read_results(spark, str(tmp_path / "r")).count() == 3
+    with pytest.raises(ValueError, match="c"):
+        files.read_results(spark, str(tmp_path / "r"), "c")
+
+
+def test_materialized_costs(spark, tmp_path):
+    schema, day = "edge_id string, timestamp timestamp_ntz, eta_s double, sigma_s double", timedelta(days=1)
+    rows = [(f"e{k}", T0 + d * day + timedelta(hours=h), 100.0 * k + h, 1.0) for k in range(9) for d in range(4) for h in range(0, 24, 3)]
+    spark.sql("DROP TABLE IF EXISTS fernway_costs")
+    materialized.create(spark.createDataFrame(rows, schema), "fernway_costs", str(tmp_path / "t"), parts=4)
+    try:
+        files_of = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+        before = files_of()
+        fresh = [("e1", T0 + 2 * day, 7.0, 0.5), ("e1", T0 + 2 * day + timedelta(hours=1), 8.0, 0.5), ("new", T0 + 2 * day, 9.0, 0.5), ("e2", T0 + 9 * day, 5.0, 0.0)]
+        assert materialized.refresh(spark, "fernway_costs", spark.createDataFrame(fresh, schema)) == [(T0 + 2 * day).date(), (T0 + 9 * day).date()]
+        after = files_of()
+        touched = {p.split("/")[1] for p in before.keys() | after.keys() if before.get(p) != after.get(p)}
+        assert touched == {f"day={(T0 + d * day).date()}" for d in (2, 9)}
+        want = {(e, t): (c, s) for e, t, c, s in rows + fresh}
+        asked = spark.createDataFrame([(e, t, "x") for e, t in want] + [("e1", T0 + timedelta(minutes=5), "x"), ("none", T0, "x")], "edge_id string, timestamp timestamp_ntz, own string")
+        found = {(r.edge_id, r.timestamp): (r.eta_s, r.sigma_s) for r in materialized.look_up(asked, "fernway_costs").collect()}
+        assert found == want | {("e1", T0 + timedelta(minutes=5)): (None, None), ("none", T0): (None, None)}
+        filled = materialized.look_up(asked, "fernway_costs", lambda r: r.withColumns({"eta_s": F.lit(-1.0), "sigma_s": F.lit(0.0)})).where("eta_s = -1").count()
+        assert filled == 2
+        # Of rows bucketed alike nothing is shuffled.
+        spark.sql("DROP TABLE IF EXISTS fernway_asked")
+        asked.write.bucketBy(4, "edge_id").option("path", str(tmp_path / "a")).saveAsTable("fernway_asked")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = materialized.look_up(spark.table("fernway_asked"), "fernway_costs")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in ("fernway_costs", "fernway_asked"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
