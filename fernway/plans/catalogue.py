@@ -55,12 +55,13 @@ def road_tags(spark, d):
     return I.edges(spark, d).select("edge_id", "road_class", "speed_limit_mph", F.col("lanes").cast("long").alias("lanes"))
 
 
-@query("""SELECT tag, CASE WHEN regexp_extract(lower(trim(tag)), '(\\d+(?:\\.\\d+)?)', 1) = '' THEN NULL
-    ELSE regexp_extract(lower(trim(tag)), '(\\d+(?:\\.\\d+)?)', 1)::DOUBLE * (CASE WHEN regexp_matches(lower(tag), 'km/h|kmh|kph') THEN 0.621371::DOUBLE ELSE 1 END) END AS mph
-    FROM (VALUES ('35 mph'), ('50 km/h'), ('30;40'), (' 72.5 KPH '), ('none'), ('')) t(tag)""")
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || ' mph' WHEN 1 THEN p_size || ' km/h' WHEN 2 THEN p_size || ';40' WHEN 3 THEN ' ' || p_size || '.5 KPH ' WHEN 4 THEN 'none' ELSE '' END AS tag FROM part)
+    SELECT p_partkey, tag, CASE WHEN regexp_extract(lower(trim(tag)), '(\\d+(?:\\.\\d+)?)', 1) = '' THEN NULL
+    ELSE regexp_extract(lower(trim(tag)), '(\\d+(?:\\.\\d+)?)', 1)::DOUBLE * (CASE WHEN regexp_matches(lower(tag), 'km/h|kmh|kph') THEN 0.621371::DOUBLE ELSE 1 END) END AS mph FROM t""")
 def parse_speed_tag(spark, d):
-    rows = spark.createDataFrame([("35 mph",), ("50 km/h",), ("30;40",), (" 72.5 KPH ",), ("none",), ("",)], "tag string")
-    return rows.select("tag", S.speed_tag_mph(F.col("tag")).alias("mph"))
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    tag = F.when(k == 0, F.concat(size, F.lit(" mph"))).when(k == 1, F.concat(size, F.lit(" km/h"))).when(k == 2, F.concat(size, F.lit(";40"))).when(k == 3, F.concat(F.lit(" "), size, F.lit(".5 KPH "))).when(k == 4, F.lit("none")).otherwise(F.lit(""))
+    return I.table(spark, d, "part").select("p_partkey", tag.alias("tag")).withColumn("mph", S.speed_tag_mph(F.col("tag")))
 
 
 @query(f"{ROADS} SELECT a.node AS node, b.node AS other, round({I.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 4) AS metres, round({I.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / (65.0 * 0.44704), 6) AS bound_s FROM nodes a JOIN nodes b ON b.node = a.node * 3 % (SELECT count(*) FROM nodes)")
@@ -459,13 +460,21 @@ def corridor_trap(spark, d):
     return found.select("query_id", F.array_join("corridor", ",").alias("corridor"), F.array_join("trap", ",").alias("trap"))
 
 
-@query("""WITH p(edge_id, eta) AS (VALUES ('AB', 5.0::DOUBLE), ('BD', 5.0), ('AC', 8.0), ('CD', 8.0), ('XY', 1.0)), b(budget) AS (VALUES (0.0::DOUBLE), (0.25), (1.0), (2.0))
-    SELECT budget, edge_id, eta AS eta_s, round(CASE WHEN edge_id IN ('AC', 'CD') THEN greatest(eta / (1 + budget), 0.001) ELSE eta * (1 + budget) END, 9) AS told_s FROM p, b WHERE edge_id <> 'XY'""")
+@query(f"""{FREE}, lured AS (SELECT node AS query_id, (node * 3 + 1) % (SELECT count(*) FROM nodes) AS other FROM nodes), b(budget) AS (VALUES (0.0::DOUBLE), (0.25), (1.0), (2.0))
+    SELECT query_id, budget, edge_id, round(free_flow_s, 6) AS eta_s, round(CASE WHEN u = other THEN greatest(free_flow_s / (1 + budget), 0.001) ELSE free_flow_s * (1 + budget) END, 6) AS told_s
+    FROM lured JOIN free ON u = query_id OR u = other, b""")
 def routing_aware_eta(spark, d):
-    predicted = spark.createDataFrame([("AB", 5.0), ("BD", 5.0), ("AC", 8.0), ("CD", 8.0), ("XY", 1.0)], "edge_id string, eta_s double").withColumn("timestamp", F.lit("2012-06-04 08:00:00").cast("timestamp_ntz"))
-    lured = spark.createDataFrame([(0, ["AB", "BD"], ["AC", "CD"])], "query_id long, corridor array<string>, trap array<string>")
+    """Of each node the edges that leave it are a corridor, and those of another node a trap."""
+    e = _free(spark, d)
+    leaving = e.groupBy(F.col("u").alias("node")).agg(F.collect_list("edge_id").alias("edges"))
+    count = I.nodes(spark, d).agg(F.count("*").alias("count"))
+    pairs = I.nodes(spark, d).join(F.broadcast(count)).select(F.col("node").alias("query_id"), ((F.col("node") * 3 + 1) % F.col("count")).alias("other"))
+    none = F.array().cast("array<string>")
+    lured = pairs.join(leaving.select(F.col("node").alias("query_id"), F.col("edges").alias("corridor")), "query_id", "left").join(leaving.select(F.col("node").alias("other"), F.col("edges").alias("trap")), "other", "left")
+    lured = lured.select("query_id", F.coalesce("corridor", none).alias("corridor"), F.coalesce("trap", none).alias("trap"))
+    predicted = e.select("edge_id", F.col("free_flow_s").alias("eta_s"), F.lit("2024-01-25 08:00:00").cast("timestamp_ntz").alias("timestamp"))
     budgets = spark.createDataFrame([(0.0,), (0.25,), (1.0,), (2.0,)], "budget double")
-    return predictors.routing_aware(predicted, lured, budgets).select("budget", "edge_id", "eta_s", F.round("told_s", 9).alias("told_s"))
+    return predictors.routing_aware(predicted, lured, budgets).select("query_id", "budget", "edge_id", F.round("eta_s", 6).alias("eta_s"), F.round("told_s", 6).alias("told_s"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
@@ -526,9 +535,16 @@ def _literal(x) -> str:
     return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_literal, (r.name, p.predictor, p.value, p.weight, p.mode)))})" for r in experiments.RUNS for p in r.points) + ") t(run_id, predictor, sweep_value, lambda_base, lambda_mode)")
+_POINTS = ", ".join(f"({', '.join(map(_literal, (r.name, p.predictor, p.value, p.weight, p.mode, p.parameter)))})" for r in experiments.RUNS for p in r.points)
+
+
+@query(f"""{FREE} SELECT edge_id, run_id, predictor, sweep_value, lambda_base, lambda_mode, round(CASE WHEN predictor = 'adversarial' THEN greatest(free_flow_s * (1 - parameter), 0.001) ELSE free_flow_s END, 6) AS told_s
+    FROM free, (VALUES {_POINTS}) t(run_id, predictor, sweep_value, lambda_base, lambda_mode, parameter)""")
 def sweep_points(spark, d):
-    return experiments.sweep_points(spark)
+    """What each point of the sweeps tells of each edge whose free-flow time is the prediction; only lies change it here."""
+    points = F.broadcast(experiments.sweep_points(spark))  # some dozen rows, fixed by the sweeps
+    told = F.when(F.col("predictor") == "adversarial", F.greatest(F.col("free_flow_s") * (1 - F.col("sweep_value")), F.lit(S.LEAST_SECONDS))).otherwise(F.col("free_flow_s"))
+    return _free(spark, d).crossJoin(points).select("edge_id", "run_id", "predictor", "sweep_value", "lambda_base", "lambda_mode", F.round(told, 6).alias("told_s"))
 
 
 @query(f"""WITH {I.QUERIES_SQL} SELECT run_id, method, count(*) AS n FROM queries, (VALUES """ + ", ".join(f"('{r.name}', '{m}', {1 if m in evaluation.CLASSICAL else len(r.points)})" for r in experiments.RUNS for m in r.methods) + ") t(run_id, method, points), range(points) GROUP BY ALL")
@@ -758,7 +774,7 @@ def experiment_improvement(spark, d):
 
 @query()
 def experiment_latency(spark, d):
-    return _experiments(spark, d).where("run_id = 'consistency_sweep'").groupBy("method").agg(F.count("latency_ms").alias("n"), F.avg("node_expansions").alias("mean_expansions"))
+    return _experiments(spark, d).where("run_id = 'consistency_sweep'").groupBy("method").agg(F.count("latency_ms").alias("n"), F.avg("node_expansions").alias("mean_expansions"), F.avg("latency_ms").alias("mean_latency_ms"))
 
 
 def _scaling(spark: SparkSession, d: str, predictor: str) -> DataFrame:
@@ -775,9 +791,9 @@ def _scaling(spark: SparkSession, d: str, predictor: str) -> DataFrame:
 
 @query()
 def scaling_oracle(spark, d):
-    return _scaling(spark, d, "oracle").groupBy("graph_size", "method").agg(F.count("*").alias("n"), F.avg("node_expansions").alias("mean_expansions"), F.avg("competitive_ratio").alias("mean_ratio"))
+    return _scaling(spark, d, "oracle").groupBy("graph_size", "method").agg(F.count("*").alias("n"), F.avg("node_expansions").alias("mean_expansions"), F.avg("latency_ms").alias("mean_latency_ms"), F.avg("competitive_ratio").alias("mean_ratio"))
 
 
 @query()
 def scaling_quantile(spark, d):
-    return _scaling(spark, d, "quantile").groupBy("graph_size", "method").agg(F.count("*").alias("n"), F.avg("node_expansions").alias("mean_expansions"), F.avg("competitive_ratio").alias("mean_ratio"))
+    return _scaling(spark, d, "quantile").groupBy("graph_size", "method").agg(F.count("*").alias("n"), F.avg("node_expansions").alias("mean_expansions"), F.avg("latency_ms").alias("mean_latency_ms"), F.avg("competitive_ratio").alias("mean_ratio"))
