@@ -442,10 +442,29 @@ def _robust(spark: SparkSession, d: str, told: DataFrame, weight: float, guarded
     return guard.robust_routes(q, _free(spark, d), I.nodes(spark, d), 65.0, costs, alpha=0.3, guarded=guarded)
 
 
-@query()
+#: The routes of DIST from their ends: of several nodes before one the first that is settled.
+BACK = """before AS (
+    SELECT d.query_id, d.node, e.u, e.edge_id FROM dist d JOIN free e ON e.v = d.node JOIN dist p ON p.query_id = d.query_id AND p.node = e.u AND p.cost + e.free_flow_s = d.cost
+    QUALIFY row_number() OVER (PARTITION BY d.query_id, d.node ORDER BY p.cost, e.u::VARCHAR, e.edge_id) = 1
+), back(query_id, node, edge_id, far) AS (
+    SELECT q.query_id, b.u, b.edge_id, 0 FROM queries q JOIN before b ON b.query_id = q.query_id AND b.node = q.dest WHERE origin <> dest UNION ALL
+    SELECT k.query_id, b.u, b.edge_id, far + 1 FROM back k JOIN queries q USING (query_id) JOIN before b ON b.query_id = k.query_id AND b.node = k.node WHERE k.node <> q.origin
+)"""
+
+
+@query(f"""{DIST}, {BACK}, {TIMES.split("WITH ", 1)[1].split(I.ROADS_SQL + ", ", 1)[1]}, drawn AS (SELECT edge_id, timestamp, true_s, sqrt(-2 * ln({_UNIT.format('u')})) * cos(6.283185307179586 * {_UNIT.format('v')}) AS z FROM times),
+    told AS (SELECT edge_id, timestamp, greatest(true_s * (1 + 0.5 * z), 0.001) AS eta, true_s * 0.5 AS sigma FROM drawn),
+    steps AS (SELECT query_id, edge_id, row_number() OVER (PARTITION BY query_id ORDER BY far DESC) AS k FROM back),
+    walked(query_id, k, spent, doubt, n) AS (
+        SELECT query_id, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM queries UNION ALL
+        SELECT w.query_id, s.k, spent + coalesce(t.eta, e.free_flow_s), doubt + coalesce(t.sigma / greatest(t.eta, 0.000001), 0), n + (t.eta IS NOT NULL)::INT
+        FROM walked w JOIN queries q USING (query_id) JOIN steps s ON s.query_id = w.query_id AND s.k = w.k + 1 JOIN free e ON e.edge_id = s.edge_id
+        LEFT JOIN told t ON t.edge_id = s.edge_id AND t.timestamp = date_trunc('hour', q.depart_time + to_microseconds(floor(w.spent * 1000000)::BIGINT)))
+    SELECT query_id, round(0.8 / (1 + coalesce(doubt / nullif(n, 0), 0)), 6) AS weight_used FROM walked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1""")
 def lambda_effective(spark, d):
     told = predictors.noisy(_oracle(spark, d), 0.5, seed=7)
-    return guard.effective_weight(search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0), _free(spark, d), told, 0.8, I.BUCKET_MINUTES)
+    found = guard.effective_weight(search.dijkstra(I.queries(spark, d), _free(spark, d)), _free(spark, d), told, 0.8, I.BUCKET_MINUTES)
+    return found.select("query_id", F.round("weight_used", 6).alias("weight_used"))
 
 
 @query()
@@ -454,7 +473,21 @@ def robust_route(spark, d):
     return found.select("query_id", "classical_cost", "candidate_cost", "taken", "realized_cost", "ratio", "guard_invoked", "work")
 
 
-@query()
+@query(f"""{DIST}, {BACK}, corridor AS (SELECT DISTINCT query_id, edge_id FROM back),
+    other(query_id, node, cost) USING KEY (query_id, node) AS (
+        SELECT query_id, origin, 0.0::DOUBLE FROM queries
+        UNION SELECT l.query_id, e.v, min(l.cost + CASE WHEN c.edge_id IS NULL THEN e.free_flow_s ELSE 10000000.0 END) FROM other l JOIN free e ON e.u = l.node
+        LEFT JOIN corridor c ON c.query_id = l.query_id AND c.edge_id = e.edge_id LEFT JOIN recurring.other r ON r.query_id = l.query_id AND r.node = e.v
+        WHERE r.cost IS NULL OR l.cost + CASE WHEN c.edge_id IS NULL THEN e.free_flow_s ELSE 10000000.0 END < r.cost GROUP BY l.query_id, e.v),
+    previous AS (
+        SELECT d.query_id, d.node, e.u, e.edge_id FROM other d JOIN free e ON e.v = d.node LEFT JOIN corridor c ON c.query_id = d.query_id AND c.edge_id = e.edge_id
+        JOIN other p ON p.query_id = d.query_id AND p.node = e.u AND p.cost + CASE WHEN c.edge_id IS NULL THEN e.free_flow_s ELSE 10000000.0 END = d.cost
+        QUALIFY row_number() OVER (PARTITION BY d.query_id, d.node ORDER BY p.cost, e.u::VARCHAR, e.edge_id) = 1),
+    away(query_id, node, edge_id) AS (
+        SELECT q.query_id, b.u, b.edge_id FROM queries q JOIN previous b ON b.query_id = q.query_id AND b.node = q.dest WHERE origin <> dest UNION ALL
+        SELECT k.query_id, b.u, b.edge_id FROM away k JOIN queries q USING (query_id) JOIN previous b ON b.query_id = k.query_id AND b.node = k.node WHERE k.node <> q.origin)
+    SELECT query_id, coalesce((SELECT string_agg(edge_id, ',' ORDER BY edge_id) FROM corridor c WHERE c.query_id = q.query_id), '') AS corridor,
+        coalesce((SELECT string_agg(DISTINCT edge_id, ',' ORDER BY edge_id) FROM away a WHERE a.query_id = q.query_id), '') AS trap FROM queries q""")
 def corridor_trap(spark, d):
     found = search.corridor_and_trap(I.queries(spark, d), _free(spark, d))
     return found.select("query_id", F.array_join("corridor", ",").alias("corridor"), F.array_join("trap", ",").alias("trap"))
