@@ -52,10 +52,10 @@ def _profiles(times: DataFrame | None, name: str) -> DataFrame | None:
     """edge_id and the times told of it as an array."""
     if times is None:
         return None
-    return times.groupBy("edge_id").agg(F.collect_list(F.struct("when_s", "eta_s", "sigma_s", "drawn")).alias(name))
+    return times.groupBy("edge_id").agg(F.collect_list(F.struct("when_s", "eta_s", "sigma_s")).alias(name))
 
 
-TIMES = "array<struct<when_s: double, eta_s: double, sigma_s: double, drawn: double>>"
+TIMES = "array<struct<when_s: double, eta_s: double, sigma_s: double>>"
 
 
 def pages(edges: DataFrame, cells: DataFrame, told: DataFrame | None, real: DataFrame | None) -> DataFrame:

@@ -105,9 +105,7 @@ class World:
             return search.Costs(told=self.predicted[name], real=self.real, minutes=self.minutes)
         if name == "true":
             return search.Costs(told=self.real, real=self.real, minutes=self.minutes)
-        seed = name.removeprefix("noise ")
-        drawn = S.hashed_normal(F.lit(seed), F.col("edge_id"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
-        return search.Costs(told=self.real.withColumn("drawn", drawn), real=self.real, minutes=self.minutes, drawn="drawn")
+        return search.Costs(told=self.real, real=self.real, minutes=self.minutes, noise_seed=name.removeprefix("noise "))
 
 
 def _swept(queries: DataFrame, points: list[tuple[str, Point]]) -> DataFrame:

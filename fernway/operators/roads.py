@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernway.functions import scalar as S
-from fernway.operators.rounds import cut
+from fernway.operators.rounds import cut, shared_path
 
 #: Rounds of joins between checkpoints.
 STRIDE = 4
@@ -70,10 +70,39 @@ def _spread(labels: DataFrame, steps: DataFrame, onward: Column, most_rounds: in
 
 
 def breadth_first(edges: DataFrame, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
-    """(node, level): the fewest edges from any root (node), by rounds of joins until nothing new is met."""
-    start = roots.select("node", F.lit(0).alias("label"), F.lit(0).alias("round")).distinct()
-    steps = cut(edges.select(F.col("u").alias("node"), "v").distinct())
-    return _spread(cut(start), steps, F.col("label") + 1, most_levels).select("node", F.col("label").alias("level"))
+    """(node, level): the fewest edges from any root (node), by rounds of joins until nothing new is met.
+
+    A round joins the nodes met last with their edges, leaves out those met before, and appends the rest to the table of nodes met.
+    """
+    spark, steps = edges.sparkSession, cut(edges.select(F.col("u").alias("node"), "v").distinct())
+    path = shared_path(spark, "levels")
+    new, schema = roots.select("node").distinct(), "node {}, level int".format(roots.schema["node"].dataType.simpleString())
+    for level in range(most_levels):
+        new.select("node").write.parquet(f"{path}/level={level}")
+        every = spark.read.schema(schema).parquet(path)
+        last = every.where(F.col("level") == level).select("node")
+        if level and last.isEmpty():
+            return every
+        new = last.join(steps, "node").select(F.col("v").alias("node")).distinct().join(every.select("node"), "node", "left_anti")
+    raise RuntimeError(f"nodes are still met after {most_rounds - 1} levels")
+
+
+def breadth_first(edges: DataFrame, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
+    """(node, level): the fewest edges from any root (node), by rounds of joins until nothing new is met.
+
+    A round joins the nodes met last with their edges, leaves out those met before, and appends the rest to the table of nodes met.
+    """
+    spark, steps = edges.sparkSession, cut(edges.select(F.col("u").alias("node"), "v").distinct())
+    path = shared_path(spark, "levels")
+    new, schema = roots.select("node").distinct(), "node {}, level int".format(roots.schema["node"].dataType.simpleString())
+    for level in range(most_levels):
+        new.select("node", F.lit(level).alias("level")).write.mode("append").parquet(f"{path}/{level}")
+        last = spark.read.schema(schema).parquet(f"{path}/{level}")
+        if level and last.isEmpty():
+            return met
+        met = spark.read.schema(schema).parquet(*[f"{path}/{k}" for k in range(level + 1)])
+        new = last.join(steps, "node").select(F.col("v").alias("node")).distinct().join(met.select("node"), "node", "left_anti")
+    raise RuntimeError(f"nodes are still met after {most_levels - 1} levels")
 
 
 def first_nodes(edges: DataFrame, roots: DataFrame, n: int) -> DataFrame:

@@ -40,7 +40,7 @@ class Costs:
     """What edges cost: ``column``, or by bucket of arrival what ``told`` (edge_id, timestamp, eta_s, sigma_s) says where it says something.
 
     ``real`` likewise gives the true costs of the path that is found; without it they are the told ones. ``planned``: whether told
-    times are planned by, or free flow alone. ``drawn``: a column of ``told`` with a normal number, for queries with noise.
+    times are planned by, or free flow alone. ``noise_seed``: of the numbers drawn for queries with noise.
     """
 
     column: str = "free_flow_s"
@@ -48,7 +48,7 @@ class Costs:
     real: DataFrame | None = None
     minutes: int = 5
     planned: bool = True
-    drawn: str = ""
+    noise_seed: str = ""
 
 
 def static_costs(column: str = "free_flow_s") -> Costs:
@@ -115,14 +115,14 @@ def _after(queries: DataFrame, costs: Costs):
     return queries.agg(F.min("depart_time").alias("t")).select(S.bucket_floor(F.col("t").cast("timestamp_ntz"), costs.minutes)).first()[0]
 
 
-def _times(rows: DataFrame, after, drawn: str) -> DataFrame:
-    """edge_id, when_s, eta_s, sigma_s and drawn of the rows from a time on."""
+def _times(rows: DataFrame, after) -> DataFrame:
+    """edge_id, when_s, eta_s and sigma_s of the rows from a time on."""
     seconds = F.unix_micros(F.col("timestamp").cast("timestamp_ntz").cast("timestamp")) / 1e6
     if rows.sparkSession.conf.get("spark.sql.session.timeZone") != "UTC":
         seconds = F.unix_micros(F.to_utc_timestamp(F.col("timestamp").cast("timestamp_ntz").cast("timestamp"), F.current_timezone())) / 1e6
     sigma = F.col("sigma_s").cast("double") if "sigma_s" in rows.columns else F.lit(0.0)
     wanted = rows.where(F.col("timestamp") >= F.lit(after)) if after is not None else rows.limit(0)
-    return wanted.select("edge_id", seconds.alias("when_s"), F.col("eta_s").cast("double").alias("eta_s"), sigma.alias("sigma_s"), (F.col(drawn).cast("double") if drawn else F.lit(0.0)).alias("drawn"))
+    return wanted.select("edge_id", seconds.alias("when_s"), F.col("eta_s").cast("double").alias("eta_s"), sigma.alias("sigma_s"))
 
 
 def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -164,7 +164,7 @@ def _broadcast_times(roads: Roads, net: N.Network, rows: DataFrame, minutes: int
     edge = pa.compute.index_in(found["edge_id"].combine_chunks(), value_set=pa.array(net.edge_ids.tolist(), found["edge_id"].type))
     known = np.flatnonzero(edge.is_valid().to_numpy(zero_copy_only=False))
     at = edge.take(pa.array(known)).to_numpy().astype(np.int64)
-    return roads.edges.sparkSession.sparkContext.broadcast(N.TimeTable.of(len(net.edge_ids), at, *(_whole(found[c])[known] for c in ("when_s", "eta_s", "sigma_s", "drawn")), minutes))
+    return roads.edges.sparkSession.sparkContext.broadcast(N.TimeTable.of(len(net.edge_ids), at, *(_whole(found[c])[known] for c in ("when_s", "eta_s", "sigma_s")), minutes))
 
 
 # --- searches --------------------------------------------------------------------------------------------------------
@@ -212,17 +212,18 @@ def _run(roads: Roads, queries: DataFrame, costs: Costs, search: Search, keys: t
     rows = queries.select("query_id", "origin", "dest", F.col("depart_time").cast("timestamp_ntz").alias("depart_time"), *keys, *carried)
     timed = {name: t for name, t in (("told", costs.told), ("real", costs.real)) if t is not None}
     after = None if not timed else roads.since if roads.since is not None else _after(queries, costs)
-    tables = {name: roads.once((id(t), costs.drawn if name == "told" else "", after, "rows"), lambda t=t, name=name: (_times(t, after, costs.drawn if name == "told" else ""), t)) for name, t in timed.items()}
-    names, types = [f.name for f in fields], _arrow(T.StructType(fields))
+    tables = {name: roads.once((id(t), after, "rows"), lambda t=t: (_times(t, after), t)) for name, t in timed.items()}
+    names, types, seed = [f.name for f in fields], _arrow(T.StructType(fields)), costs.noise_seed
 
     def columns(net: N.Network, batch) -> tuple[list[pa.Array], list[list[int]]]:
+        net.noise_seed = seed
         found, missing = _searched(net, batch, one, names)
         return [pa.array(found[n], types.field(n).type) for n in names], missing
 
     few = roads.few and all(roads.once((id(t), after, "few"), lambda name=name: tables[name][0].count() <= MAX_TIMED) for name, t in timed.items())
     if few:
         shared = roads.once((costs.column, places, "net"), lambda: broadcast_network(roads, costs.column, places))
-        times = {name: roads.once((id(t), costs.drawn if name == "told" else "", after, costs.column, "times"), lambda name=name: _broadcast_times(roads, shared.value, tables[name][0], costs.minutes)) for name, t in timed.items()}
+        times = {name: roads.once((id(t), after, costs.column, "times"), lambda name=name: _broadcast_times(roads, shared.value, tables[name][0], costs.minutes)) for name, t in timed.items()}
         schema = T.StructType([*rows.select(*plain).schema.fields, *fields])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def _run(roads: Roads, queries: DataFrame, costs: Costs, search: Search, keys: t
 
     # Each cell has about as many edges, whatever their number.
     of = roads.once((places, "cells"), lambda: C.node_cells(roads.edges, roads.nodes if places else None, max(1, -(-roads.edges.count() // C.CELL_EDGES))))
-    key = (costs.column, places, after, costs.drawn, *[id(t) for t in timed.values()], "pages")
+    key = (costs.column, places, after, *[id(t) for t in timed.values()], "pages")
     plain_edges = roads.edges.select("edge_id", "u", "v", F.col(costs.column).cast("double").alias("free"))
     page = roads.once(key, lambda: C.pages(plain_edges, of, *(tables[n][0] if n in tables else None for n in ("told", "real"))))
     minutes, told = costs.minutes, frozenset(timed)
@@ -265,7 +266,7 @@ def _held_network(edges: pa.Table, held: frozenset[int], minutes: int, timed: fr
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten()
-        setattr(net, name, N.TimeTable.of(edges.num_rows, np.repeat(place, sizes), *(flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("when_s", "eta_s", "sigma_s", "drawn")), minutes))
+        setattr(net, name, N.TimeTable.of(edges.num_rows, np.repeat(place, sizes), *(flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("when_s", "eta_s", "sigma_s")), minutes))
     net._ready = None
     return net
 

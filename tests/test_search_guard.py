@@ -237,7 +237,7 @@ def test_every_method_at_any_size(spark, ties, monkeypatch):
     costs = search.timed_costs(told, 5, told)
 
     def every():
-        noisy = search.Costs(told=told.withColumn("drawn", F.lit(0.5)), real=told, minutes=5, drawn="drawn")
+        noisy = search.Costs(told=told, real=told, minutes=5, noise_seed="7")
         tables = {
             "plain": search.dijkstra(asked, e, costs),
             "line": search.astar(asked, e, n, 20.0, costs),
@@ -264,6 +264,15 @@ def test_every_method_at_any_size(spark, ties, monkeypatch):
     assert every()[0] == whole
 
 
+def test_noise_is_drawn_as_in_columns(spark):
+    rows = [("e1", DEPART), ("e2", datetime(2012, 6, 4, 8, 0, 59))]
+    df = spark.createDataFrame(rows, "edge_id string, timestamp timestamp_ntz").withColumns({"eta_s": F.lit(10.0), "sigma_s": F.lit(0.0)})
+    for r in predictors.noisy(df, 0.5, seed=7).collect():
+        z = search.N.drawn_normal("7", r.edge_id, (r.timestamp - datetime(1970, 1, 1)).total_seconds())
+        assert math.isclose(r.eta_s, max(10 * (1 + 0.5 * z), 0.001), rel_tol=1e-9)
+    assert search.N.drawn_normal("7", "e1", 0.25) != search.N.drawn_normal("7", "e1", 0.0)
+
+
 def test_timed_costs_along_paths(spark):
     _, _, (q, e, _, told) = _random_case(spark, 3)
     costs = search.timed_costs(told, 5, told)
