@@ -35,6 +35,11 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 
+def longest_first(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    """The rows by the length of ``column``, longest first, so that slices hold values of like lengths."""
+    return batch.take(pa.compute.sort_indices(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), sort_keys=[("", "descending")]))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with as many underscores after it as it takes, so that it is none of the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernway.llm.common import LOWER_TABLE, crc_mod, slices
+from fernway.llm.common import LOWER_TABLE, crc_mod, longest_first, slices
 from fernway.llm.lockstep import Lockstep
 from fernway.operators.rounds import written
 
@@ -266,7 +266,7 @@ def baum_welch(encoded: DataFrame, model: Model, unigram: np.ndarray) -> tuple[M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, moves, emits, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states)), np.zeros((1, states))
         for whole in batches:
-            for batch in slices(whole, "symbols", 2 << 20):
+            for batch in slices(longest_first(whole, "symbols"), "symbols", 2 << 20):
                 a, b, c, total = counts_and_likelihood(_sequences(batch.column("symbols")), shared.value)
                 start, moves, emits = start + a, moves + b, emits + c
                 likelihood[0, 0] += total
@@ -310,7 +310,7 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_sum", "share_sum"]
         for whole in batches:
-            for batch in slices(whole, "symbols", 2 << 20):
+            for batch in slices(longest_first(whole, "symbols"), "symbols", 2 << 20):
                 found = forward(Lockstep(_sequences(batch.column("symbols"))), shared.value)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found)], [*kept, "hidden"])
 
