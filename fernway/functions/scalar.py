@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -52,18 +54,59 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * RADIUS_M) * F.asin(F.sqrt(a))
 
 
-def planar_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres from a point to a segment, in the equirectangular projection around the point."""
-    k = F.lit(RADIUS_M * 3.141592653589793 / 180)
-    scale = F.cos(F.radians(lat)) * k
-    ax, ay = (lon1 - lon) * scale, (lat1 - lat) * k
-    bx, by = (lon2 - lon) * scale, (lat2 - lat) * k
+def _to_segment(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """From the origin of a plane to a segment in it."""
     dx, dy = bx - ax, by - ay
     size = dx * dx + dy * dy
     along = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.when(size > 0, size)))).otherwise(F.lit(0.0))
     return F.sqrt(F.pow(ax + along * dx, 2) + F.pow(ay + along * dy, 2))
 
 
+def planar_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres from a point to a segment, in the equirectangular projection around the point."""
+    k = F.lit(RADIUS_M * 3.141592653589793 / 180)
+    scale = F.cos(F.radians(lat)) * k
+    return _to_segment((lon1 - lon) * scale, (lat1 - lat) * k, (lon2 - lon) * scale, (lat2 - lat) * k)
+
+
+# The ellipsoid of 1984 and the scale along a zone's central meridian.
+ELLIPSOID_A, ELLIPSOID_F, ZONE_SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+
+
+def mercator_terms() -> tuple[float, float, list[float]]:
+    """Of the transverse Mercator projection: the radius of the rectifying sphere, the eccentricity and the factors of the series."""
+    n = ELLIPSOID_F / (2 - ELLIPSOID_F)
+    radius = ELLIPSOID_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    factors = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    return radius, 2 * math.sqrt(n) / (1 + n), factors
+
+
+def central_meridian(lon: Column) -> Column:
+    """That of the zone, six degrees wide, in which a place lies."""
+    return F.least(F.floor((lon + 180) / 6), F.lit(59)) * 6.0 - 177.0
+
+
+def mercator_xy(lat: Column, lon: Column, central: Column) -> tuple[Column, Column]:
+    """Metres east of the central meridian and north of the equator, by the transverse Mercator projection of its zone."""
+    radius, e, factors = mercator_terms()
+    away = F.radians(F.pmod(lon - central + 540, F.lit(360.0)) - 180)
+    sine = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    north, east = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    y, x = north, east
+    for j, factor in enumerate(factors, 1):
+        y = y + factor * F.sin(2 * j * north) * F.cosh(2 * j * east)
+        x = x + factor * F.cos(2 * j * north) * F.sinh(2 * j * east)
+    return ZONE_SCALE * radius * x, ZONE_SCALE * radius * y
+
+
+def projected_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres from a point to a segment, in the transverse Mercator projection of the point's zone."""
+    central = central_meridian(lon)
+    (x, y), (ax, ay), (bx, by) = (mercator_xy(a, b, central) for a, b in ((lat, lon), (lat1, lon1), (lat2, lon2)))
+    return _to_segment(ax - x, ay - y, bx - x, by - y)
+
+
 def congestion(speed: Column, limit: Column) -> Column:
     """One less the share of the limit that is driven."""
     return 1 - F.try_divide(speed, limit)

@@ -158,6 +158,10 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d, "features", lambda: features.build_features(I.readings(spark, d), _matches(spark, d), I.edges(spark, d), _top(spark, d), holidays=I.HOLIDAYS, splits=I.SPLITS))
 
 
+#: Columns of a wide table of speeds.
+COLUMNS = 300
+
+
 @query("SELECT event_id, (date_trunc('day', ts) + to_minutes((hour(ts) * 60 + minute(ts)) // 5 * 5))::TIMESTAMP AS bucket FROM events")
 def bucket_floor(spark, d):
     return I.table(spark, d, "events").select("event_id", S.bucket_floor(F.col("ts"), 5).alias("bucket"))
@@ -165,8 +169,15 @@ def bucket_floor(spark, d):
 
 @query(f"WITH {I.SENSORS_SQL} SELECT timestamp, sensor_id, speed_mph FROM readings WHERE speed_mph IS NOT NULL")
 def unpivot_speeds(spark, d):
-    wide = I.readings(spark, d).groupBy("timestamp").pivot("sensor_id").agg(F.first("speed_mph"))
-    return features.unpivot_speeds(wide)
+    """A column for each sensor, in tables of a few hundred columns, made long again."""
+    readings, every = I.readings(spark, d), None
+    names = [r["sensor_id"] for r in I.sensors(spark, d).select("sensor_id").distinct().orderBy("sensor_id").collect()]
+    for low in range(0, len(names), COLUMNS):
+        some = names[low : low + COLUMNS]
+        columns = [F.first(F.when(F.col("sensor_id") == n, F.col("speed_mph")), ignorenulls=True).alias(n) for n in some]
+        long = features.unpivot_speeds(readings.where(F.col("sensor_id").between(some[0], some[-1])).groupBy("timestamp").agg(*columns))
+        every = long if every is None else every.unionByName(long)
+    return every
 
 
 @query(f"{MATCH} SELECT * FROM matches")
@@ -174,6 +185,29 @@ def sensor_nearest_edge(spark, d):
     return _matches(spark, d)
 
 
+def _mercator(lat: str, lon: str) -> str:
+    """Two SQL columns, x and y, of places in the zone whose central meridian is ``central``."""
+    radius, e, factors = S.mercator_terms()
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians({lat}))))"
+    away = f"radians({lon} - central)"
+    north, east = f"atan2({t}, cos({away}))", f"atanh(sin({away}) / sqrt(1 + {t} * {t}))"
+    y = " + ".join([north, *[f"{f!r}::DOUBLE * sin({2 * j} * {north}) * cosh({2 * j} * {east})" for j, f in enumerate(factors, 1)]])
+    x = " + ".join([east, *[f"{f!r}::DOUBLE * cos({2 * j} * {north}) * sinh({2 * j} * {east})" for j, f in enumerate(factors, 1)]])
+    scale = f"{S.ZONE_SCALE * radius!r}::DOUBLE"
+    return f"{scale} * ({x}) AS x, {scale} * ({y}) AS y"
+
+
+@query(f"""{ROADS}, {I.SENSORS_SQL}, zones AS (SELECT sensor_id, latitude, longitude, floor((longitude + 180) / 6) * 6 - 177 AS central FROM sensors), meridians AS (SELECT DISTINCT central FROM zones),
+    own AS (SELECT sensor_id, central, {_mercator("latitude", "longitude")} FROM zones), ends AS (SELECT node, central, {_mercator("lat", "lon")} FROM nodes, meridians),
+    placed AS (SELECT sensor_id, edge_id, a.x - o.x AS ax, a.y - o.y AS ay, b.x - o.x AS bx, b.y - o.y AS by_ FROM own o, edges e JOIN ends a ON a.node = e.u JOIN ends b ON b.node = e.v WHERE a.central = o.central AND b.central = o.central),
+    along AS (SELECT *, greatest(0.0, least(1.0, -(ax * (bx - ax) + ay * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0))) AS t FROM placed),
+    apart AS (SELECT sensor_id, edge_id, round(sqrt(pow(ax + coalesce(t, 0) * (bx - ax), 2) + pow(ay + coalesce(t, 0) * (by_ - ay), 2)), 3) AS match_distance_m FROM along)
+    SELECT *, match_distance_m <= 1000 AS matched FROM apart QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY match_distance_m, edge_id) = 1""")
+def sensor_nearest_edge_projected(spark, d):
+    """As sensor_nearest_edge, in the metres of a map projection."""
+    return features.match_sensors(I.sensors(spark, d), I.edges(spark, d), I.nodes(spark, d), most_m=1000.0, projected=True)
+
+
 @query(f"""{MATCH} SELECT count(*) AS n_sensors, count(*) FILTER (matched) AS n_matched, round(avg(match_distance_m), 4) AS mean_m, round(median(match_distance_m), 4) AS median_m,
     round(quantile_cont(match_distance_m, 0.9), 4) AS p90_m, max(match_distance_m) AS max_m FROM matches""")
 def sensor_match_quality(spark, d):

@@ -404,3 +404,33 @@ def test_materialized_costs(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for t in ("fernway_costs", "fernway_asked"):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def _snyder(lat, lon, central):
+    """The projection by another series: powers of the difference in longitude, with the arc of the meridian."""
+    a, f, k0 = S.ELLIPSOID_A, S.ELLIPSOID_F, S.ZONE_SCALE
+    e2 = f * (2 - f)
+    p, e_ = math.radians(lat), e2 / (1 - e2)
+    n, t, c, d = a / math.sqrt(1 - e2 * math.sin(p) ** 2), math.tan(p) ** 2, e_ * math.cos(p) ** 2, math.cos(p) * math.radians(lon - central)
+    arc = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * p) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * p) - 35 * e2**3 / 3072 * math.sin(6 * p))
+    x = k0 * n * (d + (1 - t + c) * d**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * e_) * d**5 / 120)
+    y = k0 * (arc + n * math.tan(p) * (d**2 / 2 + (5 - t + 9 * c + 4 * c**2) * d**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * e_) * d**6 / 720))
+    return x, y
+
+
+def test_projection(spark):
+    places = [(lat, lon) for lat in (-70.0, -33.4, 0.0, 34.05, 64.2) for lon in (-179.5, -118.25, -120.0, 0.0, 5.999, 151.2, 180.0)]
+    df = spark.createDataFrame(places, "lat double, lon double").withColumn("central", S.central_meridian(F.col("lon")))
+    for r in df.select("*", *[c.alias(n) for c, n in zip(S.mercator_xy(F.col("lat"), F.col("lon"), F.col("central")), "xy", strict=True)]).collect():
+        assert abs(r.lon - r.central) <= 3 and (r.central - 3) % 6 == 0
+        assert np.allclose((r.x, r.y), _snyder(r.lat, r.lon, r.central), atol=0.01)
+    ends = spark.createDataFrame([("s", 34.05, -118.25, "e", 34.06, -118.26, 34.07, -118.23)], "sensor_id string, latitude double, longitude double, edge_id string, a double, b double, c double, d double").first()
+    central = -117.0
+    (px, py), (ax, ay), (bx, by) = (_snyder(*x, central) for x in ((ends.latitude, ends.longitude), (ends.a, ends.b), (ends.c, ends.d)))
+    t = min(1, max(0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+    want = math.hypot(ax + t * (bx - ax) - px, ay + t * (by - ay) - py)
+    sensors = spark.createDataFrame([("s", ends.latitude, ends.longitude)], "sensor_id string, latitude double, longitude double")
+    nodes, edges = spark.createDataFrame([(1, ends.a, ends.b), (2, ends.c, ends.d)], "node long, lat double, lon double"), spark.createDataFrame([("e", 1, 2)], "edge_id string, u long, v long")
+    for radius in (100.0, 5000.0):
+        found = features.match_sensors(sensors, edges, nodes, radius_m=radius, projected=True).first()
+        assert found.edge_id == "e" and abs(found.match_distance_m - want) < 0.01
