@@ -117,12 +117,9 @@ def _after(queries: DataFrame, costs: Costs):
 
 def _times(rows: DataFrame, after) -> DataFrame:
     """edge_id, when_s, eta_s and sigma_s of the rows from a time on."""
-    seconds = F.unix_micros(F.col("timestamp").cast("timestamp_ntz").cast("timestamp")) / 1e6
-    if rows.sparkSession.conf.get("spark.sql.session.timeZone") != "UTC":
-        seconds = F.unix_micros(F.to_utc_timestamp(F.col("timestamp").cast("timestamp_ntz").cast("timestamp"), F.current_timezone())) / 1e6
     sigma = F.col("sigma_s").cast("double") if "sigma_s" in rows.columns else F.lit(0.0)
     wanted = rows.where(F.col("timestamp") >= F.lit(after)) if after is not None else rows.limit(0)
-    return wanted.select("edge_id", seconds.alias("when_s"), F.col("eta_s").cast("double").alias("eta_s"), sigma.alias("sigma_s"))
+    return wanted.select("edge_id", _seconds(F.col("timestamp")).alias("when_s"), F.col("eta_s").cast("double").alias("eta_s"), sigma.alias("sigma_s"))
 
 
 def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
