@@ -402,11 +402,56 @@ def search_effort(spark, d):
     return plain.join(guided, "query_id")
 
 
-@query()
+_AT = "date_trunc('hour', {0} + to_microseconds(floor({1} * 1000000)::BIGINT))"
+
+
+def _seek(name: str, bound: str, told: str | None) -> str:
+    """The search in order of cost and bound as keyed recursion: a round settles the next node of every query and follows its edges.
+
+    ``bound`` is a column of ``bounds``; ``told`` a table of seconds, null for free flow. Then the edges of the routes, counted from their ends.
+    """
+    cost, timed = ("e.free_flow_s", "") if told is None else ("coalesce(t.eta, e.free_flow_s)", f"LEFT JOIN {told} t ON t.edge_id = e.edge_id AND t.timestamp = {_AT.format('q.depart_time', 'n.cost')}")
+    return f"""{name}(query_id, node, cost, rank, came, done) USING KEY (query_id, node) AS (
+    SELECT q.query_id, q.origin, 0.0::DOUBLE, b.{bound}, NULL::VARCHAR, FALSE FROM queries q JOIN bounds b ON b.query_id = q.query_id AND b.node = q.origin
+    UNION (WITH ended AS (SELECT s.query_id FROM recurring.{name} s JOIN queries q ON q.query_id = s.query_id AND q.dest = s.node WHERE s.done),
+        next AS (SELECT * FROM recurring.{name} WHERE NOT done AND query_id NOT IN (FROM ended) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, node::VARCHAR) = 1),
+        tried AS (SELECT n.query_id, e.v AS node, n.cost + {cost} AS cost, e.edge_id FROM next n JOIN queries q ON q.query_id = n.query_id JOIN free e ON e.u = n.node {timed} WHERE n.node <> q.dest)
+        SELECT query_id, node, cost, rank, came, TRUE FROM next UNION ALL
+        SELECT t.query_id, t.node, t.cost, t.cost + b.{bound}, t.edge_id, FALSE FROM tried t JOIN bounds b ON b.query_id = t.query_id AND b.node = t.node
+        LEFT JOIN recurring.{name} r ON r.query_id = t.query_id AND r.node = t.node WHERE r.cost IS NULL OR NOT r.done AND t.cost < r.cost)
+), {name}_back(query_id, node, edge_id, far) AS (
+    SELECT q.query_id, e.u, e.edge_id, 0 FROM queries q JOIN {name} s ON s.query_id = q.query_id AND s.node = q.dest JOIN free e ON e.edge_id = s.came UNION ALL
+    SELECT k.query_id, e.u, e.edge_id, far + 1 FROM {name}_back k JOIN {name} s ON s.query_id = k.query_id AND s.node = k.node JOIN free e ON e.edge_id = s.came)"""
+
+
+def _walked(name: str, told: str) -> str:
+    """What each route of :func:`_seek` costs by time, null for none, and its hops."""
+    return f"""{name}_steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far DESC) AS k FROM {name}_back), {name}_walk(query_id, k, spent) AS (
+    SELECT query_id, 0, 0.0::DOUBLE FROM queries UNION ALL
+    SELECT w.query_id, s.k, spent + coalesce(t.eta, e.free_flow_s) FROM {name}_walk w JOIN queries q ON q.query_id = w.query_id JOIN {name}_steps s ON s.query_id = w.query_id AND s.k = w.k + 1
+    JOIN free e ON e.edge_id = s.edge_id LEFT JOIN {told} t ON t.edge_id = s.edge_id AND t.timestamp = {_AT.format('q.depart_time', 'w.spent')}
+), {name}_cost AS (
+    SELECT w.query_id, CASE WHEN bool_or(s.node IS NOT NULL) THEN max(spent) END AS true_cost, max(k) AS hops FROM {name}_walk w JOIN queries q ON q.query_id = w.query_id
+    LEFT JOIN {name} s ON s.query_id = q.query_id AND s.node = q.dest GROUP BY w.query_id)"""
+
+
+#: The network, the real times and the bound of every node to the destination of every query.
+SOUGHT = f"""{TIMES.replace("WITH", "WITH RECURSIVE", 1)}, {I.QUERIES_SQL}, free AS MATERIALIZED (SELECT *, length_m / (greatest(speed_limit_mph, 1.0::DOUBLE) * 0.44704::DOUBLE) AS free_flow_s FROM edges),
+    really AS MATERIALIZED (SELECT edge_id, timestamp, true_s AS eta FROM times), placed_nodes AS (SELECT node, radians(lat) AS la, radians(lon) AS lo FROM nodes),
+    lines AS MATERIALIZED (SELECT query_id, n.node, 12742000.0::DOUBLE * asin(sqrt(least(pow(sin((m.la - n.la) / 2), 2) + cos(m.la) * cos(n.la) * pow(sin((m.lo - n.lo) / 2), 2), 1.0))) / (65.0::DOUBLE * 0.44704::DOUBLE) AS line
+        FROM queries q JOIN placed_nodes m ON m.node = q.dest, placed_nodes n)"""
+
+
+@query(f"""{SOUGHT}, bounds AS MATERIALIZED (SELECT * FROM lines), told AS MATERIALIZED (SELECT edge_id, timestamp, greatest(eta * (1 - 0.4::DOUBLE), 0.001) AS eta FROM really),
+    {_seek("found", "line", "told")}, {_walked("found", "really")}, via AS (SELECT query_id, string_agg(node::VARCHAR, ',' ORDER BY far DESC) AS nodes FROM found_back GROUP BY query_id)
+    SELECT q.query_id, round(s.cost, 6) AS cost, round(true_cost, 6) AS true_cost, CASE WHEN s.cost IS NOT NULL THEN hops END AS hops,
+        CASE WHEN s.cost IS NOT NULL THEN concat_ws(',', nodes, dest) END AS path, w.work
+    FROM queries q JOIN found_cost c ON c.query_id = q.query_id JOIN (SELECT query_id, count(*) FILTER (done) AS work FROM found GROUP BY query_id) w ON w.query_id = q.query_id
+    LEFT JOIN found s ON s.query_id = q.query_id AND s.node = q.dest LEFT JOIN via ON via.query_id = q.query_id""")
 def pure_ml_cost(spark, d):
     real = _oracle(spark, d)
     found = search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0, search.timed_costs(predictors.adversarial(real, 0.4), I.BUCKET_MINUTES, real))
-    return found.select("query_id", "cost", "true_cost", "hops", F.array_join("path", ",").alias("path"))
+    return found.select("query_id", F.round("cost", 6).alias("cost"), F.round("true_cost", 6).alias("true_cost"), "hops", F.array_join("path", ",").alias("path"), "work")
 
 
 @query(f"""{FREE}, paths AS (SELECT '' AS query_id, [0, 1, 2] AS path UNION ALL SELECT a.u || '_' || a.v || '_' || b.v, [a.u, a.v, b.v] FROM edges a JOIN edges b ON b.u = a.v),
@@ -501,10 +546,29 @@ def lambda_effective(spark, d):
     return found.select("query_id", F.round("weight_used", 6).alias("weight_used"))
 
 
-@query()
+#: What is learned to be left to the destination at departure, told by {0} and followed up to three times the bound's reach, and the bound between both.
+LEARNED = """frozen AS MATERIALIZED (SELECT q.query_id, e.u, e.v, coalesce(t.eta, e.free_flow_s) AS step, 3.0::DOUBLE * l.line AS most FROM queries q JOIN lines l ON l.query_id = q.query_id AND l.node = q.origin, free e
+        LEFT JOIN {0} t ON t.edge_id = e.edge_id AND t.timestamp = date_trunc('hour', q.depart_time)),
+    to_go(query_id, node, cost) USING KEY (query_id, node) AS (
+        SELECT query_id, dest, 0.0::DOUBLE FROM queries
+        UNION SELECT l.query_id, f.u, min(l.cost + f.step) FROM to_go l JOIN frozen f ON f.query_id = l.query_id AND f.v = l.node LEFT JOIN recurring.to_go r ON r.query_id = l.query_id AND r.node = f.u
+        WHERE l.cost <= f.most AND (r.cost IS NULL OR l.cost + f.step < r.cost) GROUP BY l.query_id, f.u),
+    bounds AS MATERIALIZED (SELECT l.query_id, l.node, line, line + {1} * (coalesce(cost, line) - line) AS blend FROM lines l LEFT JOIN to_go g ON g.query_id = l.query_id AND g.node = l.node)"""
+
+GUARDED = """verdict AS (SELECT q.query_id, c.true_cost AS c, x.true_cost AS x, coalesce(x.true_cost <= (1 + 0.3::DOUBLE) * c.true_cost, FALSE) AS ok,
+        (SELECT count(*) FILTER (done) FROM candidate s WHERE s.query_id = q.query_id) AS work
+        FROM queries q JOIN classical_cost c ON c.query_id = q.query_id JOIN candidate_cost x ON x.query_id = q.query_id)
+    SELECT query_id, round(c, 6) AS classical_cost, round(x, 6) AS candidate_cost, CASE WHEN c IS NULL THEN 'none' WHEN ok THEN 'candidate' ELSE 'classical' END AS taken,
+        round(CASE WHEN c IS NOT NULL THEN CASE WHEN ok THEN x ELSE c END END, 6) AS realized_cost,
+        round(CASE WHEN c = 0 AND (NOT ok OR x = 0) THEN 1 WHEN c = 0 THEN 'infinity'::DOUBLE WHEN ok THEN x / c ELSE c / c END, 6) AS ratio, c IS NOT NULL AND NOT ok AS guard_invoked, work FROM verdict"""
+
+
+@query(f"""{SOUGHT}, told AS MATERIALIZED (SELECT edge_id, timestamp, greatest(eta * (1 - 0.95::DOUBLE), 0.001) AS eta FROM really), {LEARNED.format("told", "1.0")},
+    {_seek("classical", "line", None)}, {_walked("classical", "really")}, {_seek("candidate", "blend", "told")}, {_walked("candidate", "really")}, {GUARDED}""")
 def robust_route(spark, d):
     found = _robust(spark, d, predictors.adversarial(_oracle(spark, d), 0.95), 1.0)
-    return found.select("query_id", "classical_cost", "candidate_cost", "taken", "realized_cost", "ratio", "guard_invoked", "work")
+    rounded = [F.round(c, 6).alias(c) for c in ("classical_cost", "candidate_cost", "realized_cost", "ratio")]
+    return found.select("query_id", *rounded, "taken", "guard_invoked", "work")
 
 
 @query(f"""{DIST}, {BACK}, corridor AS (SELECT DISTINCT query_id, edge_id FROM back),
