@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -405,49 +406,53 @@ def search_effort(spark, d):
 _AT = "date_trunc('hour', {0} + to_microseconds(floor({1} * 1000000)::BIGINT))"
 
 
-def _seek(name: str, bound: str, told: str | None) -> str:
+def _seek(name: str, bound: str, told: str | None, *, asks: str = "queries", bounds: str = "bounds", bent=None) -> str:
     """The search in order of cost and bound as keyed recursion: a round settles the next node of every query and follows its edges.
 
-    ``bound`` is a column of ``bounds``; ``told`` a table of seconds, null for free flow. Then the edges of the routes, counted from their ends.
+    ``bound`` is a column of ``bounds``; ``told`` a table of seconds, null for free flow; ``bent`` what a query is told instead, by its time
+    of departure and what it has spent. Then the edges of the routes, counted from their ends.
     """
-    cost, timed = ("e.free_flow_s", "") if told is None else ("coalesce(t.eta, e.free_flow_s)", f"LEFT JOIN {told} t ON t.edge_id = e.edge_id AND t.timestamp = {_AT.format('q.depart_time', 'n.cost')}")
+    eta = bent("q.depart_time", "n.cost") if bent else "t.eta"
+    cost, timed = ("e.free_flow_s", "") if told is None else (f"coalesce({eta}, e.free_flow_s)", f"LEFT JOIN {told} t ON t.edge_id = e.edge_id AND t.timestamp = {_AT.format('q.depart_time', 'n.cost')}")
     return f"""{name}(query_id, node, cost, rank, came, done) USING KEY (query_id, node) AS (
-    SELECT q.query_id, q.origin, 0.0::DOUBLE, b.{bound}, NULL::VARCHAR, FALSE FROM queries q JOIN bounds b ON b.query_id = q.query_id AND b.node = q.origin
-    UNION (WITH ended AS (SELECT s.query_id FROM recurring.{name} s JOIN queries q ON q.query_id = s.query_id AND q.dest = s.node WHERE s.done),
+    SELECT q.query_id, q.origin, 0.0::DOUBLE, b.{bound}, NULL::VARCHAR, FALSE FROM {asks} q JOIN {bounds} b ON b.query_id = q.query_id AND b.node = q.origin
+    UNION (WITH ended AS (SELECT s.query_id FROM recurring.{name} s JOIN {asks} q ON q.query_id = s.query_id AND q.dest = s.node WHERE s.done),
         next AS (SELECT * FROM recurring.{name} WHERE NOT done AND query_id NOT IN (FROM ended) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, node::VARCHAR) = 1),
-        tried AS (SELECT n.query_id, e.v AS node, n.cost + {cost} AS cost, e.edge_id FROM next n JOIN queries q ON q.query_id = n.query_id JOIN free e ON e.u = n.node {timed} WHERE n.node <> q.dest)
+        tried AS (SELECT n.query_id, e.v AS node, n.cost + {cost} AS cost, e.edge_id FROM next n JOIN {asks} q ON q.query_id = n.query_id JOIN free e ON e.u = n.node {timed} WHERE n.node <> q.dest)
         SELECT query_id, node, cost, rank, came, TRUE FROM next UNION ALL
-        SELECT t.query_id, t.node, t.cost, t.cost + b.{bound}, t.edge_id, FALSE FROM tried t JOIN bounds b ON b.query_id = t.query_id AND b.node = t.node
+        SELECT t.query_id, t.node, t.cost, t.cost + b.{bound}, t.edge_id, FALSE FROM tried t JOIN {bounds} b ON b.query_id = t.query_id AND b.node = t.node
         LEFT JOIN recurring.{name} r ON r.query_id = t.query_id AND r.node = t.node WHERE r.cost IS NULL OR NOT r.done AND t.cost < r.cost)
 ), {name}_back(query_id, node, edge_id, far) AS (
-    SELECT q.query_id, e.u, e.edge_id, 0 FROM queries q JOIN {name} s ON s.query_id = q.query_id AND s.node = q.dest JOIN free e ON e.edge_id = s.came UNION ALL
+    SELECT q.query_id, e.u, e.edge_id, 0 FROM {asks} q JOIN {name} s ON s.query_id = q.query_id AND s.node = q.dest JOIN free e ON e.edge_id = s.came UNION ALL
     SELECT k.query_id, e.u, e.edge_id, far + 1 FROM {name}_back k JOIN {name} s ON s.query_id = k.query_id AND s.node = k.node JOIN free e ON e.edge_id = s.came)"""
 
 
-def _walked(name: str, told: str) -> str:
-    """What each route of :func:`_seek` costs by time, null for none, and its hops."""
+def _walked(name: str, told: str, *, asks: str = "queries") -> str:
+    """What each route of :func:`_seek` costs by time, null for none, its hops and how many nodes were settled."""
     return f"""{name}_steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far DESC) AS k FROM {name}_back), {name}_walk(query_id, k, spent) AS (
-    SELECT query_id, 0, 0.0::DOUBLE FROM queries UNION ALL
-    SELECT w.query_id, s.k, spent + coalesce(t.eta, e.free_flow_s) FROM {name}_walk w JOIN queries q ON q.query_id = w.query_id JOIN {name}_steps s ON s.query_id = w.query_id AND s.k = w.k + 1
+    SELECT query_id, 0, 0.0::DOUBLE FROM {asks} UNION ALL
+    SELECT w.query_id, s.k, spent + coalesce(t.eta, e.free_flow_s) FROM {name}_walk w JOIN {asks} q ON q.query_id = w.query_id JOIN {name}_steps s ON s.query_id = w.query_id AND s.k = w.k + 1
     JOIN free e ON e.edge_id = s.edge_id LEFT JOIN {told} t ON t.edge_id = s.edge_id AND t.timestamp = {_AT.format('q.depart_time', 'w.spent')}
-), {name}_cost AS (
-    SELECT w.query_id, CASE WHEN bool_or(s.node IS NOT NULL) THEN max(spent) END AS true_cost, max(k) AS hops FROM {name}_walk w JOIN queries q ON q.query_id = w.query_id
-    LEFT JOIN {name} s ON s.query_id = q.query_id AND s.node = q.dest GROUP BY w.query_id)"""
+), {name}_work AS (SELECT query_id, count(*) FILTER (done) AS work FROM {name} GROUP BY query_id), {name}_cost AS (
+    SELECT q.query_id, any_value(s.cost) AS cost, CASE WHEN any_value(s.node) IS NOT NULL THEN max(spent) END AS true_cost, CASE WHEN any_value(s.node) IS NOT NULL THEN max(k) END AS hops, any_value(work) AS work
+    FROM {asks} q JOIN {name}_walk w ON w.query_id = q.query_id JOIN {name}_work o ON o.query_id = q.query_id LEFT JOIN {name} s ON s.query_id = q.query_id AND s.node = q.dest GROUP BY q.query_id)"""
 
 
-#: The network, the real times and the bound of every node to the destination of every query.
-SOUGHT = f"""{TIMES.replace("WITH", "WITH RECURSIVE", 1)}, {I.QUERIES_SQL}, free AS MATERIALIZED (SELECT *, length_m / (greatest(speed_limit_mph, 1.0::DOUBLE) * 0.44704::DOUBLE) AS free_flow_s FROM edges),
+def _sought(asks: str, name: str = "queries") -> str:
+    """The network, the real times and the bound of every node to the destination of every query."""
+    return f"""{TIMES.replace("WITH", "WITH RECURSIVE", 1)}, {asks}, free AS MATERIALIZED (SELECT *, length_m / (greatest(speed_limit_mph, 1.0::DOUBLE) * 0.44704::DOUBLE) AS free_flow_s FROM edges),
     really AS MATERIALIZED (SELECT edge_id, timestamp, true_s AS eta FROM times), placed_nodes AS (SELECT node, radians(lat) AS la, radians(lon) AS lo FROM nodes),
-    lines AS MATERIALIZED (SELECT query_id, n.node, 12742000.0::DOUBLE * asin(sqrt(least(pow(sin((m.la - n.la) / 2), 2) + cos(m.la) * cos(n.la) * pow(sin((m.lo - n.lo) / 2), 2), 1.0))) / (65.0::DOUBLE * 0.44704::DOUBLE) AS line
-        FROM queries q JOIN placed_nodes m ON m.node = q.dest, placed_nodes n)"""
+    lines AS MATERIALIZED (SELECT query_id, n.node, 0.0::DOUBLE AS nothing, 12742000.0::DOUBLE * asin(sqrt(least(pow(sin((m.la - n.la) / 2), 2) + cos(m.la) * cos(n.la) * pow(sin((m.lo - n.lo) / 2), 2), 1.0))) / (65.0::DOUBLE * 0.44704::DOUBLE) AS line
+        FROM {name} q JOIN placed_nodes m ON m.node = q.dest, placed_nodes n)"""
 
 
-@query(f"""{SOUGHT}, bounds AS MATERIALIZED (SELECT * FROM lines), told AS MATERIALIZED (SELECT edge_id, timestamp, greatest(eta * (1 - 0.4::DOUBLE), 0.001) AS eta FROM really),
-    {_seek("found", "line", "told")}, {_walked("found", "really")}, via AS (SELECT query_id, string_agg(node::VARCHAR, ',' ORDER BY far DESC) AS nodes FROM found_back GROUP BY query_id)
-    SELECT q.query_id, round(s.cost, 6) AS cost, round(true_cost, 6) AS true_cost, CASE WHEN s.cost IS NOT NULL THEN hops END AS hops,
-        CASE WHEN s.cost IS NOT NULL THEN concat_ws(',', nodes, dest) END AS path, w.work
-    FROM queries q JOIN found_cost c ON c.query_id = q.query_id JOIN (SELECT query_id, count(*) FILTER (done) AS work FROM found GROUP BY query_id) w ON w.query_id = q.query_id
-    LEFT JOIN found s ON s.query_id = q.query_id AND s.node = q.dest LEFT JOIN via ON via.query_id = q.query_id""")
+SOUGHT = _sought(I.QUERIES_SQL)
+
+
+@query(f"""{SOUGHT}, told AS MATERIALIZED (SELECT edge_id, timestamp, greatest(eta * (1 - 0.4::DOUBLE), 0.001) AS eta FROM really),
+    {_seek("found", "line", "told", bounds="lines")}, {_walked("found", "really")}, via AS (SELECT query_id, string_agg(node::VARCHAR, ',' ORDER BY far DESC) AS nodes FROM found_back GROUP BY query_id)
+    SELECT q.query_id, round(cost, 6) AS cost, round(true_cost, 6) AS true_cost, hops, CASE WHEN cost IS NOT NULL THEN concat_ws(',', nodes, dest) END AS path, work
+    FROM queries q JOIN found_cost c ON c.query_id = q.query_id LEFT JOIN via ON via.query_id = q.query_id""")
 def pure_ml_cost(spark, d):
     real = _oracle(spark, d)
     found = search.astar(I.queries(spark, d), _free(spark, d), I.nodes(spark, d), 65.0, search.timed_costs(predictors.adversarial(real, 0.4), I.BUCKET_MINUTES, real))
@@ -546,25 +551,24 @@ def lambda_effective(spark, d):
     return found.select("query_id", F.round("weight_used", 6).alias("weight_used"))
 
 
-#: What is learned to be left to the destination at departure, told by {0} and followed up to three times the bound's reach, and the bound between both.
-LEARNED = """frozen AS MATERIALIZED (SELECT q.query_id, e.u, e.v, coalesce(t.eta, e.free_flow_s) AS step, 3.0::DOUBLE * l.line AS most FROM queries q JOIN lines l ON l.query_id = q.query_id AND l.node = q.origin, free e
-        LEFT JOIN {0} t ON t.edge_id = e.edge_id AND t.timestamp = date_trunc('hour', q.depart_time)),
+#: What is learned to be left to the destination at departure, told by {0} as {1} and followed up to three times the bound's reach, and the bound between both by the weight {2}.
+LEARNED = """frozen AS MATERIALIZED (SELECT q.query_id, e.u, e.v, coalesce({1}, e.free_flow_s) AS step FROM queries q, free e LEFT JOIN {0} t ON t.edge_id = e.edge_id AND t.timestamp = date_trunc('hour', q.depart_time)),
+    reach AS MATERIALIZED (SELECT q.query_id, 3.0::DOUBLE * l.line AS most FROM queries q JOIN lines l ON l.query_id = q.query_id AND l.node = q.origin),
     to_go(query_id, node, cost) USING KEY (query_id, node) AS (
         SELECT query_id, dest, 0.0::DOUBLE FROM queries
-        UNION SELECT l.query_id, f.u, min(l.cost + f.step) FROM to_go l JOIN frozen f ON f.query_id = l.query_id AND f.v = l.node LEFT JOIN recurring.to_go r ON r.query_id = l.query_id AND r.node = f.u
-        WHERE l.cost <= f.most AND (r.cost IS NULL OR l.cost + f.step < r.cost) GROUP BY l.query_id, f.u),
-    bounds AS MATERIALIZED (SELECT l.query_id, l.node, line, line + {1} * (coalesce(cost, line) - line) AS blend FROM lines l LEFT JOIN to_go g ON g.query_id = l.query_id AND g.node = l.node)"""
+        UNION SELECT l.query_id, f.u, min(l.cost + f.step) FROM to_go l JOIN reach a ON a.query_id = l.query_id JOIN frozen f ON f.query_id = l.query_id AND f.v = l.node LEFT JOIN recurring.to_go r ON r.query_id = l.query_id AND r.node = f.u
+        WHERE l.cost <= most AND (r.cost IS NULL OR l.cost + f.step < r.cost) GROUP BY l.query_id, f.u),
+    bounds AS MATERIALIZED (SELECT l.query_id, l.node, line, line + {2} * (coalesce(cost, line) - line) AS blend FROM lines l JOIN queries q ON q.query_id = l.query_id LEFT JOIN to_go g ON g.query_id = l.query_id AND g.node = l.node)"""
 
-GUARDED = """verdict AS (SELECT q.query_id, c.true_cost AS c, x.true_cost AS x, coalesce(x.true_cost <= (1 + 0.3::DOUBLE) * c.true_cost, FALSE) AS ok,
-        (SELECT count(*) FILTER (done) FROM candidate s WHERE s.query_id = q.query_id) AS work
+GUARDED = """verdict AS (SELECT q.query_id, c.true_cost AS c, x.true_cost AS x, coalesce(x.true_cost <= (1 + 0.3::DOUBLE) * c.true_cost, FALSE) AS ok, x.work
         FROM queries q JOIN classical_cost c ON c.query_id = q.query_id JOIN candidate_cost x ON x.query_id = q.query_id)
     SELECT query_id, round(c, 6) AS classical_cost, round(x, 6) AS candidate_cost, CASE WHEN c IS NULL THEN 'none' WHEN ok THEN 'candidate' ELSE 'classical' END AS taken,
         round(CASE WHEN c IS NOT NULL THEN CASE WHEN ok THEN x ELSE c END END, 6) AS realized_cost,
         round(CASE WHEN c = 0 AND (NOT ok OR x = 0) THEN 1 WHEN c = 0 THEN 'infinity'::DOUBLE WHEN ok THEN x / c ELSE c / c END, 6) AS ratio, c IS NOT NULL AND NOT ok AS guard_invoked, work FROM verdict"""
 
 
-@query(f"""{SOUGHT}, told AS MATERIALIZED (SELECT edge_id, timestamp, greatest(eta * (1 - 0.95::DOUBLE), 0.001) AS eta FROM really), {LEARNED.format("told", "1.0")},
-    {_seek("classical", "line", None)}, {_walked("classical", "really")}, {_seek("candidate", "blend", "told")}, {_walked("candidate", "really")}, {GUARDED}""")
+@query(f"""{SOUGHT}, told AS MATERIALIZED (SELECT edge_id, timestamp, greatest(eta * (1 - 0.95::DOUBLE), 0.001) AS eta FROM really), {LEARNED.format("told", "t.eta", "1.0")},
+    {_seek("classical", "line", None, bounds="lines")}, {_walked("classical", "really")}, {_seek("candidate", "blend", "told")}, {_walked("candidate", "really")}, {GUARDED}""")
 def robust_route(spark, d):
     found = _robust(spark, d, predictors.adversarial(_oracle(spark, d), 0.95), 1.0)
     rounded = [F.round(c, 6).alias(c) for c in ("classical_cost", "candidate_cost", "realized_cost", "ratio")]
@@ -874,6 +878,75 @@ def experiment_counts(spark, d):
     return _experiments(spark, d).groupBy("run_id", "method").agg(F.count("*").alias("n"))
 
 
+#: The sweeps whose predictions are functions of the true times, and trust in noise by its doubt, on the queries of every node.
+TOLD_RUNS = tuple(
+    r
+    for run in experiments.RUNS
+    if (r := replace(run, points=tuple(p for p in run.points if p.predictor in ("oracle", "adversarial", "noisy")))).points
+) + (experiments.Run("ablation_lambda_mode", 5005, ("robust_astar",), tuple(experiments.Point("noisy", 1.0, mode=m) for m in ("fixed", "confidence_modulated"))),)
+
+
+def _points_sql() -> str:
+    rows = []
+    for run in TOLD_RUNS:
+        for k, p in enumerate(run.points):
+            share, noise = 1 - p.parameter if p.predictor == "adversarial" else 1.0, p.parameter if p.predictor == "noisy" else 0.0
+            value = "NULL" if p.value is None else f"'{p.value!r}'"
+            rows.append(f"('{experiments.point_id(run, k)}', '{run.name}', '{run.seed}', '{p.predictor}', {value}::DOUBLE, '{p.weight!r}'::DOUBLE, '{p.mode}', '{share!r}'::DOUBLE, '{noise!r}'::DOUBLE)")
+    return "points(point, run_id, seed, predictor_type, sweep_value, weight, mode, share, noise) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def _bent(depart: str, spent: str) -> str:
+    """What a query is told of the time t.eta of an edge entered after so many seconds: with noise drawn for that time, or a share of it."""
+    when = f"replace(strftime(make_timestamp(round_even((epoch({depart}) + {spent}) * 1000000, 0)::BIGINT), '%Y-%m-%d %H:%M:%S.%f'), '.000000', '')"
+    u, v = (f"((('0x' || substr(sha256(q.seed || '|' || e.edge_id || '|' || {when} || '|{x}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)" for x in "uv")
+    noisy = f"greatest(t.eta * (1 + q.noise * (sqrt(-2 * ln({u})) * cos(6.283185307179586 * {v}))), 0.001)"
+    return f"CASE WHEN t.eta IS NULL THEN NULL WHEN q.noise > 0 THEN {noisy} WHEN q.share < 1 THEN greatest(t.eta * q.share, 0.001) ELSE t.eta END"
+
+
+_ASKED = I.QUERIES_SQL.replace("queries AS", "asked AS", 1)
+_METHODS = "methods(run_id, method) AS (VALUES " + ", ".join(f"('{r.name}', '{m}')" for r in TOLD_RUNS for m in r.methods) + ")"
+
+
+@query(f"""{_sought(f"{_ASKED}, {_points_sql()}, {_METHODS}, queries AS MATERIALIZED (SELECT point || '|' || query_id AS query_id, query_id AS id, origin, dest, depart_time, points.* FROM asked, points)")},
+    ahead AS MATERIALIZED (SELECT * REPLACE (id AS query_id) FROM (SELECT l.*, q.id, q.point FROM lines l JOIN queries q ON q.query_id = l.query_id) WHERE point = 'consistency_sweep/0'),
+    {_seek("plain", "nothing", None, asks="asked", bounds="ahead")}, {_walked("plain", "really", asks="asked")},
+    {_seek("classical", "line", None, asks="asked", bounds="ahead")}, {_walked("classical", "really", asks="asked")},
+    doubtful(query_id, k, spent, doubt, n) AS (
+        SELECT query_id, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM queries WHERE mode <> 'fixed' UNION ALL
+        SELECT query_id, k, spent + coalesce(told, free_flow_s), doubt + coalesce(eta * noise / greatest(told, 0.000001), 0), n + (told IS NOT NULL)::INT FROM (
+            SELECT w.query_id, s.k, spent, doubt, n, e.free_flow_s, t.eta, q.noise, {_bent("q.depart_time", "w.spent")} AS told FROM doubtful w JOIN queries q ON q.query_id = w.query_id JOIN classical_steps s ON s.query_id = q.id AND s.k = w.k + 1
+            JOIN free e ON e.edge_id = s.edge_id LEFT JOIN really t ON t.edge_id = s.edge_id AND t.timestamp = {_AT.format("q.depart_time", "w.spent")})),
+    doubts AS MATERIALIZED (SELECT query_id, arg_max(doubt, k) / nullif(arg_max(n, k), 0) AS doubt FROM doubtful GROUP BY query_id),
+    {LEARNED.format("really", _bent("q.depart_time", "0.0"), "(weight / (1 + coalesce((SELECT doubt FROM doubts o WHERE o.query_id = q.query_id), 0)))")},
+    {_seek("pure", "line", "really", bounds="bounds", bent=_bent)}, {_walked("pure", "really")}, {_seek("candidate", "blend", "really", bent=_bent)}, {_walked("candidate", "really")},
+    best AS (SELECT id, coalesce(cost, 'infinity'::DOUBLE) AS oracle_optimal_cost FROM queries JOIN pure_cost USING (query_id) WHERE point = 'consistency_sweep/0'),
+    judged AS (SELECT q.*, c.true_cost AS c, x.true_cost AS x, coalesce(x.true_cost <= (1 + 0.3::DOUBLE) * c.true_cost, FALSE) AS ok, x.work FROM queries q JOIN classical_cost c ON c.query_id = q.id JOIN candidate_cost x ON x.query_id = q.query_id),
+    outcome AS (
+        SELECT query_id AS id, run_id, method, 'none' AS predictor_type, NULL::DOUBLE AS sweep_value, NULL::DOUBLE AS lambda_base, NULL::VARCHAR AS lambda_mode, CASE method WHEN 'astar' THEN c.true_cost ELSE p.true_cost END AS cost,
+            CASE method WHEN 'astar' THEN c.work WHEN 'dijkstra' THEN p.work END AS node_expansions, NULL::BOOLEAN AS guard_invoked, NULL::DOUBLE AS bound_ratio
+        FROM methods, plain_cost p JOIN classical_cost c USING (query_id) WHERE method IN ('dijkstra', 'astar', 'bidirectional')
+        UNION ALL SELECT id, run_id, method, predictor_type, sweep_value, NULL, NULL, true_cost, work, NULL, NULL FROM queries JOIN methods USING (run_id) JOIN pure_cost USING (query_id) WHERE method = 'pure_ml_astar'
+        UNION ALL SELECT id, run_id, method, predictor_type, sweep_value, weight, mode, CASE WHEN method <> 'robust_astar' OR ok THEN x ELSE c END, work,
+            CASE WHEN method = 'robust_astar' THEN c IS NOT NULL AND NOT ok END, CASE WHEN method = 'robust_astar' THEN CASE WHEN c = 0 AND (NOT ok OR x = 0) THEN 1 WHEN c = 0 THEN 'infinity'::DOUBLE WHEN ok THEN x / c ELSE c / c END END
+        FROM judged JOIN methods USING (run_id) WHERE method LIKE 'robust%')
+    SELECT run_id, method, predictor_type, sweep_value, lambda_base, lambda_mode, id AS query_id, round(coalesce(cost, 'infinity'::DOUBLE), 5) AS cost, node_expansions, guard_invoked, round(bound_ratio, 6) AS robustness_bound_ratio,
+        round(oracle_optimal_cost, 5) AS oracle_optimal_cost, CASE WHEN oracle_optimal_cost = 0 AND cost = 0 THEN 1 WHEN oracle_optimal_cost = 0 THEN 'infinity'::DOUBLE ELSE round(cost / oracle_optimal_cost, 6) END AS competitive_ratio
+    FROM outcome JOIN best USING (id)""")
+def experiment_values(spark, d):
+    """The result table of the sweeps that SQL can follow, with a query for each node; a search from both ends settles what its sides meet, which is left out."""
+
+    def make() -> DataFrame:
+        q = I.queries(spark, d).withColumns({"query_seed": F.lit(SEEDS[0]).cast("long"), "distance_stratum": F.lit("all"), "time_stratum": F.lit("all")})
+        world = experiments.World(_free(spark, d), I.nodes(spark, d), 65.0, _oracle(spark, d), {}, I.BUCKET_MINUTES)
+        return experiments.run_all(q, world, TOLD_RUNS)
+
+    settled = F.when(F.col("method") != "bidirectional", F.col("node_expansions")).alias("node_expansions")
+    names = ("run_id", "method", "predictor_type", "sweep_value", "lambda_base", "lambda_mode", "query_id", "guard_invoked")
+    costs = [F.round("cost", 5).alias("cost"), F.round("oracle_optimal_cost", 5).alias("oracle_optimal_cost"), F.round("robustness_bound_ratio", 6).alias("robustness_bound_ratio"), F.round("competitive_ratio", 6).alias("competitive_ratio")]
+    return _once(spark, d, "experiment-values", make).select(*names, settled, *costs)
+
+
 @query()
 def experiment_worst_case(spark, d):
     rows = _experiments(spark, d).where("run_id IN ('robustness_sweep', 'adversarial_budget_sweep')")
