@@ -930,23 +930,50 @@ _METHODS = "methods(run_id, method) AS (VALUES " + ", ".join(f"('{r.name}', '{m}
         UNION ALL SELECT id, run_id, method, predictor_type, sweep_value, weight, mode, CASE WHEN method <> 'robust_astar' OR ok THEN x ELSE c END, work,
             CASE WHEN method = 'robust_astar' THEN c IS NOT NULL AND NOT ok END, CASE WHEN method = 'robust_astar' THEN CASE WHEN c = 0 AND (NOT ok OR x = 0) THEN 1 WHEN c = 0 THEN 'infinity'::DOUBLE WHEN ok THEN x / c ELSE c / c END END
         FROM judged JOIN methods USING (run_id) WHERE method LIKE 'robust%')
-    SELECT run_id, method, predictor_type, sweep_value, lambda_base, lambda_mode, id AS query_id, round(coalesce(cost, 'infinity'::DOUBLE), 5) AS cost, node_expansions, guard_invoked, round(bound_ratio, 6) AS robustness_bound_ratio,
+    SELECT run_id, method, predictor_type, sweep_value, lambda_base, lambda_mode, 20120604 + id % 5 AS query_seed, id AS query_id, round(coalesce(cost, 'infinity'::DOUBLE), 5) AS cost, node_expansions, guard_invoked, round(bound_ratio, 6) AS robustness_bound_ratio,
         round(oracle_optimal_cost, 5) AS oracle_optimal_cost, CASE WHEN oracle_optimal_cost = 0 AND cost = 0 THEN 1 WHEN oracle_optimal_cost = 0 THEN 'infinity'::DOUBLE ELSE round(cost / oracle_optimal_cost, 6) END AS competitive_ratio
     FROM outcome JOIN best USING (id)""")
 def experiment_values(spark, d):
     """The result table of the sweeps that SQL can follow, with a query for each node; a search from both ends settles what its sides meet, which is left out."""
 
     def make() -> DataFrame:
-        q = I.queries(spark, d).withColumns({"query_seed": F.lit(SEEDS[0]).cast("long"), "distance_stratum": F.lit("all"), "time_stratum": F.lit("all")})
+        q = I.queries(spark, d).withColumns({"query_seed": F.lit(SEEDS[0]) + F.col("query_id") % len(SEEDS), "distance_stratum": F.lit("all"), "time_stratum": F.lit("all")})
         world = experiments.World(_free(spark, d), I.nodes(spark, d), 65.0, _oracle(spark, d), {}, I.BUCKET_MINUTES)
         return experiments.run_all(q, world, TOLD_RUNS)
 
     settled = F.when(F.col("method") != "bidirectional", F.col("node_expansions")).alias("node_expansions")
-    names = ("run_id", "method", "predictor_type", "sweep_value", "lambda_base", "lambda_mode", "query_id", "guard_invoked")
+    names = ("run_id", "method", "predictor_type", "sweep_value", "lambda_base", "lambda_mode", "query_seed", "query_id", "guard_invoked")
     costs = [F.round("cost", 5).alias("cost"), F.round("oracle_optimal_cost", 5).alias("oracle_optimal_cost"), F.round("robustness_bound_ratio", 6).alias("robustness_bound_ratio"), F.round("competitive_ratio", 6).alias("competitive_ratio")]
     return _once(spark, d, "experiment-values", make).select(*names, settled, *costs)
 
 
+#: Of each point of the sweeps the means of the seeds' worst and mean ratios, and how often the guard was invoked.
+VALUES = f"""WITH results AS MATERIALIZED (FROM ({ORACLE_SQL["experiment_values"]})), keys AS (SELECT *, CASE WHEN NOT isnan(competitive_ratio) THEN competitive_ratio END AS r FROM results)"""
+
+
+@query(f"""{VALUES}, s AS (SELECT run_id, method, predictor_type, lambda_mode, sweep_value, query_seed, max(r) AS worst, avg(r) AS mean FROM keys GROUP BY ALL),
+    a AS (SELECT run_id, method, predictor_type, lambda_mode, sweep_value, count(mean) AS n_seeds, round(avg(worst), 4) AS mean_worst, round(avg(mean), 4) AS mean_ratio FROM s GROUP BY ALL),
+    b AS (SELECT run_id, method, predictor_type, lambda_mode, sweep_value, round(avg(guard_invoked::INT), 6) AS guard_rate FROM keys GROUP BY ALL)
+    SELECT a.*, guard_rate FROM a JOIN b ON a.run_id = b.run_id AND a.method = b.method AND a.predictor_type = b.predictor_type AND a.lambda_mode IS NOT DISTINCT FROM b.lambda_mode AND a.sweep_value IS NOT DISTINCT FROM b.sweep_value""")
+def experiment_values_summary(spark, d):
+    keys = ["run_id", "method", "predictor_type", "lambda_mode", "sweep_value"]
+    rows = experiment_values(spark, d)
+    worst = stats.worst_of_seeds(rows, keys, "competitive_ratio").select(*[F.col(k).alias(f"_{k}") for k in keys], F.round("mean_worst", 4).alias("mean_worst"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    found = evaluation.ablations(rows, keys).join(worst, same)
+    return found.select(*keys, "n_seeds", "mean_worst", F.round("mean_ratio", 4).alias("mean_ratio"), F.round("guard_rate", 6).alias("guard_rate"))
+
+
+@query(f"""{VALUES}, s AS (SELECT sweep_value, query_seed, avg(node_expansions) AS x, avg(r) AS m FROM keys WHERE run_id LIKE 'lambda_sweep_degraded%' GROUP BY ALL)
+    SELECT sweep_value, round(avg(x), 4) AS mean_expansions, round(avg(m), 4) AS mean_ratio FROM s GROUP BY ALL""")
+def experiment_values_pareto(spark, d):
+    """What trust in noise costs and saves."""
+    found = evaluation.pareto(experiment_values(spark, d).where("run_id LIKE 'lambda_sweep_degraded%'"), "sweep_value")
+    return found.select("sweep_value", F.round("mean_expansions", 4).alias("mean_expansions"), F.round("mean_ratio", 4).alias("mean_ratio"))
+
+
 @query()
 def experiment_worst_case(spark, d):
     rows = _experiments(spark, d).where("run_id IN ('robustness_sweep', 'adversarial_budget_sweep')")
