@@ -8,7 +8,9 @@ distance of two embeddings is at most the Hamming distance of the fingerprints.
 look into every cell within distance 4, some 10^6 of them; but a pair at distance 4 or less differs in at most 4 dimensions. So the
 segments form 8 bands, at most 4 of which can differ; each fingerprint goes to the 70 cells of the grids over the subspaces
 of four bands, in which such a pair lies at distance 0, and all pairs within the range meet in at least one cell. With 35,873
-fingerprints of the check tool's 0.1 GB a cell held 1.006 on average and 13 at most. Within a cell, sorted by Spark and streamed, pairs pass the Manhattan
+fingerprints of the check tool's 0.1 GB a cell held 1.006 on average and 13 at most. Four bands of popcounts agree by chance at
+(3/8)^16, so that with more than ``WIDE`` fingerprints the segments are of one bit, 64 of them: then four bands agree by chance at
+2^-32, and a cell holds some 23 of 10^11 where it would hold 15,000. The proof and the links are the same. Within a cell, sorted by Spark and streamed, pairs pass the Manhattan
 bound and then the exact distance. A crowded cell emits a spanning forest, found by breadth-first search over what is still
 unvisited, not its pairs; it is held in memory, 8 bytes a fingerprint.
 
@@ -38,6 +40,8 @@ SHINGLE, SEED, MOST_BITS = 4, 42, 4
 BANDS, EQUAL = 8, 4
 #: A class has very many rows if it has more than this and more than one of ``SHARE`` of all, which fewer than ``SHARE`` classes can have.
 MANY, SHARE = 1000, 10_000
+#: With more fingerprints than this the segments are of one bit, where two-bit ones would share a cell with more than one other by chance.
+WIDE = 5_000_000
 #: Cells with up to so many fingerprints have their pairs tested all at once, in arrays.
 SMALL_CELL = 8
 
@@ -77,8 +81,10 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in carried]]))
 
 
-def popcounts(fp: Column) -> Column:
-    """The embedding: 32 two-bit numbers, each the number of set bits in its segment."""
+def popcounts(fp: Column, width: int = 2) -> Column:
+    """The embedding: the number of set bits of each segment, 32 two-bit numbers, or the bits themselves with segments of one bit."""
+    if width == 1:
+        return fp
     odd, high = F.lit(_ODD), F.shiftrightunsigned(fp, 1)
     return F.shiftleft(high.bitwiseAND(fp).bitwiseAND(odd), 1).bitwiseOR(high.bitwiseXOR(fp).bitwiseAND(odd))
 
@@ -147,11 +153,11 @@ def _cell_links(cells: np.ndarray, points: np.ndarray, most: int) -> list[tuple[
     return out
 
 
-def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Edges (u, v) between different fingerprints of ``distinct`` (fp) whose components are those of all links."""
+def links(distinct: DataFrame, most: int = MOST_BITS, width: int = 2) -> DataFrame:
+    """Edges (u, v) between different fingerprints of ``distinct`` (fp) whose components are those of all links; ``width``: bits of a segment."""
     masks = [sum(0xFF << (8 * band) for band in bands) for bands in _TABLES]
     signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
-    grid = distinct.withColumn("e", popcounts(F.col("fp"))).select("fp", F.posexplode(F.transform(signed, lambda m: F.col("e").bitwiseAND(m))).alias("t", "k"))
+    grid = distinct.withColumn("e", popcounts(F.col("fp"), width)).select("fp", F.posexplode(F.transform(signed, lambda m: F.col("e").bitwiseAND(m))).alias("t", "k"))
     grid = grid.select(F.xxhash64("t", "k").alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +192,7 @@ def _named(classes: DataFrame, most: int) -> DataFrame:
     plain = every == ids and with_id == ids
     node = F.col("first") if plain else F.struct(F.col("first").isNull().alias("no_id"), "first", "fp")
     ends = classes.select("fp", node.alias("node"))
-    pairs = links(classes.select("fp"), most)
+    pairs = links(classes.select("fp"), most, 1 if every > WIDE else 2)
     pairs = pairs.join(ends.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(ends.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
     roots = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

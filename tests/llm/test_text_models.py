@@ -177,7 +177,8 @@ def test_components_of_documents(docs, texts):
     assert {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in rows} == {i: (prints[i], want[i]) for i in range(len(texts))}
 
 
-def test_links_lose_no_component(spark):
+@pytest.mark.parametrize("width", [2, 1])
+def test_links_lose_no_component(spark, width):
     rnd = np.random.default_rng(7)
     points = {int(x) for x in rnd.integers(0, 1 << 63, 40, dtype=np.uint64)}
     for p in list(points):
@@ -189,7 +190,7 @@ def test_links_lose_no_component(spark):
     points |= {crowd ^ (1 << i) for i in range(64)} | {0, (1 << 64) - 1}
     points = sorted(points)
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long")
-    found = components.connected_components(simhash.links(df)).collect()
+    found = components.connected_components(simhash.links(df, width=width)).collect()
     root = {r.node: r.root for r in found}
     want = brute.components(list(range(len(points))), points)
     groups, expected = defaultdict(set), defaultdict(set)
@@ -234,7 +235,9 @@ def test_dedup_tells_rows_with_repeated_ids_apart(spark, texts):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (2, b), (0, "alone here"), *([] if linked else [(2, near)])])
 
 
-def test_rows_without_id_connect_others(spark):
+@pytest.mark.parametrize("wide", [simhash.WIDE, 0])
+def test_rows_without_id_connect_others(spark, monkeypatch, wide):
+    monkeypatch.setattr(simhash, "WIDE", wide)
     prints = {0: 5, 0xF: 3, 0xFF: None, 0xFFF: 9, 1 << 40: None, (1 << 50) - 1: None, (1 << 60) - 1: 4}
     rows = [(f, i, 1) for f, i in prints.items()]
     named = {r.fp: r.component_id for r in simhash._named(spark.createDataFrame(rows, "fp long, first long, n long"), 4).collect()}
