@@ -22,6 +22,23 @@ def unpivot_speeds(wide: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     return wide.unpivot(timestamp, sensors, "sensor_id", "speed_mph").dropna(subset=["speed_mph"])
 
 
+def widened(readings: DataFrame, sensors: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
+    """The readings as tables of so many columns, one below the other, and the place of each sensor in them.
+
+    Tables: table, timestamp and ``c0``, ``c1``, ...; places: table, place (the column's name) and sensor_id. All tables are made by one pass.
+    """
+    number = F.col("number")
+    places = cut(numbered(sensors.select("sensor_id").distinct(), "sensor_id").select(F.floor(number / columns).cast("int").alias("table"), F.concat(F.lit("c"), number % columns).alias("place"), "sensor_id"))
+    placed = readings.join(places, "sensor_id")
+    return placed.groupBy("table", "timestamp").pivot("place", [f"c{k}" for k in range(columns)]).agg(F.first("speed_mph", ignorenulls=True)), places
+
+
+def lengthened(wide: DataFrame, places: DataFrame) -> DataFrame:
+    """timestamp, sensor_id, speed_mph of the tables made by :func:`widened`; nulls are dropped."""
+    long = wide.unpivot(["table", "timestamp"], [c for c in wide.columns if c not in ("table", "timestamp")], "place", "speed_mph").dropna(subset=["speed_mph"])
+    return long.join(places, ["table", "place"]).select("timestamp", "sensor_id", "speed_mph")
+
+
 def match_sensors(sensors: DataFrame, edges: DataFrame, nodes: DataFrame, *, radius_m: float = 1000.0, most_m: float = MATCH_M, projected: bool = False) -> DataFrame:
     """sensor_id, edge_id, match_distance_m and matched: each sensor's nearest edge (ties: the first edge_id).
 

@@ -22,6 +22,33 @@ def read_speeds(spark: SparkSession, path: str, sensors: list[str] | None = None
     return unpivot_speeds(wide.select("timestamp", *[F.col(f"`{n}`") for n in kept]))
 
 
+def write_speeds(wide: DataFrame, places: DataFrame, path: str) -> None:
+    """The tables of :func:`fernway.operators.features.widened` as CSV files, one for each, with a header of its own sensors.
+
+    All are of one width; the columns that the last table doesn't need have no name.
+    """
+    columns = [c for c in wide.columns if c not in ("table", "timestamp")]
+    heads = places.groupBy("table").agg(F.map_from_entries(F.collect_list(F.struct("place", "sensor_id"))).alias("of"))
+    head = heads.select("table", F.lit(0).alias("_line"), F.lit("timestamp").alias("timestamp"), *[F.try_element_at("of", F.lit(c)).alias(c) for c in columns])
+    body = wide.select("table", F.lit(1).alias("_line"), *[F.col(c).cast("string").alias(c) for c in ("timestamp", *columns)])
+    rows = head.unionByName(body).repartition("table").sortWithinPartitions("table", "_line", "timestamp")
+    rows.drop("_line").write.partitionBy("table").csv(path)
+
+
+def read_speed_files(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """timestamp, sensor_id, speed_mph from all wide CSV files below a path, each with a header of its own and ``columns`` sensors, in one pass.
+
+    A file of another width is an error.
+    """
+    names = [f"c{k}" for k in range(columns)]
+    schema = ", ".join(f"{c} STRING" for c in ("time", *names))
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).csv(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), "time", F.array(*names).alias("values"))
+    head = rows.where("time = 'timestamp'").select("file", F.col("values").alias("names"))
+    long = rows.where("time <> 'timestamp'").join(head, "file").select(F.col("time").cast("timestamp_ntz").alias("timestamp"), F.explode(F.arrays_zip("names", "values")).alias("s"))
+    return long.where("s.values IS NOT NULL").select("timestamp", F.col("s.names").alias("sensor_id"), F.col("s.values").cast("double").alias("speed_mph"))
+
+
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
     """sensor_id, latitude, longitude."""
     rows = spark.read.option("header", True).schema("`index` STRING, sensor_id STRING, latitude DOUBLE, longitude DOUBLE").option("enforceSchema", False).csv(path)

@@ -434,3 +434,25 @@ def test_projection(spark):
     for radius in (100.0, 5000.0):
         found = features.match_sensors(sensors, edges, nodes, radius_m=radius, projected=True).first()
         assert found.edge_id == "e" and abs(found.match_distance_m - want) < 0.01
+
+
+def test_wide_tables_of_speeds_are_made_and_read_in_one_pass(spark, tmp_path):
+    """As many jobs for forty tables as for two; every table has its header."""
+    from datetime import datetime
+
+    def told(n, name):
+        rows = [(datetime(2024, 1, 1, h), f"s{k}", float(k + h)) for k in range(n) for h in (1, 2) if (k + h) % 3]
+        readings = spark.createDataFrame(rows, "timestamp timestamp_ntz, sensor_id string, speed_mph double")
+        wide, places = features.widened(readings, readings, 3)
+        assert wide.select("table").distinct().count() == -(-n // 3)
+        path = str(tmp_path / name)
+        group = f"wide {name}"
+        spark.sparkContext.setJobGroup(group, group)
+        files.write_speeds(wide, places, path)
+        got = [files.read_speed_files(spark, path, 3), features.lengthened(wide, places)]
+        assert all(sorted(map(tuple, x.collect())) == sorted(rows) for x in got)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return jobs
+
+    assert told(118, "many") <= told(5, "few") + 10
