@@ -103,6 +103,24 @@ def robust_against(results: DataFrame, value: str, *, by_point: bool = True, rob
     return pairs.drop("_point")
 
 
+def mean_differences(results: DataFrame, value: str, *, robust: str = "robust_astar") -> DataFrame:
+    """baseline, point, n and mean_difference of the pairs of :func:`robust_against`, by sums of each side, as a query may have many rows of both.
+
+    ``n`` counts all pairs; those without both values are left out of the mean.
+    """
+    keys, v = ["query_seed", "query_id"], stats.clean(value)
+
+    def sums(rows: DataFrame, groups: list[Column], x: str) -> DataFrame:
+        return rows.groupBy(*keys, *groups).agg(F.count("*").alias(f"n_{x}"), F.count(v).alias(f"k_{x}"), F.sum(v).alias(f"s_{x}"))
+
+    own = sums(results.where(F.col("method") == robust), [F.col("sweep_value").alias("point")], "a")
+    other = sums(results.where(F.col("method") != robust), [F.col("sweep_value").alias("_point"), F.col("method").alias("baseline")], "b")
+    pairs = own.join(other, keys).where(F.col("_point").isNull() | F.col("_point").eqNullSafe(F.col("point")))
+    k = F.col("k_a") * F.col("k_b")
+    total = F.sum(F.when(k > 0, F.col("s_a") * F.col("k_b") - F.col("s_b") * F.col("k_a")))
+    return pairs.groupBy("baseline", "point").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"), F.try_divide(total, F.sum(k)).alias("mean_difference"))
+
+
 def headline(results: DataFrame, value: str = "competitive_ratio") -> DataFrame:
     """method, mean_of_seeds, n_seeds, ci_low, ci_high, p, p_adjusted (Holm over the baselines), reject and stars by the adjusted p."""
     per_seed = results.groupBy("method", "query_seed").agg(F.avg(stats.clean(value)).alias("m"))

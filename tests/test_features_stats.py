@@ -456,3 +456,16 @@ def test_wide_tables_of_speeds_are_made_and_read_in_one_pass(spark, tmp_path):
         return jobs
 
     assert told(118, "many") <= told(5, "few") + 10
+
+
+def test_mean_differences_are_those_of_the_pairs_without_forming_them(spark):
+    rows = [(1, q, m, p, v) for q in (1, 2) for m, p, v in (("robust_astar", 0.5, 3.0), ("robust_astar", 0.5, float("nan")), ("robust_astar", 1.0, 2.0), ("astar", None, 1.0 + q), ("astar", None, 1.5), ("pure", 0.5, None), ("pure", 1.0, 4.0))]
+    results = spark.createDataFrame(rows, "query_seed int, query_id int, method string, sweep_value double, x double")
+    pairs = {}
+    for r in evaluation.robust_against(results, "x").collect():
+        pairs.setdefault((r.baseline, r.point), []).append(None if r.a != r.a or r.b is None else r.a - r.b)
+    means = {k: (len(v), sum(w) / len(w) if (w := [x for x in v if x is not None]) else None) for k, v in pairs.items()}
+    assert {(r.baseline, r.point): (r.n, r.mean_difference) for r in evaluation.mean_differences(results, "x").collect()} == means
+    # A query with twenty thousand rows of each side has 4 * 10^8 pairs.
+    many = spark.range(40000).selectExpr("1 AS query_seed", "1 AS query_id", "IF(id % 2 = 0, 'robust_astar', 'pure') AS method", "0.5D AS sweep_value", "CAST(id % 2 AS DOUBLE) AS x")
+    assert [tuple(r) for r in evaluation.mean_differences(many, "x").collect()] == [("pure", 0.5, 400000000, -1.0)]
