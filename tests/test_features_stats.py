@@ -469,3 +469,24 @@ def test_mean_differences_are_those_of_the_pairs_without_forming_them(spark):
     # A query with twenty thousand rows of each side has 4 * 10^8 pairs.
     many = spark.range(40000).selectExpr("1 AS query_seed", "1 AS query_id", "IF(id % 2 = 0, 'robust_astar', 'pure') AS method", "0.5D AS sweep_value", "CAST(id % 2 AS DOUBLE) AS x")
     assert [tuple(r) for r in evaluation.mean_differences(many, "x").collect()] == [("pure", 0.5, 400000000, -1.0)]
+
+
+@pytest.mark.parametrize("projected", [False, True])
+def test_sensors_under_many_long_edges_are_matched_as_by_all_pairs(spark, monkeypatch, projected):
+    """Every edge passes most sensors, so that all pairs would leave the cells; only the nearest do, and batches are cut."""
+    import random
+
+    monkeypatch.setattr(features, "CROWD", 7)
+    monkeypatch.setattr(features, "PAIRS", 500)
+    kept, near = [], features._near
+    monkeypatch.setattr(features, "_near", lambda *a: kept.append(near(*a)) or kept[-1])
+    draw = random.Random(5)
+    nodes = spark.createDataFrame([(i, 34 + draw.random(), -118.5 + draw.random() / 10) for i in range(80)], "node long, lat double, lon double")
+    edges = spark.createDataFrame([(f"e{i}", draw.randrange(80), draw.randrange(80)) for i in range(300)] + [("a", 3, 4), ("b", 3, 4)], "edge_id string, u long, v long")
+    sensors = spark.createDataFrame([(f"s{i}", 34 + draw.random(), -118.5 + draw.random() / 10) for i in range(60)] + [("far", 36.0, -118.0)], "sensor_id string, latitude double, longitude double")
+    got = {r.sensor_id: (r.edge_id, r.match_distance_m) for r in features.match_sensors(sensors, edges, nodes, projected=projected).collect()}
+    a, b = (nodes.select(F.col("node").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}")) for x in "uv")
+    apart = (S.projected_m if projected else S.planar_m)(F.col("latitude"), F.col("longitude"), F.col("lat_u"), F.col("lon_u"), F.col("lat_v"), F.col("lon_v"))
+    every = sensors.crossJoin(edges.join(a, "u").join(b, "v")).groupBy("sensor_id").agg(F.min(F.struct(F.round(apart, 3).alias("d"), "edge_id")).alias("m"))
+    assert got == {r.sensor_id: (r.m.edge_id, r.m.d) for r in every.collect()}
+    assert sum(k.count() for k in kept) < 1000
