@@ -370,3 +370,11 @@ def test_service(spark, edges, nodes):
         args = {"origin": 1, "dest": 4, "depart": DEPART, **bad}
         with pytest.raises(service.Unprocessable):
             service.route(spark, loaded, **args)
+
+
+def test_a_task_holds_what_one_query_reaches_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"query_id": list(range(5))})
+    assert [p.column(0).to_pylist() for p in search.parts(batch, 1)] == [[k] for k in range(5)]
+    assert [p.num_rows for p in search.parts(batch, None)] == [5]
