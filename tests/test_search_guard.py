@@ -378,3 +378,16 @@ def test_a_task_holds_what_one_query_reaches_at_a_time():
     batch = pa.RecordBatch.from_pydict({"query_id": list(range(5))})
     assert [p.column(0).to_pylist() for p in search.parts(batch, 1)] == [[k] for k in range(5)]
     assert [p.num_rows for p in search.parts(batch, None)] == [5]
+
+
+def test_walks_along_told_times_broadcast_no_table(spark):
+    """Maps and arrays of told times have estimates far below their size."""
+    from datetime import datetime
+
+    at = datetime(2024, 1, 25)
+    edges = spark.createDataFrame([("e", 1, 2, 5.0), ("f", 2, 3, 7.0)], "edge_id string, u long, v long, free_flow_s double")
+    told = spark.createDataFrame([("e", at, 4.0, 1.0)], "edge_id string, timestamp timestamp_ntz, eta_s double, sigma_s double")
+    paths = spark.createDataFrame([(1, [1, 2, 3], at), (2, None, at)], "query_id long, path array<long>, depart_time timestamp_ntz")
+    found = search.folded(paths, edges, told, 60)
+    assert {r.query_id: r.fold.spent for r in found.collect()} == {1: 11.0, 2: math.inf}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
