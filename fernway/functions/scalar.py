@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from collections.abc import Mapping
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column
@@ -182,10 +183,19 @@ def guard_ratio(cost: Column, classical: Column) -> Column:
     return F.when((classical == 0) & (cost == 0), F.lit(1.0)).when((classical == 0) & (cost > 0), F.lit(float("inf"))).otherwise(F.try_divide(cost, classical))
 
 
+def hashed_digits(*key: Column) -> Column:
+    """The SHA-256 of the key's text in hexadecimal digits."""
+    return F.sha2(F.concat_ws("|", *key).cast("binary"), 256)
+
+
 def hashed_unit(*key: Column) -> Column:
     """A number in (0, 1) from the SHA-256 of the key's text."""
-    digest = F.sha2(F.concat_ws("|", *key).cast("binary"), 256)
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    return (F.conv(F.substring(hashed_digits(*key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def first_digits(bound: float) -> str:
+    """The digits below which those of :func:`hashed_digits` give a :func:`hashed_unit` below the bound, which is below 1."""
+    return format(math.ceil(Fraction(bound) * (1 << 52) - Fraction(1, 2)), "013x")
 
 
 def hashed_normal(*key: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernway.functions.scalar import hashed_unit
+from fernway.functions.scalar import first_digits, hashed_digits
 from fernway.operators.rounds import sum_before
 
 #: Values of one group that a bootstrap holds at most; larger groups use :func:`bootstrap_hashed`.
@@ -82,11 +82,12 @@ def bootstrap_hashed(rows: DataFrame, groups: list[str], value: str, *, key: str
     its key and the draw says, so that the draws are sums and nothing is gathered."""
     v = rows.select(*groups, clean(value).alias("_v"), F.col(key).alias("_k")).dropna(subset=["_v"])
     drawn = v.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
-    unit = hashed_unit(F.col("_k").cast("string"), F.col("_d").cast("string"))
+    # The digest has a column of its own, so that it is taken once for all bounds.
+    digest = drawn.withColumn("_h", hashed_digits(F.col("_k").cast("string"), F.col("_d").cast("string")))
     times = F.lit(9)
     for bound, k in reversed(poisson_steps()):
-        times = F.when(unit < bound, F.lit(k)).otherwise(times)
-    means = drawn.withColumn("_t", times).groupBy(*groups, "_d").agg(F.try_divide(F.sum(F.col("_v") * F.col("_t")), F.sum("_t")).alias("_m"))
+        times = F.when(F.col("_h") < first_digits(bound), F.lit(k)).otherwise(times)
+    means = digest.withColumn("_t", times).groupBy(*groups, "_d").agg(F.try_divide(F.sum(F.col("_v") * F.col("_t")), F.sum("_t")).alias("_m"))
     tail = (1 - level) / 2
     bounds = means.groupBy(*groups).agg(F.percentile("_m", F.lit(tail)).alias("ci_low"), F.percentile("_m", F.lit(1 - tail)).alias("ci_high"))
     points = v.groupBy(*groups).agg(F.avg("_v").alias("point"), F.count("*").alias("n"))

@@ -110,6 +110,20 @@ def test_bootstrap(spark):
     assert hashed["a"].ci_low <= 3 <= hashed["a"].ci_high and hashed["b"].ci_low == 7
 
 
+def test_hashed_bootstrap_takes_a_digest_once(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") % 100).cast("double").alias("v"), "id")
+    digits, unit = S.hashed_digits(F.col("id").cast("string"), F.lit("7")), S.hashed_unit(F.col("id").cast("string"), F.lit("7"))
+    bounds = [b for b, _ in stats.poisson_steps()]
+    same = rows.select(*[((digits < S.first_digits(b)) == (unit < b)).alias(f"s{i}") for i, b in enumerate(bounds)]).distinct().collect()
+    assert [tuple(r) for r in same] == [(True,) * len(bounds)]
+    found = stats.bootstrap_hashed(rows, ["g"], "v", key="id", draws=20)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    # A bound that lies on a number, and its neighbours.
+    for h in (0, 1, 12345, (1 << 52) - 2):
+        at = (h + 0.5) / (1 << 52)
+        assert [int(S.first_digits(b), 16) for b in (at, math.nextafter(at, 1))] == [h, h + 1]
+
+
 def test_wilcoxon(spark):
     cases = {"up": ([1, 2, 3, 4, 5], [2, 3, 4, 5, 6]), "down": ([5, 5, 5], [1, 1, 1]), "zeros": ([1, 2, 3, 10], [1, 2, 3, 1]), "same": ([1, 2], [1, 2]), "mixed": ([1.5, 2.0, -3.0, 4.0, 9.0, -1.0], [0.0] * 6)}
     rows = [(k, float(x), float(y)) for k, (a, b) in cases.items() for x, y in zip(a, b, strict=True)]
