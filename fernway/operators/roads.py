@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from fernway.operators.rounds import cut, shared_path
 
 #: Rounds of joins between checkpoints.
 STRIDE = 4
+#: Edges of a cell, about, whose strongly connected nodes a task finds.
+CELL_EDGES = 20_000
 
 
 def build_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -69,24 +72,6 @@ def _spread(labels: DataFrame, steps: DataFrame, onward: Column, most_rounds: in
     raise RuntimeError(f"nodes are still met after {most_rounds - 1} levels")
 
 
-def breadth_first(edges: DataFrame, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
-    """(node, level): the fewest edges from any root (node), by rounds of joins until nothing new is met.
-
-    A round joins the nodes met last with their edges, leaves out those met before, and appends the rest to the table of nodes met.
-    """
-    spark, steps = edges.sparkSession, cut(edges.select(F.col("u").alias("node"), "v").distinct())
-    path = shared_path(spark, "levels")
-    new, schema = roots.select("node").distinct(), "node {}, level int".format(roots.schema["node"].dataType.simpleString())
-    for level in range(most_levels):
-        new.select("node").write.parquet(f"{path}/level={level}")
-        every = spark.read.schema(schema).parquet(path)
-        last = every.where(F.col("level") == level).select("node")
-        if level and last.isEmpty():
-            return every
-        new = last.join(steps, "node").select(F.col("v").alias("node")).distinct().join(every.select("node"), "node", "left_anti")
-    raise RuntimeError(f"nodes are still met after {most_rounds - 1} levels")
-
-
 def breadth_first(edges: DataFrame, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
     """(node, level): the fewest edges from any root (node), by rounds of joins until nothing new is met.
 
@@ -116,8 +101,76 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(u, "u", "left_semi").join(v, "v", "left_semi")
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(node, component): the strongly connected component of every node, named by its smallest node; all are found side by side.
+def _joined_within(pairs: pa.Table) -> pa.Table:
+    """(node, rep): of the ends of edges (u, v) the smallest node of their strongly connected component, by depth-first search."""
+    out: dict = {}
+    for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True):
+        out.setdefault(u, []).append(v)
+        out.setdefault(v, [])
+    place, low, rep, open_, path = {}, {}, {}, [], []
+    for root in out:
+        if root in place:
+            continue
+        path.append((root, iter(out[root])))
+        place[root] = low[root] = len(place)
+        open_.append(root)
+        while path:
+            node, onward = path[-1]
+            for end in onward:
+                if end not in place:
+                    place[end] = low[end] = len(place)
+                    open_.append(end)
+                    path.append((end, iter(out[end])))
+                    break
+                if end not in rep:
+                    low[node] = min(low[node], place[end])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == place[node]:
+                    at = len(open_) - 1
+                    while open_[at] != node:
+                        at -= 1
+                    members, first = open_[at:], min(open_[at:])
+                    del open_[at:]
+                    rep.update((m, first) for m in members)
+    kind = pairs.schema.field("u").type
+    return pa.table([pa.array(list(rep), kind), pa.array(list(rep.values()), kind)], names=["node", "rep"])
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 10_000, cell_edges: int = CELL_EDGES) -> DataFrame:
+    """(node, component): the strongly connected component of every node, named by its smallest node.
+
+    Nodes are dealt into cells by ranges, of about ``cell_edges`` edges; nodes that are strongly connected within a cell, which a task finds,
+    become one, and so on with what is left, until it is one cell. What cells do not lessen by a fifth is found by rounds of joins.
+    """
+    every = nodes.select("node").distinct()
+    kind = every.schema["node"].dataType.simpleString()
+    names, kept = cut(every.withColumn("rep", F.col("node"))), cut(edges.select("u", "v").where("u <> v").distinct())
+    count = kept.count()
+    while count:
+        cells = -(-count // cell_edges)
+        dealt = cut(names.select("rep").distinct().repartitionByRange(cells, "rep").withColumn("cell", F.spark_partition_id()))
+        ends = [dealt.select(F.col("rep").alias(x), F.col("cell").alias(f"c{x}")) for x in "uv"]
+        within = kept.join(ends[0], "u").join(ends[1], "v").where("cu = cv").select("u", "v", F.col("cu").alias("cell"))
+        found = within.groupBy("cell").applyInArrow(lambda pairs: _joined_within(pairs), f"node {kind}, rep {kind}")
+        found = cut(found.where("node <> rep").withColumnRenamed("node", "old").withColumnRenamed("rep", "new"))
+        names = cut(names.join(found, F.col("rep") == F.col("old"), "left").select("node", F.coalesce("new", "rep").alias("rep")))
+        if cells == 1:
+            break
+        for end in "uv":
+            kept = kept.join(found, F.col(end) == F.col("old"), "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
+        kept = cut(kept.where("u <> v").distinct())
+        before, count = count, kept.count()
+        if count > before * 4 // 5:
+            rest = _strong_components_by_rounds(kept, names.select(F.col("rep").alias("node")), most_rounds)
+            return names.join(rest.withColumnRenamed("node", "rep"), "rep").select("node", "component")
+    return names.withColumnRenamed("rep", "component")
+
+
+def _strong_components_by_rounds(edges: DataFrame, nodes: DataFrame, most_rounds: int) -> DataFrame:
+    """As :func:`strong_components`, all side by side.
 
     Each pass gives every node the smallest one that reaches it as its colour, by rounds of joins. A node of its own colour then
     has for component those of its colour that reach it. What is found is removed, and so are nodes without an edge in or out.

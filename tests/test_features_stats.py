@@ -258,6 +258,18 @@ def test_strong_components(spark):
     assert {r.node: r.component for r in got.collect()} == want
 
 
+def test_strong_components_need_no_round_for_each_hop(spark):
+    n = 600
+    ring = spark.range(n).select(F.col("id").alias("u"), ((F.col("id") + 1) % n).alias("v")).unionByName(spark.createDataFrame([(5, 1000), (1000, 1001)], "u long, v long"))
+    nodes = ring.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    want = {k: 0 for k in range(n)} | {1000: 1000, 1001: 1001}
+    assert {r.node: r.component for r in roads.strong_components(ring, nodes, most_rounds=20).collect()} == want
+    pairs = [(0, 1), (1, 0), (2, 3), (3, 2), (1, 2), (3, 9), (9, 0), (9, 8), (4, 5), (5, 6), (6, 4), (6, 9)]
+    small = spark.createDataFrame(pairs, "u long, v long")
+    found = roads.strong_components(small, spark.range(10).withColumnRenamed("id", "node"), cell_edges=4)
+    assert {r.node: r.component for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 0, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8}
+
+
 def test_sensors_without_a_place_or_near_a_long_edge(spark):
     nodes = spark.createDataFrame([(0, 34.0, -118.0), (1, 34.5, -117.0), (2, 34.0, -117.0)], "node long, lat double, lon double")
     edges = spark.createDataFrame([("long", 0, 1), ("flat", 0, 2)], "edge_id string, u long, v long")
