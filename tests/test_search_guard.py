@@ -5,9 +5,11 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fernway.operators import ordered as N
 from fernway.operators import guard, predictors, roads, search
 from fernway.plans import service
 
@@ -391,3 +393,35 @@ def test_walks_along_told_times_broadcast_no_table(spark):
     found = search.folded(paths, edges, told, 60)
     assert {r.query_id: r.fold.spent for r in found.collect()} == {1: 11.0, 2: math.inf}
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_a_query_share_what_they_find_alike(monkeypatch):
+    n = 30
+    pairs = [(a, b) for a in range(n) for b in (a - 1, a + 1, a + 3) if 0 <= b < n]
+    u, v = (np.array(x) for x in zip(*pairs, strict=True))
+    net = N.Network(np.array([f"{a}_{b}" for a, b in pairs], dtype=object), u, v, np.array([10.0 + (7 * a + b) % 5 for a, b in pairs]))
+    net.noise_seed, m = "5", len(pairs)
+    net.told = N.TimeTable.of(m, np.arange(m), np.zeros(m), net.free * 2, np.zeros(m), 60)
+    net.lat, net.lon = 34 + net.ids / 1000, np.full(n, -118.0)
+    ready, drawn, real = net.ready, [], N.drawn_normal
+    start, goal = net.places([0, n - 1])
+    monkeypatch.setattr(N, "drawn_normal", lambda *key: drawn.append(key) or real(*key))
+
+    def costs(shared):
+        found = []
+        for weight in (0.0, 0.5, 1.0):
+            query = N.Query(start, goal, 60.0, {}, 1.0, 0.5, shared=shared if shared is not None else {})
+            line = query.once(("line",), lambda: N.line_bound(ready, goal, 65.0))
+            bound = N.blended_bound(ready, query, line, net.told, weight)
+            found.append(N.settle(ready, query, start, goal, N.steps(ready, query, net.told), bound).cost[goal])
+        return found
+
+    alone, n_alone = costs(None), len(drawn)
+    drawn.clear()
+    assert costs({}) == alone and len(drawn) == len(set(drawn)) < n_alone
+    # Cells that the first query misses are missed by those that share with it.
+    shared = {}
+    for _ in range(2):
+        query = N.Query(start, goal, 0.0, shared=shared)
+        query.once(("x",), lambda query=query: query.missing.add(4))
+        assert query.missing == {4}
