@@ -163,3 +163,18 @@ def test_trees_refuse_what_they_cannot_do(spark):
         trees.fit(rows, excluded=("nonsense",))
     few = trees.fit(rows, excluded=("neighbor_congestion_proxy",), most_rounds=1, depth=1)
     assert "neighbor_congestion_proxy" not in few.inputs and trees.predict(rows, trees.as_table(spark, few)).where("size(q) = 5").count() == 60
+
+
+def test_trees_are_followed_by_columns():
+    """Nodes of rows as when each row goes down by itself, and packed rows as they were; rows are looked at column by column, never gathered."""
+    rnd = np.random.default_rng(3)
+    x, features, bins = rnd.integers(0, 33, (500, 10)).astype(np.uint8), rnd.integers(0, 10, 15), rnd.integers(0, 33, 15)
+    want = []
+    for row in x:
+        node = 0
+        for _ in range(4):
+            node = 2 * node + 1 + int(row[features[node]] > bins[node])
+        want.append(node - 15)
+    packed = trees._packed(x).slice(7, 400)
+    assert trees._unpacked(packed, np.uint8, 10).T.tolist() == x[7:407].tolist()
+    assert trees._leaves(np.ascontiguousarray(x.T), features, bins, 4).tolist() == want
