@@ -29,12 +29,15 @@ from pyspark.sql import types as T
 from fernway.functions import scalar as S
 from fernway.operators import cells as C
 from fernway.operators import ordered as N
+from fernway.operators import separators as P
 from fernway.operators.rounds import cut, remove, shared_path, written, written_at
 
 #: What is broadcast at most: edges (about 60 bytes each) and rows of a time table (32 bytes each).
 MAX_EDGES, MAX_TIMED = 500_000, 4_000_000
 #: Tasks for each core that queries with several rows are dealt to by their ends.
 DEALT = 4
+#: Queries that a task holds at most, about, with what it finds from nodes of a separator.
+HELD = 500_000
 
 
 @dataclass(frozen=True)
@@ -439,6 +442,72 @@ def guided(queries: DataFrame, edges: DataFrame | Roads, nodes: DataFrame | None
     return _run(_roads(edges, nodes), queries, costs, (fields, one), keys, places=True).drop("origin", "dest", "depart_time")
 
 
+def route_costs(queries: DataFrame, edges: DataFrame | Roads, nodes: DataFrame | None = None, max_mph: float | None = None, *, both_ends: bool = False) -> DataFrame:
+    """query_id, origin, dest and cost by free flow of many queries' routes: as :func:`dijkstra`, with ``max_mph`` :func:`astar`, or :func:`bidirectional`.
+
+    Where separators (:mod:`.separators`) part the ends of more queries than they have nodes, costs are searched from each of their nodes, to and fro and
+    within the part, and a query costs the least over the nodes of its ends' separators. Queries whose ends no separator parts are searched one by one.
+    """
+    roads, costs, spark = _roads(edges, nodes), static_costs(), queries.sparkSession
+    plain = ["query_id", "origin", "dest"]
+
+    def one_by_one(some: DataFrame) -> DataFrame:
+        return _run(roads, some, costs, _route_search(queries, costs, both_ends=both_ends, max_mph=max_mph), places=max_mph is not None).select(*plain, "cost")
+
+    if not roads.few:
+        return one_by_one(queries)
+    shared = roads.once((costs.column, max_mph is not None, "net"), lambda: broadcast_network(roads, costs.column, max_mph is not None))
+    n_queries = queries.count()
+    made = P.parts(shared.value, n_queries)
+    if all(x is None for x in made.between):
+        return one_by_one(queries)
+    divided, tasks = spark.sparkContext.broadcast(made), DEALT * spark.sparkContext.defaultParallelism
+    slices = -(-n_queries // HELD)
+    asked = T.StructType([queries.schema[c] for c in plain])
+    dealt = T.StructType([*asked.fields, *[T.StructField(c, T.IntegerType()) for c in ("_o", "_d", "_part", "_share")]])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query for every share of the separators of its ends' common parts; part -1 where the smallest is not divided."""
+        net, found = shared.value, divided.value
+        for batch in batches:
+            o, d = (np.array(net.places(batch.column(c).to_pylist()), dtype=np.int64) for c in ("origin", "dest"))
+            rows, last = [], np.full(len(o), -1)
+            for of in found.of:
+                both = np.flatnonzero((o >= 0) & (d >= 0) & (of[o] == of[d]) & (of[o] >= 0) & (o != d))
+                last[both] = of[o[both]]
+            whole = np.array([x is None for x in found.between])
+            alone = (last >= 0) & whole[last]
+            rows.append((np.flatnonzero(alone), np.full(alone.sum(), -1), np.zeros(alone.sum(), dtype=np.int64)))
+            for level, of in enumerate(found.of):
+                both = np.flatnonzero((last >= 0) & ~alone & (of[o] == of[d]) & (of[o] >= 0))
+                for share in range(max(1, tasks >> level)):
+                    rows.append((both, of[o[both]], np.full(len(both), share)))
+            at, part, share = (np.concatenate(x) for x in zip(*rows, strict=True))
+            told = batch.select(plain).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*told.columns, *[pa.array(x.astype(np.int32)) for x in (o[at], d[at], part, share)]], names=dealt.names)
+
+    def task(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        found, ready = divided.value, shared.value.ready
+        part, share = key[0].as_py(), key[1].as_py()
+        inside = bytearray(len(ready.ahead))
+        for node in found.nodes[part].tolist():
+            inside[node] = 1
+        o, d = (_whole(group.column(c)) for c in ("_o", "_d"))
+        best = np.full(len(o), math.inf)
+        for node in found.between[part][share :: max(1, tasks >> found.level[part])].tolist():
+            best = np.minimum(best, P.reached(ready.behind, node, inside)[o] + P.reached(ready.ahead, node, inside)[d])
+        return pa.table([*[group.column(c) for c in plain], pa.array(best)], names=[*plain, "cost"])
+
+    rows = cut(queries.select(*plain).repartition(spark.sparkContext.defaultParallelism).mapInArrow(deal, dealt))
+    through = rows.where("_part >= 0").withColumn("_slice", F.pmod(F.xxhash64(*plain), F.lit(slices)))
+    schema = T.StructType([*asked.fields, T.StructField("cost", T.DoubleType())])
+    between = through.repartition(4 * tasks, "_part", "_share", "_slice").groupBy("_part", "_share", "_slice").applyInArrow(task, schema)
+    near = queries.join(rows.where("_part < 0").select(*plain).distinct(), plain, "left_semi")
+    least = between.unionByName(one_by_one(near)).groupBy(*plain).agg(F.min("cost").alias("_cost"))
+    cost = F.when(F.col("origin") == F.col("dest"), F.lit(0.0)).when(F.col("_cost") < float("inf"), F.col("_cost"))
+    return queries.join(least, plain, "left").select(*plain, cost.alias("cost"))
+
+
 def path_edges(paths: DataFrame, edges: DataFrame, column: str = "free_flow_s") -> DataFrame:
     """query_id, pos, u, v, edge_id and cost of each step of the paths; of parallel edges the cheapest, ties by name."""
     hops = F.expr("transform(slice(path, 1, greatest(size(path) - 1, 0)), (x, i) -> struct(x AS u, get(path, i + 1) AS v))")
@@ -550,4 +619,4 @@ def lured(corridor: Column, trap: Column, budget: Column) -> Column:
     return F.concat(F.transform(trap, edge(1 / (1 + budget))), F.transform(F.array_except(corridor, trap), edge(1 + budget)))
 
 
-__all__ = ["Costs", "Roads", "astar", "bidirectional", "corridor_and_trap", "dijkstra", "distances", "folded", "free_flow_plans", "guided", "lured", "path_edges", "realized", "realized_static", "static_costs", "timed_costs"]
+__all__ = ["Costs", "Roads", "astar", "bidirectional", "corridor_and_trap", "dijkstra", "distances", "folded", "free_flow_plans", "guided", "lured", "path_edges", "realized", "realized_static", "route_costs", "static_costs", "timed_costs"]

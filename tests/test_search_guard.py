@@ -139,6 +139,27 @@ def test_routes_of_random_networks(spark, seed, monkeypatch):
     assert few == {k: c for k, c in labels.items() if k[0] < 5}
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_costs_through_separators(spark, seed, monkeypatch):
+    """A long network in pieces, also of two unjoined ones: costs of all methods as one by one, and few searches from the separators' nodes."""
+    rnd = random.Random(seed)
+    pairs = {(k + p, k + p + rnd.choice((-5, -3, -1, 1, 2, 4, 6))) for k in (0, 1000) for p in range(300) for _ in range(3)}
+    rows = [(f"{u}_{v}", u, v, float(rnd.randint(1, 90)) / 7) for u, v in sorted(pairs) if u // 1000 == v // 1000 and 0 <= v % 1000 < 300]
+    e = spark.createDataFrame(rows, "edge_id string, u long, v long, free_flow_s double")
+    n = spark.createDataFrame([(k + p, 34.0, -118.0 + p / 1e6) for k in (0, 1000) for p in range(300)], "node long, lat double, lon double")
+    ends = [(i, rnd.choice((0, 0, 0, 1000)) + rnd.randrange(300), rnd.choice((0, 0, 1000)) + rnd.randrange(300)) for i in range(150)] + [(150, 7, 7), (151, 5000, 5000), (152, 5000, 3), (153, 3, 5000), (0, 1, 290)]
+    q = spark.createDataFrame([(*x, DEPART) for x in ends], "query_id long, origin long, dest long, depart_time timestamp_ntz")
+    want = {(r.query_id, r.origin, r.dest): r.cost for r in search.dijkstra(q, e).collect()}
+    net = search.broadcast_network(search.Roads(e)).value
+    monkeypatch.setattr(search.P, "LEAST_PART", 40)
+    made = search.P.parts(net, len(ends))
+    assert sum(b is not None for b in made.between) >= 3 and all(len(b) < 30 for b in made.between if b is not None)
+    for found in (search.route_costs(q, e), search.route_costs(q, e, n, 1000.0), search.route_costs(q, e, both_ends=True)):
+        got = {(r.query_id, r.origin, r.dest): r.cost for r in found.collect()}
+        assert set(got) == set(want)
+        assert all(got[k] == want[k] or math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def _settled(out, text, start, goal, cost, bound, most=math.inf, back=False):
     """A plain search in order: label of every node, nodes before and how many were taken."""
     best, before, done, todo = {start: 0.0}, {}, [], [(bound(start), text(start), start)]
