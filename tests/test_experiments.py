@@ -1,6 +1,8 @@
 """Sweeps on a random network and the quantile regression, against plain Python."""
 
 import math
+import os
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -178,3 +180,25 @@ def test_trees_are_followed_by_columns():
     packed = trees._packed(x).slice(7, 400)
     assert trees._unpacked(packed, np.uint8, 10).T.tolist() == x[7:407].tolist()
     assert trees._leaves(np.ascontiguousarray(x.T), features, bins, 4).tolist() == want
+
+
+def test_sweeps_are_run_alone_as_together(table):
+    """Rows of some sweeps, for which no predictions are there, are those of the table of all."""
+    q, world, _, _, rows = table
+    some = tuple(r for r in X.RUNS if r.name in ("adversarial_budget_sweep", "adversary_lambda_diagnosis"))
+    alone = X.run_all(q, replace(world, predicted={}), some).drop("latency_ms").collect()
+    names = [c for c in alone[0].asDict()]
+    want = [[r[c] for c in names] for r in rows if r.run_id in {x.name for x in some}]
+    assert alone and sorted(map(repr, map(list, alone))) == sorted(map(repr, want))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_queries_run_the_sweeps_that_they_ask_for(spark, monkeypatch):
+    from fernway.plans import catalogue
+
+    def refuse(*_, **__):
+        raise AssertionError("no sweep asks for predictions")
+
+    monkeypatch.setattr(trees, "fit", refuse)
+    rows = catalogue.experiment_improvement(spark, "/root/testdata/sf0.001").collect()
+    assert {r.method for r in rows} == {"pure_ml_astar", "robust_astar", "robust_astar_no_guard"} and {r.part for r in rows} == {"budget", "weight"}
