@@ -202,3 +202,24 @@ def test_queries_run_the_sweeps_that_they_ask_for(spark, monkeypatch):
     monkeypatch.setattr(trees, "fit", refuse)
     rows = catalogue.experiment_improvement(spark, "/root/testdata/sf0.001").collect()
     assert {r.method for r in rows} == {"pure_ml_astar", "robust_astar", "robust_astar_no_guard"} and {r.part for r in rows} == {"budget", "weight"}
+
+
+def test_headline_runs_its_sweep_alone(spark, monkeypatch):
+    from fernway.plans import catalogue, inputs
+
+    asked = []
+    names = ("_features", "_instrumented", "_oracle", "_free")
+    for n in names:
+        monkeypatch.setattr(catalogue, n, lambda *_: spark.range(0).withColumn("split", F.lit("test")))
+    monkeypatch.setattr(inputs, "nodes", lambda *_: None)
+    monkeypatch.setattr(X, "query_sets", lambda *_, **__: None)
+    monkeypatch.setattr(catalogue, "_world", lambda _, __, *sources: sources)
+
+    def results(queries, sources, runs):
+        asked.append(({r.name for r in runs}, set(sources)))
+        raise InterruptedError
+
+    monkeypatch.setattr(X, "results", results)
+    with pytest.raises(InterruptedError):
+        catalogue.experiment_headline(spark, "nowhere")
+    assert asked == [({"consistency_sweep"}, {"true", "quantile", "noise 1001"})]
