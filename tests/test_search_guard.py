@@ -446,3 +446,31 @@ def test_points_of_a_query_share_what_they_find_alike(monkeypatch):
         query = N.Query(start, goal, 0.0, shared=shared)
         query.once(("x",), lambda query=query: query.missing.add(4))
         assert query.missing == {4}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_queries_near_one_another_are_searched_together(spark, seed, monkeypatch):
+    """Nodes settled, corridors and traps as by a search of each query, with parallel edges, unjoined pieces, ties and nodes without edges."""
+    rnd = random.Random(seed)
+    pairs = [(k + p, k + p + rnd.choice((-5, -3, -1, 1, 2, 4, 6))) for k in (0, 1000) for p in range(120) for _ in range(3)]
+    pairs = [x for x in pairs if x[0] // 1000 == x[1] // 1000 and 0 <= x[1] % 1000 < 120]
+    rows = [(f"{u}_{v}_{i}", u, v, float(rnd.randint(2, 9))) for i, (u, v) in enumerate([*pairs, *pairs[::9]])]
+    e = spark.createDataFrame(rows, "edge_id string, u long, v long, free_flow_s double")
+    n = spark.createDataFrame([(k + p, 34.0, -118.0 + p / 1e6) for k in (0, 1000) for p in range(120)] + [(5000, 34.0, -118.0)], "node long, lat double, lon double")
+    ends = [(i, rnd.choice((0, 0, 0, 1000)) + rnd.randrange(120), rnd.choice((0, 0, 1000)) + rnd.randrange(120)) for i in range(90)] + [(90, 7, 7), (91, 5000, 5000), (92, 5000, 3), (93, 3, 5000)]
+    q = spark.createDataFrame([(*x, DEPART) for x in ends], "query_id long, origin long, dest long, depart_time timestamp_ntz")
+    net = search.broadcast_network(search.Roads(e, n), with_places=True).value
+    assert search.M.rises(net, 1e7) and search.M.bound_holds(net, 1000.0) and not search.M.bound_holds(net, 0.01)
+    origins = net.places([1, 2, 3, 50, 1004])
+    cost = search.M.costs(net, search.M.Rows(net), origins)
+    for k, origin in enumerate(origins):
+        assert {i: c for i, c in enumerate(cost[:, k].tolist()) if c < math.inf} == search.N.settle(net.ready, search.N.Query(origin, -1, 0.0), origin).cost
+
+    def found():
+        work, luring = search.efforts(q, e, n, 1000.0).collect(), search.corridor_and_trap(q, e).collect()
+        return {(r.query_id, r.dijkstra_work, r.astar_work) for r in work}, {(r.query_id, tuple(r.corridor), tuple(r.trap)) for r in luring}
+
+    together = found()
+    monkeypatch.setattr(search.M, "rises", lambda *_: False)
+    assert together == found() and len(together[0]) == len(together[1]) == len(ends)
+    assert any(a and b and set(a) & set(b) for _, a, b in together[1]) and any(a != b for _, a, b in together[0])
