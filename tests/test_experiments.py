@@ -192,6 +192,19 @@ def test_sweeps_are_run_alone_as_together(table):
     assert alone and sorted(map(repr, map(list, alone))) == sorted(map(repr, want))
 
 
+def test_seeds_of_noise_are_searched_together(table, monkeypatch):
+    """One search for each kind of method, however many seeds, with the rows of the table of all."""
+    q, world, _, _, rows = table
+    some, made = tuple(r for r in X.RUNS if "degraded" in r.name or r.name in ("smoothness_sweep", "robustness_sweep")), []
+    for where, name in ((X.search, "astar"), (X.guard, "robust_routes")):
+        monkeypatch.setattr(where, name, lambda *a, _f=getattr(where, name), _n=name, **k: made.append(_n) or _f(*a, **k))
+    alone = X.run_all(q, replace(world, predicted={}), some).drop("latency_ms").collect()
+    # The classical search, that of told times and that of the best routes.
+    assert sorted(made) == ["astar", "astar", "astar", "robust_routes"]
+    want = [[r[c] for c in alone[0].asDict()] for r in rows if r.run_id in {x.name for x in some}]
+    assert sorted(map(repr, map(list, alone))) == sorted(map(repr, want))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 def test_queries_run_the_sweeps_that_they_ask_for(spark, monkeypatch):
     from fernway.plans import catalogue
