@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -474,3 +475,13 @@ def test_queries_near_one_another_are_searched_together(spark, seed, monkeypatch
     monkeypatch.setattr(search.M, "rises", lambda *_: False)
     assert together == found() and len(together[0]) == len(together[1]) == len(ends)
     assert any(a and b and set(a) & set(b) for _, a, b in together[1]) and any(a != b for _, a, b in together[0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_shortest_path_of_a_network_too_large_to_broadcast(spark, monkeypatch):
+    from fernway.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    small = sorted(map(tuple, catalogue.shortest_path_function(spark, d).collect()))
+    monkeypatch.setattr(search, "MAX_EDGES", 0)
+    assert small and sorted(map(tuple, catalogue.shortest_path_function(spark, d).collect())) == small
