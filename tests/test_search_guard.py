@@ -485,3 +485,20 @@ def test_shortest_path_of_a_network_too_large_to_broadcast(spark, monkeypatch):
     small = sorted(map(tuple, catalogue.shortest_path_function(spark, d).collect()))
     monkeypatch.setattr(search, "MAX_EDGES", 0)
     assert small and sorted(map(tuple, catalogue.shortest_path_function(spark, d).collect())) == small
+
+
+def _refuse(*_, **__):
+    raise AssertionError("a search for each query")
+
+
+def _bits(rows):
+    return sorted((tuple(x) for x in rows), key=repr)
+
+
+def test_doubt_of_many_routes_at_once(spark, monkeypatch):
+    _, _, (q, e, _, told) = _random_case(spark, 6)
+    told = told.withColumn("sigma_s", F.col("eta_s") * (F.hash("edge_id") % 3 + 3) / 4)
+    alone = _bits(guard.effective_weight(search.dijkstra(q, e), e, told, 0.8, 5).select("query_id", F.round("weight_used", 9)).collect())
+    monkeypatch.setattr(guard.R, "dijkstra", _refuse)
+    found = _bits(guard.effective_weights(q, e, told, 0.8, 5).select("query_id", F.round("weight_used", 9)).collect())
+    assert found == alone and len({w for _, w in found}) > 2
