@@ -502,3 +502,15 @@ def test_doubt_of_many_routes_at_once(spark, monkeypatch):
     monkeypatch.setattr(guard.R, "dijkstra", _refuse)
     found = _bits(guard.effective_weights(q, e, told, 0.8, 5).select("query_id", F.round("weight_used", 9)).collect())
     assert found == alone and len({w for _, w in found}) > 2
+
+
+def test_corridors_of_many_queries_at_once(spark, monkeypatch):
+    _, _, (q, e, _, _) = _random_case(spark, 6)
+    # Parallel edges and ties.
+    e = e.unionByName(e.where("hash(edge_id) % 3 = 0").withColumn("edge_id", F.concat("edge_id", F.lit("x")))).withColumn("free_flow_s", 1 + F.round("free_flow_s", -2))
+    monkeypatch.setattr(search.M, "rises", lambda *_: False)
+    alone = _bits(search.corridor_and_trap(q, e).collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(search, "dijkstra", _refuse)
+    found = _bits(search.corridor_and_trap(q, e).collect())
+    assert found == alone and any(a and b for _, a, b in found)
