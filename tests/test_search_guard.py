@@ -514,3 +514,12 @@ def test_corridors_of_many_queries_at_once(spark, monkeypatch):
     monkeypatch.setattr(search, "dijkstra", _refuse)
     found = _bits(search.corridor_and_trap(q, e).collect())
     assert found == alone and any(a and b for _, a, b in found)
+
+
+def test_costs_to_all_nodes_of_many_queries_at_once(spark, monkeypatch):
+    _, _, (q, e, _, _) = _random_case(spark, 6)
+    monkeypatch.setattr(search.M, "rises", lambda *_: False)
+    alone = _bits(search.distances(q, e).collect())
+    monkeypatch.undo()
+    monkeypatch.setattr(search, "_run", _refuse)
+    assert _bits(search.distances(q, e).collect()) == alone and alone
